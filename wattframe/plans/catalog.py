@@ -28,4 +28,5 @@ def load_all() -> None:
     # importing the modules fills the registry
     from wattframe.plans import (  # noqa: F401
         q_energy,
+        q_prepare,
     )

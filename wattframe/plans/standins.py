@@ -85,3 +85,15 @@ def regression_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def embeddings_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     em = table(spark, sf_dir, "embeddings")
     return em.select("vec_id", "embedding", (F.col("label") == 5).cast("int").alias("label"))
+
+
+def laptop_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wattframe.operators.clean import derive_laptop_metrics
+    return derive_laptop_metrics(laptop_runs(spark, sf_dir))
+
+
+def board_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Board run table after cleaning: sentinel -> NULL, Library -> Library_Name, M1..M5."""
+    from wattframe.operators.clean import derive_board_metrics, rename_columns, sentinel_to_null
+    cleaned = rename_columns(sentinel_to_null(board_runs(spark, sf_dir)), {"Library": "Library_Name"})
+    return derive_board_metrics(cleaned)
