@@ -29,4 +29,5 @@ def load_all() -> None:
     from wattframe.plans import (  # noqa: F401
         q_energy,
         q_prepare,
+        q_summary,
     )
