@@ -30,4 +30,5 @@ def load_all() -> None:
         q_energy,
         q_prepare,
         q_summary,
+        q_runs,
     )
