@@ -31,4 +31,5 @@ def load_all() -> None:
         q_prepare,
         q_summary,
         q_runs,
+        q_models,
     )
