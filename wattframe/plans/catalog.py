@@ -32,4 +32,5 @@ def load_all() -> None:
         q_summary,
         q_runs,
         q_models,
+        q_stats,
     )
