@@ -33,4 +33,5 @@ def load_all() -> None:
         q_runs,
         q_models,
         q_stats,
+        q_stream,
     )
