@@ -34,4 +34,5 @@ def load_all() -> None:
         q_models,
         q_stats,
         q_stream,
+        q_sources,
     )
