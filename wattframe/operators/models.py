@@ -136,7 +136,8 @@ def sgd_fit(df: DataFrame, features: Sequence[str], label: str, key_cols: Sequen
     d = len(features) + 1
     beta = np.zeros(d)
     base = df.select(*key_cols, *features, label)
-    batches = shuffled_batches(base, key_cols, batch_size, epochs, seed).persist(StorageLevel.MEMORY_AND_DISK)
+    tiebreak = [c for c in [*features, label] if c not in key_cols]
+    batches = shuffled_batches(base, key_cols, batch_size, epochs, seed, tiebreak).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         for e in range(epochs):
             ep = batches.where(F.col("epoch") == e)

@@ -73,10 +73,12 @@ def stratified_split(df: DataFrame, key_cols: Sequence[str], label: str, fractio
 
 
 def shuffled_batches(df: DataFrame, key_cols: Sequence[str], batch_size: int, epochs: int,
-                     seed: int = 42) -> DataFrame:
+                     seed: int = 42, tiebreak_cols: Sequence[str] = ()) -> DataFrame:
     """One row per (row, epoch) with ``batch``: rows in a fresh random order per
-    epoch, cut into batches of ``batch_size`` (the last one smaller)."""
+    epoch, cut into batches of ``batch_size`` (the last one smaller).  The order
+    is by hash of (epoch, key), then key and ``tiebreak_cols`` (rows equal in all
+    of them are interchangeable, so the result does not depend on task order)."""
     e = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     e = e.withColumn("_bh", hash32("epoch", *key_cols, seed=seed))
-    p = hash_positions(e, "_bh", list(key_cols), partition_cols=["epoch"])
+    p = hash_positions(e, "_bh", [*key_cols, *tiebreak_cols], partition_cols=["epoch"])
     return p.withColumn("batch", F.floor(F.col("position") / F.lit(batch_size)).cast("long")).drop("_bh", "position")

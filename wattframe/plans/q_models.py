@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from wattframe.functions import scalars as S
@@ -162,6 +163,20 @@ def preview_predictions(spark, sf_dir):
 
 
 # --- trainer flows (model output is not SQL-expressible: row checks) -----------------
+#
+# A flow reads its prepared table several times (split cut, scaler, fit, score),
+# so the table is persisted for the duration of the flow and released at the
+# end; the flow's result is the one-row metrics table, computed eagerly.
+
+def _run_flow(spark, prepared, fn):
+    data = prepared.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        res = fn(data)
+        rows, schema = res.collect(), res.schema
+    finally:
+        data.unpersist()
+    return spark.createDataFrame(rows, schema)
+
 
 def _regression_prepared(spark, sf_dir):
     r = SI.regression_table(spark, sf_dir).drop("l_linenumber")
@@ -179,16 +194,26 @@ def linreg_ols_fit(spark, sf_dir):
     """Library linear flow: drop NULL rows, 25 % exact split, OLS, metrics on the test rows."""
     r = SI.regression_table(spark, sf_dir).drop("p_type", "l_linenumber")
     r = clean.drop_null_rows(r)
-    r = split.exact_split(r, r.columns, 0.25)
-    feats = _reg_features(r)
-    m = models.linreg_ols(r.where(~F.col("is_test")), feats, "l_extendedprice", method="mllib")
-    pred = m.transform(r.where(F.col("is_test")))
-    return evaluate.regression_metrics(pred, "l_extendedprice")
-
 
-def _scaled_split(df, key_cols, feats, fraction, label=None):
-    d = (split.stratified_split(df, key_cols, label, fraction) if label
-         else split.exact_split(df, key_cols, fraction))
+    def flow(data):
+        # lineitem has no unique row key: hash the order key (an order's lines stay together)
+        d = split.bernoulli_split(data, ["l_orderkey"], 0.25)
+        feats = _reg_features(d)
+        m = models.linreg_ols(d.where(~F.col("is_test")), feats, "l_extendedprice", method="mllib")
+        return evaluate.regression_metrics(m.transform(d.where(F.col("is_test"))), "l_extendedprice")
+
+    return _run_flow(spark, r, flow)
+
+
+def _scaled_split(df, key_cols, feats, fraction, label=None, exact=True):
+    """Split (exact / stratified on a unique key, else Bernoulli on the key),
+    fit the scaler on the training rows, scale both sides."""
+    if not exact:
+        d = split.bernoulli_split(df, key_cols, fraction)
+    elif label:
+        d = split.stratified_split(df, key_cols, label, fraction)
+    else:
+        d = split.exact_split(df, key_cols, fraction)
     sc = standard_scale_fit(d.where(~F.col("is_test")), feats)
     return sc.transform(d)
 
@@ -198,22 +223,30 @@ def linreg_gd(spark, sf_dir):
     """Network-library linear flow: dummies, 20 % split, scaling, gradient descent
     (lr 0.001, 100 epochs, batch 32 step count), metrics on the test rows."""
     r = _regression_prepared(spark, sf_dir)
-    feats = _reg_features(r)
-    d = _scaled_split(r, r.columns, feats, 0.2)
-    m = models.linreg_gd(d.where(~F.col("is_test")), feats, "l_extendedprice", lr=0.001, epochs=100, batch_size=32)
-    return evaluate.regression_metrics(m.transform(d.where(F.col("is_test"))), "l_extendedprice")
+
+    def flow(data):
+        feats = _reg_features(data)
+        d = _scaled_split(data, ["l_orderkey"], feats, 0.2, exact=False)
+        m = models.linreg_gd(d.where(~F.col("is_test")), feats, "l_extendedprice", lr=0.001, epochs=100,
+                             batch_size=32)
+        return evaluate.regression_metrics(m.transform(d.where(F.col("is_test"))), "l_extendedprice")
+
+    return _run_flow(spark, r, flow)
 
 
 @query("sgd_fit")
 def sgd_fit(spark, sf_dir):
     """Mini-batch SGD (squared loss, batch 1024, 3 epochs) on the scaled regression table."""
     r = _regression_prepared(spark, sf_dir)
-    feats = _reg_features(r)
-    d = _scaled_split(r, r.columns, feats, 0.2)
-    keys = r.columns
-    m = models.sgd_fit(d.where(~F.col("is_test")), feats, "l_extendedprice", keys, loss="squared",
-                       lr=0.01, epochs=3, batch_size=1024)
-    return evaluate.regression_metrics(m.transform(d.where(F.col("is_test"))), "l_extendedprice")
+
+    def flow(data):
+        feats = _reg_features(data)
+        d = _scaled_split(data, ["l_orderkey"], feats, 0.2, exact=False)
+        m = models.sgd_fit(d.where(~F.col("is_test")), feats, "l_extendedprice", ["l_orderkey"], loss="squared",
+                           lr=0.01, epochs=3, batch_size=1024)
+        return evaluate.regression_metrics(m.transform(d.where(F.col("is_test"))), "l_extendedprice")
+
+    return _run_flow(spark, r, flow)
 
 
 def _embeddings(spark, sf_dir):
@@ -225,10 +258,14 @@ def _embeddings(spark, sf_dir):
 def logreg_l2(spark, sf_dir):
     """Library logistic flow: 25 % split, L2 (C = 1) logistic regression, unscaled, test metrics."""
     em, feats = _embeddings(spark, sf_dir)
-    d = split.exact_split(em, ["vec_id"], 0.25)
-    m = models.logreg_l2(d.where(~F.col("is_test")), feats, "label", C=1.0, max_iter=10000)
-    pred = models.batch_score(m, d.where(F.col("is_test")), feats, 0.5, inclusive=False)
-    return evaluate.classification_metrics(pred, "label")
+
+    def flow(data):
+        d = split.exact_split(data, ["vec_id"], 0.25)
+        m = models.logreg_l2(d.where(~F.col("is_test")), feats, "label", C=1.0, max_iter=10000)
+        pred = models.batch_score(m, d.where(F.col("is_test")), feats, 0.5, inclusive=False)
+        return evaluate.classification_metrics(pred, "label")
+
+    return _run_flow(spark, em, flow)
 
 
 @query("logreg_plain")
@@ -239,21 +276,33 @@ def logreg_plain(spark, sf_dir):
     from wattframe.operators.ranking import exact_quantiles
     med = exact_quantiles(r, "l_extendedprice", {"m": 0.5}).first()["m"]
     r = r.withColumn("label", (F.col("l_extendedprice") > F.lit(med)).cast("int"))
-    feats = [c for c in _reg_features(r) if c != "label"]
-    d = _scaled_split(r, r.columns, feats, 0.2, label="label")
-    m = models.logreg_plain(d.where(~F.col("is_test")), feats, "label")
-    pred = models.batch_score(m, d.where(F.col("is_test")), feats, 0.5, inclusive=False)
-    return evaluate.accuracy_only(pred, "label")
+
+    def flow(data):
+        feats = [c for c in _reg_features(data) if c != "label"]
+        d = _scaled_split(data, ["l_orderkey"], feats, 0.2, exact=False)
+        m = models.logreg_plain(d.where(~F.col("is_test")), feats, "label")
+        pred = models.batch_score(m, d.where(F.col("is_test")), feats, 0.5, inclusive=False)
+        return evaluate.accuracy_only(pred, "label")
+
+    return _run_flow(spark, r, flow)
 
 
 @query("mlp_classify")
 def mlp_classify(spark, sf_dir):
     """Network flow: stratified 20 % split, scaling, d -> 32 -> 16 -> 2 network, threshold >= 0.5, metrics."""
     em, feats = _embeddings(spark, sf_dir)
-    d = _scaled_split(em, ["vec_id"], feats, 0.2, label="label")
-    m = models.mlp_classify(d.where(~F.col("is_test")), feats, "label", max_iter=100, seed=42)
-    pred = models.batch_score(m, d.where(F.col("is_test")), feats, 0.5, inclusive=True)
-    return evaluate.classification_metrics(pred, "label")
+
+    def flow(data):
+        d = _scaled_split(data, ["vec_id"], feats, 0.2, label="label")
+        train = d.where(~F.col("is_test")).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            m = models.mlp_classify(train, feats, "label", max_iter=100, seed=42)
+        finally:
+            train.unpersist()
+        pred = models.batch_score(m, d.where(F.col("is_test")), feats, 0.5, inclusive=True)
+        return evaluate.classification_metrics(pred, "label")
+
+    return _run_flow(spark, em.drop("embedding"), flow)
 
 
 @query("fit_time")
