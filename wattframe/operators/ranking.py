@@ -47,29 +47,42 @@ def bucket_of(col, bounds: Sequence[float]) -> Column:
 
 
 def value_counts_ranked(df: DataFrame, value_col: str, group_cols: Sequence[str] = (),
-                        n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                        n_buckets: int = DEFAULT_BUCKETS, carry_cols: Sequence[str] = ()) -> DataFrame:
     """Distinct (group, value) with ``n_ties``, ``cum_before`` (rows of the group
     with a smaller value), ``mid_rank`` (average 1-based rank of the ties) and
-    ``n_group``.  NULL values are left out."""
-    g = list(group_cols)
-    counts = (df.where(F.col(value_col).isNotNull())
-              .groupBy(*g, value_col).agg(F.count(F.lit(1)).alias("n_ties")))
-    bounds = value_bounds(counts, value_col, n_buckets)
-    b = counts.withColumn("_b", bucket_of(value_col, bounds))
-    w_in = Window.partitionBy(*g, "_b").orderBy(value_col).rowsBetween(Window.unboundedPreceding, -1)
-    b = b.withColumn("_cum_in", F.coalesce(F.sum("n_ties").over(w_in), F.lit(0)))
-    totals = b.groupBy(*g, "_b").agg(F.sum("n_ties").alias("_bt"))
+    ``n_group``.  NULL values are left out.
+
+    With ``carry_cols`` the rows stay split by those columns (one row per
+    (group, carry, value) with its own count ``n_c``) while ranks and ties are
+    over the whole group - what a rank-sum test needs, without a join back.
+
+    Bucket bounds come from the value distribution of the rows, so a group
+    holding many rows (and values) gets a matching share of the buckets."""
+    g, carry = list(group_cols), list(carry_cols)
+    base = df.where(F.col(value_col).isNotNull())
+    bounds = value_bounds(base, value_col, n_buckets)
+    counts = (base.groupBy(*g, *carry, value_col).agg(F.count(F.lit(1)).alias("n_c"))
+              .withColumn("_b", bucket_of(value_col, bounds)))
+    w_upto = Window.partitionBy(*g, "_b").orderBy(value_col).rangeBetween(Window.unboundedPreceding,
+                                                                          Window.currentRow)
+    w_tie = Window.partitionBy(*g, "_b", value_col)
+    counts = (counts.withColumn("_upto", F.sum("n_c").over(w_upto))
+              .withColumn("n_ties", F.sum("n_c").over(w_tie)))
+    totals = counts.groupBy(*g, "_b").agg(F.sum("n_c").alias("_bt"))
     w_off = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     w_all = Window.partitionBy(*g)
     totals = (totals.withColumn("_off", F.coalesce(F.sum("_bt").over(w_off), F.lit(0)))
               .withColumn("n_group", F.sum("_bt").over(w_all))
               .drop("_bt"))
-    out = b.join(totals, on=[*g, "_b"], how="inner")
-    cum = (F.col("_off") + F.col("_cum_in")).cast("long")
-    return (out.withColumn("cum_before", cum)
-            .withColumn("mid_rank", F.col("cum_before") + (F.col("n_ties") + F.lit(1)) / F.lit(2.0))
-            .select(*g, value_col, F.col("n_ties").cast("long").alias("n_ties"), "cum_before",
-                    "mid_rank", F.col("n_group").cast("long").alias("n_group")))
+    out = counts.join(totals, on=[*g, "_b"], how="inner")
+    cum = (F.col("_off") + F.col("_upto") - F.col("n_ties")).cast("long")
+    out = (out.withColumn("cum_before", cum)
+           .withColumn("mid_rank", F.col("cum_before") + (F.col("n_ties") + F.lit(1)) / F.lit(2.0)))
+    keep = [*g, *carry, value_col]
+    if carry:
+        keep.append(F.col("n_c").cast("long").alias("n_c"))
+    return out.select(*keep, F.col("n_ties").cast("long").alias("n_ties"), "cum_before", "mid_rank",
+                      F.col("n_group").cast("long").alias("n_group"))
 
 
 def exact_quantiles(df: DataFrame, value_col: str, probs: dict[str, float],

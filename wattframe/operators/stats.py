@@ -63,14 +63,14 @@ def kruskal(df: DataFrame, value: str, group_cols: Sequence[str], by: Sequence[s
     whole = not by
     if whole:  # one partition key for everything, so every join below is an equi-join
         base, by = base.withColumn("_all", F.lit(0)), ["_all"]
-    counts = base.groupBy(*by, *group_cols, value).agg(F.count(F.lit(1)).alias("_c"))
-    ranks = value_counts_ranked(base, value, by)
-    j = counts.join(ranks.select(*by, value, "mid_rank", "n_ties"), on=[*by, value], how="inner")
-    per_group = j.groupBy(*by, *group_cols).agg(F.sum("_c").alias("_n"),
-                                                F.sum(F.col("_c") * F.col("mid_rank")).alias("_r"))
-    ties = ranks.groupBy(*by).agg(
-        F.sum(F.col("n_ties").cast("double") ** 3 - F.col("n_ties").cast("double")).alias("_t"),
-        F.sum("n_ties").alias("_N"))
+    # one row per (partition, group, value) with the value's mid-rank over the partition
+    r = value_counts_ranked(base, value, by, carry_cols=group_cols)
+    per_group = r.groupBy(*by, *group_cols).agg(F.sum("n_c").alias("_n"),
+                                                F.sum(F.col("n_c") * F.col("mid_rank")).alias("_r"))
+    # sum over values of t^3 - t  ==  sum over rows of n_c * (t^2 - 1)
+    t = F.col("n_ties").cast("double")
+    ties = r.groupBy(*by).agg(F.sum(F.col("n_c").cast("double") * (t * t - F.lit(1.0))).alias("_t"),
+                              F.first("n_group").alias("_N"))
     stat = per_group.groupBy(*by).agg(F.sum(F.col("_r") ** 2 / F.col("_n")).alias("_s"),
                                       F.count(F.lit(1)).alias("_k"))
     out = stat.join(ties, on=by, how="inner")
