@@ -137,7 +137,10 @@ def sgd_fit(df: DataFrame, features: Sequence[str], label: str, key_cols: Sequen
     beta = np.zeros(d)
     base = df.select(*key_cols, *features, label)
     tiebreak = [c for c in [*features, label] if c not in key_cols]
-    batches = shuffled_batches(base, key_cols, batch_size, epochs, seed, tiebreak).persist(StorageLevel.MEMORY_AND_DISK)
+    # many jobs read the batch table: write it once to the shared checkpoint folder
+    # (lineage cut, survives executor loss) and keep a cached copy for speed
+    batches = (shuffled_batches(base, key_cols, batch_size, epochs, seed, tiebreak)
+               .checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK))
     try:
         for e in range(epochs):
             ep = batches.where(F.col("epoch") == e)

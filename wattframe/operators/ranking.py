@@ -66,15 +66,18 @@ def value_counts_ranked(df: DataFrame, value_col: str, group_cols: Sequence[str]
     w_upto = Window.partitionBy(*g, "_b").orderBy(value_col).rangeBetween(Window.unboundedPreceding,
                                                                           Window.currentRow)
     w_tie = Window.partitionBy(*g, "_b", value_col)
+    w_bucket = Window.partitionBy(*g, "_b")
     counts = (counts.withColumn("_upto", F.sum("n_c").over(w_upto))
-              .withColumn("n_ties", F.sum("n_c").over(w_tie)))
-    totals = counts.groupBy(*g, "_b").agg(F.sum("n_c").alias("_bt"))
+              .withColumn("n_ties", F.sum("n_c").over(w_tie))
+              .withColumn("_bt", F.sum("n_c").over(w_bucket)))
+    # bucket totals from the rows already clustered by (group, bucket): no new exchange
+    totals = counts.groupBy(*g, "_b").agg(F.max("_bt").alias("_bt"))
     w_off = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     w_all = Window.partitionBy(*g)
     totals = (totals.withColumn("_off", F.coalesce(F.sum("_bt").over(w_off), F.lit(0)))
               .withColumn("n_group", F.sum("_bt").over(w_all))
               .drop("_bt"))
-    out = counts.join(totals, on=[*g, "_b"], how="inner")
+    out = counts.drop("_bt").join(totals, on=[*g, "_b"], how="inner")
     cum = (F.col("_off") + F.col("_upto") - F.col("n_ties")).cast("long")
     out = (out.withColumn("cum_before", cum)
            .withColumn("mid_rank", F.col("cum_before") + (F.col("n_ties") + F.lit(1)) / F.lit(2.0)))

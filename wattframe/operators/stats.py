@@ -65,15 +65,14 @@ def kruskal(df: DataFrame, value: str, group_cols: Sequence[str], by: Sequence[s
         base, by = base.withColumn("_all", F.lit(0)), ["_all"]
     # one row per (partition, group, value) with the value's mid-rank over the partition
     r = value_counts_ranked(base, value, by, carry_cols=group_cols)
-    per_group = r.groupBy(*by, *group_cols).agg(F.sum("n_c").alias("_n"),
-                                                F.sum(F.col("n_c") * F.col("mid_rank")).alias("_r"))
-    # sum over values of t^3 - t  ==  sum over rows of n_c * (t^2 - 1)
+    # sum over values of t^3 - t  ==  sum over rows of n_c * (t^2 - 1): folded into the same aggregates
     t = F.col("n_ties").cast("double")
-    ties = r.groupBy(*by).agg(F.sum(F.col("n_c").cast("double") * (t * t - F.lit(1.0))).alias("_t"),
-                              F.first("n_group").alias("_N"))
-    stat = per_group.groupBy(*by).agg(F.sum(F.col("_r") ** 2 / F.col("_n")).alias("_s"),
-                                      F.count(F.lit(1)).alias("_k"))
-    out = stat.join(ties, on=by, how="inner")
+    per_group = r.groupBy(*by, *group_cols).agg(
+        F.sum("n_c").alias("_n"), F.sum(F.col("n_c") * F.col("mid_rank")).alias("_r"),
+        F.sum(F.col("n_c").cast("double") * (t * t - F.lit(1.0))).alias("_tg"))
+    out = per_group.groupBy(*by).agg(F.sum(F.col("_r") ** 2 / F.col("_n")).alias("_s"),
+                                     F.count(F.lit(1)).alias("_k"), F.sum("_tg").alias("_t"),
+                                     F.sum("_n").alias("_N"))
     n = F.col("_N").cast("double")
     h_raw = F.lit(12.0) / (n * (n + 1)) * F.col("_s") - F.lit(3.0) * (n + 1)
     corr = F.lit(1.0) - F.try_divide(F.col("_t"), n * n * n - n)
