@@ -90,7 +90,10 @@ def main(argv):
     keys = argv[2:]
     from wattframe.session import get_session
     import __spark_entry__ as E
-    spark = get_session("local[8]", 8)
+    extra = {}
+    if os.environ.get("CHECK_TZ"):  # run in another session time zone to prove results do not depend on it
+        extra["spark.sql.session.timeZone"] = os.environ["CHECK_TZ"]
+    spark = get_session("local[8]", 8, extra=extra)
     spark.sparkContext.setLogLevel("OFF")
     qs, ors = E.queries(), E.oracle_sql()
     con = duck(sf_dir)

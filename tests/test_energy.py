@@ -96,3 +96,15 @@ def test_first_sample(spark):
     r = energy.first_sample(df, ["run"], ["w"], order_cols=["seq"]).first()
     assert r["start_ts"] == T0 + dt.timedelta(seconds=2)
     assert r["first_w"] == 9.0  # tie on ts broken by seq
+
+
+def test_steps_do_not_depend_on_session_time_zone(spark):
+    # wall-clock samples across the 2024-03-10 US DST change: 01:30 -> 03:30 is 2 h of clock time
+    rows = [(1, 0, dt.datetime(2024, 3, 10, 1, 30), 1.0), (1, 1, dt.datetime(2024, 3, 10, 3, 30), 1.0)]
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        d = energy.sample_deltas(_samples(spark, rows), ["run"], order_cols=["seq"]).orderBy("seq").collect()
+        assert d[1]["dt_s"] == 7200.0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)

@@ -73,9 +73,21 @@ def fraction_to_pct(col) -> Column:
     return _c(col) * F.lit(100.0)
 
 
+_EPOCH_NTZ = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+
+
+def epoch_micros(col) -> Column:
+    """Microseconds since 1970-01-01 of a wall-clock (TIMESTAMP_NTZ) value.
+
+    Computed as a calendar difference, so it does not depend on the session
+    time zone (a cast to TIMESTAMP would, and would lose an hour at DST
+    changes).  For TIMESTAMP input the difference of two values is still exact."""
+    return F.timestamp_diff("MICROSECOND", F.expr(_EPOCH_NTZ), _c(col))
+
+
 def interval_seconds(start, end) -> Column:
     """Seconds between two timestamps, microsecond exact."""
-    return (F.unix_micros(_c(end).cast("timestamp")) - F.unix_micros(_c(start).cast("timestamp"))) / F.lit(1e6)
+    return (epoch_micros(end) - epoch_micros(start)) / F.lit(1e6)
 
 
 # --- keys -------------------------------------------------------------------
@@ -95,7 +107,7 @@ def power_time_text(ts) -> Column:
     """Render a timestamp the way the power meter writes it: nothing padded,
     milliseconds as an integer after the dot (``2024-1-5 0:14:47.10``)."""
     t = _c(ts)
-    ms = F.floor(F.unix_micros(t.cast("timestamp")) / 1000) % 1000
+    ms = F.floor(epoch_micros(t) / 1000) % 1000
     return F.concat(
         F.year(t).cast("string"), F.lit("-"), F.month(t).cast("string"), F.lit("-"),
         F.dayofmonth(t).cast("string"), F.lit(" "), F.hour(t).cast("string"), F.lit(":"),

@@ -24,12 +24,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattframe.functions.scalars import epoch_micros
+
 DEFAULT_CHUNK_SECONDS = 3600
 
 
 def _micros(ts_col: str) -> Column:
-    # TIMESTAMP_NTZ and TIMESTAMP both map to epoch micros (session time zone is UTC)
-    return F.unix_micros(F.col(ts_col).cast("timestamp"))
+    return epoch_micros(ts_col)
 
 
 def _with_chunks(samples: DataFrame, ts_col: str, chunk_seconds: int) -> DataFrame:

@@ -18,6 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattframe.functions.scalars import epoch_micros
+
 DEFAULT_BUCKETS = 64
 
 
@@ -142,7 +144,7 @@ def ordered_positions(df: DataFrame, order_cols: Sequence[str], partition_cols:
     key = F.col(first)
     dtype = dict(df.dtypes)[first]
     if dtype.startswith("timestamp"):
-        key = F.unix_micros(F.col(first).cast("timestamp")).cast("double")
+        key = epoch_micros(first).cast("double")
     b = df.withColumn("_ok", key)
     bounds = value_bounds(b, "_ok", n_buckets)
     b = b.withColumn("_b", bucket_of("_ok", bounds))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from wattframe.functions import scalars as S
 from wattframe.operators import clean, energy, summary
 from wattframe.plans import standins as SI
 from wattframe.plans.catalog import query
@@ -73,8 +74,7 @@ FROM s JOIN r USING (run_id) GROUP BY run_id""")
 def energy_constant_step(spark, sf_dir):
     s = SI.power_samples(spark, sf_dir)
     runs = s.groupBy("run_id").agg(
-        ((F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp")))
-         / F.lit(1e6)).alias("run_s"))
+        S.interval_seconds(F.min("ts"), F.max("ts")).alias("run_s"))
     e = energy.energy_constant_step(s, runs, ["run_id"], "run_s", "cpu_w", "gpu_w")
     return rounded(e, {"cpu_energy_j": 2, "gpu_energy_j": 2, "total_energy_j": 2})
 

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from wattframe.functions.scalars import epoch_micros
+
 
 def _state_schema(power_cols: Sequence[str]) -> str:
     cols = ["n long", "first_us long", "last_us long", "late long"]
@@ -88,7 +90,7 @@ def stream_energy(samples: DataFrame, run_cols: Sequence[str], power_cols: Seque
     """Streaming DataFrame of running energy per run (update mode)."""
     run_cols, power_cols = list(run_cols), list(power_cols)
     s = samples.select(*run_cols, *power_cols,
-                       F.unix_micros(F.col(ts_col).cast("timestamp")).alias("_us"),
+                       epoch_micros(ts_col).alias("_us"),
                        (F.col(seq_col) if seq_col else F.lit(0)).cast("long").alias("_seq"))
     types = dict(samples.dtypes)
     out_schema = ", ".join([f"{c} {types[c]}" for c in run_cols] + ["n_samples long", "late_samples long"]
@@ -101,10 +103,14 @@ def stream_energy(samples: DataFrame, run_cols: Sequence[str], power_cols: Seque
 def stream_power_windows(samples: DataFrame, run_cols: Sequence[str], power_col: str, ts_col: str = "ts",
                          window: str = "1 hour", watermark: str = "2 hours") -> DataFrame:
     """Streaming DataFrame of per-run tumbling-window mean / max power."""
-    s = samples.withColumn("_et", F.col(ts_col).cast("timestamp")).withWatermark("_et", watermark)
+    # Watermarks need TIMESTAMP.  The wall-clock sample time is mapped to the UTC
+    # instant with the same clock reading (and window starts mapped back), so
+    # windows align to calendar boundaries whatever the session time zone.
+    s = samples.withColumn("_et", F.timestamp_micros(epoch_micros(ts_col))).withWatermark("_et", watermark)
     g = s.groupBy(F.window("_et", window).alias("w"), *run_cols).agg(
         F.count(F.lit(1)).alias("n_samples"), F.avg(power_col).alias("mean_w"), F.max(power_col).alias("max_w"))
-    return g.select(*run_cols, F.col("w.start").cast("timestamp_ntz").alias("window_start"),
+    start = F.timestamp_add("MICROSECOND", F.unix_micros("w.start"), F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"))
+    return g.select(*run_cols, start.alias("window_start"),
                     "n_samples", "mean_w", "max_w")
 
 
