@@ -76,9 +76,16 @@ def detect_label_column_name(df: DataFrame, labels: Sequence[str] = ("m", "b"))
     return row["label_column"]
 
 
-def category_levels(df: DataFrame, col: str) -> list[str]:
-    """Sorted distinct categories (small fitted state, like an encoder's vocabulary)."""
-    return sorted(r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().collect())
+MAX_LEVELS = 10_000
+
+
+def category_levels(df: DataFrame, col: str, max_levels: int = MAX_LEVELS) -> list[str]:
+    """Sorted distinct categories (small fitted state, like an encoder's vocabulary).
+    At most ``max_levels`` are fetched; more is an error, not a silent cut."""
+    rows = (df.select(col).where(F.col(col).isNotNull()).distinct().limit(max_levels + 1).collect())
+    if len(rows) > max_levels:
+        raise ValueError(f"{col} has more than {max_levels} categories; one-hot columns are not sensible")
+    return sorted(r[0] for r in rows)
 
 
 def one_hot_drop_first(df: DataFrame, col: str, levels: Sequence[str] | None = None,

@@ -29,6 +29,7 @@ from wattframe.operators.features import assemble
 from wattframe.operators.split import shuffled_batches
 
 INTERCEPT = "1"
+MAX_BATCHES_PER_EPOCH = 100_000
 
 
 # --- Gram matrix ----------------------------------------------------------------
@@ -149,7 +150,9 @@ def sgd_fit(df: DataFrame, features: Sequence[str], label: str, key_cols: Sequen
                 pairs = [(i, j) for i in range(len(terms)) for j in range(i, len(terms))]
                 rows = ep.groupBy("batch").agg(
                     *[F.sum(_term_col(terms[i]) * _term_col(terms[j])).alias(f"g{k}") for k, (i, j) in enumerate(pairs)],
-                    F.count(F.lit(1)).alias("n")).orderBy("batch").collect()
+                    F.count(F.lit(1)).alias("n")).orderBy("batch").limit(MAX_BATCHES_PER_EPOCH + 1).collect()
+                if len(rows) > MAX_BATCHES_PER_EPOCH:
+                    raise ValueError("too many batches per epoch for sgd_fit; use a larger batch or linreg_gd")
                 for r in rows:
                     full = np.zeros((d + 1, d + 1))
                     for k, (i, j) in enumerate(pairs):

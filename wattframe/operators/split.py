@@ -22,6 +22,7 @@ from wattframe.functions.scalars import TWO32, hash32
 from wattframe.operators.ranking import hash_positions
 
 BUCKET_BITS = 16
+MAX_STRATA = 10_000
 
 
 def with_split_hash(df: DataFrame, key_cols: Sequence[str], seed: int = 42, name: str = "split_hash") -> DataFrame:
@@ -49,8 +50,11 @@ def exact_split(df: DataFrame, key_cols: Sequence[str], fraction: float, seed: i
            .withColumn("_n", F.sum("_c").over(Window.partitionBy(*strata)))
            .withColumn("_k", F.ceil(F.lit(float(fraction)) * F.col("_n"))))
     cut_rows = (cum.where((F.col("_before") < F.col("_k")) & (F.col("_k") <= F.col("_before") + F.col("_c")))
-                .select(*strata, "_hb", (F.col("_k") - F.col("_before")).alias("_rem")).collect())
+                .select(*strata, "_hb", (F.col("_k") - F.col("_before")).alias("_rem"))
+                .limit(MAX_STRATA + 1).collect())
     # one row per stratum (strata are classes: few by nature)
+    if len(cut_rows) > MAX_STRATA:
+        raise ValueError(f"more than {MAX_STRATA} strata; stratify on a class column")
     below, in_cut, rem_expr = F.lit(False), F.lit(False), None
     for r in cut_rows:
         same = F.lit(True)

@@ -19,6 +19,7 @@ from wattframe.functions.pvalues import chi2_pvalue, f_pvalue
 from wattframe.operators.ranking import value_counts_ranked
 
 INSUFFICIENT = "Insufficient data for statistical tests"
+MAX_CELLS = 100_000
 
 
 def group_moments(df: DataFrame, value: str, group_cols: Sequence[str]) -> DataFrame:
@@ -92,9 +93,11 @@ def anova_two_way(spark: SparkSession, df: DataFrame, value: str, a: str, b: str
 
     One grouped job gives the cell table (n, mean, var per (A, B) cell); the
     additive model is fitted by weighted least squares on that small table."""
-    cells = [r.asDict() for r in group_moments(df, value, [a, b]).collect()]
+    cells = [r.asDict() for r in group_moments(df, value, [a, b]).limit(MAX_CELLS + 1).collect()]
     if not cells:
         raise ValueError("no rows")
+    if len(cells) > MAX_CELLS:
+        raise ValueError(f"more than {MAX_CELLS} factor cells")
     a_lv = sorted({c[a] for c in cells}, key=str)
     b_lv = sorted({c[b] for c in cells}, key=str)
     n = np.array([c["n"] for c in cells], dtype=float)
