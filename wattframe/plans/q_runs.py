@@ -150,7 +150,8 @@ logs AS (
 """
 
 
-def _metrics_logs(spark, sf_dir):
+def _metrics_layouts(spark, sf_dir):
+    """The two metrics-log layouts (F1 spelled ``f1`` / ``f1_score``; precision or class count)."""
     ev = SI.table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("double")
     acc = F.col("value") / F.lit(500.0)
@@ -163,6 +164,11 @@ def _metrics_logs(spark, sf_dir):
     log_b = ev.where(~F.col("event_type").isin(a_types)).select(
         F.col("ts").alias("timestamp"), F.col("event_type").alias("model"), acc.alias("accuracy"),
         recall.alias("recall"), f1.alias("f1_score"), F.lit(2).alias("num_classes"))
+    return log_a, log_b
+
+
+def _metrics_logs(spark, sf_dir):
+    log_a, log_b = _metrics_layouts(spark, sf_dir)
     return runs.union_by_name([log_a, log_b], renames={"f1_score": "f1"})
 
 

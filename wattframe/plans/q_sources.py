@@ -12,10 +12,13 @@ import os
 
 from pyspark.sql import functions as F
 
+from wattframe.functions import scalars as S
+from wattframe.operators import runs
 from wattframe.plans import standins as SI
 from wattframe.plans.catalog import query
 from wattframe.plans.common import rounded
-from wattframe.plans.q_runs import _ENERGY_RUN_SQL, _LOGS_SQL, _metrics_logs, assembled_run_table
+from wattframe.plans.q_runs import (_DESIGN_SQL, _ENERGY_RUN_SQL, _LOGS_SQL, _design, _metrics_layouts,
+                                    _metrics_logs, assembled_run_table)
 from wattframe.session import scratch_path
 from wattframe.sources import readers, sinks
 
@@ -96,3 +99,81 @@ def write_run_table(spark, sf_dir):
               "CPU_Energy_J double, Accuracy_Pct double, Model_Name string")
     back = spark.read.option("header", True).option("timestampNTZFormat", _TS_FMT).schema(schema).csv(path)
     return rounded(back, {"CPU_Energy_J": 2})
+
+
+_K = "CAST(json_extract_string(props, '$.k') AS DOUBLE)"
+
+
+@query("scan_power_logs", oracle=f"""
+WITH s AS (SELECT user_id, ts, value, {_K} AS k FROM events)
+SELECT CAST(user_id AS INTEGER) AS run, 0 AS rep, CAST(NULL AS INTEGER) AS pid, 'system' AS layout,
+       date_trunc('millisecond', ts) AS ts, value / 500.0 AS cpu_util, value + k AS total_w, value AS cpu_w,
+       k AS gpu_w FROM s
+UNION ALL
+SELECT CAST(user_id AS INTEGER), 0, CAST(100000 + user_id AS INTEGER), 'process', date_trunc('millisecond', ts),
+       value / 500.0, CAST(NULL AS DOUBLE), value, CAST(NULL AS DOUBLE) FROM s""")
+def scan_power_logs(spark, sf_dir):
+    """Both meter layouts written per run (a folder per log name), read back as one table."""
+    root = scratch_path(spark, "power_logs")
+    s = SI.power_samples(spark, sf_dir)
+    run = F.col("run_id").cast("string")
+    date = S.power_time_text("ts").alias("Date")
+    util = (F.col("cpu_w") / F.lit(500.0)).alias("CPU Utilization")
+    system = s.select(F.concat(F.lit("run_"), run, F.lit("_repetition_0.csv")).alias("log"), date, util,
+                      (F.col("cpu_w") + F.col("gpu_w")).alias("Total Power"), F.col("cpu_w").alias("CPU Power"),
+                      F.col("gpu_w").alias("GPU Power"))
+    process = s.select(F.concat(F.lit("run_"), run, F.lit("_repetition_0.csv-"),
+                                (F.col("run_id") + F.lit(100000)).cast("string"), F.lit(".csv")).alias("log"),
+                       date, util, F.col("cpu_w").alias("CPU Power"))
+    for part in (system, process):
+        part.write.mode("append").partitionBy("log").option("header", True).csv(root)
+    digits = "{" + ",".join("[0-9]" * k for k in range(1, 7)) + "}"
+    out = readers.scan_power_logs(spark, root, system_glob=f"log=run_*_repetition_{digits}.csv/*.csv",
+                                  process_glob="log=run_*_repetition_*.csv-*.csv/*.csv")
+    return out.drop("file")
+
+
+@query("scan_metrics_log", oracle="WITH " + _LOGS_SQL + _SUPERSET_SQL.format(ts="timestamp"))
+def scan_metrics_log(spark, sf_dir):
+    """Each layout written as its own CSV log, each read back into the superset schema."""
+    root = scratch_path(spark, "metrics_logs")
+    parts = []
+    for i, log in enumerate(_metrics_layouts(spark, sf_dir)):
+        path = os.path.join(root, f"log_{i}")
+        log.write.option("header", True).option("timestampNTZFormat", _TS_FMT).csv(path)
+        parts.append(readers.scan_metrics_log(spark, path))
+    return parts[0].unionByName(parts[1])
+
+
+@query("scan_run_table", oracle=_ENERGY_RUN_SQL + """
+SELECT 'run_' || c_custkey AS __run_id, 'DONE' AS __done, c_mktsegment AS Library, 'NN' AS Model_Type,
+       start_ts AS Timestamp_Start, coalesce(CAST(round(span_s * 1e9) AS BIGINT), -999999) AS Duration_ns,
+       round(coalesce(energy_j, 0.0), 2) AS CPU_Energy_J, coalesce(accuracy_pct, -999999.0) AS Accuracy_Pct,
+       CAST(-999999 AS DOUBLE) AS Precision_Pct, CAST(-999999 AS DOUBLE) AS MSE, CAST(-999999 AS DOUBLE) AS r2_score,
+       coalesce(model, 'FAILED') AS Model_Name
+FROM customer LEFT JOIN e ON c_custkey = e.run_id LEFT JOIN m ON c_custkey = m.o_custkey""")
+def scan_run_table(spark, sf_dir):
+    """Board-layout run table as the runner writes it (text FAILED for a missing start), read back typed."""
+    path = scratch_path(spark, "board_run_table")
+    rt = assembled_run_table(spark, sf_dir)
+    sentinel = F.lit(-999999.0)
+    board = rt.select(
+        F.concat(F.lit("run_"), F.col("run_id").cast("string")).alias("__run_id"), F.lit("DONE").alias("__done"),
+        "Library", F.lit("NN").alias("Model_Type"),
+        F.coalesce(F.date_format("Timestamp_Start", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("FAILED")).alias("Timestamp_Start"),
+        "Duration_ns", "CPU_Energy_J", "Accuracy_Pct", sentinel.alias("Precision_Pct"), sentinel.alias("MSE"),
+        sentinel.alias("r2_score"), "Model_Name")
+    sinks.write_run_table(board, path)
+    return rounded(readers.scan_run_table(spark, path, "board"), {"CPU_Energy_J": 2})
+
+
+@query("scan_run_order", oracle=_DESIGN_SQL + """,
+h AS (SELECT *, ('0x' || substr(md5('42:' || run_id), 1, 8))::BIGINT AS order_key FROM design)
+SELECT CAST(row_number() OVER (ORDER BY order_key, run_id) - 1 AS BIGINT) AS pos, run_id AS ml_library FROM h""")
+def scan_run_order(spark, sf_dir):
+    """The shuffled run order written as a one-column list, read back with positions.
+    The design has (factor levels x repetitions) rows - small by nature - so one file holds it."""
+    path = scratch_path(spark, "run_order")
+    order = runs.shuffle_design(_design(spark, sf_dir)).orderBy("position")
+    order.select(F.col("run_id").alias("ml_library")).coalesce(1).write.option("header", True).csv(path)
+    return readers.scan_run_order(spark, path, "ml_library")

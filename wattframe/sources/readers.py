@@ -39,7 +39,8 @@ METRICS_SCHEMA = T.StructType([
 ])
 METRIC_RENAMES = {"f1_score": "f1"}
 
-_RUN_FILE_RE = r"run_(\d+)_repetition_(\d+)\.csv(?:-(\d+)\.csv)?$"
+# keys from the log name: a file name, or a folder name holding the log's part files
+_RUN_FILE_RE = r"run_(\d+)_repetition_(\d+)\.csv(?:-(\d+)\.csv)?(?=/[^/]*$|$)"
 # system logs end in repetition_<digits>.csv, per-process logs in .csv-<pid>.csv
 _SYSTEM_GLOB = "run_*_repetition_{" + ",".join("[0-9]" * k for k in range(1, 7)) + "}.csv"
 _PROCESS_GLOB = "run_*_repetition_*.csv-*.csv"
@@ -74,22 +75,25 @@ def _scan_layout(spark: SparkSession, directory: str, glob: str, names: Sequence
     try:
         df = (spark.read.option("header", True).option("enforceSchema", True)
               .schema(_string_schema(names)).csv(f"{directory.rstrip('/')}/{glob}"))
-        return df.select("*", F.col("_metadata.file_name").alias("_file"))
+        return df.select("*", F.col("_metadata.file_path").alias("_file"))
     except AnalysisException as e:  # no file of this layout
         if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
             return None
         raise
 
 
-def scan_power_logs(spark: SparkSession, directory: str, ms_mode: str = "integer") -> DataFrame:
+def scan_power_logs(spark: SparkSession, directory: str, ms_mode: str = "integer",
+                    system_glob: str = _SYSTEM_GLOB, process_glob: str = _PROCESS_GLOB) -> DataFrame:
     """All power logs of a folder, both layouts, with run / repetition / pid from
-    the file name.  The two layouts are scanned apart (one glob each) and united
+    the log name.  The two layouts are scanned apart (one glob each) and united
     by column name, so per-process CPU power never lands under total power.
+    The globs default to the meter's flat file names; a log may also be a
+    folder of that name holding part files (give globs ending in ``/*.csv``).
 
     Output: run, rep, pid (NULL for system logs), layout, ts, cpu_util,
     total_w, cpu_w, gpu_w, file."""
     parts = []
-    sysdf = _scan_layout(spark, directory, _SYSTEM_GLOB, SYSTEM_LOG_COLUMNS)
+    sysdf = _scan_layout(spark, directory, system_glob, SYSTEM_LOG_COLUMNS)
     if sysdf is not None:
         parts.append(sysdf.select(
             F.lit("system").alias("layout"), "_file", F.col("Date").alias("_date"),
@@ -97,7 +101,7 @@ def scan_power_logs(spark: SparkSession, directory: str, ms_mode: str = "integer
             F.col("Total Power").cast("double").alias("total_w"),
             F.col("CPU Power").cast("double").alias("cpu_w"),
             F.col("GPU Power").cast("double").alias("gpu_w")))
-    procdf = _scan_layout(spark, directory, _PROCESS_GLOB, PROCESS_LOG_COLUMNS)
+    procdf = _scan_layout(spark, directory, process_glob, PROCESS_LOG_COLUMNS)
     if procdf is not None:
         parts.append(procdf.select(
             F.lit("process").alias("layout"), "_file", F.col("Date").alias("_date"),
