@@ -94,19 +94,47 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: dict[str, float],
                     group_cols: Sequence[str] = (), n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """Exact quantiles by linear interpolation (R type 7, DuckDB ``quantile_cont``).
 
-    ``probs`` maps output column name -> probability.  Distributed: the only
-    per-group state is a conditional max over distinct values.
+    ``probs`` maps output column name -> probability.  Selection, not sorting:
+    rows are counted per (group, value bucket) - a partial aggregate with a
+    tiny shuffle - which locates the buckets holding the wanted positions;
+    only the values of those few buckets are then counted and ranked.  No
+    group's values are ever held together, and a hot group costs as much as
+    its share of the buckets.
     """
     g = list(group_cols)
-    r = value_counts_ranked(df, value_col, g, n_buckets)
-    aggs = [F.first("n_group").alias("_n")]
+    base = df.where(F.col(value_col).isNotNull())
+    bounds = value_bounds(base, value_col, n_buckets)
+    b = base.select(*g, value_col).withColumn("_b", bucket_of(value_col, bounds))
+    bc = b.groupBy(*g, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    w_off = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    bc = (bc.withColumn("_off", F.coalesce(F.sum("_c").over(w_off), F.lit(0)))
+          .withColumn("_n", F.sum("_c").over(Window.partitionBy(*g))))
+
+    def positions(n):
+        out = []
+        for p in probs.values():
+            h = (n - 1) * F.lit(float(p))
+            out += [F.floor(h), F.ceil(h)]
+        return out
+
+    def covers(pos, start, count):
+        return (start <= pos) & (pos < start + count)
+
+    need = F.lit(False)
+    for pos in positions(F.col("_n")):
+        need = need | covers(pos, F.col("_off"), F.col("_c"))
+    wanted = bc.where(need).select(*g, "_b", "_off", "_n")          # <= 2 buckets per probability and group
+    vals = (b.join(wanted, on=[*g, "_b"], how="inner")
+            .groupBy(*g, "_b", "_off", "_n", value_col).agg(F.count(F.lit(1)).alias("_t")))
+    w_in = Window.partitionBy(*g, "_b").orderBy(value_col).rowsBetween(Window.unboundedPreceding, -1)
+    vals = vals.withColumn("_cum", F.col("_off") + F.coalesce(F.sum("_t").over(w_in), F.lit(0)))
+    aggs = [F.first("_n").alias("_n")]
     for name, p in probs.items():
-        h = (F.col("n_group") - 1) * F.lit(float(p))
-        lo, hi = F.floor(h), F.ceil(h)
-        covers = lambda pos: (F.col("cum_before") <= pos) & (pos < F.col("cum_before") + F.col("n_ties"))
-        aggs.append(F.max(F.when(covers(lo), F.col(value_col))).alias(f"_lo_{name}"))
-        aggs.append(F.max(F.when(covers(hi), F.col(value_col))).alias(f"_hi_{name}"))
-    q = r.groupBy(*g).agg(*aggs)
+        h = (F.col("_n") - 1) * F.lit(float(p))
+        for tag, pos in (("lo", F.floor(h)), ("hi", F.ceil(h))):
+            aggs.append(F.max(F.when(covers(pos, F.col("_cum"), F.col("_t")), F.col(value_col)))
+                        .alias(f"_{tag}_{name}"))
+    q = vals.groupBy(*g).agg(*aggs)
     cols = [F.col(c) for c in g]
     for name, p in probs.items():
         h = (F.col("_n") - 1) * F.lit(float(p))
