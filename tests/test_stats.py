@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from wattframe.functions.pvalues import chi2_sf, f_sf
 from wattframe.operators import stats, summary
@@ -120,8 +121,9 @@ def test_anova_two_way_type_one(spark):
 def test_stat_tests_gate(spark):
     rows = [("A", 1.0, 5.0), ("A", 2.0, None), ("B", 3.0, None), ("B", 4.0, None), ("C", 5.0, None),
             ("C", 6.0, None), ("C", 7.0, 6.0)]
-    df = spark.createDataFrame(rows, "lib string, m1 double, m2 double")
-    out = {r["metric"]: r for r in stats.stat_tests_all(df, ["m1", "m2"], "lib", with_p=True).collect()}
+    df = spark.createDataFrame(rows, "lib string, m1 double, m2 double").withColumn("m3", F.lit(None).cast("double"))
+    out = {r["metric"]: r for r in stats.stat_tests_all(df, ["m1", "m2", "m3"], "lib", with_p=True).collect()}
+    assert out["m3"]["n_rows"] == 0 and out["m3"]["result"] == stats.INSUFFICIENT
     assert out["m1"]["testable"] and out["m1"]["result"] == "tested" and out["m1"]["anova_p"] is not None
     assert not out["m2"]["testable"] and out["m2"]["result"] == stats.INSUFFICIENT
     assert out["m2"]["f_value"] is None and out["m2"]["n_rows"] == 2

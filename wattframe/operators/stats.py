@@ -32,8 +32,13 @@ def anova_one_way(df: DataFrame, value: str, group: str, by: Sequence[str] = ())
     """One-way ANOVA of ``value`` by ``group`` (per ``by`` partition).
 
     SS_between = sum n_g (mean_g - grand)^2, SS_within = sum (n_g - 1) var_g."""
+    return anova_from_moments(group_moments(df, value, [*by, group]), by)
+
+
+def anova_from_moments(g: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One-way ANOVA from a per-group moment table (n, mean, var) - one row per
+    (``by`` partition, group)."""
     by = list(by)
-    g = group_moments(df, value, [*by, group])
     w = Window.partitionBy(*by)
     g = g.withColumn("_grand", F.sum(F.col("n") * F.col("mean")).over(w) / F.sum("n").over(w))
     out = g.groupBy(*by).agg(
@@ -155,12 +160,20 @@ def stat_tests_all(df: DataFrame, metrics: Sequence[str], group: str, min_groups
     long = (df.select(group, *metrics)
             .unpivot([group], list(metrics), "metric", "value")
             .where(F.col("value").isNotNull()))
-    gate = long.groupBy("metric").agg(F.count(F.lit(1)).alias("n_rows"),
-                                      F.count_distinct(group).alias("n_groups"))
-    gate = gate.withColumn("testable", (F.col("n_groups") >= min_groups) & (F.col("n_rows") >= min_rows))
-    an = anova_one_way(long, "value", group, by=["metric"]).select("metric", "df_between", "df_within", "f_value")
+    # one grouped pass gives the moments for ANOVA and the counts for the gate
+    moments = group_moments(long, "value", ["metric", group])
+    an = (anova_from_moments(moments, ["metric"])
+          .select("metric", (F.col("df_between") + 1).alias("n_groups"),
+                  (F.col("df_within") + F.col("df_between") + 1).alias("n_rows"),
+                  "df_between", "df_within", "f_value"))
+    # every requested metric gets a row, also one without any value
+    names = df.sparkSession.createDataFrame([(m,) for m in metrics], "metric string")
+    gate = (names.join(an, "metric", "left")
+            .withColumn("n_rows", F.coalesce("n_rows", F.lit(0)).cast("long"))
+            .withColumn("n_groups", F.coalesce("n_groups", F.lit(0)).cast("long"))
+            .withColumn("testable", (F.col("n_groups") >= min_groups) & (F.col("n_rows") >= min_rows)))
     kw = kruskal(long, "value", [group], by=["metric"]).select("metric", "kruskal_h", "kruskal_df")
-    res = gate.join(an, "metric", "left").join(kw, "metric", "left")
+    res = gate.join(kw, "metric", "left")
     if with_p:
         res = with_chi2_pvalue(with_f_pvalue(res, out="anova_p"))
     t = F.col("testable")
