@@ -148,3 +148,15 @@ WHERE M2_Total_Energy_J IS NOT NULL AND M4_Model_Accuracy IS NOT NULL""")
 def scatter_points(spark, sf_dir):
     return summary.scatter_points(SI.laptop_metrics(spark, sf_dir), "M2_Total_Energy_J", "M4_Model_Accuracy",
                                   ["Platform", "Library_Name"])
+
+
+@query("boxplot_outliers", oracle=Q.with_(Q.LAPTOP) + """,
+q AS (SELECT Platform, Library_Name, quantile_cont(M5_Energy_Efficiency, 0.25) AS Q1,
+             quantile_cont(M5_Energy_Efficiency, 0.75) AS Q3 FROM lm GROUP BY ALL)
+SELECT l_orderkey, l_linenumber, Platform, Library_Name, M5_Energy_Efficiency
+FROM lm JOIN q USING (Platform, Library_Name)
+WHERE M5_Energy_Efficiency < Q1 - 1.5 * (Q3 - Q1) OR M5_Energy_Efficiency > Q3 + 1.5 * (Q3 - Q1)""")
+def boxplot_outliers(spark, sf_dir):
+    m = SI.laptop_metrics(spark, sf_dir).select("l_orderkey", "l_linenumber", "Platform", "Library_Name",
+                                                 "M5_Energy_Efficiency")
+    return summary.boxplot_outliers(m, ["Platform", "Library_Name"], "M5_Energy_Efficiency")
