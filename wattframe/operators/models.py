@@ -182,20 +182,42 @@ def sgd_fit(df: DataFrame, features: Sequence[str], label: str, key_cols: Sequen
 
 # --- classifiers (MLlib) ----------------------------------------------------------
 
+ROWS_PER_PARTITION = 50_000
+
+
+def _fit(estimator, train: DataFrame, features: Sequence[str], label: str,
+         rows_per_partition: int = ROWS_PER_PARTITION):
+    """Fit an iterative MLlib estimator on assembled features.
+
+    Each optimiser iteration is one Spark job over the training set, so the
+    set is cached for the fit and its partitions are sized by row count: many
+    partitions for a large set, few for a small one (per-task overhead would
+    otherwise dominate every iteration).  Returns (model, n_rows)."""
+    data = assemble(train.select(*features, label), features, "_f").select("_f", label)
+    n = data.count()
+    parts = max(1, -(-n // rows_per_partition))
+    data = data.repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return estimator(n).fit(data), n
+    finally:
+        data.unpersist()
+
+
 def logreg_l2(train: DataFrame, features: Sequence[str], label: str, C: float = 1.0,
               max_iter: int = 10000):
     """L2 logistic regression with the C-parametrisation: regParam = 1 / (C n),
     no standardisation, intercept not penalised."""
-    n = train.count()
-    lr = LogisticRegression(featuresCol="_f", labelCol=label, regParam=1.0 / (C * n), elasticNetParam=0.0,
-                            standardization=False, maxIter=max_iter, fitIntercept=True, tol=1e-6)
-    return lr.fit(assemble(train, features, "_f"))
+    return _fit(lambda n: LogisticRegression(featuresCol="_f", labelCol=label, regParam=1.0 / (C * n),
+                                             elasticNetParam=0.0, standardization=False, maxIter=max_iter,
+                                             fitIntercept=True, tol=1e-6),
+                train, features, label)[0]
 
 
 def logreg_plain(train: DataFrame, features: Sequence[str], label: str, max_iter: int = 100):
     """Unpenalised logistic regression (the optimum the SGD/Adam runs approach)."""
-    lr = LogisticRegression(featuresCol="_f", labelCol=label, regParam=0.0, maxIter=max_iter, fitIntercept=True)
-    return lr.fit(assemble(train, features, "_f"))
+    return _fit(lambda n: LogisticRegression(featuresCol="_f", labelCol=label, regParam=0.0, maxIter=max_iter,
+                                             fitIntercept=True),
+                train, features, label)[0]
 
 
 def mlp_classify(train: DataFrame, features: Sequence[str], label: str, hidden: Sequence[int] = (32, 16),
@@ -203,9 +225,9 @@ def mlp_classify(train: DataFrame, features: Sequence[str], label: str, hidden:
     """Feed-forward network d -> 32 -> 16 -> 2 (MLlib: sigmoid hidden units,
     softmax output, L-BFGS)."""
     layers = [len(features), *hidden, 2]
-    mlp = MultilayerPerceptronClassifier(featuresCol="_f", labelCol=label, layers=layers, maxIter=max_iter,
-                                         seed=seed, blockSize=block_size)
-    return mlp.fit(assemble(train, features, "_f"))
+    return _fit(lambda n: MultilayerPerceptronClassifier(featuresCol="_f", labelCol=label, layers=layers,
+                                                         maxIter=max_iter, seed=seed, blockSize=block_size),
+                train, features, label)[0]
 
 
 def batch_score(model, df: DataFrame, features: Sequence[str], cut: float = 0.5, inclusive: bool = False,
