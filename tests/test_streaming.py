@@ -28,3 +28,20 @@ def test_stream_energy_late_sample_and_batch_equality(spark, tmp_dir):
     batch = {r["run"]: r["w_energy_j"] for r in energy.energy_per_run(on_time, ["run"], ["w"], order_cols=["seq"]).collect()}
     assert out[2]["w_energy_j"] == pytest.approx(batch[2])
     assert out[1]["w_energy_j"] == pytest.approx(batch[1])
+
+
+def test_stream_energy_idle_runs_close(spark, tmp_dir):
+    src, sink, ckpt = (os.path.join(tmp_dir, p) for p in ("src", "sink", "ckpt"))
+    first = [(1, 0, T0, 2.0), (1, 1, T0 + dt.timedelta(seconds=1), 4.0), (2, 0, T0, 1.0)]
+    second = [(2, 1, T0 + dt.timedelta(seconds=100), 1.0)]
+    third = [(2, 2, T0 + dt.timedelta(seconds=101), 1.0)]
+    stream_in = spark.readStream.schema(SCHEMA).parquet(os.path.join(src, "slice_*"))
+    for i, rows in enumerate((first, second, third)):
+        spark.createDataFrame(rows, SCHEMA).write.parquet(os.path.join(src, f"slice_{i}"))
+        q = meter.stream_energy(stream_in, ["run"], ["w"], "ts", "seq", idle_timeout_ms=10_000)
+        meter.start_to_folder(q, sink, ckpt, f"idle{i}")
+    out = {r["run"]: r for r in meter.read_latest(spark, sink, ["run"]).collect()}
+    # run 1 had no sample for more than 10 s of event time: closed with its final energy
+    assert out[1]["closed"] and out[1]["n_samples"] == 2
+    assert out[1]["w_energy_j"] == pytest.approx(2.0 * 1.0 + 4.0 * 1.0)
+    assert not out[2]["closed"] and out[2]["n_samples"] == 3

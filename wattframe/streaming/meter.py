@@ -36,11 +36,33 @@ def _state_schema(power_cols: Sequence[str]) -> str:
     return ", ".join(cols)
 
 
-def _energy_state_fn(run_cols: Sequence[str], power_cols: Sequence[str]):
+def _energy_row(run_cols, power_cols, key, n, first_us, last_us, late, p1, body, closed):
+    out = {c: [v] for c, v in zip(run_cols, key)}
+    out["n_samples"] = [n]
+    out["late_samples"] = [late]
+    for p in power_cols:
+        e = body[p] + p1[p] * ((last_us - first_us) / 1e6) / (n - 1) if n > 1 else 0.0
+        out[f"{p}_energy_j"] = [e]
+    out["closed"] = [closed]
+    return pd.DataFrame(out)
+
+
+def _energy_state_fn(run_cols: Sequence[str], power_cols: Sequence[str], idle_timeout_ms: int | None = None):
     run_cols, power_cols = list(run_cols), list(power_cols)
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state):
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["_us", "_seq"], kind="mergesort")
+        if state.hasTimedOut:  # idle run: emit its final value and free the state
+            st = list(state.get)
+            p1 = {p: st[4 + 2 * i] for i, p in enumerate(power_cols)}
+            body = {p: st[5 + 2 * i] for i, p in enumerate(power_cols)}
+            state.remove()
+            yield _energy_row(run_cols, power_cols, key, int(st[0]), int(st[1]), int(st[2]), int(st[3]),
+                              p1, body, True)
+            return
+        frames = list(pdfs)
+        if not frames:
+            return
+        pdf = pd.concat(frames, ignore_index=True).sort_values(["_us", "_seq"], kind="mergesort")
         if state.exists:
             st = list(state.get)
             n, first_us, last_us, late = int(st[0]), int(st[1]), int(st[2]), int(st[3])
@@ -74,30 +96,36 @@ def _energy_state_fn(run_cols: Sequence[str], power_cols: Sequence[str]):
         for p in power_cols:
             state_row += [p1[p], body[p]]
         state.update(tuple(state_row))
-        out = {c: [v] for c, v in zip(run_cols, key)}
-        out["n_samples"] = [n]
-        out["late_samples"] = [late]
-        for p in power_cols:
-            e = body[p] + p1[p] * ((last_us - first_us) / 1e6) / (n - 1) if n > 1 else 0.0
-            out[f"{p}_energy_j"] = [e]
-        yield pd.DataFrame(out)
+        if idle_timeout_ms is not None:
+            # event time of the watermark is the wall-clock time read as UTC (see stream_energy)
+            state.setTimeoutTimestamp(last_us // 1000 + int(idle_timeout_ms))
+        yield _energy_row(run_cols, power_cols, key, n, first_us, last_us, late, p1, body, False)
 
     return fn
 
 
 def stream_energy(samples: DataFrame, run_cols: Sequence[str], power_cols: Sequence[str],
-                  ts_col: str = "ts", seq_col: str | None = None) -> DataFrame:
-    """Streaming DataFrame of running energy per run (update mode)."""
+                  ts_col: str = "ts", seq_col: str | None = None, idle_timeout_ms: int | None = None,
+                  watermark: str = "0 seconds") -> DataFrame:
+    """Streaming DataFrame of running energy per run (update mode).
+
+    With ``idle_timeout_ms`` a run that has had no sample for that long (in
+    event time, past the watermark) emits a final row with ``closed`` = true
+    and its state is dropped; later samples of the same key start a new run."""
     run_cols, power_cols = list(run_cols), list(power_cols)
     s = samples.select(*run_cols, *power_cols,
                        epoch_micros(ts_col).alias("_us"),
                        (F.col(seq_col) if seq_col else F.lit(0)).cast("long").alias("_seq"))
+    timeout = GroupStateTimeout.NoTimeout
+    if idle_timeout_ms is not None:
+        s = s.withColumn("_et", F.timestamp_micros("_us")).withWatermark("_et", watermark)
+        timeout = GroupStateTimeout.EventTimeTimeout
     types = dict(samples.dtypes)
     out_schema = ", ".join([f"{c} {types[c]}" for c in run_cols] + ["n_samples long", "late_samples long"]
-                           + [f"{p}_energy_j double" for p in power_cols])
+                           + [f"{p}_energy_j double" for p in power_cols] + ["closed boolean"])
     return s.groupBy(*run_cols).applyInPandasWithState(
-        _energy_state_fn(run_cols, power_cols), out_schema, _state_schema(power_cols), "update",
-        GroupStateTimeout.NoTimeout)
+        _energy_state_fn(run_cols, power_cols, idle_timeout_ms), out_schema, _state_schema(power_cols), "update",
+        timeout)
 
 
 def stream_power_windows(samples: DataFrame, run_cols: Sequence[str], power_col: str, ts_col: str = "ts",
