@@ -1,7 +1,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from wattframe.functions import scalars as S
 from wattframe.operators import energy

@@ -11,6 +11,8 @@ from wattframe.functions import scalars as S
 from wattframe.operators.joins import join_small, unmatched_keys
 from wattframe.operators.ranking import hash_positions, ordered_positions
 
+MAX_LEVELS = 10_000
+
 
 def design_matrix(source: DataFrame, factor_cols: Sequence[str], reps: int,
                   names: Sequence[str] | None = None) -> DataFrame:
@@ -23,6 +25,9 @@ def design_matrix(source: DataFrame, factor_cols: Sequence[str], reps: int,
     ``run_id`` is ``run_<combo>_repetition_<rep>``.
     """
     names = list(names or factor_cols)
+    for c in factor_cols:  # factors have few levels; refuse a column that is not one
+        if source.select(c).distinct().limit(MAX_LEVELS + 1).count() > MAX_LEVELS:
+            raise ValueError(f"{c} has more than {MAX_LEVELS} levels; not a design factor")
     levels = source.agg(*[F.array_sort(F.collect_set(c)).alias(f"_l{i}") for i, c in enumerate(factor_cols)])
     df = levels
     for i in range(len(factor_cols)):

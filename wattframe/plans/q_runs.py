@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wattframe.functions import scalars as S
 from wattframe.operators import energy, runs
 from wattframe.operators.ranking import value_counts_ranked
 from wattframe.plans import standins as SI

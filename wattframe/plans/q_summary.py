@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from wattframe.operators import summary
 from wattframe.plans import sql_tables as Q
