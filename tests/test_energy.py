@@ -107,3 +107,11 @@ def test_steps_do_not_depend_on_session_time_zone(spark):
         assert d[1]["dt_s"] == 7200.0
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_missing_power_values_are_skipped(spark):
+    # NULL power contributes nothing (NaN-skipping sum); steps still use every sample's time
+    df = _samples(spark, [(1, 0, T0, None), (1, 1, T0 + dt.timedelta(seconds=1), 4.0),
+                          (1, 2, T0 + dt.timedelta(seconds=3), None)])
+    e = energy.energy_per_run(df, ["run"], ["w"], order_cols=["seq"]).first()
+    assert e["w_energy_j"] == pytest.approx(4.0)

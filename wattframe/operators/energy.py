@@ -122,8 +122,9 @@ def energy_per_run(samples: DataFrame, run_cols: Sequence[str], power_cols: Sequ
     out = (runs.withColumn("span_s", span)
            .withColumn("mean_dt_s", mean_dt))
     for p in power_cols:
-        energy = F.when(F.col("n_samples") > 1,
-                        F.col(f"_body_{p}") + F.col(f"_first_{p}") * F.col("mean_dt_s")).otherwise(F.lit(0.0))
+        # a missing first power is skipped, as a NaN-skipping sum does
+        first_term = F.coalesce(F.col(f"_first_{p}") * F.col("mean_dt_s"), F.lit(0.0))
+        energy = F.when(F.col("n_samples") > 1, F.col(f"_body_{p}") + first_term).otherwise(F.lit(0.0))
         out = out.withColumn(f"{p}_energy_j", energy)
     keep = [*run_cols, "n_samples", "start_ts", "span_s", "mean_dt_s", *[f"{p}_energy_j" for p in power_cols]]
     return out.select(*keep)
