@@ -194,4 +194,4 @@ def scan_run_order(spark: SparkSession, path: str, column: str = "ml_library") -
         return empty
     ordered = df.select(F.monotonically_increasing_id().alias("_id"), F.col(column))
     # the run-order list is a small experiment file: one ordered window is fine here
-    return ordered.select((F.row_number().over(Window.orderBy("_id")) - 1).alias("pos"), column)
+    return ordered.select((F.row_number().over(Window.orderBy("_id")) - 1).cast("long").alias("pos"), column)
