@@ -33,6 +33,11 @@ def test_every_key_has_oracle_or_is_known_rows_only():
     assert set(ORACLES) <= set(KEYS)
 
 
+# Spark type name -> DuckDB type name
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+         "timestamp_ntz": "TIMESTAMP", "float": "FLOAT", "date": "DATE"}
+
+
 @pytest.mark.parametrize("key", KEYS)
 def test_key(spark, con, key):
     sdf = E.queries()[key](spark, SF)
@@ -43,6 +48,8 @@ def test_key(spark, con, key):
         return
     cur = con.execute(ORACLES[key])
     dcols = [d[0] for d in cur.description]
+    dtypes = {d[0]: str(d[1]) for d in cur.description}
+    assert {n: TYPES.get(t, t) for n, t in sdf.dtypes} == dtypes
     sc, sr = _rows(cols, recs)
     dc, dr = _rows(dcols, cur.fetchall())
     assert sc == dc
