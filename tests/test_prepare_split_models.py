@@ -111,3 +111,43 @@ def test_design_and_latest(spark):
     log = spark.createDataFrame([("m", 1, 0.5), ("m", 2, 0.7), ("n", 1, 0.1)], "model string, t int, acc double")
     latest = {r["model"]: r["acc"] for r in runs.latest_per_key(log, ["model"], ["t"], ["acc"]).collect()}
     assert latest == {"m": 0.7, "n": 0.1}
+
+
+def _newton_l2_logistic(x, y, c=1.0, iters=50):
+    """Minimise C * sum(log-loss) + 0.5 * ||w||^2 (intercept not penalised) by Newton steps."""
+    xa = np.column_stack([np.ones(len(x)), x])
+    beta = np.zeros(xa.shape[1])
+    pen = np.eye(xa.shape[1])
+    pen[0, 0] = 0.0
+    for _ in range(iters):
+        p = 1.0 / (1.0 + np.exp(-(xa @ beta)))
+        grad = c * xa.T @ (p - y) + pen @ beta
+        hess = c * (xa.T * (p * (1 - p))) @ xa + pen
+        beta = beta - np.linalg.solve(hess, grad)
+    return beta
+
+
+def test_logreg_l2_matches_c_parametrised_objective(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 3))
+    y = (x @ np.array([1.5, -2.0, 0.5]) + 0.3 + rng.normal(scale=1.0, size=300) > 0).astype(int)
+    df = spark.createDataFrame([(float(a), float(b), float(c), int(t)) for (a, b, c), t in zip(x, y)],
+                               "a double, b double, c double, y int")
+    m = models.logreg_l2(df, ["a", "b", "c"], "y", C=1.0)
+    expect = _newton_l2_logistic(x, y, 1.0)
+    assert m.intercept == pytest.approx(expect[0], abs=1e-4)
+    assert list(m.coefficients.toArray()) == pytest.approx(list(expect[1:]), abs=1e-4)
+
+
+def test_mlp_and_plain_logreg_learn_a_separable_rule(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 4))
+    y = (x[:, 0] + x[:, 1] > 0).astype(int)
+    df = spark.createDataFrame([(i, *map(float, r), int(t)) for i, (r, t) in enumerate(zip(x, y))],
+                               "k long, a double, b double, c double, d double, y int")
+    feats = ["a", "b", "c", "d"]
+    for fit, inclusive in ((lambda t: models.mlp_classify(t, feats, "y", max_iter=100, seed=42), True),
+                           (lambda t: models.logreg_plain(t, feats, "y"), False)):
+        model = fit(df)
+        acc = evaluate.accuracy_only(models.batch_score(model, df, feats, 0.5, inclusive), "y").first()["accuracy"]
+        assert acc > 0.95
