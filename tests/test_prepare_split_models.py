@@ -151,3 +151,21 @@ def test_mlp_and_plain_logreg_learn_a_separable_rule(spark):
         model = fit(df)
         acc = evaluate.accuracy_only(models.batch_score(model, df, feats, 0.5, inclusive), "y").first()["accuracy"]
         assert acc > 0.95
+
+
+def test_sgd_logistic_and_strict_lookup(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(600, 2))
+    y = (2.0 * x[:, 0] - x[:, 1] > 0).astype(int)
+    df = spark.createDataFrame([(i, float(a), float(b), int(t)) for i, ((a, b), t) in enumerate(zip(x, y))],
+                               "k long, a double, b double, y int")
+    m = models.sgd_fit(df, ["a", "b"], "y", ["k"], loss="logistic", lr=1.0, epochs=5, batch_size=200)
+    pred = m.transform(df).withColumn("p", (F.col("prediction") > 0).cast("int"))
+    acc = evaluate.accuracy_only(pred, "y", "p").first()["accuracy"]
+    assert acc > 0.9 and m.coefficients["a"] > 0 > m.coefficients["b"]
+    runs_df = spark.createDataFrame([(1, "A"), (2, "Z")], "run long, key string")
+    lookup = spark.createDataFrame([("A", "a.py")], "key2 string, path string")
+    out = {r["run"]: r["path"] for r in runs.lookup_by_key(runs_df, lookup, "key", "key2").collect()}
+    assert out == {1: "a.py", 2: None}
+    with pytest.raises(KeyError):
+        runs.lookup_by_key(runs_df, lookup, "key", "key2", strict=True)
