@@ -148,11 +148,14 @@ def energy_constant_step(samples: DataFrame, runs: DataFrame, run_cols: Sequence
                          seconds_col: str, cpu_col: str, gpu_col: str) -> DataFrame:
     """Energy as power sample x run seconds (laptop form), total = CPU + GPU.
 
-    ``runs`` holds one row per run; it is joined to the samples on the run keys
-    and the products are summed per run.
-    """
-    joined = samples.join(runs.select(*run_cols, seconds_col), on=list(run_cols), how="inner")
-    return joined.groupBy(*run_cols).agg(
-        F.sum(F.col(cpu_col) * F.col(seconds_col)).alias("cpu_energy_j"),
-        F.sum(F.col(gpu_col) * F.col(seconds_col)).alias("gpu_energy_j"),
+    sum(P_i * secs) = secs * sum(P_i): power is summed per run first (a partial
+    aggregate, so a run with many samples never meets its run row in one task),
+    then the one-row-per-run sums are joined to ``runs`` (one row per run)."""
+    run_cols = list(run_cols)
+    sums = samples.groupBy(*run_cols).agg(F.sum(cpu_col).alias("_cpu"), F.sum(gpu_col).alias("_gpu"))
+    joined = sums.join(runs.select(*run_cols, seconds_col), on=run_cols, how="inner")
+    return joined.select(
+        *run_cols,
+        (F.col("_cpu") * F.col(seconds_col)).alias("cpu_energy_j"),
+        (F.col("_gpu") * F.col(seconds_col)).alias("gpu_energy_j"),
     ).withColumn("total_energy_j", F.col("cpu_energy_j") + F.col("gpu_energy_j"))
