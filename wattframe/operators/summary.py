@@ -92,13 +92,15 @@ def boxplot_stats(df: DataFrame, keys: Sequence[str], metric: str, coef: float =
     q = q.withColumn("_iqr", F.col("Q3") - F.col("Q1"))
     lo_fence = F.col("Q1") - F.lit(coef) * F.col("_iqr")
     hi_fence = F.col("Q3") + F.lit(coef) * F.col("_iqr")
-    j = df.where(F.col(metric).isNotNull()).select(*keys, metric).join(q, on=list(keys), how="inner")
+    # distinct (group, value) counts first (partial aggregate), then compare with the fences
+    vals = (df.where(F.col(metric).isNotNull()).groupBy(*keys, metric).agg(F.count(F.lit(1)).alias("_c")))
+    j = vals.join(q, on=list(keys), how="inner")
     inside = (F.col(metric) >= lo_fence) & (F.col(metric) <= hi_fence)
     w = j.groupBy(*keys).agg(
         F.min(F.when(inside, F.col(metric))).alias("Lower_Whisker"),
         F.max(F.when(inside, F.col(metric))).alias("Upper_Whisker"),
-        F.count_if(~inside).alias("N_Outliers"),
-        F.count(F.lit(1)).alias("N"),
+        F.coalesce(F.sum(F.when(~inside, F.col("_c"))), F.lit(0)).cast("long").alias("N_Outliers"),
+        F.sum("_c").cast("long").alias("N"),
     )
     return q.drop("_iqr").join(w, on=list(keys), how="inner")
 
@@ -161,9 +163,10 @@ def density_curve(df: DataFrame, metric: str, group_col: str, n_grid: int = 512,
     bin_idx = F.when(F.col("_width") > 0,
                      F.least(F.floor((F.col(metric) - F.col("_min")) / F.col("_width")), F.lit(n_bins - 1))
                      ).otherwise(F.lit(0))
-    bins = (base.join(st.select(group_col, "_min", "_width"), on=group_col, how="inner")
+    vals = base.groupBy(group_col, metric).agg(F.count(F.lit(1)).alias("_v"))   # distinct values first
+    bins = (vals.join(st.select(group_col, "_min", "_width"), on=group_col, how="inner")
             .withColumn("_bin", bin_idx)
-            .groupBy(group_col, "_bin").agg(F.count(F.lit(1)).alias("_c")))
+            .groupBy(group_col, "_bin").agg(F.sum("_v").alias("_c")))
     grid = (bins.join(st.select(group_col, "_n", "_min", "_width", "_bw", "_from", "_step"), on=group_col)
             .withColumn("_center", F.col("_min") + (F.col("_bin") + F.lit(0.5)) * F.col("_width"))
             .withColumn("grid_index", F.explode(F.sequence(F.lit(0), F.lit(n_grid - 1))))
