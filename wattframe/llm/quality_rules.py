@@ -141,9 +141,10 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
 
 
 def select_levels(levels: DataFrame, labels: DataFrame, id_col: str, rules: Sequence[Rule] = RULES,
-                  alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
-    """(stratum, selected): for each stratum the array of the strictest level of
-    each rule that the holdout allows (null: the rule is not used there).
+                  alpha: float = 0.03, delta: float = 0.05) -> DataFrame:
+    """(stratum, selected): for each stratum and rule the level from which on a
+    document is rejected, by the strictest cutoff that the holdout allows (null:
+    the rule is not used there).
 
     ``labels`` has (id, quality); quality 1 is good. The level histogram is
     pre-aggregated, so a hot stratum is a handful of rows."""
@@ -162,9 +163,10 @@ def select_levels(levels: DataFrame, labels: DataFrame, id_col: str, rules: Sequ
                .withColumn("n", F.max("k").over(Window.partitionBy("stratum", "rule"))))
     tested = counted.where("j > 0").withColumn(
         "passed", binomial_tail(F.col("n"), F.col("k"), alpha / len(rules)) <= F.lit(delta / pairs))
-    up = Window.partitionBy("stratum", "rule").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
-    chosen = (tested.withColumn("all_passed", F.min("passed").over(up))
-              .groupBy("stratum", "rule").agg(F.max(F.when(F.col("all_passed"), F.col("j"))).alias("j")))
+    # level j is reached by the cutoffs up to the j-th strictest: the most lenient has the highest j
+    order = Window.partitionBy("stratum", "rule").orderBy(F.col("j").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    chosen = (tested.withColumn("all_passed", F.min("passed").over(order))
+              .groupBy("stratum", "rule").agg(F.min(F.when(F.col("all_passed"), F.col("j"))).alias("j")))
     return frozen(chosen.groupBy("stratum").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("rule", "j"))), lambda x: x["j"]).alias("selected")))
 
@@ -180,7 +182,7 @@ def verdicts(levels: DataFrame, selected: DataFrame, rules: Sequence[Rule] = RUL
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", stratum_col: str | None = "lang",
-                  rules: Sequence[Rule] = RULES, alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
+                  rules: Sequence[Rule] = RULES, alpha: float = 0.03, delta: float = 0.05) -> DataFrame:
     """(id, stratum, statistics, base_failed, kept, rejected_by), one row per document.
     The statistics are computed once and kept in the checkpoint folder."""
     levels = frozen(with_levels(statistics(docs, [F.col(id_col)], stratum_col), rules))
@@ -188,7 +190,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", st
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", stratum_col: str | None = "lang",
-              rules: Sequence[Rule] = RULES, alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
+              rules: Sequence[Rule] = RULES, alpha: float = 0.03, delta: float = 0.05) -> DataFrame:
     """The documents that the rules keep, with all their columns. Texts are not
     shuffled: the statistics are computed a second time beside them."""
     selected = select_levels(with_levels(statistics(docs, [F.col(id_col)], stratum_col), rules),

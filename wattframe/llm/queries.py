@@ -61,12 +61,12 @@ grid AS (SELECT DISTINCT stratum, held.rule, unnest(range(1, size + 1)) AS j
          FROM held JOIN (VALUES {_grid_sql()}) AS s(rule, size) ON s.rule = held.rule),
 counted AS (SELECT grid.stratum, grid.rule, j, count(*) FILTER (level >= j) AS k, count(*) AS n
             FROM grid JOIN held ON held.stratum = grid.stratum AND held.rule = grid.rule GROUP BY ALL),
-tested AS (SELECT *, k < n * {0.02 / len(quality.RULES)!r} AND list_sum(list_transform(range(0, k + 1), lambda i:
+tested AS (SELECT *, k < n * {0.03 / len(quality.RULES)!r} AND list_sum(list_transform(range(0, k + 1), lambda i:
       exp(CASE WHEN i IN (0, n) THEN 0 ELSE lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) END
-          + i * ln({0.02 / len(quality.RULES)!r}) + (n - i) * ln(1 - {0.02 / len(quality.RULES)!r}))))
+          + i * ln({0.03 / len(quality.RULES)!r}) + (n - i) * ln(1 - {0.03 / len(quality.RULES)!r}))))
     <= 0.05 / (SELECT count(*) FROM (SELECT DISTINCT stratum, rule FROM held)) AS passed FROM counted),
-chosen AS (SELECT stratum, rule, max(j) FILTER (ok) AS j FROM (
-    SELECT *, min(CAST(passed AS INTEGER)) OVER (PARTITION BY stratum, rule ORDER BY j) = 1 AS ok FROM tested) GROUP BY ALL),
+chosen AS (SELECT stratum, rule, min(j) FILTER (ok) AS j FROM (
+    SELECT *, min(CAST(passed AS INTEGER)) OVER (PARTITION BY stratum, rule ORDER BY j DESC) = 1 AS ok FROM tested) GROUP BY ALL),
 hit AS (SELECT levels.doc_id, string_agg(
       (VALUES_NAME.name), ',' ORDER BY levels.rule) AS rejected_by
     FROM levels JOIN chosen ON chosen.stratum = levels.stratum AND chosen.rule = levels.rule AND level >= j
