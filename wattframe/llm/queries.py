@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wattframe.llm import ngram_lm, packing, secret_scan, sharding, simhash, topk_search
 from wattframe.llm import quality_rules as quality
-from wattframe.llm.common import documents
+from wattframe.llm.common import documents, text_of
+
+#: where the public vocabulary files are; a parameter of the operators that tokenize
+TOKENIZERS = "public_tokenizers"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +90,51 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     out = quality.quality_rules(documents(spark, sf_dir), labels)
     return out.select("doc_id", *quality.STATS, "base_failed", "kept", "rejected_by")
+
+
+@_query("op5_secret_scan")
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(documents(spark, sf_dir), [F.col("doc_id")])
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base_spans"), 256).alias("base_sha256"),
+                        F.col("all_spans").alias("spans"))
+
+
+def bpe_files() -> dict[str, str]:
+    """Rank file and pattern of the byte-level vocabulary byte_bpe_50k."""
+    vocabularies = importlib.import_module(TOKENIZERS)
+    return {"rank_file": vocabularies.path("byte_bpe_50k.tiktoken"), "pattern": vocabularies.PATTERN}
+
+
+@_query("op6_packing")
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), F.col("doc_id"), **bpe_files()).withColumnRenamed("kept", "doc_id")
+
+
+@_query("op8_simhash")
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+                        F.col("component").alias("component_id"))
+
+
+@_query("op4_topk_search")
+def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk_search.top_k(vectors, F.col("vec_id") % 20 == 0)
+
+
+@_query("op7_sharding")
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select(
+        "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
+        F.crc32(text_of().cast("binary")).alias("text_crc32"), F.lit("key").alias("law"))
+    return sharding.shard_rows(docs, "doc_id", 24)
+
+
+@_query("op2_ngram_lm")
+def op2_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    held_out = F.crc32(key.cast("binary")) % 10 == 0
+    scored = ngram_lm.score(documents(spark, sf_dir), ~held_out)
+    return scored.withColumn("held_out", held_out).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
