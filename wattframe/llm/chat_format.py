@@ -31,6 +31,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wattframe.llm.common import frozen
 
@@ -227,7 +228,8 @@ def recover(rows: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     (whether the line starts a turn) and ``rendered``, the chunk's canonical form."""
     borders = frozen(border_states(rows, model))  # one row for each partition
     src = rows.join(F.broadcast(borders), "_part").select(*keep, F.col("conv_id").cast("long").alias("_conv"), F.col("text").alias("_text"), "_borders")
-    schema = rows.select(*keep).schema.add("roles", "array<string>").add("starts", "array<boolean>").add("rendered", "string")
+    schema = (rows.select(*keep).schema.add("roles", T.ArrayType(T.StringType()))
+              .add("starts", T.ArrayType(T.BooleanType())).add("rendered", T.StringType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, kinds = True, None

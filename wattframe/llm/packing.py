@@ -35,8 +35,8 @@ WINDOW = 1024
 MAX_OPEN = 4096
 SEQUENCE_BITS = 36
 
-PIECES = [("start", "bigint"), ("length", "bigint"), ("ids_crc32", "bigint"), ("doc_tokens", "bigint"),
-          ("sequence_id", "bigint"), ("offset", "bigint")]
+PIECES = [("start", "long"), ("length", "long"), ("ids_crc32", "long"), ("doc_tokens", "long"),
+          ("sequence_id", "long"), ("offset", "long")]
 
 
 def load_encoder(rank_file: str, pattern: str, end_of_text: int = 50256):
@@ -145,7 +145,7 @@ def pack(docs: DataFrame, keep: Column, rank_file: str, pattern: str, text_col:
     for name, kind in PIECES:
         schema = schema.add(name, kind)
     if with_ids:
-        schema = schema.add("ids", "array<bigint>")
+        schema = schema.add("ids", T.ArrayType(T.LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, packer = load_encoder(rank_file, pattern), Packer(window, max_open)

@@ -113,7 +113,9 @@ def statistics(df: DataFrame, keep: Sequence[Column], stratum_col: str | None =
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.size(covered).cast("long").alias("n_repeat_words"),
         F.size("_lines").cast("long").alias("n_lines"),
-        F.regexp_count("_text", F.lit("[A-Z]")).cast("long").alias("n_capitals"))
+        F.regexp_count("_text", F.lit("[A-Z]")).cast("long").alias("n_capitals"),
+        # no filter is pushed through a column like this one: it would bring copies of the expressions above
+        F.monotonically_increasing_id().alias("_place"))
 
 
 def base_failed() -> Column:
@@ -185,7 +187,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", st
                   rules: Sequence[Rule] = RULES, alpha: float = 0.03, delta: float = 0.05) -> DataFrame:
     """(id, stratum, statistics, base_failed, kept, rejected_by), one row per document.
     The statistics are computed once and kept in the checkpoint folder."""
-    levels = frozen(with_levels(statistics(docs, [F.col(id_col)], stratum_col), rules))
+    levels = frozen(with_levels(statistics(docs, [F.col(id_col)], stratum_col).drop("_place"), rules))
     return verdicts(levels, select_levels(levels, labels, id_col, rules, alpha, delta), rules)
 
 
@@ -193,8 +195,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", stratu
               rules: Sequence[Rule] = RULES, alpha: float = 0.03, delta: float = 0.05) -> DataFrame:
     """The documents that the rules keep, with all their columns. Texts are not
     shuffled: the statistics are computed a second time beside them."""
-    selected = select_levels(with_levels(statistics(docs, [F.col(id_col)], stratum_col), rules),
-                             labels, id_col, rules, alpha, delta)
+    levels = frozen(with_levels(statistics(docs, [F.col(id_col)], stratum_col).drop("_place"), rules))
+    selected = select_levels(levels, labels, id_col, rules, alpha, delta)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     marked = verdicts(with_levels(statistics(docs, [row], stratum_col), rules), selected, rules)
-    return marked.where("kept").select("_row.*")
+    return marked.where("_place >= 0 and kept").select("_row.*")

@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattframe.llm import ngram_lm, packing, secret_scan, sharding, simhash, topk_search
+from wattframe.llm import chat_format, fixity, ngram_lm, packing, secret_scan, sharding, simhash, topk_search
 from wattframe.llm import quality_rules as quality
-from wattframe.llm.common import documents, text_of
+from wattframe.llm.common import documents, frozen, text_of
 
 #: where the public vocabulary files are; a parameter of the operators that tokenize
 TOKENIZERS = "public_tokenizers"
@@ -138,3 +138,53 @@ def op2_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = ngram_lm.score(documents(spark, sf_dir), ~held_out)
     return scored.withColumn("held_out", held_out).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def _raw_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as raw transcripts: a speaker marker of some style before each
+    turn, and none before one in ten."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    style = F.crc32(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).cast("binary"))
+    marks = {"user": ("User: ", "Human: ", "[user] ", "Q: "), "assistant": ("Assistant: ", "AI: ", "[assistant] ", "A: "),
+             "system": ("System: ", "[system] ", "Instructions: ", "SYSTEM PROMPT: ")}
+    mark = F.lit("")
+    for role, names in marks.items():
+        mark = F.when(F.col("role") == role, F.get(F.array(*map(F.lit, names)), (style % 4).cast("int"))).otherwise(mark)
+    return turns.select("conv_id", "turn", "role", F.concat(F.when(style % 10 == 0, "").otherwise(mark), text_of()).alias("text"))
+
+
+@_query("op9_chat_format")
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitted on nine of ten conversations, applied to all."""
+    held_out = F.crc32(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0
+    rows = chat_format.ordered(_raw_transcripts(spark, sf_dir).withColumn("held_out", held_out))
+    model = chat_format.fit(rows.withColumn("role", F.when(~F.col("held_out"), F.col("role"))))
+    found = chat_format.recover(rows, model, ["conv_id", "turn", "role", "held_out"])
+    return found.select("conv_id", "turn", "role", "held_out", F.get("roles", F.lit(0)).alias("recovered"),
+                        F.get("starts", F.lit(0)).alias("starts_turn"), F.size("roles").alias("n_lines"), "rendered")
+
+
+OP10_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS u, coalesce(html, '') AS b, md5(coalesce(url, '')) AS m FROM pages),
+r AS (SELECT page_id, u, 'WARC/1.0' || e || 'WARC-Type: resource' || e || 'WARC-Record-ID: <urn:uuid:' || substr(m, 1, 8) || '-' || substr(m, 9, 4)
+    || '-' || substr(m, 13, 4) || '-' || substr(m, 17, 4) || '-' || substr(m, 21, 12) || '>' || e || 'WARC-Target-URI: ' || u || e
+    || 'Content-Type: text/html; charset=utf-8' || e || 'Content-Length: ' || strlen(b) || e || e || b || e || e AS rec
+  FROM p, (SELECT chr(13) || chr(10) AS e)),
+f AS (SELECT page_id, u, coalesce(CAST(page_id // {fixity.FILE_IDS} AS VARCHAR), 'none') || '-0' AS file, CAST(strlen(rec) AS BIGINT) AS length, sha256(rec) AS digest FROM r),
+o AS (SELECT *, CAST(coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id, digest, length
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM f)
+SELECT page_id, file, "offset", length, digest,
+    CASE substr(md5(digest), 1, 2) WHEN '00' THEN 'corrupt' WHEN '01' THEN 'missing' ELSE 'ok' END AS status FROM o
+"""
+
+
+@_query("op10_warc_fixity", OP10_SQL)
+def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as records of WARC files, audited against a replica in which one
+    record in 256 has rotted and one in 256 is lost (by a hash of its digest)."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    ours = frozen(fixity.index(pages, "page_id", F.expr(f"page_id div {fixity.FILE_IDS}"), fixity.record_bytes(F.col("url"), F.col("html"))))
+    fate = F.substring(F.md5(F.col("digest").cast("binary")), 1, 2)
+    theirs = (ours.where(fate != "01").select("file", "offset", "length", F.when(fate == "00", F.sha2(F.col("digest").cast("binary"), 256))
+                                             .otherwise(F.col("digest")).alias("digest")))
+    return fixity.audited(ours, theirs).select("page_id", "file", "offset", "length", "digest", "status")

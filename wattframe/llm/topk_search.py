@@ -109,8 +109,8 @@ def _exact(queries: np.ndarray, x: np.ndarray, k: int, own: np.ndarray):
         yield i, rows, np.array([min(max(int(s), lo), hi) for s in c[rows] @ q[i]], dtype=np.int64)
 
 
-def _matrix(pdf: pd.DataFrame) -> np.ndarray:
-    return np.stack(pdf["v"].to_numpy())
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_numpy())
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int = 20, factor: float = 64.0, id_col: str = "vec_id",
@@ -127,14 +127,15 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, factor: float = 64.0
                   .withColumn("row", F.monotonically_increasing_id()))
     asked = (rows.where("is_query").withColumn("qb", F.pmod(F.xxhash64("row"), F.lit(n_query)).cast("int"))
              .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_candidate - 1)))).select("dim", "qb", "cb", "id", "row", "v"))
-    offered = (rows.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_query - 1)))).select("dim", "qb", "cb", "id", "row", "v"))
+    offered = (rows.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))))
+               .select(*[F.col(c).alias(f"c_{c}") for c in ("dim", "qb", "cb", "id", "v")]))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"row": np.zeros(0, np.int64), "query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64)})
         if left.empty or right.empty:
             return empty
-        q, x = _matrix(left), _matrix(right)
-        q_ids, q_rows, ids = left["id"].to_numpy(), left["row"].to_numpy(), right["id"].to_numpy()
+        q, x = _matrix(left["v"]), _matrix(right["c_v"])
+        q_ids, q_rows, ids = left["id"].to_numpy(), left["row"].to_numpy(), right["c_id"].to_numpy()
         out = []
         small = max(np.abs(q).max(), np.abs(x).max()) <= EXACT and len(q[0]) < 1 << 12
         lists = SortedLists(x.astype(np.float64)) if small else None
@@ -152,7 +153,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, factor: float = 64.0
                              "vec_id": np.concatenate([b for _, b, _ in out]),
                              "score": np.concatenate([c for *_, c in out]).astype(np.int64)})
 
-    found = (asked.groupBy("dim", "qb", "cb").cogroup(offered.groupBy("dim", "qb", "cb"))
+    found = (asked.groupBy("dim", "qb", "cb").cogroup(offered.groupBy("c_dim", "c_qb", "c_cb"))
              .applyInPandas(search, "row long, query_id long, vec_id long, score long"))
     order = Window.partitionBy("row").orderBy(F.col("score").desc(), "vec_id")
     return (found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
