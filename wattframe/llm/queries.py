@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattframe.llm import chat_format, fixity, ngram_lm, packing, secret_scan, sharding, simhash, topk_search
+from wattframe.llm import chat_format, fixity, ngram_lm, packing, piece_codec, secret_scan, sharding, simhash, topk_search
 from wattframe.llm import quality_rules as quality
 from wattframe.llm.common import documents, frozen, text_of
 
@@ -188,3 +188,16 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     theirs = (ours.where(fate != "01").select("file", "offset", "length", F.when(fate == "00", F.sha2(F.col("digest").cast("binary"), 256))
                                              .otherwise(F.col("digest")).alias("digest")))
     return fixity.audited(ours, theirs).select("page_id", "file", "offset", "length", "digest", "status")
+
+
+@_query("op3_piece_codec")
+def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as pieces and back: their number, a digest of the ids, and whether
+    the text came back (it does but for U+2581, which reads as a space)."""
+    model = importlib.import_module(TOKENIZERS).path("piece_bpe_32k.model")
+    digest = F.xxhash64("text").alias("_digest")
+    coded = piece_codec.encode(documents(spark, sf_dir), [F.col("doc_id"), digest], model)
+    facts = [F.col("doc_id"), F.col("_digest"), (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32")]
+    back = piece_codec.decode(coded, facts, model)
+    return back.select("doc_id", "n_pieces", "ids_crc32", F.length("text").cast("long").alias("n_chars"),
+                       (F.xxhash64("text") == F.col("_digest")).alias("round_trip"))
