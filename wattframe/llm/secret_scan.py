@@ -49,8 +49,7 @@ PATTERNS = {
     "registry": re.compile(r"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])"),
     "card": re.compile(r"""(?:card|visa|mastercard|amex)[^0-9\n]{0,20}([0-9](?:[ -]?[0-9]){12,18})(?![0-9])""",
                        re.IGNORECASE | re.ASCII),
-    "iban": re.compile(r"""iban[^A-Za-z0-9\n]{0,4}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})(?![A-Z0-9])""",
-                       re.IGNORECASE | re.ASCII),
+    "iban": re.compile(r"(?i:iban)[^A-Za-z0-9\n]{0,4}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})(?![A-Z0-9])", re.ASCII),
 }
 BASE62 = string.digits + string.ascii_uppercase + string.ascii_lowercase
 
