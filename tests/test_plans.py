@@ -56,9 +56,29 @@ def test_hot_run_energy_matches_brute_force(spark):
         d = part["ts"].diff().dt.total_seconds().to_numpy().copy()
         d[0] = d[1:].mean()
         assert got[run] == pytest.approx(float((part["w"].to_numpy() * d).sum()), rel=1e-9)
-    # the hot run is spread over many (run, chunk) window partitions
-    chunks = energy._with_chunks(df.where("run = 0"), "ts", 600).select("_chunk").distinct().count()
-    assert chunks > 50
+
+
+@pytest.mark.parametrize("gap", [7200, 0.001])
+def test_hot_run_sparse_or_dense_is_spread(spark, gap):
+    # a third of all samples in one run, one sample in two hours or all within seconds
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(0, i, t0 + dt.timedelta(seconds=gap * i), 1.0 + i % 3) for i in range(4000)]
+    rows += [(1 + i % 400, i, t0 + dt.timedelta(seconds=i), 2.0) for i in range(8000)]
+    df = spark.createDataFrame(rows, "run long, seq long, ts timestamp_ntz, w double")
+    chunks = ranking.by_range(df, ["run", "ts", "seq"], 24, "_chunk").groupBy("run", "_chunk").count()
+    assert chunks.agg({"count": "max"}).first()[0] < 1500
+    got = {r["run"]: r["w_energy_j"] for r in energy.energy_per_run(df, ["run"], ["w"], order_cols=["seq"]).collect()}
+    want = sum((1.0 + i % 3) * gap for i in range(1, 4000)) + 1.0 * gap
+    assert got[0] == pytest.approx(want, rel=1e-6)
+
+
+def test_zero_heavy_values_are_spread_and_null_groups_kept(spark):
+    vals = [("a", 0.0)] * 9900 + [("a", float(i)) for i in range(1, 2001)] + [("n", None)] * 3 + [(None, 5.0)]
+    df = spark.createDataFrame(vals, "g string, v double")
+    counts = ranking.value_counts(df, "v", ["g"], 8)
+    assert counts.groupBy("_b").count().agg({"count": "max"}).first()[0] < 600
+    q = {r["g"]: r["med"] for r in ranking.exact_quantiles(df, "v", {"med": 0.5}, ["g"]).collect()}
+    assert q == {"a": 0.0, "n": None, None: 5.0}
 
 
 def test_hot_group_quantiles_exact(spark):

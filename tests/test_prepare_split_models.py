@@ -82,9 +82,6 @@ def test_ols_and_gd(spark):
     for _ in range(100 * math.ceil(400 / 32)):
         w = w - 0.001 * (2.0 / 400) * (x.T @ (x @ w - y))
     assert [gd.intercept, gd.coefficients["x1"], gd.coefficients["x2"]] == pytest.approx(list(w), rel=1e-9)
-    sgd = models.sgd_fit(df.withColumn("k", F.monotonically_increasing_id()), ["x1", "x2"], "y", ["x1"],
-                         lr=0.05, epochs=20, batch_size=64)
-    assert sgd.coefficients["x1"] == pytest.approx(beta[1], rel=0.05)
 
 
 def test_metrics_edge_cases(spark):
@@ -153,16 +150,25 @@ def test_mlp_and_plain_logreg_learn_a_separable_rule(spark):
         assert acc > 0.95
 
 
-def test_sgd_logistic_and_strict_lookup(spark):
+def test_least_squares_on_columns_of_very_different_size(spark):
     rng = np.random.default_rng(6)
-    x = rng.normal(size=(600, 2))
-    y = (2.0 * x[:, 0] - x[:, 1] > 0).astype(int)
-    df = spark.createDataFrame([(i, float(a), float(b), int(t)) for i, ((a, b), t) in enumerate(zip(x, y))],
-                               "k long, a double, b double, y int")
-    m = models.sgd_fit(df, ["a", "b"], "y", ["k"], loss="logistic", lr=1.0, epochs=5, batch_size=200)
-    pred = m.transform(df).withColumn("p", (F.col("prediction") > 0).cast("int"))
-    acc = evaluate.accuracy_only(pred, "y", "p").first()["accuracy"]
-    assert acc > 0.9 and m.coefficients["a"] > 0 > m.coefficients["b"]
+    dur, disc = rng.uniform(1e9, 5e9, 500), rng.uniform(0, 1e-3, 500)
+    y = 3.0 + 2e-9 * dur + 5.0 * disc
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(dur, disc, y)], "dur double, disc double, y double")
+    own, lib = (models.linreg_ols(df, ["dur", "disc"], "y", method=m) for m in ("normal", "mllib"))
+    assert own.coefficients["dur"] == pytest.approx(2e-9, rel=1e-9) and own.coefficients["disc"] == pytest.approx(5.0, rel=1e-6)
+    assert own.intercept == pytest.approx(3.0, rel=1e-7) and lib.intercept == pytest.approx(3.0, rel=1e-4)
+
+
+def test_exact_split_has_no_limit_on_strata(spark):
+    df = spark.range(3000).select(F.col("id"), (F.col("id") % 700).alias("s")).withColumn("s", F.when(F.col("s") > 0, F.col("s")))
+    from wattframe.operators import split
+    out = split.exact_split(df, ["id"], 0.4, strata=["s"])
+    counts = out.groupBy("s").agg(F.sum(F.col("is_test").cast("int")).alias("t"), F.count(F.lit(1)).alias("n")).collect()
+    assert len(counts) == 700 and all(r.t == math.ceil(0.4 * r.n) for r in counts)
+
+
+def test_strict_lookup(spark):
     runs_df = spark.createDataFrame([(1, "A"), (2, "Z")], "run long, key string")
     lookup = spark.createDataFrame([("A", "a.py")], "key2 string, path string")
     out = {r["run"]: r["path"] for r in runs.lookup_by_key(runs_df, lookup, "key", "key2").collect()}

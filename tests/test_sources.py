@@ -92,3 +92,42 @@ def test_append_metrics_layouts(spark, tmp_dir):
     assert len(back) == 2
     assert back[0]["precision"] == 0.8 and back[1]["precision"] is None
     assert back[1]["f1"] == 0.65 and back[1]["num_classes"] == 2
+
+
+def test_long_repetition_numbers_are_read(spark, tmp_path):
+    body = "Date,CPU Utilization,Total Power,CPU Power,GPU Power\n2024-1-5 0:14:47.10,0.5,3.0,2.0,1.0\n"
+    for rep in (0, 1234567):
+        (tmp_path / f"run_1_repetition_{rep}.csv").write_text(body)
+    (tmp_path / "run_1_repetition_0.csv-42.csv").write_text("Date,CPU Utilization,CPU Power\n2024-1-5 0:14:47.10,0.5,2.0\n")
+    got = {(r["rep"], r["layout"], r["pid"], r["total_w"]) for r in readers.scan_power_logs(spark, str(tmp_path)).collect()}
+    assert got == {(0, "system", None, 3.0), (1234567, "system", None, 3.0), (0, "process", 42, None)}
+
+
+def test_unreadable_times_are_an_error_or_left_out(spark, tmp_path):
+    (tmp_path / "run_1_repetition_0.csv").write_text(
+        "Date,CPU Utilization,Total Power,CPU Power,GPU Power\n2024-1-5 0:14:47.10,0.5,3.0,2.0,1.0\nyesterday,0.5,3.0,2.0,1.0\n")
+    assert readers.scan_power_logs(spark, str(tmp_path), bad_times="drop").count() == 1
+    with pytest.raises(Exception, match="unreadable time"):
+        readers.scan_power_logs(spark, str(tmp_path)).select("ts").collect()
+
+
+def test_model_names_survive_the_metrics_log(spark, tmp_path):
+    df = spark.createDataFrame([("007", 0.5), ("1e3", 0.25)], "model string, accuracy double")
+    sinks.append_metrics_csv(df, f"{tmp_path}/c")
+    sinks.append_metrics_json(df, f"{tmp_path}/j")
+    for path, fmt in ((f"{tmp_path}/c", "csv"), (f"{tmp_path}/j", "json")):
+        assert sorted((r["model"], r["accuracy"]) for r in readers.scan_metrics_log(spark, path, fmt).collect()) == [("007", 0.5), ("1e3", 0.25)]
+
+
+def test_json_array_files_and_empty_partitions(spark, tmp_path):
+    df = spark.range(5).selectExpr("id", "timestamp_ntz'2024-01-05 00:14:47.123456' AS t").repartition(7)
+    sinks.write_json_array(df, f"{tmp_path}/a")
+    assert sorted(r["id"] for r in readers.scan_json_records(spark, f"{tmp_path}/a", df.schema).collect()) == list(range(5))
+    assert readers.scan_json_records(spark, f"{tmp_path}/a", df.schema).select("t").distinct().count() == 1
+
+
+def test_meter_time_with_more_digits(spark):
+    from wattframe.functions import scalars as S
+    df = spark.createDataFrame([("2024-1-5 0:14:47.123456",), ("2024-1-5 0:14:47.1234567890123",), ("2024-1-5 0:14:47.8",)], "d string")
+    got = [str(r[0]) for r in df.select(S.parse_power_time("d")).collect()]
+    assert got == ["2024-01-05 00:14:47.123456", "2024-01-05 00:14:47.123456", "2024-01-05 00:14:47.008000"]

@@ -148,3 +148,48 @@ def test_density_integrates_to_one(spark):
     d = summary.density_curve(df, "v", "k").orderBy("grid_index").toPandas()
     step = d["x"].iloc[1] - d["x"].iloc[0]
     assert (d["density"].sum() * step) == pytest.approx(1.0, abs=0.01)
+
+
+def test_rows_without_a_factor_are_left_out(spark):
+    rows = [("A", "x", 1.0), ("A", "x", 2.0), ("B", "y", 5.0), ("B", "x", 7.0), ("A", "y", 3.0), ("B", "y", 6.5), (None, "x", 900.0), ("A", None, 800.0)]
+    df = spark.createDataFrame(rows, "a string, b string, v double")
+    clean = df.dropna(subset=["a"])
+    assert stats.anova_one_way(df, "v", "a").collect() == stats.anova_one_way(clean, "v", "a").collect()
+    assert stats.kruskal(df, "v", ["a"]).collect() == stats.kruskal(clean, "v", ["a"]).collect()
+    both = df.dropna()
+    assert stats.anova_two_way(spark, df, "v", "a", "b").collect() == stats.anova_two_way(spark, both, "v", "a", "b").collect()
+    gate = {r["metric"]: r for r in summary.test_gate(df, "a", ["v"]).collect()}["v"]
+    loop = {r["metric"]: r for r in stats.stat_tests_all(df, ["v"], "a").collect()}["v"]
+    assert (gate["n_rows"], gate["n_groups"], gate["testable"]) == (loop["n_rows"], loop["n_groups"], loop["testable"]) == (7, 2, True)
+
+
+def test_two_way_anova_with_many_levels(spark):
+    rnd = random.Random(3)
+    rows = [(i % 1500, "p%d" % (i % 2 if i % 7 else 0), rnd.gauss(i % 1500 % 5, 1)) for i in range(6000)]
+    df = spark.createDataFrame(rows, "a int, b string, y double")
+    one = {r["term"]: r for r in stats.anova_two_way(spark, df, "y", "a", "b").collect()}
+    two = {r["term"]: r for r in stats.anova_two_way(spark, df, "y", "b", "a").collect()}
+    assert one["a"]["ss"] + one["b"]["ss"] == pytest.approx(two["a"]["ss"] + two["b"]["ss"], rel=1e-9)
+    assert one["a:b"]["ss"] == pytest.approx(two["b:a"]["ss"], rel=1e-6) and one["a"]["df"] == 1499
+
+
+def test_tails_for_large_degrees_of_freedom():
+    from wattframe.functions.pvalues import chi2_sf, f_sf
+
+    # golden values: limits of the distributions (chi-square(3) > 9, normal tails) and exact points
+    assert chi2_sf(9.0, 3) == pytest.approx(0.0292908865, rel=1e-8)
+    assert f_sf(3.0, 2, 6e11) == pytest.approx(math.exp(-3.0), rel=1e-9)
+    assert f_sf(3.0, 2, 30) == pytest.approx((1 + 2 * 3.0 / 30) ** -15, rel=1e-10)
+    assert chi2_sf(1e9, 1e9) == pytest.approx(0.5, abs=1e-4)
+    k = 4e6
+    assert chi2_sf(k + 2 * math.sqrt(2 * k), k) == pytest.approx(0.02275, rel=5e-3)
+
+
+def test_density_equals_the_exact_kernel_sum(spark):
+    rnd = random.Random(2)
+    vals = [rnd.gauss(0, 1) + (rnd.random() < 0.3) * 5 for _ in range(400)]
+    df = spark.createDataFrame([("g", v) for v in vals], "k string, v double")
+    d = summary.density_curve(df, "v", "k").toPandas()
+    x, h = d["x"].to_numpy(), d["bandwidth"].iloc[0]
+    exact = np.exp(-0.5 * ((x[:, None] - np.array(vals)[None, :]) / h) ** 2).sum(axis=1) / (len(vals) * h * math.sqrt(2 * math.pi))
+    assert np.abs(d["density"].to_numpy() - exact).max() < 1e-3 * exact.max()

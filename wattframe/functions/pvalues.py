@@ -15,7 +15,19 @@ from pyspark.sql import types as T
 
 _EPS = 1e-15
 _TINY = 1e-300
-_MAX_IT = 10000
+#: beyond these degrees of freedom the limit distribution is used (relative error about 1 / value)
+_LARGE_F = 1e8
+_LARGE_A = 1e6
+
+
+def _steps(*parameters: float) -> int:
+    """Terms after which a fraction or series must have converged: their number grows
+    with the root of the parameters."""
+    return 10_000 + int(50 * math.sqrt(max(parameters)))
+
+
+def _not_converged() -> ArithmeticError:
+    return ArithmeticError("tail probability did not converge")
 
 
 def _betacf(a: float, b: float, x: float) -> float:
@@ -24,7 +36,7 @@ def _betacf(a: float, b: float, x: float) -> float:
     c, d = 1.0, 1.0 - qab * x / qap
     d = 1.0 / (d if abs(d) > _TINY else _TINY)
     h = d
-    for m in range(1, _MAX_IT):
+    for m in range(1, _steps(a, b)):
         m2 = 2 * m
         aa = m * (b - m) * x / ((qam + m2) * (a + m2))
         d = 1.0 + aa * d
@@ -40,8 +52,8 @@ def _betacf(a: float, b: float, x: float) -> float:
         delta = d * c
         h *= delta
         if abs(delta - 1.0) < _EPS:
-            break
-    return h
+            return h
+    raise _not_converged()
 
 
 def betainc_reg(a: float, b: float, x: float) -> float:
@@ -63,6 +75,10 @@ def f_sf(f: float, d1: float, d2: float) -> float | None:
         return None
     if f <= 0:
         return 1.0
+    if d2 > _LARGE_F:  # d1 F tends to chi-square(d1)
+        return chi2_sf(d1 * f, d1)
+    if d1 > _LARGE_F:  # d2 / F tends to chi-square(d2)
+        return 1.0 - chi2_sf(d2 / f, d2)
     x = d2 / (d2 + d1 * f)
     return betainc_reg(d2 / 2.0, d1 / 2.0, x)
 
@@ -71,20 +87,26 @@ def _gamma_q(a: float, x: float) -> float:
     """Regularised upper incomplete gamma Q(a, x)."""
     if x <= 0:
         return 1.0
+    if a > _LARGE_A:  # uniform expansion: normal tail of eta and its first correction
+        mu = (x - a) / a
+        eta = math.copysign(math.sqrt(max(0.0, 2.0 * (mu - math.log1p(mu)))), mu)
+        first = 1.0 / mu - 1.0 / eta if abs(mu) > 1e-4 else -1.0 / 3.0 + mu / 12.0
+        q = 0.5 * math.erfc(eta * math.sqrt(a / 2.0)) + first * math.exp(-0.5 * a * eta * eta) / math.sqrt(2.0 * math.pi * a)
+        return min(1.0, max(0.0, q))
     ln_front = a * math.log(x) - x - math.lgamma(a)
     if x < a + 1.0:
         ap, s, term = a, 1.0 / a, 1.0 / a
-        for _ in range(_MAX_IT):
+        for _ in range(_steps(a)):
             ap += 1.0
             term *= x / ap
             s += term
             if abs(term) < abs(s) * _EPS:
-                break
-        return 1.0 - s * math.exp(ln_front)
+                return 1.0 - s * math.exp(ln_front)
+        raise _not_converged()
     b = x + 1.0 - a
     c, d = 1.0 / _TINY, 1.0 / b
     h = d
-    for i in range(1, _MAX_IT):
+    for i in range(1, _steps(a)):
         an = -i * (i - a)
         b += 2.0
         d = an * d + b
@@ -94,8 +116,8 @@ def _gamma_q(a: float, x: float) -> float:
         delta = d * c
         h *= delta
         if abs(delta - 1.0) < _EPS:
-            break
-    return math.exp(ln_front) * h
+            return math.exp(ln_front) * h
+    raise _not_converged()
 
 
 def chi2_sf(x: float, k: float) -> float | None:

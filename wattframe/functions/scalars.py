@@ -123,15 +123,19 @@ def parse_power_time(text, ms_mode: str = "integer") -> Column:
 
     ``ms_mode='integer'``: the digits after the dot count milliseconds
     (``46.8`` is 46.008 s) - what the meter means.  ``'decimal'``: the digits are
-    a decimal fraction (``46.8`` is 46.8 s) - what a generic parser reads.
+    a decimal fraction (``46.8`` is 46.8 s) - what a generic parser reads.  More
+    than three digits cannot count milliseconds and are read as a decimal fraction
+    in both modes; digits beyond microseconds are cut.
     """
     t = _c(text)
     part = [F.regexp_extract(t, _TIME_RE, i) for i in range(1, 8)]
     frac_txt = part[6]
+    decimal = F.concat(F.lit("0."), F.rpad(F.substring(frac_txt, 1, 6), 6, "0")).cast("decimal(9,6)")
     if ms_mode == "integer":
-        frac = F.when(frac_txt == "", F.lit(0)).otherwise(frac_txt.cast("int")).cast("decimal(9,6)") / F.lit(1000)
+        frac = (F.when(F.length(frac_txt) > 3, decimal)
+                .otherwise(F.when(frac_txt == "", F.lit(0)).otherwise(frac_txt.try_cast("int")).cast("decimal(9,6)") / F.lit(1000)))
     elif ms_mode == "decimal":
-        frac = F.when(frac_txt == "", F.lit("0")).otherwise(F.concat(F.lit("0."), frac_txt)).cast("decimal(9,6)")
+        frac = decimal
     else:
         raise ValueError("ms_mode must be 'integer' or 'decimal'")
     sec = (part[5].cast("int").cast("decimal(9,6)") + frac).cast("decimal(16,6)")
@@ -143,13 +147,14 @@ def parse_power_time(text, ms_mode: str = "integer") -> Column:
 # --- chart labels -------------------------------------------------------------
 
 def format_fixed(col, digits: int = 2, suffix: str = "") -> Column:
-    return F.format_string(f"%.{digits}f{suffix}", _c(col))
+    c = _c(col)
+    return F.when(c.isNotNull(), F.format_string(f"%.{digits}f{suffix}", c))
 
 
 def format_sci_or_fixed(col, limit: float = 1000.0) -> Column:
     """``%.2e`` above ``limit``, else ``%.2f`` (MSE bar labels)."""
     c = _c(col)
-    return F.when(c > limit, F.format_string("%.2e", c)).otherwise(F.format_string("%.2f", c))
+    return F.when(c > limit, F.format_string("%.2e", c)).when(c.isNotNull(), F.format_string("%.2f", c))
 
 
 # --- deterministic hashing ----------------------------------------------------

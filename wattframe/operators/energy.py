@@ -10,11 +10,14 @@ no predecessor and gets the mean of the other steps.  Energy is
 and is 0.0 for a run with one sample.
 
 Scale: a window partitioned by run alone would put a whole run into one task,
-and a single run may hold a large share of all samples.  Every window here is
-partitioned by (run, time chunk) instead.  The only cross-chunk information a
-sample needs is the last timestamp of the previous non-empty chunk of its run;
-that comes from a small chunk-edge table (one row per run and chunk), ordered
-by a second window over chunks.  Rows never shuffle by run alone.
+and a single run may hold a large share of all samples.  The samples are dealt
+out by range of (run, time, tie-break) instead, so a chunk is what one range
+partition holds of a run: about as many samples as any other, whether the run is
+sparse or has all its samples in one hour.  Every window is partitioned by (run,
+chunk).  The only cross-chunk information a sample needs is
+the last timestamp of the run's previous chunk; that comes from a chunk-edge
+table with one row per run and range partition that it touches, and a window
+over those rows.  With ``chunk_seconds`` fixed time slices are used as chunks.
 """
 
 from __future__ import annotations
@@ -25,19 +28,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattframe.functions.scalars import epoch_micros
+from wattframe.operators.ranking import by_range
 
-DEFAULT_CHUNK_SECONDS = 3600
+DEFAULT_CHUNK_SECONDS = None  # by range partitions
 
 
 def _micros(ts_col: str) -> Column:
     return epoch_micros(ts_col)
 
 
-def _with_chunks(samples: DataFrame, ts_col: str, chunk_seconds: int) -> DataFrame:
-    chunk_us = int(chunk_seconds) * 1_000_000
-    return (samples
-            .withColumn("_us", _micros(ts_col))
-            .withColumn("_chunk", F.floor(F.col("_us") / F.lit(chunk_us)).cast("long")))
+def _with_chunks(samples: DataFrame, run_cols: Sequence[str], ts_col: str, order_cols: Sequence[str],
+                 chunk_seconds: int | None, freeze: bool) -> DataFrame:
+    rows = samples.withColumn("_us", _micros(ts_col))
+    if chunk_seconds is not None:
+        chunk_us = int(chunk_seconds) * 1_000_000
+        return rows.withColumn("_chunk", F.floor(F.col("_us") / F.lit(chunk_us)).cast("long"))
+    return by_range(rows, [*run_cols, "_us", *order_cols], out="_chunk", freeze=freeze)
 
 
 def _chunk_table(rows: DataFrame, run_cols: Sequence[str], power_cols: Sequence[str],
@@ -60,15 +66,15 @@ def _chunk_table(rows: DataFrame, run_cols: Sequence[str], power_cols: Sequence[
 
 
 def _in_chunk_steps(samples: DataFrame, run_cols: Sequence[str], ts_col: str,
-                    order_cols: Sequence[str], chunk_seconds: int) -> DataFrame:
-    rows = _with_chunks(samples, ts_col, chunk_seconds)
+                    order_cols: Sequence[str], chunk_seconds: int | None, freeze: bool) -> DataFrame:
+    rows = _with_chunks(samples, run_cols, ts_col, order_cols, chunk_seconds, freeze)
     w = Window.partitionBy(*run_cols, "_chunk").orderBy(F.col(ts_col), *[F.col(c) for c in order_cols])
     return rows.withColumn("_dt_in", (F.col("_us") - F.lag("_us").over(w)) / F.lit(1e6))
 
 
 def sample_deltas(samples: DataFrame, run_cols: Sequence[str], ts_col: str = "ts",
                   order_cols: Sequence[str] = (), power_cols: Sequence[str] = (),
-                  chunk_seconds: int = DEFAULT_CHUNK_SECONDS) -> DataFrame:
+                  chunk_seconds: int | None = DEFAULT_CHUNK_SECONDS) -> DataFrame:
     """Per-sample step in seconds.
 
     Adds ``dt_s`` (NULL for the first sample of a run, like ``diff()``) and
@@ -76,7 +82,7 @@ def sample_deltas(samples: DataFrame, run_cols: Sequence[str], ts_col: str = "ts
     one-sample run).
     """
     run_cols, order_cols = list(run_cols), list(order_cols)
-    rows = _in_chunk_steps(samples, run_cols, ts_col, order_cols, chunk_seconds)
+    rows = _in_chunk_steps(samples, run_cols, ts_col, order_cols, chunk_seconds, freeze=True)  # read twice below
     chunks = _chunk_table(rows, run_cols, power_cols, order_cols, ts_col)
     runs = chunks.groupBy(*run_cols).agg(
         F.sum("_n").alias("_run_n"),
@@ -87,6 +93,7 @@ def sample_deltas(samples: DataFrame, run_cols: Sequence[str], ts_col: str = "ts
             .withColumn("_mean_dt", F.when(F.col("_run_n") > 1,
                                            F.col("_span") / (F.col("_run_n") - 1)))
             .select(*run_cols, "_chunk", "_prev_last_us", "_mean_dt"))
+    # the edge rows are few (runs and range partitions); a chunk's samples are bounded
     out = rows.join(edge, on=[*run_cols, "_chunk"], how="left")
     dt = F.coalesce(F.col("_dt_in"), (F.col("_us") - F.col("_prev_last_us")) / F.lit(1e6))
     return (out.withColumn("dt_s", dt)
@@ -96,14 +103,15 @@ def sample_deltas(samples: DataFrame, run_cols: Sequence[str], ts_col: str = "ts
 
 def energy_per_run(samples: DataFrame, run_cols: Sequence[str], power_cols: Sequence[str],
                    ts_col: str = "ts", order_cols: Sequence[str] = (),
-                   chunk_seconds: int = DEFAULT_CHUNK_SECONDS) -> DataFrame:
+                   chunk_seconds: int | None = DEFAULT_CHUNK_SECONDS) -> DataFrame:
     """Energy in joules per run for each power column (closed form, chunked).
 
     Output: run keys, ``n_samples``, ``start_ts``, ``span_s``, ``mean_dt_s`` and
     ``<power>_energy_j`` for every power column.
     """
     run_cols, order_cols, power_cols = list(run_cols), list(order_cols), list(power_cols)
-    rows = _in_chunk_steps(samples, run_cols, ts_col, order_cols, chunk_seconds)
+    needed = list(dict.fromkeys([*run_cols, ts_col, *order_cols, *power_cols]))
+    rows = _in_chunk_steps(samples.select(*needed), run_cols, ts_col, order_cols, chunk_seconds, freeze=False)
     chunks = _chunk_table(rows, run_cols, power_cols, order_cols, ts_col)
     edge_dt = (F.col("_first_us") - F.col("_prev_last_us")) / F.lit(1e6)
     aggs = [

@@ -1,25 +1,15 @@
-"""Join helpers: broadcast only behind a checked size bound."""
+"""Join helpers."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
 
-
-def is_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (reads at most max_rows + 1)."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "left",
-               max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """Join a dimension/lookup table: broadcast it when its row count is within
-    ``max_rows``, otherwise fall back to a shuffle join (AQE may still switch
-    to broadcast at run time from measured sizes)."""
-    side = F.broadcast(small) if is_small(small, max_rows) else small
-    return big.join(side, on=on, how=how)
+def join_small(big: DataFrame, small: DataFrame, on, how: str = "left") -> DataFrame:
+    """Join a dimension or lookup table. No hint: Spark compares measured bytes with
+    ``spark.sql.autoBroadcastJoinThreshold`` and broadcasts only what is below it."""
+    return big.join(small, on=on, how=how)
 
 
 def unmatched_keys(left: DataFrame, lookup: DataFrame, left_key: str, lookup_key: str) -> DataFrame:

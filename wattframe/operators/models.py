@@ -26,10 +26,8 @@ from pyspark.sql import functions as F
 
 from wattframe.functions import scalars as S
 from wattframe.operators.features import assemble
-from wattframe.operators.split import shuffled_batches
 
 INTERCEPT = "1"
-MAX_BATCHES_PER_EPOCH = 100_000
 
 
 # --- Gram matrix ----------------------------------------------------------------
@@ -94,17 +92,27 @@ class LinearModel:
 
 
 def linreg_ols(df: DataFrame, features: Sequence[str], target: str, method: str = "normal") -> LinearModel:
-    """Least squares with intercept.  ``normal``: Gram matrix + driver solve;
-    ``mllib``: ``LinearRegression(solver='normal', regParam=0)``."""
+    """Least squares with intercept.  ``normal``: one pass for means and deviations,
+    one for the Gram matrix of the standardised columns, a d x d solve, and the scaling
+    undone, so columns of very different size keep their digits; ``mllib``: ``LinearRegression(solver='normal', regParam=0)``."""
     features = list(features)
     if method == "mllib":
         lr = LinearRegression(featuresCol="_f", labelCol=target, solver="normal", regParam=0.0,
                               standardization=False, fitIntercept=True)
         m = lr.fit(assemble(df.select(*features, target), features, "_f"))
         return LinearModel(float(m.intercept), dict(zip(features, map(float, m.coefficients.toArray()))))
-    a, b, _, _ = gram_arrays(df, features, target)
+    columns = [*features, target]
+    moments = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(columns)],
+                     *[F.stddev_pop(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(columns)]).first()
+    mean = [moments[f"m{i}"] or 0.0 for i in range(len(columns))]
+    scale = [moments[f"s{i}"] or 1.0 for i in range(len(columns))]
+    z = df.select(*[((F.col(c).cast("double") - F.lit(m)) / F.lit(s)).alias(f"z{i}")
+                    for i, (c, m, s) in enumerate(zip(columns, mean, scale))])
+    a, b, _, _ = gram_arrays(z, [f"z{i}" for i in range(len(features))], f"z{len(features)}")
     beta = np.linalg.lstsq(a, b, rcond=None)[0]
-    return LinearModel(float(beta[0]), dict(zip(features, map(float, beta[1:]))))
+    slopes = [float(w) * scale[-1] / s for w, s in zip(beta[1:], scale)]
+    intercept = mean[-1] + float(beta[0]) * scale[-1] - sum(w * m for w, m in zip(slopes, mean))
+    return LinearModel(intercept, dict(zip(features, slopes)))
 
 
 def linreg_gd(df: DataFrame, features: Sequence[str], target: str, lr: float = 0.001, epochs: int = 100,
@@ -125,77 +133,22 @@ def linreg_gd(df: DataFrame, features: Sequence[str], target: str, lr: float = 0
     return LinearModel(float(beta[0]), dict(zip(features, map(float, beta[1:]))))
 
 
-def sgd_fit(df: DataFrame, features: Sequence[str], label: str, key_cols: Sequence[str], loss: str = "squared",
-            lr: float = 0.01, epochs: int = 3, batch_size: int = 1024, seed: int = 42) -> LinearModel:
-    """Mini-batch gradient descent over shuffled batches (``shuffled_batches``).
-
-    squared loss: one Spark job per epoch computes every batch's Gram matrix;
-    the epoch's steps are then replayed in batch order on the driver (exact).
-    logistic loss: one aggregate job per step with the weights as literals
-    (built-in expressions, no Python per row).  Meant for big batches."""
-    features = list(features)
-    d = len(features) + 1
-    beta = np.zeros(d)
-    base = df.select(*key_cols, *features, label)
-    tiebreak = [c for c in [*features, label] if c not in key_cols]
-    # many jobs read the batch table: write it once to the shared checkpoint folder
-    # (lineage cut, survives executor loss) and keep a cached copy for speed
-    batches = (shuffled_batches(base, key_cols, batch_size, epochs, seed, tiebreak)
-               .checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK))
-    try:
-        for e in range(epochs):
-            ep = batches.where(F.col("epoch") == e)
-            if loss == "squared":
-                terms = _terms(features, label, True)
-                pairs = [(i, j) for i in range(len(terms)) for j in range(i, len(terms))]
-                rows = ep.groupBy("batch").agg(
-                    *[F.sum(_term_col(terms[i]) * _term_col(terms[j])).alias(f"g{k}") for k, (i, j) in enumerate(pairs)],
-                    F.count(F.lit(1)).alias("n")).orderBy("batch").limit(MAX_BATCHES_PER_EPOCH + 1).collect()
-                if len(rows) > MAX_BATCHES_PER_EPOCH:
-                    raise ValueError("too many batches per epoch for sgd_fit; use a larger batch or linreg_gd")
-                for r in rows:
-                    full = np.zeros((d + 1, d + 1))
-                    for k, (i, j) in enumerate(pairs):
-                        full[i, j] = full[j, i] = r[f"g{k}"] or 0.0
-                    a, b = full[:d, :d], full[:d, d]
-                    beta = beta - lr * (2.0 / r["n"]) * (a @ beta - b)
-            elif loss == "logistic":
-                n_b = ep.agg(F.max("batch")).first()[0]
-                for bi in range(int(n_b) + 1):
-                    z = F.lit(float(beta[0]))
-                    for w, c in zip(beta[1:], features):
-                        z = z + F.lit(float(w)) * F.col(c)
-                    resid = S.sigmoid(z) - F.col(label)
-                    g = ep.where(F.col("batch") == bi).agg(
-                        F.count(F.lit(1)).alias("n"), F.sum(resid).alias("g0"),
-                        *[F.sum(resid * F.col(c)).alias(f"g{i + 1}") for i, c in enumerate(features)]).first()
-                    if not g["n"]:
-                        continue
-                    grad = np.array([g[f"g{i}"] for i in range(d)]) / g["n"]
-                    beta = beta - lr * grad
-            else:
-                raise ValueError("loss must be 'squared' or 'logistic'")
-    finally:
-        batches.unpersist()
-    return LinearModel(float(beta[0]), dict(zip(features, map(float, beta[1:]))))
-
-
 # --- classifiers (MLlib) ----------------------------------------------------------
 
-ROWS_PER_PARTITION = 50_000
+PARTITION_BYTES = 64 << 20
 
 
-def _fit(estimator, train: DataFrame, features: Sequence[str], label: str,
-         rows_per_partition: int = ROWS_PER_PARTITION):
+def _fit(estimator, train: DataFrame, features: Sequence[str], label: str, partition_bytes: int = PARTITION_BYTES):
     """Fit an iterative MLlib estimator on assembled features.
 
-    Each optimiser iteration is one Spark job over the training set, so the
-    set is cached for the fit and its partitions are sized by row count: many
-    partitions for a large set, few for a small one (per-task overhead would
-    otherwise dominate every iteration).  Returns (model, n_rows)."""
+    Each optimiser iteration is one Spark job over the training set, so the set is
+    cached for the fit, in one partition for each core, or in more where a partition
+    would pass ``partition_bytes``.  Returns (model, n_rows)."""
     data = assemble(train.select(*features, label), features, "_f").select("_f", label)
     n = data.count()
-    parts = max(1, -(-n // rows_per_partition))
+    row_bytes = 8 * (len(features) + 1) + 64
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    parts = max(min(cores, n), -(-n * row_bytes // partition_bytes), 1)
     data = data.repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return estimator(n).fit(data), n

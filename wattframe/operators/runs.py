@@ -11,6 +11,7 @@ from wattframe.functions import scalars as S
 from wattframe.operators.joins import join_small, unmatched_keys
 from wattframe.operators.ranking import hash_positions, ordered_positions
 
+#: levels of a factor become one row's arrays; more is an error, not a cut
 MAX_LEVELS = 10_000
 
 
@@ -25,6 +26,8 @@ def design_matrix(source: DataFrame, factor_cols: Sequence[str], reps: int,
     ``run_id`` is ``run_<combo>_repetition_<rep>``.
     """
     names = list(names or factor_cols)
+    if reps < 1:
+        raise ValueError("a design has at least one repetition")
     for c in factor_cols:  # factors have few levels; refuse a column that is not one
         if source.select(c).distinct().limit(MAX_LEVELS + 1).count() > MAX_LEVELS:
             raise ValueError(f"{c} has more than {MAX_LEVELS} levels; not a design factor")
@@ -56,7 +59,7 @@ def shuffle_design(design: DataFrame, run_col: str = "run_id", seed: int = 42) -
 
 def lookup_by_key(runs: DataFrame, lookup: DataFrame, run_key: str, lookup_key: str,
                   strict: bool = False) -> DataFrame:
-    """Attach lookup values to runs (left join, broadcast when small).  With
+    """Attach lookup values to runs (left join).  With
     ``strict`` an unknown key raises, like a dict lookup."""
     if strict:
         missing = unmatched_keys(runs, lookup, run_key, lookup_key)
@@ -144,3 +147,36 @@ def assemble_run_table(runs: DataFrame, energy: DataFrame, metrics: DataFrame, r
         S.value_or_sentinel("accuracy_pct", float(S.SENTINEL)).alias("Accuracy_Pct"),
         S.value_or_sentinel("model", "FAILED").alias("Model_Name"),
     )
+
+
+def assemble_board_run_table(runs: DataFrame, energy: DataFrame, metrics: DataFrame, run_key: str, energy_key: str,
+                             metrics_key: str) -> DataFrame:
+    """The whole row of the board layout: energy and start of the run, its own measured
+    duration (``duration_ns``; the span of the log where the run has none), and the
+    unpacked metrics of its model.  ``metrics`` has what ``unpack_metrics`` gives and
+    ``model``.  A run without metrics has sentinels and the model ``FAILED``."""
+    sentinel = F.lit(float(S.SENTINEL))
+    j = runs.join(energy, runs[run_key] == energy[energy_key], "left").join(metrics, runs[run_key] == metrics[metrics_key], "left")
+    span = F.round(F.col("span_s") * F.lit(1e9)).cast("bigint")
+    return j.select(
+        F.concat(F.lit("run_"), runs[run_key].cast("string")).alias("__run_id"), F.lit("DONE").alias("__done"), runs["Library"], runs["Model_Type"],
+        F.col("start_ts").alias("Timestamp_Start"),
+        F.coalesce(runs["duration_ns"], span, F.lit(S.SENTINEL).cast("bigint")).alias("Duration_ns"),
+        F.coalesce(F.col("energy_j"), F.lit(0.0)).alias("CPU_Energy_J"),
+        *[F.coalesce(F.col(c), sentinel).alias(c) for c in ("Accuracy_Pct", "Precision_Pct", "MSE", "r2_score")],
+        F.coalesce(F.when(~F.col("failed"), F.col("model")), F.lit("FAILED")).alias("Model_Name"))
+
+
+def assemble_laptop_run_table(runs: DataFrame, energy: DataFrame, metrics: DataFrame, run_key: str, energy_key: str,
+                              metrics_key: str) -> DataFrame:
+    """The row of the laptop layout: CPU, GPU and total energy, seconds, accuracy.  A
+    failed run has accuracy 0.0 there, not a sentinel, and energies of 0.0."""
+    j = runs.join(energy, runs[run_key] == energy[energy_key], "left").join(metrics, runs[run_key] == metrics[metrics_key], "left")
+    cpu, gpu = F.coalesce(F.col("cpu_j"), F.lit(0.0)), F.coalesce(F.col("gpu_j"), F.lit(0.0))
+    return j.select(
+        F.concat(F.lit("run_"), runs[run_key].cast("string")).alias("__run_id"), F.lit("DONE").alias("__done"), runs["Block_Type"],
+        S.key_prefix(runs["Block_Type"]).alias("Library_Name"), F.col("start_ts").alias("Timestamp_Start"),
+        (cpu + gpu).alias("Total_Energy_J"), cpu.alias("CPU_Energy_J"), gpu.alias("GPU_Energy_J"),
+        F.coalesce(F.col("seconds"), F.lit(0.0)).alias("Time_Taken_s"),
+        F.coalesce(F.col("accuracy_pct"), F.lit(0.0)).alias("Accuracy_Pct"),
+        F.coalesce(F.col("model"), F.lit("FAILED")).alias("Model_Name"))

@@ -15,14 +15,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattframe.functions.scalars import TWO32, hash32
 from wattframe.operators.ranking import hash_positions
 
 BUCKET_BITS = 16
-MAX_STRATA = 10_000
 
 
 def with_split_hash(df: DataFrame, key_cols: Sequence[str], seed: int = 42, name: str = "split_hash") -> DataFrame:
@@ -35,10 +34,6 @@ def bernoulli_split(df: DataFrame, key_cols: Sequence[str], fraction: float, see
     return d.withColumn(out, F.col("split_hash") < F.lit(fraction * TWO32))
 
 
-def _eq(col: str, value) -> Column:
-    return F.col(col).eqNullSafe(F.lit(value))
-
-
 def exact_split(df: DataFrame, key_cols: Sequence[str], fraction: float, seed: int = 42,
                 strata: Sequence[str] = (), out: str = "is_test") -> DataFrame:
     """Exactly ceil(fraction * n_stratum) rows per stratum flagged as test."""
@@ -49,25 +44,23 @@ def exact_split(df: DataFrame, key_cols: Sequence[str], fraction: float, seed: i
     cum = (counts.withColumn("_before", F.coalesce(F.sum("_c").over(w_cum), F.lit(0)))
            .withColumn("_n", F.sum("_c").over(Window.partitionBy(*strata)))
            .withColumn("_k", F.ceil(F.lit(float(fraction)) * F.col("_n"))))
-    cut_rows = (cum.where((F.col("_before") < F.col("_k")) & (F.col("_k") <= F.col("_before") + F.col("_c")))
-                .select(*strata, "_hb", (F.col("_k") - F.col("_before")).alias("_rem"))
-                .limit(MAX_STRATA + 1).collect())
-    # one row per stratum (strata are classes: few by nature)
-    if len(cut_rows) > MAX_STRATA:
-        raise ValueError(f"more than {MAX_STRATA} strata; stratify on a class column")
-    below, in_cut, rem_expr = F.lit(False), F.lit(False), None
-    for r in cut_rows:
-        same = F.lit(True)
-        for s in strata:
-            same = same & _eq(s, r[s])
-        below = below | (same & (F.col("_hb") < F.lit(r["_hb"])))
-        in_cut = in_cut | (same & (F.col("_hb") == F.lit(r["_hb"])))
-        rem_expr = (F.when(same, F.lit(r["_rem"])) if rem_expr is None else rem_expr.when(same, F.lit(r["_rem"])))
-    rest = d.where(~in_cut).withColumn(out, below)
-    w_rank = Window.partitionBy(*strata).orderBy("split_hash", *key_cols)
-    cut = (d.where(in_cut).withColumn("_r", F.row_number().over(w_rank))
-           .withColumn(out, F.col("_r") <= (rem_expr if rem_expr is not None else F.lit(0))).drop("_r"))
-    return rest.unionByName(cut).drop("_hb")
+    # every (stratum, bucket) learns its stratum's cut bucket and how many rows of that one are test rows;
+    # a stratum has at most 2^BUCKET_BITS buckets
+    whole = Window.partitionBy(*strata)
+    at_cut = (F.col("_before") < F.col("_k")) & (F.col("_k") <= F.col("_before") + F.col("_c"))
+    marks = cum.select(*[F.col(c).alias(f"_m{i}") for i, c in enumerate(strata)], F.col("_hb").alias("_mb"),
+                       F.max(F.when(at_cut, F.col("_hb"))).over(whole).alias("_cut"),
+                       F.max(F.when(at_cut, F.col("_k") - F.col("_before"))).over(whole).alias("_rem"))
+    on = F.col("_hb") == F.col("_mb")
+    for i, c in enumerate(strata):
+        on = on & F.col(c).eqNullSafe(F.col(f"_m{i}"))
+    marked = d.join(marks, on, "inner")
+    in_cut = F.coalesce(F.col("_hb") == F.col("_cut"), F.lit(False))
+    rest = marked.where(~in_cut).withColumn(out, F.coalesce(F.col("_hb") < F.col("_cut"), F.lit(False)))
+    w_rank = Window.partitionBy(*strata).orderBy("split_hash", *key_cols)  # the cut bucket's rows only
+    cut = (marked.where(in_cut).withColumn("_r", F.row_number().over(w_rank))
+           .withColumn(out, F.col("_r") <= F.col("_rem")).drop("_r"))
+    return rest.unionByName(cut).drop("_hb", "_mb", "_cut", "_rem", *[f"_m{i}" for i in range(len(strata))])
 
 
 def stratified_split(df: DataFrame, key_cols: Sequence[str], label: str, fraction: float,

@@ -17,13 +17,23 @@ from pyspark.sql import functions as F
 
 from wattframe.functions.pvalues import chi2_pvalue, f_pvalue
 from wattframe.operators.ranking import value_counts_ranked
+from wattframe.session import ensure_checkpoint_dir
 
-INSUFFICIENT = "Insufficient data for statistical tests"
-MAX_CELLS = 100_000
+INSUFFICIENT = "too few rows or groups to test"
+#: levels of the smaller factor of a two-way ANOVA: a square matrix of them is solved on the driver
+MAX_LEVELS = 1_000
+
+
+def _complete(df: DataFrame, value: str, group_cols: Sequence[str]) -> DataFrame:
+    for c in (value, *group_cols):
+        df = df.where(F.col(c).isNotNull())
+    return df
 
 
 def group_moments(df: DataFrame, value: str, group_cols: Sequence[str]) -> DataFrame:
-    return (df.where(F.col(value).isNotNull()).groupBy(*group_cols)
+    """(groups, n, mean, var) of the rows with a value and a group; a row without
+    one of its factors is left out, as R's model functions do."""
+    return (_complete(df, value, group_cols).groupBy(*group_cols)
             .agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"),
                  F.coalesce(F.var_samp(value), F.lit(0.0)).alias("var")))
 
@@ -62,10 +72,11 @@ def kruskal(df: DataFrame, value: str, group_cols: Sequence[str], by: Sequence[s
     """Kruskal-Wallis H with tie correction, per ``by`` partition; groups are
     the combinations of ``group_cols`` (an interaction when there are several).
 
-    H = 12 / (N (N + 1)) * sum R_g^2 / n_g - 3 (N + 1), divided by
-    1 - sum (t^3 - t) / (N^3 - N); df = groups - 1."""
+    H = 12 / (N (N + 1)) * sum n_g (mean rank_g - (N + 1) / 2)^2, divided by
+    1 - sum (t^3 - t) / (N^3 - N); df = groups - 1.  Ranks are centred before they
+    are summed, so no digits are lost to a difference of large numbers."""
     by, group_cols = list(by), list(group_cols)
-    base = df.where(F.col(value).isNotNull())
+    base = _complete(df, value, group_cols)
     whole = not by
     if whole:  # one partition key for everything, so every join below is an equi-join
         base, by = base.withColumn("_all", F.lit(0)), ["_all"]
@@ -73,14 +84,15 @@ def kruskal(df: DataFrame, value: str, group_cols: Sequence[str], by: Sequence[s
     r = value_counts_ranked(base, value, by, carry_cols=group_cols)
     # sum over values of t^3 - t  ==  sum over rows of n_c * (t^2 - 1): folded into the same aggregates
     t = F.col("n_ties").cast("double")
+    centre = (F.col("n_group") + F.lit(1)) / F.lit(2.0)
     per_group = r.groupBy(*by, *group_cols).agg(
-        F.sum("n_c").alias("_n"), F.sum(F.col("n_c") * F.col("mid_rank")).alias("_r"),
+        F.sum("n_c").alias("_n"), F.sum(F.col("n_c") * (F.col("mid_rank") - centre)).alias("_r"),
         F.sum(F.col("n_c").cast("double") * (t * t - F.lit(1.0))).alias("_tg"))
     out = per_group.groupBy(*by).agg(F.sum(F.col("_r") ** 2 / F.col("_n")).alias("_s"),
                                      F.count(F.lit(1)).alias("_k"), F.sum("_tg").alias("_t"),
                                      F.sum("_n").alias("_N"))
     n = F.col("_N").cast("double")
-    h_raw = F.lit(12.0) / (n * (n + 1)) * F.col("_s") - F.lit(3.0) * (n + 1)
+    h_raw = F.lit(12.0) / (n * (n + 1)) * F.col("_s")
     corr = F.lit(1.0) - F.try_divide(F.col("_t"), n * n * n - n)
     keys = [] if whole else by
     return out.select(*keys, F.col("_N").cast("long").alias("n"), (F.col("_k") - 1).cast("long").alias("kruskal_df"),
@@ -96,60 +108,56 @@ def anova_two_way(spark: SparkSession, df: DataFrame, value: str, a: str, b: str
     """Two-way ANOVA with interaction, sequential (type I) sums of squares in
     the order A, B, A:B - unequal cell sizes allowed.
 
-    One grouped job gives the cell table (n, mean, var per (A, B) cell); the
-    additive model is fitted by weighted least squares on that small table."""
-    cells = [r.asDict() for r in group_moments(df, value, [a, b]).limit(MAX_CELLS + 1).collect()]
-    if not cells:
+    One grouped job gives the cell table (n, mean, var per (A, B) cell), which is
+    checkpointed.  The additive model is fitted on it with the effects of the
+    factor that has more levels eliminated in closed form, so that only a square
+    matrix over the levels of the smaller factor (at most ``MAX_LEVELS``, an error
+    beyond) comes to the driver; the other factor may have any number of levels."""
+    ensure_checkpoint_dir(spark)
+    cells = (group_moments(df, value, [a, b])
+             .select(F.col(a).alias("a"), F.col(b).alias("b"), F.col("n").cast("double").alias("n"), "mean", "var")
+             .checkpoint(eager=True))
+    total = cells.agg(F.count(F.lit(1)).alias("cells"), F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("m"),
+                      F.sum((F.col("n") - 1) * F.col("var")).alias("e")).first()
+    if not total["cells"]:
         raise ValueError("no rows")
-    if len(cells) > MAX_CELLS:
-        raise ValueError(f"more than {MAX_CELLS} factor cells")
-    a_lv = sorted({c[a] for c in cells}, key=str)
-    b_lv = sorted({c[b] for c in cells}, key=str)
-    n = np.array([c["n"] for c in cells], dtype=float)
-    m = np.array([c["mean"] for c in cells], dtype=float)
-    v = np.array([c["var"] for c in cells], dtype=float)
-    big_n = n.sum()
-    grand = (n * m).sum() / big_n
-
-    def ss_of(levels, key):
-        tot = 0.0
-        for lv in levels:
-            idx = [i for i, c in enumerate(cells) if c[key] == lv]
-            nl = n[idx].sum()
-            ml = (n[idx] * m[idx]).sum() / nl
-            tot += nl * (ml - grand) ** 2
-        return tot
-
-    ss_a = float(ss_of(a_lv, a))
-    # additive model on the cells: intercept + A dummies + B dummies, weights n
-    x = np.zeros((len(cells), 1 + len(a_lv) - 1 + len(b_lv) - 1))
-    x[:, 0] = 1.0
-    for i, c in enumerate(cells):
-        ia, ib = a_lv.index(c[a]), b_lv.index(c[b])
-        if ia > 0:
-            x[i, ia] = 1.0
-        if ib > 0:
-            x[i, len(a_lv) - 1 + ib] = 1.0
-    sw = np.sqrt(n)
-    coef = np.linalg.lstsq(x * sw[:, None], (m - grand) * sw, rcond=None)[0]
-    fitted = x @ coef
-    ss_add = float((n * fitted ** 2).sum())
-    ss_b = ss_add - ss_a
-    ss_cells = float((n * (m - grand) ** 2).sum())
-    ss_ab = ss_cells - ss_add
-    ss_e = float(((n - 1) * v).sum())
-    df_a, df_b = len(a_lv) - 1, len(b_lv) - 1
-    df_ab = len(cells) - len(a_lv) - len(b_lv) + 1
-    df_e = int(big_n) - len(cells)
-    ms_e = ss_e / df_e if df_e > 0 else None
+    c = cells.withColumn("y", F.col("mean") - F.lit(total["m"]))
+
+    def levels_ss(key):
+        per = c.groupBy(key).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("y")).alias("s"))
+        return per.agg(F.count(F.lit(1)), F.sum(F.col("s") ** 2 / F.col("n"))).first()
+
+    (n_a, ss_a), (n_b, ss_b_alone) = levels_ss("a"), levels_ss("b")
+    many, few = ("a", "b") if n_a >= n_b else ("b", "a")
+    if min(n_a, n_b) > MAX_LEVELS:
+        raise ValueError(f"both factors have more than {MAX_LEVELS} levels")
+    # normal equations of the smaller factor after the larger one: (D - N' M^-1 N) g = r
+    per_many = c.groupBy(many).agg(F.sum("n").alias("nm"), F.sum(F.col("n") * F.col("y")).alias("sm"))
+    joined = c.join(per_many, many)
+    right = joined.groupBy(few).agg(F.sum("n").alias("d"), F.sum(F.col("n") * (F.col("y") - F.col("sm") / F.col("nm"))).alias("r")).collect()
+    pairs = (joined.select(F.col(many), F.col(few).alias("i"), F.col("n").alias("ni"), "nm")
+             .join(c.select(F.col(many), F.col(few).alias("j"), F.col("n").alias("nj")), many)
+             .groupBy("i", "j").agg(F.sum(F.col("ni") * F.col("nj") / F.col("nm")).alias("x")).collect())
+    place = {r[few]: k for k, r in enumerate(sorted(right, key=lambda r: str(r[few])))}
+    lhs, rhs = np.zeros((len(place), len(place))), np.zeros(len(place))
+    for r in right:
+        lhs[place[r[few]], place[r[few]]] += r["d"]
+        rhs[place[r[few]]] = r["r"]
+    for r in pairs:
+        lhs[place[r["i"]], place[r["j"]]] -= r["x"]
+    gain = float(rhs @ np.linalg.lstsq(lhs, rhs, rcond=None)[0])  # what the smaller factor adds to the larger
+    ss_add = (ss_a if many == "a" else ss_b_alone) + gain
+    ss_cells = c.agg(F.sum(F.col("n") * F.col("y") ** 2)).first()[0]
+    df_a, df_b, df_ab = n_a - 1, n_b - 1, total["cells"] - n_a - n_b + 1
+    df_e = int(total["n"]) - total["cells"]
+    ms_e = total["e"] / df_e if df_e > 0 else None
     rows = []
-    for term, dfx, ss in ((a, df_a, ss_a), (b, df_b, ss_b), (f"{a}:{b}", df_ab, ss_ab)):
+    for term, dfx, ss in ((a, df_a, ss_a), (b, df_b, ss_add - ss_a), (f"{a}:{b}", df_ab, ss_cells - ss_add)):
         ms = float(ss) / dfx if dfx > 0 else None
         fval = ms / ms_e if ms is not None and ms_e else None
         rows.append((term, int(dfx), float(ss), ms, fval))
-    rows.append(("Residuals", int(df_e), ss_e, ms_e, None))
-    out = spark.createDataFrame(rows, "term string, df long, ss double, ms double, f_value double")
-    return out
+    rows.append(("Residuals", int(df_e), float(total["e"]), ms_e, None))
+    return spark.createDataFrame(rows, "term string, df long, ss double, ms double, f_value double")
 
 
 def stat_tests_all(df: DataFrame, metrics: Sequence[str], group: str, min_groups: int = 2,
@@ -159,7 +167,7 @@ def stat_tests_all(df: DataFrame, metrics: Sequence[str], group: str, min_groups
     metric.  Untestable metrics keep their counts and get the message."""
     long = (df.select(group, *metrics)
             .unpivot([group], list(metrics), "metric", "value")
-            .where(F.col("value").isNotNull()))
+            .where(F.col("value").isNotNull() & F.col(group).isNotNull()))
     # one grouped pass gives the moments for ANOVA and the counts for the gate
     moments = group_moments(long, "value", ["metric", group])
     an = (anova_from_moments(moments, ["metric"])

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattframe.functions import scalars as S
-from wattframe.operators.ranking import exact_quantiles
+from wattframe.operators.ranking import exact_quantiles, value_counts
 
 
 def summary_two_keys(df: DataFrame, keys: Sequence[str], metrics: dict[str, str],
@@ -67,11 +67,11 @@ def non_null_count(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def test_gate(df: DataFrame, group_col: str, metrics: Sequence[str], min_groups: int = 2,
               min_rows: int = 6) -> DataFrame:
-    """Per metric: rows with a value, distinct groups among them, and the gate
+    """Per metric: rows with a value and a group, distinct groups among them, and the gate
     ``groups >= 2 and rows >= 6`` that the statistics loop applies."""
     aggs = []
     for m in metrics:
-        aggs.append(F.count(m).alias(f"n_{m}"))
+        aggs.append(F.count(F.when(F.col(group_col).isNotNull(), F.col(m))).alias(f"n_{m}"))
         aggs.append(F.count_distinct(F.when(F.col(m).isNotNull(), F.col(group_col))).alias(f"g_{m}"))
     agg = df.agg(*aggs)
     return agg.select(F.inline(F.array(*[
@@ -88,12 +88,13 @@ def group_median(df: DataFrame, keys: Sequence[str], metric: str) -> DataFrame:
 def boxplot_stats(df: DataFrame, keys: Sequence[str], metric: str, coef: float = 1.5) -> DataFrame:
     """Per group: quartiles, whiskers (most extreme values inside the 1.5 IQR
     fences) and the number of outliers.  Outlier rows: ``boxplot_outliers``."""
-    q = exact_quantiles(df, metric, {"Q1": 0.25, "Median": 0.5, "Q3": 0.75}, keys)
+    counts = value_counts(df, metric, keys)  # read once, used for quartiles and whiskers
+    q = exact_quantiles(df, metric, {"Q1": 0.25, "Median": 0.5, "Q3": 0.75}, keys, counts=counts)
     q = q.withColumn("_iqr", F.col("Q3") - F.col("Q1"))
     lo_fence = F.col("Q1") - F.lit(coef) * F.col("_iqr")
     hi_fence = F.col("Q3") + F.lit(coef) * F.col("_iqr")
-    # distinct (group, value) counts first (partial aggregate), then compare with the fences
-    vals = (df.where(F.col(metric).isNotNull()).groupBy(*keys, metric).agg(F.count(F.lit(1)).alias("_c")))
+    # distinct (group, value) counts are compared with the fences, one row per group
+    vals = counts.where(F.col(metric).isNotNull()).withColumnRenamed("n_c", "_c").drop("_b")
     j = vals.join(q, on=list(keys), how="inner")
     inside = (F.col(metric) >= lo_fence) & (F.col(metric) <= hi_fence)
     w = j.groupBy(*keys).agg(
@@ -121,22 +122,19 @@ def correlation_matrix(df: DataFrame, metrics: Sequence[str], group_col: str | N
     ``group, metric_x, metric_y, n_pairs, r``."""
     pairs = [(a, b) for i, a in enumerate(metrics) for b in metrics[i + 1:]]
 
-    def one(frame: DataFrame, keys: list) -> DataFrame:
-        aggs = []
-        for i, (a, b) in enumerate(pairs):
-            both = F.col(a).isNotNull() & F.col(b).isNotNull()
-            aggs += [F.corr(a, b).alias(f"r{i}"), F.count_if(both).alias(f"n{i}")]
-        agg = frame.groupBy(*keys).agg(*aggs)
-        grp = F.col(group_col).cast("string") if keys else F.lit(all_label)
-        return agg.select(grp.alias("group"), F.inline(F.array(*[
-            F.struct(F.lit(a).alias("metric_x"), F.lit(b).alias("metric_y"),
-                     F.col(f"n{i}").alias("n_pairs"), F.col(f"r{i}").alias("r"))
-            for i, (a, b) in enumerate(pairs)])))
-
-    out = one(df, [])
-    if group_col:
-        out = out.unionByName(one(df, [group_col]))
-    return out
+    aggs = []
+    for i, (a, b) in enumerate(pairs):
+        both = F.col(a).isNotNull() & F.col(b).isNotNull()
+        aggs += [F.corr(a, b).alias(f"r{i}"), F.count_if(both).alias(f"n{i}")]
+    if group_col:  # overall and per group in one pass
+        agg = df.withColumn("_g", F.col(group_col).cast("string")).rollup("_g").agg(F.grouping("_g").alias("_whole"), *aggs)
+        group = F.when(F.col("_whole") == 1, F.lit(all_label)).otherwise(F.col("_g"))
+    else:
+        agg, group = df.agg(*aggs), F.lit(all_label)
+    return agg.select(group.alias("group"), F.inline(F.array(*[
+        F.struct(F.lit(a).alias("metric_x"), F.lit(b).alias("metric_y"),
+                 F.col(f"n{i}").alias("n_pairs"), F.col(f"r{i}").alias("r"))
+        for i, (a, b) in enumerate(pairs)])))
 
 
 def density_curve(df: DataFrame, metric: str, group_col: str, n_grid: int = 512,
@@ -149,7 +147,8 @@ def density_curve(df: DataFrame, metric: str, group_col: str, n_grid: int = 512,
     point by explode, so the kernel work is bins x grid per group.
     """
     base = df.where(F.col(metric).isNotNull()).select(group_col, metric)
-    q = exact_quantiles(base, metric, {"_q1": 0.25, "_q3": 0.75}, [group_col])
+    counts = value_counts(base, metric, [group_col])  # read once, used for quartiles, moments and bins
+    q = exact_quantiles(base, metric, {"_q1": 0.25, "_q3": 0.75}, [group_col], counts=counts)
     st = base.groupBy(group_col).agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp(metric).alias("_sd"),
                                      F.min(metric).alias("_min"), F.max(metric).alias("_max"))
     st = st.join(q, on=group_col, how="inner")
@@ -163,7 +162,7 @@ def density_curve(df: DataFrame, metric: str, group_col: str, n_grid: int = 512,
     bin_idx = F.when(F.col("_width") > 0,
                      F.least(F.floor((F.col(metric) - F.col("_min")) / F.col("_width")), F.lit(n_bins - 1))
                      ).otherwise(F.lit(0))
-    vals = base.groupBy(group_col, metric).agg(F.count(F.lit(1)).alias("_v"))   # distinct values first
+    vals = counts.withColumnRenamed("n_c", "_v").drop("_b")   # distinct values first
     bins = (vals.join(st.select(group_col, "_min", "_width"), on=group_col, how="inner")
             .withColumn("_bin", bin_idx)
             .groupBy(group_col, "_bin").agg(F.sum("_v").alias("_c")))

@@ -185,3 +185,72 @@ SELECT timestamp, model, recall, f1, num_classes,
 FROM logs""")
 def unpack_metrics(spark, sf_dir):
     return runs.unpack_metrics(_metrics_logs(spark, sf_dir))
+
+
+_MODEL_SQL = f"""
+k AS (SELECT event_type AS model, ts, event_id, value, {_K} AS g FROM events),
+lastm AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY model ORDER BY ts DESC, event_id DESC) = 1),
+lib AS (SELECT c_custkey, c_mktsegment, c_nationkey, c_acctbal,
+               list_extract(['click', 'view', 'purchase', 'none'], CAST(c_custkey % 4 AS INTEGER) + 1) AS asked FROM customer)
+"""
+
+
+def _last_metrics(spark, sf_dir):
+    """The latest metrics row of every model (event type): classification values for
+    one type, regression values for the others."""
+    ev = SI.table(spark, sf_dir, "events").withColumn("g", F.get_json_object("props", "$.k").cast("double"))
+    last = runs.latest_per_key(ev, ["event_type"], ["ts", "event_id"], ["value", "g"])
+    cls = F.col("event_type") == "click"
+    log = last.select(F.col("event_type").alias("model"), F.when(cls, F.col("value") / F.lit(500.0)).alias("accuracy"),
+                      F.when(cls, F.col("g") / F.lit(100.0)).alias("precision"), F.when(~cls, F.col("value")).alias("MSE"),
+                      F.when(~cls, F.lit(1.0) - F.col("g") / F.lit(100.0)).alias("r2_score"))
+    return runs.unpack_metrics(log)
+
+
+@query("assemble_board_run_table", oracle=_ENERGY_RUN_SQL + "," + _MODEL_SQL + """
+SELECT 'run_' || c_custkey AS __run_id, 'DONE' AS __done, c_mktsegment AS Library, 'NN' AS Model_Type, start_ts AS Timestamp_Start,
+       coalesce(CASE WHEN c_acctbal > 0 THEN CAST(round(c_acctbal * 1e9) AS BIGINT) END, CAST(round(span_s * 1e9) AS BIGINT), -999999) AS Duration_ns,
+       round(coalesce(energy_j, 0.0), 2) AS CPU_Energy_J,
+       CASE WHEN lastm.model = 'click' THEN value / 500.0 * 100.0 ELSE -999999.0 END AS Accuracy_Pct,
+       CASE WHEN lastm.model = 'click' THEN g / 100.0 * 100.0 ELSE -999999.0 END AS Precision_Pct,
+       CASE WHEN lastm.model <> 'click' THEN value ELSE -999999.0 END AS MSE,
+       CASE WHEN lastm.model <> 'click' THEN 1.0 - g / 100.0 ELSE -999999.0 END AS r2_score, coalesce(lastm.model, 'FAILED') AS Model_Name
+FROM lib LEFT JOIN e ON c_custkey = e.run_id LEFT JOIN lastm ON asked = lastm.model""")
+def assemble_board_run_table(spark, sf_dir):
+    """Run = customer: its samples' energy, the balance (if positive) as measured seconds,
+    the latest metrics of the model it asked for (one in four asks for none)."""
+    s = SI.power_samples(spark, sf_dir)
+    e = energy.energy_per_run(s, ["run_id"], ["cpu_w"], order_cols=["seq"]).select(
+        F.col("run_id").alias("e_run"), "start_ts", "span_s", F.col("cpu_w_energy_j").alias("energy_j"))
+    c = SI.table(spark, sf_dir, "customer")
+    asked = F.get(F.array(*map(F.lit, ("click", "view", "purchase", "none"))), (F.col("c_custkey") % 4).cast("int"))
+    r = c.select("c_custkey", F.col("c_mktsegment").alias("Library"), F.lit("NN").alias("Model_Type"), asked.alias("asked"),
+                 F.when(F.col("c_acctbal") > 0, F.round(F.col("c_acctbal") * F.lit(1e9)).cast("bigint")).alias("duration_ns"))
+    m = r.select(F.col("c_custkey").alias("m_run"), "asked").join(_last_metrics(spark, sf_dir), F.col("asked") == F.col("model")).drop("asked")
+    return rounded(runs.assemble_board_run_table(r, e, m, "c_custkey", "e_run", "m_run"), {"CPU_Energy_J": 2})
+
+
+@query("assemble_laptop_run_table", oracle="""
+WITH p AS (SELECT user_id, min(ts) AS start_ts, sum(value) AS cpu, sum(""" + _K + """) AS gpu FROM events GROUP BY user_id),
+m AS (SELECT o_custkey, o_orderpriority AS model, o_totalprice / 5000.0 AS acc FROM orders
+      QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1)
+SELECT 'run_' || c_custkey AS __run_id, 'DONE' AS __done, c_mktsegment || '_CPU' AS Block_Type, c_mktsegment AS Library_Name,
+       start_ts AS Timestamp_Start, CAST(round(coalesce(cpu * abs(c_acctbal), 0) + coalesce(gpu * abs(c_acctbal), 0)) AS BIGINT) AS Total_Energy_J,
+       CAST(round(coalesce(cpu * abs(c_acctbal), 0)) AS BIGINT) AS CPU_Energy_J, CAST(round(coalesce(gpu * abs(c_acctbal), 0)) AS BIGINT) AS GPU_Energy_J,
+       abs(c_acctbal) AS Time_Taken_s, coalesce(acc, 0.0) AS Accuracy_Pct, coalesce(model, 'FAILED') AS Model_Name
+FROM customer LEFT JOIN p ON c_custkey = user_id LEFT JOIN m ON c_custkey = o_custkey""")
+def assemble_laptop_run_table(spark, sf_dir):
+    """Run = customer: constant-step energies over the balance as seconds, latest metrics."""
+    s = SI.power_samples(spark, sf_dir)
+    c = SI.table(spark, sf_dir, "customer").withColumn("seconds", F.abs(F.col("c_acctbal")))
+    e = energy.energy_constant_step(s, c.select(F.col("c_custkey").alias("run_id"), "seconds"), ["run_id"], "seconds", "cpu_w", "gpu_w")
+    starts = energy.first_sample(s, ["run_id"], [], order_cols=["seq"])
+    e = e.join(starts, "run_id").select(F.col("run_id").alias("e_run"), "start_ts", F.col("cpu_energy_j").alias("cpu_j"), F.col("gpu_energy_j").alias("gpu_j"))
+    o = SI.table(spark, sf_dir, "orders")
+    m = runs.latest_per_key(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], ["o_orderpriority", "o_totalprice"]).select(
+        F.col("o_custkey").alias("m_run"), F.col("o_orderpriority").alias("model"), (F.col("o_totalprice") / F.lit(5000.0)).alias("accuracy_pct"))
+    r = c.select("c_custkey", F.concat("c_mktsegment", F.lit("_CPU")).alias("Block_Type"), "seconds")
+    out = runs.assemble_laptop_run_table(r, e, m, "c_custkey", "e_run", "m_run")
+    for j in ("Total_Energy_J", "CPU_Energy_J", "GPU_Energy_J"):
+        out = out.withColumn(j, F.round(j).cast("bigint"))
+    return out

@@ -78,12 +78,13 @@ def append_metrics_json(spark, sf_dir):
 
 
 @query("scan_json_records", oracle="""
-SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders""")
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders""")
 def scan_json_records(spark, sf_dir):
+    """Each part file one JSON array of records, times included."""
     path = scratch_path(spark, "json_records")
-    SI.table(spark, sf_dir, "orders").drop("o_orderdate").write.json(path)
-    schema = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderpriority string"
-    return readers.scan_json_records(spark, path, schema, multi_line=False)
+    orders = SI.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+    sinks.write_json_array(orders, path)
+    return readers.scan_json_records(spark, path, orders.schema)
 
 
 @query("write_run_table", oracle=_ENERGY_RUN_SQL + """
@@ -127,8 +128,7 @@ def scan_power_logs(spark, sf_dir):
                        date, util, F.col("cpu_w").alias("CPU Power"))
     for part in (system, process):
         part.write.mode("append").partitionBy("log").option("header", True).csv(root)
-    digits = "{" + ",".join("[0-9]" * k for k in range(1, 7)) + "}"
-    out = readers.scan_power_logs(spark, root, system_glob=f"log=run_*_repetition_{digits}.csv/*.csv",
+    out = readers.scan_power_logs(spark, root, system_glob="log=run_*_repetition_*.csv/*.csv",
                                   process_glob="log=run_*_repetition_*.csv-*.csv/*.csv")
     return out.drop("file")
 
@@ -171,9 +171,8 @@ def scan_run_table(spark, sf_dir):
 h AS (SELECT *, ('0x' || substr(md5('42:' || run_id), 1, 8))::BIGINT AS order_key FROM design)
 SELECT CAST(row_number() OVER (ORDER BY order_key, run_id) - 1 AS BIGINT) AS pos, run_id AS ml_library FROM h""")
 def scan_run_order(spark, sf_dir):
-    """The shuffled run order written as a one-column list, read back with positions.
-    The design has (factor levels x repetitions) rows - small by nature - so one file holds it."""
+    """The shuffled run order written as a sorted one-column list, read back with positions."""
     path = scratch_path(spark, "run_order")
     order = runs.shuffle_design(_design(spark, sf_dir)).orderBy("position")
-    order.select(F.col("run_id").alias("ml_library")).coalesce(1).write.option("header", True).csv(path)
+    order.select(F.col("run_id").alias("ml_library")).write.option("header", True).csv(path)
     return readers.scan_run_order(spark, path, "ml_library")

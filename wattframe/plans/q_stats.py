@@ -127,3 +127,51 @@ def anova_two_way_pvalues(spark, sf_dir):
     out = stats.anova_two_way(spark, SI.laptop_metrics(spark, sf_dir), "M2_Total_Energy_J", "Library_Name", "Platform")
     df_e = out.where(F.col("term") == "Residuals").first()["df"]
     return stats.with_f_pvalue(out.withColumn("df_e", F.lit(df_e)), "f_value", "df", "df_e")
+
+
+LAPTOP_TESTED = ["M2_Total_Energy_J", "M3_Execution_Time_s", "M4_Model_Accuracy", "M5_Energy_Efficiency"]
+
+
+def _anova_two_way_sql(value: str) -> str:
+    """Type-I sums of squares of library, platform and their interaction (subquery text;
+    the library has two levels, so its effect given the platform has a closed form)."""
+    return f"""(
+  WITH c AS (SELECT Library_Name AS a, Platform AS b, count(*) AS n, avg({value}) AS m, coalesce(var_samp({value}), 0) AS v
+             FROM lm WHERE {value} IS NOT NULL AND Library_Name IS NOT NULL AND Platform IS NOT NULL GROUP BY ALL),
+  g AS (SELECT sum(n * m) / sum(n) AS grand, sum(n) AS nn, count(*) AS cells, count(DISTINCT a) AS ka, count(DISTINCT b) AS kb,
+               sum((n - 1) * v) AS ss_e FROM c),
+  sa AS (SELECT sum(na * (ma - grand) * (ma - grand)) AS ss FROM (SELECT sum(n) AS na, sum(n * m) / sum(n) AS ma FROM c GROUP BY a), g),
+  sb AS (SELECT sum(nb * (mb - grand) * (mb - grand)) AS ss FROM (SELECT sum(n) AS nb, sum(n * m) / sum(n) AS mb FROM c GROUP BY b), g),
+  ab AS (SELECT sum(w * d) * sum(w * d) / sum(w) AS ss FROM (SELECT f.n * o.n / (f.n + o.n) AS w, f.m - o.m AS d
+         FROM c f JOIN c o ON f.b = o.b AND f.a = 'F' AND o.a = 'O')),
+  t AS (SELECT 'Library_Name' AS term, ka - 1 AS df, sa.ss AS ss FROM sa, g
+        UNION ALL SELECT 'Platform', kb - 1, sb.ss + ab.ss - sa.ss FROM sa, sb, ab, g
+        UNION ALL SELECT 'Library_Name:Platform', cells - ka - kb + 1,
+                  (SELECT sum(n * (m - grand) * (m - grand)) FROM c, g) - sb.ss - ab.ss FROM sb, ab, g
+        UNION ALL SELECT 'Residuals', nn - cells, ss_e FROM g)
+  SELECT term, CAST(df AS BIGINT) AS df, ss, ss / df AS ms,
+         CASE WHEN term <> 'Residuals' THEN (ss / df) / (SELECT ss / df FROM t WHERE term = 'Residuals') END AS f_value FROM t)"""
+
+
+@query("anova_two_way_all", oracle=Q.with_(Q.LAPTOP) + " UNION ALL ".join(
+    f"SELECT '{m}' AS metric, term, df, round(ss, 3) AS ss, round(ms, 3) AS ms, round(f_value, 5) AS f_value FROM {_anova_two_way_sql(m)}"
+    for m in LAPTOP_TESTED))
+def anova_two_way_all(spark, sf_dir):
+    """Two-way ANOVA of every laptop metric."""
+    lm = SI.laptop_metrics(spark, sf_dir)
+    out = None
+    for m in LAPTOP_TESTED:
+        one = stats.anova_two_way(spark, lm, m, "Library_Name", "Platform").select(F.lit(m).alias("metric"), "*")
+        out = one if out is None else out.unionByName(one)
+    return rounded(out, {"ss": 3, "ms": 3, "f_value": 5})
+
+
+@query("kruskal_interaction_all", oracle=Q.with_(Q.LAPTOP) + " UNION ALL ".join(
+    f"SELECT '{m}' AS metric, n, kruskal_df, round(kruskal_h, 6) AS kruskal_h FROM " + _kruskal_sql('lm', m, "Library_Name || '.' || Platform")
+    for m in LAPTOP_TESTED))
+def kruskal_interaction_all(spark, sf_dir):
+    """Kruskal-Wallis of every laptop metric over library and platform, in one pass."""
+    long = (SI.laptop_metrics(spark, sf_dir).select("Library_Name", "Platform", *LAPTOP_TESTED)
+            .unpivot(["Library_Name", "Platform"], LAPTOP_TESTED, "metric", "value"))
+    out = stats.kruskal(long, "value", ["Library_Name", "Platform"], by=["metric"])
+    return rounded(out.select("metric", "n", "kruskal_df", "kruskal_h"), {"kruskal_h": 6})

@@ -1,10 +1,11 @@
 """Streaming keys: the driver's samples arrive week by week in a growing folder.
 
-Each call stages the power samples (derived from ``events``) into a source
-folder under the shared checkpoint area, one time slice after another, and
-runs the stream with ``availableNow`` after each slice - the way a meter's
-folder grows.  The returned DataFrame is the current value per key read back
-from the sink; its oracle is the batch SQL of the same quantity.
+The power samples (derived from ``events``) are staged once by week under the shared
+checkpoint area, and then moved to the source folder one week after another, the
+samples of a run and week in one file.  One query reads the folder in the order in
+which its files appeared, a few files to a micro-batch (``maxFilesPerTrigger``).  The
+returned DataFrame is the current value per key read back from the sink; its oracle
+is the batch SQL of the same quantity.
 """
 
 from __future__ import annotations
@@ -21,17 +22,23 @@ from wattframe.session import scratch_path
 from wattframe.streaming import meter
 
 
+FILES_PER_TRIGGER = 64
+
+
 def _run_growing(spark, sf_dir, name, build_stream, key_cols):
     samples = SI.power_samples(spark, sf_dir)
     base = scratch_path(spark, name)
-    src, sink, ckpt = (os.path.join(base, p) for p in ("source", "sink", "checkpoint"))
-    week = F.date_trunc("week", F.col("ts"))
-    # one staged slice per calendar week (the arrival unit of the harness); bounded fetch
-    weeks = [r[0] for r in samples.select(week.alias("w")).distinct().orderBy("w").limit(100_000).collect()]
-    stream_in = spark.readStream.schema(samples.schema).parquet(os.path.join(src, "slice_*"))
+    staged, src, sink, ckpt = (os.path.join(base, p) for p in ("staged", "source", "sink", "checkpoint"))
+    week = F.date_format(F.date_trunc("week", F.col("ts")), "yyyy-MM-dd")
+    samples.withColumn("week", week).repartition("week", "run_id").write.partitionBy("week").parquet(staged)
+    arrived = spark.read.option("basePath", staged).parquet(staged)
+    weeks = [r[0] for r in arrived.select(F.col("week").cast("string")).distinct().orderBy("week").collect()]  # a calendar's weeks
     for i, w in enumerate(weeks):
-        samples.where(week == F.lit(w)).write.mode("overwrite").parquet(os.path.join(src, f"slice_{i:05d}"))
-        meter.start_to_folder(build_stream(stream_in), sink, ckpt, f"{name}_{i}")
+        (arrived.where(F.col("week") == F.lit(w)).drop("week").repartition("run_id")
+         .write.parquet(os.path.join(src, f"slice_{i:05d}")))
+    stream_in = (spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", FILES_PER_TRIGGER)
+                 .parquet(os.path.join(src, "slice_*")))
+    meter.start_to_folder(build_stream(stream_in), sink, ckpt, name)
     return meter.read_latest(spark, sink, key_cols)
 
 

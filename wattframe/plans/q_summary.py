@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 
+from pyspark.sql import functions as F
+
 from wattframe.operators import summary
 from wattframe.plans import sql_tables as Q
 from wattframe.plans import standins as SI
@@ -159,3 +161,45 @@ def boxplot_outliers(spark, sf_dir):
     m = SI.laptop_metrics(spark, sf_dir).select("l_orderkey", "l_linenumber", "Platform", "Library_Name",
                                                  "M5_Energy_Efficiency")
     return summary.boxplot_outliers(m, ["Platform", "Library_Name"], "M5_Energy_Efficiency")
+
+
+@query("boxplot_stats_all", oracle=Q.with_(Q.LAPTOP) + """,
+u AS (UNPIVOT (SELECT Platform, Library_Name, %s FROM lm) ON %s INTO NAME metric VALUE v),
+q AS (SELECT metric, Platform, Library_Name, quantile_cont(v, 0.25) AS Q1, quantile_cont(v, 0.5) AS Median, quantile_cont(v, 0.75) AS Q3
+      FROM u GROUP BY ALL),
+j AS (SELECT u.*, v >= Q1 - 1.5 * (Q3 - Q1) AND v <= Q3 + 1.5 * (Q3 - Q1) AS inside FROM u JOIN q USING (metric, Platform, Library_Name))
+SELECT metric, Platform, Library_Name, round(Q1, 8) AS Q1, round(Median, 8) AS Median, round(Q3, 8) AS Q3,
+       round(Lower_Whisker, 8) AS Lower_Whisker, round(Upper_Whisker, 8) AS Upper_Whisker, N_Outliers, N
+FROM q JOIN (SELECT metric, Platform, Library_Name, min(v) FILTER (WHERE inside) AS Lower_Whisker,
+                    max(v) FILTER (WHERE inside) AS Upper_Whisker, count(*) FILTER (WHERE NOT inside) AS N_Outliers,
+                    count(*) AS N FROM j GROUP BY ALL) USING (metric, Platform, Library_Name)""" % (
+    ", ".join(LAPTOP_METRICS.values()), ", ".join(LAPTOP_METRICS.values())))
+def boxplot_stats_all(spark, sf_dir):
+    """Box data of every laptop metric in one pass over the table."""
+    metrics = list(LAPTOP_METRICS.values())
+    long = (SI.laptop_metrics(spark, sf_dir).select("Platform", "Library_Name", *metrics)
+            .unpivot(["Platform", "Library_Name"], metrics, "metric", "value").where(F.col("value").isNotNull()))
+    out = summary.boxplot_stats(long, ["metric", "Platform", "Library_Name"], "value")
+    return rounded(out, {c: 8 for c in ["Q1", "Median", "Q3", "Lower_Whisker", "Upper_Whisker"]})
+
+
+_BOARD_CORR = ["M1_Avg_Power_W", "M2_Total_Energy_J", "M3_Exec_Time_s", "M5_Energy_Efficiency", "Accuracy_Pct", "Precision_Pct"]
+
+
+@query("correlation_matrix_board", oracle=Q.with_(Q.BOARD) + " UNION ALL ".join(
+    f"SELECT 'ALL' AS \"group\", '{a}' AS metric_x, '{b}' AS metric_y, count(*) FILTER (WHERE {a} IS NOT NULL AND {b} IS NOT NULL) AS n_pairs, "
+    f"round(corr({a}, {b}), 8) AS r FROM bm" for i, a in enumerate(_BOARD_CORR) for b in _BOARD_CORR[i + 1:]))
+def correlation_matrix_board(spark, sf_dir):
+    return rounded(summary.correlation_matrix(SI.board_metrics(spark, sf_dir), _BOARD_CORR), {"r": 8})
+
+
+@query("scatter_pairs", oracle=Q.with_(Q.LAPTOP) + " UNION ALL ".join(
+    f"SELECT Platform, Library_Name, '{a}' AS metric_x, '{b}' AS metric_y, {a} AS x, {b} AS y FROM lm WHERE {a} IS NOT NULL AND {b} IS NOT NULL"
+    for i, a in enumerate(_CORR_COLS) for b in _CORR_COLS[i + 1:]))
+def scatter_pairs(spark, sf_dir):
+    """Points of every pair of laptop metrics, one read of the table."""
+    pairs = [(a, b) for i, a in enumerate(_CORR_COLS) for b in _CORR_COLS[i + 1:]]
+    points = SI.laptop_metrics(spark, sf_dir).select("Platform", "Library_Name", F.inline(F.array(*[
+        F.struct(F.lit(a).alias("metric_x"), F.lit(b).alias("metric_y"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
+        for a, b in pairs])))
+    return points.where(F.col("x").isNotNull() & F.col("y").isNotNull())

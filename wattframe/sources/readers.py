@@ -10,11 +10,12 @@ import logging
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wattframe.functions.scalars import parse_power_time
+from wattframe.operators.ranking import ordered_positions
 
 log = logging.getLogger(__name__)
 
@@ -41,8 +42,10 @@ METRIC_RENAMES = {"f1_score": "f1"}
 
 # keys from the log name: a file name, or a folder name holding the log's part files
 _RUN_FILE_RE = r"run_(\d+)_repetition_(\d+)\.csv(?:-(\d+)\.csv)?(?=/[^/]*$|$)"
-# system logs end in repetition_<digits>.csv, per-process logs in .csv-<pid>.csv
-_SYSTEM_GLOB = "run_*_repetition_{" + ",".join("[0-9]" * k for k in range(1, 7)) + "}.csv"
+# system logs end in repetition_<digits>.csv, per-process logs in .csv-<pid>.csv; the first
+# glob also matches the second kind, which is told apart by the name
+_SYSTEM_GLOB = "run_*_repetition_*.csv"
+_SYSTEM_NAME = r"run_\d+_repetition_\d+\.csv(/[^/]*)?$"
 _PROCESS_GLOB = "run_*_repetition_*.csv-*.csv"
 
 
@@ -83,18 +86,23 @@ def _scan_layout(spark: SparkSession, directory: str, glob: str, names: Sequence
 
 
 def scan_power_logs(spark: SparkSession, directory: str, ms_mode: str = "integer",
-                    system_glob: str = _SYSTEM_GLOB, process_glob: str = _PROCESS_GLOB) -> DataFrame:
+                    system_glob: str = _SYSTEM_GLOB, process_glob: str = _PROCESS_GLOB,
+                    bad_times: str = "raise") -> DataFrame:
     """All power logs of a folder, both layouts, with run / repetition / pid from
     the log name.  The two layouts are scanned apart (one glob each) and united
     by column name, so per-process CPU power never lands under total power.
     The globs default to the meter's flat file names; a log may also be a
     folder of that name holding part files (give globs ending in ``/*.csv``).
 
+    A time that cannot be read is an error (``bad_times="raise"``) or leaves its row
+    out (``"drop"``); it never counts as a sample without a time.
+
     Output: run, rep, pid (NULL for system logs), layout, ts, cpu_util,
     total_w, cpu_w, gpu_w, file."""
     parts = []
     sysdf = _scan_layout(spark, directory, system_glob, SYSTEM_LOG_COLUMNS)
     if sysdf is not None:
+        sysdf = sysdf.where(F.col("_file").rlike(_SYSTEM_NAME))
         parts.append(sysdf.select(
             F.lit("system").alias("layout"), "_file", F.col("Date").alias("_date"),
             F.col("CPU Utilization").cast("double").alias("cpu_util"),
@@ -112,18 +120,29 @@ def scan_power_logs(spark: SparkSession, directory: str, ms_mode: str = "integer
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
+    if bad_times not in ("raise", "drop"):
+        raise ValueError("bad_times must be 'raise' or 'drop'")
+    out = out.withColumn("_ts", parse_power_time("_date", ms_mode))
+    if bad_times == "drop":
+        out = out.where(F.col("_ts").isNotNull())
+    else:
+        message = F.concat(F.lit("unreadable time in "), F.col("_file"), F.lit(": "), F.coalesce("_date", F.lit("NULL")))
+        out = out.withColumn("_ts", F.when(F.col("_ts").isNull(), F.raise_error(message).cast("timestamp_ntz")).otherwise(F.col("_ts")))
     return out.select(
         F.regexp_extract("_file", _RUN_FILE_RE, 1).cast("int").alias("run"),
         F.regexp_extract("_file", _RUN_FILE_RE, 2).cast("int").alias("rep"),
         F.when(F.regexp_extract("_file", _RUN_FILE_RE, 3) != "",
                F.regexp_extract("_file", _RUN_FILE_RE, 3).cast("int")).alias("pid"),
-        "layout", parse_power_time("_date", ms_mode).alias("ts"),
+        "layout", F.col("_ts").alias("ts"),
         "cpu_util", "total_w", "cpu_w", "gpu_w", F.col("_file").alias("file"))
 
 
 def normalise_metrics(df: DataFrame) -> DataFrame:
     """Rename spelling variants and cast to the superset metrics schema (absent columns NULL)."""
-    df = df.withColumnsRenamed({k: v for k, v in METRIC_RENAMES.items() if k in df.columns})
+    for variant, name in METRIC_RENAMES.items():
+        if variant in df.columns:
+            df = (df.withColumn(name, F.coalesce(name, variant)).drop(variant) if name in df.columns
+                  else df.withColumnRenamed(variant, name))
     cols = []
     for f in METRICS_SCHEMA.fields:
         if f.name in df.columns:
@@ -139,9 +158,9 @@ def normalise_metrics(df: DataFrame) -> DataFrame:
 def scan_metrics_log(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """A metrics log (any of the layouts) in the superset schema."""
     if fmt == "csv":
-        raw = spark.read.option("header", True).option("inferSchema", True).csv(path)
+        raw = spark.read.option("header", True).csv(path)  # names from the header, all text: no inference pass
     elif fmt == "json":
-        raw = spark.read.json(path)
+        raw = spark.read.schema(_string_schema([*METRICS_SCHEMA.names, *METRIC_RENAMES])).json(path)
     else:
         raw = spark.read.format(fmt).load(path)
     return normalise_metrics(raw)
@@ -192,6 +211,7 @@ def scan_run_order(spark: SparkSession, path: str, column: str = "ml_library") -
     if column not in df.columns:
         log.error("column %s not in %s", column, path)
         return empty
-    ordered = df.select(F.monotonically_increasing_id().alias("_id"), F.col(column))
-    # the run-order list is a small experiment file: one ordered window is fine here
-    return ordered.select((F.row_number().over(Window.orderBy("_id")) - 1).cast("long").alias("pos"), column)
+    # the order of the lines: by file name, place of the block in the file, line in the block
+    lines = df.select(F.col(column), F.col("_metadata.file_name").alias("_file"),
+                      F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_line"))
+    return ordered_positions(lines, ["_file", "_at", "_line"]).select(F.col("position").alias("pos"), column)

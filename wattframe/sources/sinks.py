@@ -7,14 +7,16 @@ O(rows appended) and layouts never drift.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattframe.sources.readers import normalise_metrics
 
 
-def append_metrics_csv(df: DataFrame, path: str, partition_by: str | None = "model") -> None:
-    """Append metrics rows to a CSV log in the fixed superset schema."""
+def append_metrics_csv(df: DataFrame, path: str, partition_by: str | None = None) -> None:
+    """Append metrics rows to a CSV log in the fixed superset schema.  A ``partition_by``
+    column turns into folder names, which a reader may retype (``007`` to 7)."""
     out = normalise_metrics(df).withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"))
     w = out.write.mode("append").option("header", True)
     if partition_by:
@@ -22,7 +24,7 @@ def append_metrics_csv(df: DataFrame, path: str, partition_by: str | None = "mod
     w.csv(path)
 
 
-def append_metrics_json(df: DataFrame, path: str, partition_by: str | None = "model") -> None:
+def append_metrics_json(df: DataFrame, path: str, partition_by: str | None = None) -> None:
     """Append metrics rows as JSON lines; time stamps stay ISO text."""
     out = normalise_metrics(df).withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss"))
     w = out.write.mode("append")
@@ -31,6 +33,21 @@ def append_metrics_json(df: DataFrame, path: str, partition_by: str | None = "mo
     w.json(path)
 
 
+def write_json_array(df: DataFrame, path: str) -> None:
+    """Write each partition as one file that holds a JSON array of its records."""
+    def lines(batches):
+        first = True
+        for batch in batches:
+            rows = batch.column(0).to_pylist()
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([("[" if first and not i else ",") + r for i, r in enumerate(rows)])], names=["value"])
+                first = False
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if first else "]"])], names=["value"])
+
+    text = df.select(F.to_json(F.struct(*df.columns), {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}).alias("value"))
+    text.mapInArrow(lines, "value string").write.mode("append").text(path)
+
+
 def write_run_table(df: DataFrame, path: str, fmt: str = "csv",
                     timestamp_format: str = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS") -> None:
     """Write the whole run table produced by the batch job (overwrite)."""

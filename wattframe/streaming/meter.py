@@ -1,10 +1,13 @@
 """Live power meter as Structured Streaming.
 
 ``stream_energy``: running energy per run from a growing directory of power
-samples.  Per-run state is (n, first time, first power, last time, energy
-body, late count); each micro-batch's samples of a run are applied in time
-order.  A sample at or before the run's last time is late: it is not applied
-and is counted.  The final value per run equals the batch ``energy_per_run``.
+samples.  Per-run state is (n, first time, first power, last time and sequence
+number, energy body, late count); each micro-batch's samples of a run are applied
+in the order of (time, sequence number).  A sample that is not after the run's last
+one in that order is late: it is not applied and is counted.  A missing power is
+left out of the energy, as in the batch form.  The final value per run equals the
+batch ``energy_per_run`` if samples arrive in order across micro-batches.  State of
+a run that has been idle for ``idle_timeout_ms`` is closed and dropped.
 
 ``stream_power_windows``: mean / max power per run in tumbling event-time
 windows with a watermark.
@@ -29,8 +32,12 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from wattframe.functions.scalars import epoch_micros
 
 
+#: a run without a sample for a year of event time is closed
+IDLE_TIMEOUT_MS = 365 * 24 * 3600 * 1000
+
+
 def _state_schema(power_cols: Sequence[str]) -> str:
-    cols = ["n long", "first_us long", "last_us long", "late long"]
+    cols = ["n long", "first_us long", "last_us long", "late long", "last_seq long"]
     for p in power_cols:
         cols += [f"p1_{p} double", f"body_{p} double"]
     return ", ".join(cols)
@@ -53,8 +60,8 @@ def _energy_state_fn(run_cols: Sequence[str], power_cols: Sequence[str], idle_ti
     def fn(key, pdfs: Iterator[pd.DataFrame], state):
         if state.hasTimedOut:  # idle run: emit its final value and free the state
             st = list(state.get)
-            p1 = {p: st[4 + 2 * i] for i, p in enumerate(power_cols)}
-            body = {p: st[5 + 2 * i] for i, p in enumerate(power_cols)}
+            p1 = {p: st[5 + 2 * i] for i, p in enumerate(power_cols)}
+            body = {p: st[6 + 2 * i] for i, p in enumerate(power_cols)}
             state.remove()
             yield _energy_row(run_cols, power_cols, key, int(st[0]), int(st[1]), int(st[2]), int(st[3]),
                               p1, body, True)
@@ -66,33 +73,35 @@ def _energy_state_fn(run_cols: Sequence[str], power_cols: Sequence[str], idle_ti
         if state.exists:
             st = list(state.get)
             n, first_us, last_us, late = int(st[0]), int(st[1]), int(st[2]), int(st[3])
-            p1 = {p: st[4 + 2 * i] for i, p in enumerate(power_cols)}
-            body = {p: st[5 + 2 * i] for i, p in enumerate(power_cols)}
+            p1 = {p: st[5 + 2 * i] for i, p in enumerate(power_cols)}
+            body = {p: st[6 + 2 * i] for i, p in enumerate(power_cols)}
+            last_seq = int(st[4])
         else:
-            n, first_us, last_us, late = 0, None, None, 0
+            n, first_us, last_us, late, last_seq = 0, None, None, 0, None
             p1 = {p: None for p in power_cols}
             body = {p: 0.0 for p in power_cols}
         us = pdf["_us"].to_numpy(dtype=np.int64)
         if last_us is not None:
-            keep = us > last_us
+            seq = pdf["_seq"].to_numpy(dtype=np.int64)
+            keep = (us > last_us) | ((us == last_us) & (seq > last_seq))
             late += int((~keep).sum())
             pdf, us = pdf[keep], us[keep]
         if len(us):
             if last_us is None:
                 first_us = int(us[0])
                 for p in power_cols:
-                    p1[p] = float(pdf[p].iloc[0])
+                    p1[p] = float(np.nan_to_num(float(pdf[p].iloc[0])))  # a missing first power gives a zero first term
                 prev = np.concatenate([[us[0]], us[:-1]])
             else:
                 prev = np.concatenate([[last_us], us[:-1]])
             dt = (us - prev) / 1e6
             for p in power_cols:
-                body[p] += float((pdf[p].to_numpy(dtype=float) * dt).sum())
+                body[p] += float(np.nansum(pdf[p].to_numpy(dtype=float) * dt))
             n += len(us)
-            last_us = int(us[-1])
+            last_us, last_seq = int(us[-1]), int(pdf["_seq"].iloc[-1])
         if n == 0:
             return
-        state_row = [n, first_us, last_us, late]
+        state_row = [n, first_us, last_us, late, last_seq]
         for p in power_cols:
             state_row += [p1[p], body[p]]
         state.update(tuple(state_row))
@@ -105,19 +114,22 @@ def _energy_state_fn(run_cols: Sequence[str], power_cols: Sequence[str], idle_ti
 
 
 def stream_energy(samples: DataFrame, run_cols: Sequence[str], power_cols: Sequence[str],
-                  ts_col: str = "ts", seq_col: str | None = None, idle_timeout_ms: int | None = None,
-                  watermark: str = "0 seconds") -> DataFrame:
+                  ts_col: str = "ts", seq_col: str | None = None, idle_timeout_ms: int | None = IDLE_TIMEOUT_MS,
+                  watermark: str | None = None) -> DataFrame:
     """Streaming DataFrame of running energy per run (update mode).
 
-    With ``idle_timeout_ms`` a run that has had no sample for that long (in
+    After ``idle_timeout_ms`` (None: never) a run that has had no sample for that long (in
     event time, past the watermark) emits a final row with ``closed`` = true
-    and its state is dropped; later samples of the same key start a new run."""
+    and its state is dropped; later samples of the same key start a new run.  Samples
+    older than the ``watermark`` (a tenth of the timeout, a day at most) are dropped
+    by Spark and counted nowhere."""
     run_cols, power_cols = list(run_cols), list(power_cols)
     s = samples.select(*run_cols, *power_cols,
                        epoch_micros(ts_col).alias("_us"),
                        (F.col(seq_col) if seq_col else F.lit(0)).cast("long").alias("_seq"))
     timeout = GroupStateTimeout.NoTimeout
     if idle_timeout_ms is not None:
+        watermark = watermark or f"{min(idle_timeout_ms // 10, 24 * 3600 * 1000)} milliseconds"
         s = s.withColumn("_et", F.timestamp_micros("_us")).withWatermark("_et", watermark)
         timeout = GroupStateTimeout.EventTimeTimeout
     types = dict(samples.dtypes)
