@@ -54,24 +54,36 @@ UNSEEN = 65535
 END = b""  # words are never empty
 
 
-def _zip(array: np.ndarray | bytes) -> bytes:
-    raw = array if isinstance(array, bytes) else np.ascontiguousarray(array).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+def _zip(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(raw)
 
 
-def _array(raw: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), kind)
+def _unzip(raw: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(raw)
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Integers >= 0 in the fewest bytes that hold them all, equal bytes of all values
+    side by side, which compresses best."""
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    planes = np.ascontiguousarray(x, "<i8").view(np.uint8).reshape(-1, 8)[:, :width].T
+    return bytes([width]) + _zip(planes.tobytes())
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(_unzip(raw[1:]), np.uint8).reshape(raw[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : raw[0]] = planes.T
+    return out.view("<i8").ravel()
 
 
 def _deltas(x: np.ndarray) -> bytes:
-    """Sorted integers as differences, in the fewest bytes that hold them."""
-    d = np.diff(x, prepend=0)
-    kind = next(k for k in ("<u1", "<u2", "<u4", "<u8") if not len(d) or int(d.max()) <= np.iinfo(k).max)
-    return kind.encode() + _zip(d.astype(kind))
+    """Ascending integers by their differences."""
+    return _pack(np.diff(x, prepend=0))
 
 
 def _undelta(raw: bytes) -> np.ndarray:
-    return np.cumsum(_array(raw[3:], raw[:3].decode()).astype(np.int64))
+    return np.cumsum(_unpack(raw))
 
 
 def _by_shard(to: np.ndarray) -> dict[int, np.ndarray]:
@@ -100,7 +112,7 @@ def blocks_of(docs: DataFrame, ids: Column, train: Column, text_col: str = "text
             flat = np.concatenate(tokens)
             counts = np.bincount(flat[np.repeat(np.array(flags, np.int64) & 1 > 0, lens)], minlength=len(words))
             row = {"block": [number], "n_tokens": [int(n)], "ids": [keys], "flags": [flags], "lens": [lens.tolist()],
-                   "tokens": [_zip(flat.astype("<u4"))], "words": [_zip(b"\n".join(words))], "counts": [_zip(counts.astype("<u4"))]}
+                   "tokens": [_pack(flat)], "words": [_zip(b"\n".join(words))], "counts": [_pack(counts)]}
             number += 1
             clear()
             return pa.RecordBatch.from_arrays([pa.array(row[f.name], f.type) for f in out], schema=out)
@@ -133,24 +145,24 @@ def vocabulary(blocks: DataFrame, shards: int) -> DataFrame:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, raw, counts in zip(*(batch.column(c).to_pylist() for c in ("block", "words", "counts"))):
-                words = zstandard.ZstdDecompressor().decompress(raw).split(b"\n")
-                counts = _array(counts, "<u4")
+                words = _unzip(raw).split(b"\n")
+                counts = _unpack(counts)
                 to = np.fromiter((zlib.crc32(w) for w in words), np.int64, len(words)) % shards
                 rows = [(s, block, at) for s, at in _by_shard(to).items()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([s for s, *_ in rows], pa.int32()), pa.array([b for _, b, _ in rows], pa.int64()),
                      pa.array([_zip(b"\n".join([words[i] for i in at])) for *_, at in rows], pa.binary()),
                      pa.array([_deltas(at) for *_, at in rows], pa.binary()),
-                     pa.array([_zip(counts[at]) for *_, at in rows], pa.binary())], names=["shard", "block", "words", "at", "counts"])
+                     pa.array([_pack(counts[at]) for *_, at in rows], pa.binary())], names=["shard", "block", "words", "at", "counts"])
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
         shard, index, parts = int(pdf["shard"].iloc[0]), {}, []
         for raw in pdf["words"]:
-            words = zstandard.ZstdDecompressor().decompress(raw).split(b"\n")
+            words = _unzip(raw).split(b"\n")
             parts.append(np.array([index.setdefault(w, len(index)) for w in words], np.int64))
         total = np.zeros(len(index), np.int64)
         for part, counts in zip(parts, pdf["counts"]):
-            total[part] += _array(counts, "<u4")  # a word occurs once in a part
+            total[part] += _unpack(counts)  # a word occurs once in a part
         known = total > 0
         names = sorted(index, key=lambda w: (-total[index[w]], w))
         rank = np.empty(len(index), np.int64)
@@ -158,7 +170,7 @@ def vocabulary(blocks: DataFrame, shards: int) -> DataFrame:
         rows = [(-1, b"", b"", b"", int(total.sum()), int(known.sum()))]
         for block, part, at in zip(pdf["block"], parts, pdf["at"]):
             keep = known[part]
-            rows.append((int(block), _deltas(_undelta(at)[keep]), _zip(rank[part][keep] * shards + shard), _zip(total[part][keep]), 0, 0))
+            rows.append((int(block), _deltas(_undelta(at)[keep]), _pack(rank[part][keep] * shards + shard), _pack(total[part][keep]), 0, 0))
         return pd.DataFrame(rows, columns=["block", "at", "nodes", "counts", "n", "v"])
 
     asked = blocks.select("block", "words", "counts").mapInArrow(ask, "shard int, block long, words binary, at binary, counts binary")
@@ -221,7 +233,7 @@ class _Block:
 
     def __init__(self, row, answers: pd.DataFrame):
         self.lens = np.asarray(row["lens"], np.int64)
-        self.tokens = _array(row["tokens"], "<u4").astype(np.int64)
+        self.tokens = _unpack(row["tokens"])
         self.starts = np.cumsum(self.lens) - self.lens
         self.train = np.repeat(np.asarray(row["flags"], np.int64) & 1 > 0, self.lens)
         self.place = np.arange(len(self.tokens)) - np.repeat(self.starts, self.lens)
@@ -230,7 +242,7 @@ class _Block:
         node, count = np.full(size, -1, np.int64), np.zeros(size, np.int64)
         for at, nodes, counts in self.answers.get(1, pd.DataFrame(columns=["at", "nodes", "counts"]))[["at", "nodes", "counts"]].itertuples(index=False):
             at = _undelta(at)
-            node[at], count[at] = _array(nodes, "<i8"), _array(counts, "<i8")
+            node[at], count[at] = _unpack(nodes), _unpack(counts)
         self.word, self.count = node[self.tokens], count[self.tokens]
         # the first word follows an end: the last token of every text is one
         end = int(self.tokens[self.starts[0] + self.lens[0] - 1])
@@ -278,9 +290,9 @@ class _Block:
             code, nodes, counts = np.full(len(c) + 1, UNSEEN, np.int64), np.full(len(c) + 1, -1, np.int64), np.zeros(len(c) + 1, np.int64)
             for shard, a, b, d in self.answers.get(level, pd.DataFrame(columns=["shard", "at", "nodes", "counts"]))[["shard", "at", "nodes", "counts"]].itertuples(index=False):
                 at = places[shard]
-                code[at] = _array(a, "<u2")
+                code[at] = _unpack(a)
                 if b:
-                    nodes[at], counts[at] = _array(b, "<i8"), _array(d, "<i8")
+                    nodes[at], counts[at] = _unpack(b) - 1, _unpack(d)
             steps.append((often, pair, code))
             node, seen = nodes[pair], counts[pair]
         return steps
@@ -305,20 +317,18 @@ def next_level(blocks: DataFrame, answers: DataFrame, level: int, order: int, sh
                 ctx = c[at]
                 first = np.flatnonzero(np.diff(ctx, prepend=-1))
                 size = np.diff(np.append(first, len(at)))
-                rows.append((s, int(row["block"]), _deltas(ctx[first]), _zip(size.astype("<u4")), _zip(seen[at][first].astype("<i8")),
-                             _zip(w[at].astype("<u4") if w[at].max() < 1 << 32 else w[at].astype("<u8")),
-                             _zip(times[at].astype("<u4"))))
+                rows.append((s, int(row["block"]), _deltas(ctx[first]), _pack(size), _pack(seen[at][first]),
+                             _pack(w[at]), _pack(times[at])))
         return pd.DataFrame(rows, columns=["shard", "block", "ctx", "size", "seen", "word", "times"])
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
         shard, ctx, word, times, often = int(pdf["shard"].iloc[0]), [], [], [], []
         for a, b, e, c, d in pdf[["ctx", "size", "seen", "word", "times"]].itertuples(index=False):
-            sizes, t = _array(b, "<u4").astype(np.int64), _array(d, "<u4").astype(np.int64)
+            sizes = _unpack(b)
             ctx.append(np.repeat(_undelta(a), sizes))
-            often.append(np.repeat(_array(e, "<i8"), sizes))
-            raw = zstandard.ZstdDecompressor().decompress(c)
-            word.append(np.frombuffer(raw, "<u4" if len(raw) == 4 * len(t) else "<u8").astype(np.int64))
-            times.append(t)
+            often.append(np.repeat(_unpack(e), sizes))
+            word.append(_unpack(c))
+            times.append(_unpack(d))
         cuts = np.cumsum([0, *map(len, times)])
         ctx, word, times, often = map(np.concatenate, (ctx, word, times, often))
         by = np.lexsort((word, ctx))
@@ -346,8 +356,8 @@ def next_level(blocks: DataFrame, answers: DataFrame, level: int, order: int, sh
             rows = []
             for i, block in enumerate(pdf["block"]):
                 at = number[cuts[i]:cuts[i + 1]]
-                more = (_zip(nodes[at]), _zip(counts[at])) if level < order else (b"", b"")
-                rows.append((int(block), level, shard, _zip(code[at]), *more))
+                more = (_pack(nodes[at] + 1), _pack(counts[at])) if level < order else (b"", b"")
+                rows.append((int(block), level, shard, _pack(code[at]), *more))
             return pd.DataFrame(rows, columns=["block", "level", "shard", "at", "nodes", "counts"])
         finally:
             shutil.rmtree(folder, ignore_errors=True)
