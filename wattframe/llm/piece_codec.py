@@ -29,12 +29,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SPACE = "▁"
-CACHE_UNITS = 300_000
+CACHE_UNITS = 200_000
+BATCH_CHARS = 1 << 21  # values of a batch that are worked on at a time; one long value may be more
 _LOADED: dict = {}
 
 
@@ -180,16 +182,19 @@ def encode_units(p: Pieces, units: Sequence[str]) -> list[bytes]:
     order, first = suffix_array(codes, p.words)
     begin, end = ranges(order, first, p.low, p.high)
     count = end - begin
-    which = np.repeat(np.arange(len(count)), count)
-    start = order[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin, count)]
-    stop = start + p.lengths[which]
-    offset = stop - starts_of[np.searchsorted(ends_of, start)]
+    which = np.repeat(np.arange(len(count), dtype=np.int32), count)
+    start = np.concatenate([order[a:b] for a, b in zip(begin[count > 0], end[count > 0])] or [order[:0]]).astype(np.int32)
+    del order, first
+    stop = start + p.lengths[which].astype(np.int32)
+    begins = np.repeat(starts_of, ends_of - starts_of + 1).astype(np.int32)  # of the unit that each place is in
+    offset = stop - begins[start]
     by = np.lexsort((p.lengths[which], offset)) if not p.bpe else np.argsort(offset, kind="stable")
-    start, stop, piece, offset = start[by], stop[by], p.ids[which[by]], offset[by]
-    value = None if p.bpe else p.value[which[by]]
+    start, stop, which, offset = start[by], stop[by], which[by], offset[by]
+    piece, value = p.ids.astype(np.int32)[which], None if p.bpe else p.value[which]
+    del by, which
     steps, cuts = np.unique(offset, return_index=True)
     last, origin = np.full(len(codes) + 1, -1, np.int64), np.zeros(len(codes) + 1, np.int64)
-    total = np.zeros(len(codes) + 1)
+    total = None if p.bpe else np.zeros(len(codes) + 1)
     last[starts_of] = p.start
     for a, b in zip(cuts, [*cuts[1:], len(offset)]):
         s, e, q = start[a:b], stop[a:b], piece[a:b]
@@ -264,8 +269,18 @@ def _map_column(df: DataFrame, keep: Sequence[Column], column: str, out: str, ki
     schema = T.StructType([*[src.schema[c] for c in names], T.StructField(out, kind)])
     arrow = pa.binary() if isinstance(kind, T.BinaryType) else pa.string()
 
+    def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        begin, size = 0, 0
+        for i, n in enumerate(pc.binary_length(batch.column("_in")).to_pylist()):
+            if i > begin and size + (n or 0) > BATCH_CHARS:
+                yield batch.slice(begin, i - begin)
+                begin, size = i, 0
+            size += n or 0
+        if begin < batch.num_rows:
+            yield batch.slice(begin)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole)):
             values = batch.column("_in").to_pylist()
             made = iter(function([v for v in values if v is not None]))
             yield pa.RecordBatch.from_arrays(
