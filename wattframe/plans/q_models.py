@@ -12,7 +12,7 @@ from wattframe.operators import clean, evaluate, models, split
 from wattframe.operators.features import array_to_columns, standard_scale_fit
 from wattframe.plans import sql_tables as Q
 from wattframe.plans import standins as SI
-from wattframe.plans.catalog import query
+from wattframe.plans.catalog import ORACLES, query
 from wattframe.plans.common import rounded
 
 _H = "('0x' || substr(md5('42:' || o_orderkey), 1, 8))::BIGINT"
@@ -181,8 +181,9 @@ def _run_flow(spark, prepared, fn):
 def _regression_prepared(spark, sf_dir):
     r = SI.regression_table(spark, sf_dir).drop("l_linenumber")
     r = clean.drop_null_rows(r)
-    r = clean.one_hot_drop_first(r, "p_type")
-    return r
+    # the categories are those of the part table: no join is run to list them
+    levels = clean.category_levels(SI.table(spark, sf_dir, "part"), "p_type")
+    return clean.one_hot_drop_first(r, "p_type", levels)
 
 
 def _reg_features(df):
@@ -191,7 +192,7 @@ def _reg_features(df):
 
 @query("linreg_ols_fit")
 def linreg_ols_fit(spark, sf_dir):
-    """Library linear flow: drop NULL rows, 25 % exact split, OLS, metrics on the test rows."""
+    """Library linear flow: drop NULL rows, 25 % hash split by order, OLS, metrics on the test rows."""
     r = SI.regression_table(spark, sf_dir).drop("p_type", "l_linenumber")
     r = clean.drop_null_rows(r)
 
@@ -255,11 +256,13 @@ def logreg_l2(spark, sf_dir):
 
 @query("logreg_plain")
 def logreg_plain(spark, sf_dir):
-    """Network-library logistic flow on the regression table: target above median,
-    stratified 20 % split, scaling, unpenalised logistic regression, accuracy."""
+    """Network-library logistic flow on the regression table: target above median, 20 %
+    hash split by order (lines have no unique key, so it is not stratified), scaling,
+    unpenalised logistic regression, accuracy."""
     r = _regression_prepared(spark, sf_dir)
     from wattframe.operators.ranking import exact_quantiles
-    med = exact_quantiles(r, "l_extendedprice", {"m": 0.5}).first()["m"]
+    prices = SI.table(spark, sf_dir, "lineitem").join(SI.table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"), "left_semi")
+    med = exact_quantiles(prices, "l_extendedprice", {"m": 0.5}).first()["m"]
     r = r.withColumn("label", (F.col("l_extendedprice") > F.lit(med)).cast("int"))
 
     def flow(data):
@@ -303,8 +306,11 @@ def fit_time(spark, sf_dir):
 @query("stamp_run")
 def stamp_run(spark, sf_dir):
     """Metrics row stamped with run time, model name, seed, test size, epochs, batch size."""
+    return _stamped(spark, sf_dir, _dt.datetime.now().strftime("%Y-%m-%d %H:%M:%S"))
+
+
+def _stamped(spark, sf_dir, stamp):
     m = regression_metrics(spark, sf_dir)
-    stamp = _dt.datetime.now().strftime("%Y-%m-%d %H:%M:%S")
     return m.select(F.lit(stamp).alias("timestamp"), F.lit("linear_regression").alias("model"), "*",
                     F.lit(42).alias("random_seed"), F.lit(0.2).alias("test_size"), F.lit(100).alias("epochs"),
                     F.lit(32).alias("batch_size"))
@@ -314,3 +320,26 @@ def stamp_run(spark, sf_dir):
 def fit_scored_rows(spark, sf_dir):
     """What ``fit_time`` scores, without the seconds."""
     return fit_time(spark, sf_dir).select("n_scored")
+
+
+@query("stamp_run_at", oracle=f"""
+SELECT '2024-01-05 00:14:47' AS timestamp, 'linear_regression' AS model, m.*, CAST(42 AS INTEGER) AS random_seed,
+       CAST(0.2 AS DOUBLE) AS test_size, CAST(100 AS INTEGER) AS epochs, CAST(32 AS INTEGER) AS batch_size
+FROM ({ORACLES['regression_metrics']}) m""")
+def stamp_run_at(spark, sf_dir):
+    """``stamp_run`` with the stamp as a parameter."""
+    return _stamped(spark, sf_dir, "2024-01-05 00:14:47")
+
+
+@query("linreg_ols_two", oracle="""
+WITH r AS (SELECT l_quantity * 1e9 AS x, l_discount AS z, l_extendedprice AS y FROM lineitem),
+m AS (SELECT var_pop(x / 1e9) AS sxx, var_pop(z) AS szz, covar_pop(x / 1e9, z) AS sxz, covar_pop(x / 1e9, y) AS sxy,
+             covar_pop(z, y) AS szy, avg(x / 1e9) AS mx, avg(z) AS mz, avg(y) AS my FROM r),
+b AS (SELECT *, (sxy * szz - szy * sxz) / (sxx * szz - sxz * sxz) AS bx, (szy * sxx - sxy * sxz) / (sxx * szz - sxz * sxz) AS bz FROM m)
+SELECT round(my - bx * mx - bz * mz, 4) AS intercept, round(bx, 4) AS per_unit, round(bz, 4) AS per_discount FROM b""")
+def linreg_ols_two(spark, sf_dir):
+    """Two features of very different size (a duration in nanoseconds and a rate)."""
+    li = SI.table(spark, sf_dir, "lineitem").select((F.col("l_quantity") * F.lit(1e9)).alias("x"), "l_discount", "l_extendedprice")
+    m = models.linreg_ols(li, ["x", "l_discount"], "l_extendedprice")
+    return spark.createDataFrame([(round(m.intercept, 4), round(m.coefficients["x"] * 1e9, 4), round(m.coefficients["l_discount"], 4))],
+                                 "intercept double, per_unit double, per_discount double")
