@@ -1,4 +1,4 @@
-"""Every registered key against its DuckDB oracle (or a row check) on sf0.001."""
+"""Every key of the base library against its DuckDB oracle (or a row check) on sf0.001."""
 
 import os
 
@@ -6,10 +6,12 @@ import pytest
 
 import __spark_entry__ as E
 from tests.oracle_check import _rows, duck
+from wattframe.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-KEYS = sorted(E.queries())
-ORACLES = E.oracle_sql()
+catalog.load_all()
+KEYS = sorted(catalog.QUERIES)
+ORACLES = catalog.ORACLES
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
 
@@ -31,6 +33,7 @@ def test_every_key_has_oracle_or_is_known_rows_only():
     assert rows_only <= {"linreg_ols_fit", "linreg_gd", "logreg_l2", "logreg_plain", "mlp_classify",
                          "fit_time", "stamp_run", "stat_tests_pvalues", "anova_two_way_pvalues"}
     assert set(ORACLES) <= set(KEYS)
+    assert set(KEYS) <= set(E.queries()) and set(ORACLES) <= set(E.oracle_sql())
 
 
 # Spark type name -> DuckDB type name
@@ -40,7 +43,7 @@ TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VA
 
 @pytest.mark.parametrize("key", KEYS)
 def test_key(spark, con, key):
-    sdf = E.queries()[key](spark, SF)
+    sdf = catalog.QUERIES[key](spark, SF)
     cols = sdf.columns
     recs = [tuple(r) for r in sdf.collect()]
     if key not in ORACLES:
