@@ -136,19 +136,22 @@ def linreg_gd(df: DataFrame, features: Sequence[str], target: str, lr: float = 0
 # --- classifiers (MLlib) ----------------------------------------------------------
 
 PARTITION_BYTES = 64 << 20
+LEAST_BYTES = 4 << 20  # a core's partition is not made smaller than this
 
 
 def _fit(estimator, train: DataFrame, features: Sequence[str], label: str, partition_bytes: int = PARTITION_BYTES):
     """Fit an iterative MLlib estimator on assembled features.
 
     Each optimiser iteration is one Spark job over the training set, so the set is
-    cached for the fit, in one partition for each core, or in more where a partition
-    would pass ``partition_bytes``.  Returns (model, n_rows)."""
+    cached for the fit, in one partition for each core (fewer where they would hold less
+    than ``LEAST_BYTES``), or in more where a partition would pass ``partition_bytes``.
+    Returns (model, n_rows)."""
     data = assemble(train.select(*features, label), features, "_f").select("_f", label)
     n = data.count()
     row_bytes = 8 * (len(features) + 1) + 64
     cores = train.sparkSession.sparkContext.defaultParallelism
-    parts = max(min(cores, n), -(-n * row_bytes // partition_bytes), 1)
+    size = n * row_bytes
+    parts = max(min(cores, -(-size // LEAST_BYTES)), -(-size // partition_bytes), 1)
     data = data.repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return estimator(n).fit(data), n
