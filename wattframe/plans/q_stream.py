@@ -3,9 +3,11 @@
 The power samples (derived from ``events``) are staged once by week under the shared
 checkpoint area, and then moved to the source folder one week after another, the
 samples of a run and week in one file.  One query reads the folder in the order in
-which its files appeared, a few files to a micro-batch (``maxFilesPerTrigger``).  The
-returned DataFrame is the current value per key read back from the sink; its oracle
-is the batch SQL of the same quantity.
+which its files appeared, a few files to a micro-batch (``maxFilesPerTrigger``).  A file
+holds the whole week of its runs, so a later micro-batch of a week begins with the
+week anew: the watermark of the windows is longer than a week, and a row dropped behind
+it is an error.  The returned DataFrame is the current value per key read back from
+the sink; its oracle is the batch SQL of the same quantity.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from wattframe.streaming import meter
 
 
 FILES_PER_TRIGGER = 64
+#: a slice is a week, and what is seen of it may end a week after what comes next
+WATERMARK = "8 days"
 
 
 def _run_growing(spark, sf_dir, name, build_stream, key_cols):
@@ -38,7 +42,9 @@ def _run_growing(spark, sf_dir, name, build_stream, key_cols):
          .write.parquet(os.path.join(src, f"slice_{i:05d}")))
     stream_in = (spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", FILES_PER_TRIGGER)
                  .parquet(os.path.join(src, "slice_*")))
-    meter.start_to_folder(build_stream(stream_in), sink, ckpt, name)
+    done = meter.start_to_folder(build_stream(stream_in), sink, ckpt, name)
+    if done.rows_behind_watermark:
+        raise RuntimeError(f"{name}: {done.rows_behind_watermark} rows came behind the watermark")
     return meter.read_latest(spark, sink, key_cols)
 
 
@@ -61,6 +67,6 @@ SELECT user_id AS run_id, date_trunc('day', ts) AS window_start, count(*) AS n_s
 FROM events GROUP BY user_id, date_trunc('day', ts)""")
 def stream_power_windows(spark, sf_dir):
     out = _run_growing(spark, sf_dir, "stream_power_windows",
-                       lambda s: meter.stream_power_windows(s, ["run_id"], "cpu_w", "ts", "1 day", "1 day"),
+                       lambda s: meter.stream_power_windows(s, ["run_id"], "cpu_w", "ts", "1 day", WATERMARK),
                        ["run_id", "window_start"])
     return rounded(out.select("run_id", "window_start", "n_samples", "mean_w", "max_w"), {"mean_w": 8})

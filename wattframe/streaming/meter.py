@@ -106,8 +106,9 @@ def _energy_state_fn(run_cols: Sequence[str], power_cols: Sequence[str], idle_ti
             state_row += [p1[p], body[p]]
         state.update(tuple(state_row))
         if idle_timeout_ms is not None:
-            # event time of the watermark is the wall-clock time read as UTC (see stream_energy)
-            state.setTimeoutTimestamp(last_us // 1000 + int(idle_timeout_ms))
+            # event time of the watermark is the wall-clock time read as UTC (see stream_energy);
+            # a run that lags behind the watermark by more than the timeout closes with the next batch
+            state.setTimeoutTimestamp(max(last_us // 1000 + int(idle_timeout_ms), state.getCurrentWatermarkMs() + 1))
         yield _energy_row(run_cols, power_cols, key, n, first_us, last_us, late, p1, body, False)
 
     return fn
@@ -120,9 +121,9 @@ def stream_energy(samples: DataFrame, run_cols: Sequence[str], power_cols: Seque
 
     After ``idle_timeout_ms`` (None: never) a run that has had no sample for that long (in
     event time, past the watermark) emits a final row with ``closed`` = true
-    and its state is dropped; later samples of the same key start a new run.  Samples
-    older than the ``watermark`` (a tenth of the timeout, a day at most) are dropped
-    by Spark and counted nowhere."""
+    and its state is dropped; later samples of the same key start a new run.  The
+    ``watermark`` (a tenth of the timeout, a day at most) only closes idle runs: a
+    sample behind it is applied if it follows its run's last one, else counted as late."""
     run_cols, power_cols = list(run_cols), list(power_cols)
     s = samples.select(*run_cols, *power_cols,
                        epoch_micros(ts_col).alias("_us"),
@@ -131,6 +132,11 @@ def stream_energy(samples: DataFrame, run_cols: Sequence[str], power_cols: Seque
     if idle_timeout_ms is not None:
         watermark = watermark or f"{min(idle_timeout_ms // 10, 24 * 3600 * 1000)} milliseconds"
         s = s.withColumn("_et", F.timestamp_micros("_us")).withWatermark("_et", watermark)
+        # Spark drops rows whose watermark column is behind the watermark before the state
+        # function sees them.  The grouping gets a column that is marked as such and NULL,
+        # so the watermark moves on and no row is dropped.
+        delay = s.schema["_et"].metadata
+        s = s.withColumn("_et", F.lit(None).cast("timestamp").alias("_et", metadata=delay))
         timeout = GroupStateTimeout.EventTimeTimeout
     types = dict(samples.dtypes)
     out_schema = ", ".join([f"{c} {types[c]}" for c in run_cols] + ["n_samples long", "late_samples long"]
@@ -142,7 +148,9 @@ def stream_energy(samples: DataFrame, run_cols: Sequence[str], power_cols: Seque
 
 def stream_power_windows(samples: DataFrame, run_cols: Sequence[str], power_col: str, ts_col: str = "ts",
                          window: str = "1 hour", watermark: str = "2 hours") -> DataFrame:
-    """Streaming DataFrame of per-run tumbling-window mean / max power."""
+    """Streaming DataFrame of per-run tumbling-window mean / max power.  Spark drops
+    samples of windows that end behind the ``watermark``: it has to be longer than samples
+    may come out of order.  ``start_to_folder`` counts what was dropped."""
     # Watermarks need TIMESTAMP.  The wall-clock sample time is mapped to the UTC
     # instant with the same clock reading (and window starts mapped back), so
     # windows align to calendar boundaries whatever the session time zone.
@@ -156,13 +164,20 @@ def stream_power_windows(samples: DataFrame, run_cols: Sequence[str], power_col:
 
 def start_to_folder(stream: DataFrame, sink_dir: str, checkpoint_dir: str, name: str):
     """Run the stream over all available input (``availableNow``), writing each
-    micro-batch to ``sink_dir/batch_id=<id>`` (idempotent on retry)."""
+    micro-batch to ``sink_dir/batch_id=<id>`` (idempotent on retry).  The query
+    returned has ``rows_behind_watermark``, the number of rows that Spark dropped as
+    behind the watermark (of an aggregate: of partly aggregated rows)."""
     def write(batch: DataFrame, batch_id: int):
         batch.write.mode("overwrite").parquet(os.path.join(sink_dir, f"batch_id={batch_id}"))
 
     q = (stream.writeStream.queryName(name).outputMode("update").foreachBatch(write)
          .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())
-    q.awaitTermination()
+    dropped, done = {}, False
+    while not done:  # a query remembers the progress of its last 100 batches
+        done = q.awaitTermination(1)
+        for p in q.recentProgress:
+            dropped[p.batchId] = sum(op.numRowsDroppedByWatermark for op in p.stateOperators)
+    q.rows_behind_watermark = sum(dropped.values())
     return q
 
 
