@@ -50,6 +50,20 @@ def test_checksums_decide():
     assert kinds == [("forge", good), ("registry", forge("npm_")), ("card", "4111 1111 1111 1111"), ("iban", "GB82 WEST 1234 5698 7654 32")]
 
 
+def test_numbers_before_more_digits_or_capitals():
+    card, gb, de = "4111 1111 1111 1111", "GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00"
+    for text, kind, want in [
+            (f"card {card} 12/27", "card", [card]), (f"Visa {card} 123", "card", [card]), (f"visa 4111-1111-1111-1111-123", "card", ["4111-1111-1111-1111"]),
+            (f"amex {card}12", "card", []), (f"card {card[:-1]}2 12/27 visa {card}", "card", [card]), (f"card {card} 1234 5678", "card", [card]),
+            (f"IBAN {gb} BIC DEUTDEFF", "iban", [gb]), (f"IBAN: {de} Deutsche Bank", "iban", [de]),
+            (f"IBAN {gb[:-1]}3 BIC DEUTDEFF iban {de}", "iban", [de]), (f"IBAN {gb.replace(' ', '')} {de}", "iban", [gb.replace(" ", "")]),
+            ("IBAN NO93 8601 1117 947 X", "iban", ["NO93 8601 1117 947"]), (f"IBAN {gb}", "iban", [gb])]:
+        found = [text[s:e] for s, k, e in S.scan_text(text, S._automata()) if S.KINDS[k] == kind]
+        assert found == want, text
+    text = f"IBAN {gb} BIC DEUTDEFF, card {card} 12/27"
+    assert S.redact(text, S.scan_text(text, S._automata())) == "IBAN [IBAN] BIC DEUTDEFF, card [CARD] 12/27"
+
+
 def test_query_columns_and_removal(spark):
     rows = [(1, "token = abcdef1 and " + "0f" * 12, 5), (2, None, None), (3, "", 0), (4, "clean text", 10), (1, "AKIA" + "A" * 20, 24),
             (5, "token=" + "ab" * 30, 1), (6, "x " * 200_000 + "secret:abcdefg", 0)]

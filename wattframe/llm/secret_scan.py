@@ -7,8 +7,10 @@ digits have no keyword: a second automaton looks for 24 digits in the text mappe
 to character classes, and the anchored expression extends the run.
 
 Spans are code points, end exclusive. Matches of one kind are leftmost and do not
-overlap; a match that is too short still takes up its text, as a scan with one
-expression per kind would do.
+overlap; a base match that is too short still takes up its text, as a scan with one
+expression per kind would do. What follows a card or account number may look like
+more of it (an expiry date, a bank's name): every admissible end is tried, the
+longest first, and only a reported span takes up its text.
 
 Edge cases: a null text is empty; repeated documents are scanned each; a text of
 any length is scanned whole in one task, which needs a few times its size.
@@ -20,7 +22,7 @@ import hashlib
 import re
 import string
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -51,6 +53,13 @@ PATTERNS = {
                        re.IGNORECASE | re.ASCII),
     "iban": re.compile(r"(?i:iban)[^A-Za-z0-9\n]{0,4}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})(?![A-Z0-9])", re.ASCII),
 }
+CARD_DIGITS = range(13, 20)
+#: lengths of account numbers by country
+IBAN_LENGTHS = {c: int(n) for n, codes in (
+    ("15", "NO"), ("16", "BE"), ("18", "DK FI FO GL NL FK SD"), ("19", "MK SI"), ("20", "AT BA EE KZ LT LU XK MN"), ("21", "CH HR LI LV"),
+    ("22", "BG BH CR DE GB GE IE ME RS VA"), ("23", "AE GI IL IQ OM SO TL"), ("24", "AD CZ ES MD PK RO SA SE SK TN VG"),
+    ("25", "LY PT ST"), ("26", "IS TR"), ("27", "BI DJ FR GR IT MC MR SM"), ("28", "AL AZ BY CY DO GT HN HU LB NI PL SV"),
+    ("29", "BR EG PS QA UA"), ("30", "JO KW MU YE"), ("31", "MT SC"), ("32", "LC"), ("33", "RU")) for c in codes.split()}
 BASE62 = string.digits + string.ascii_uppercase + string.ascii_lowercase
 
 _LOWER = {ord(c): c.lower() for c in string.ascii_uppercase}
@@ -88,6 +97,34 @@ def _automata():
     return words, run
 
 
+def _ends(m: re.Match, part: Callable[[str], bool]) -> list[tuple[int, int]]:
+    """(signs, end) of the number's beginnings that no sign follows directly, the longest first."""
+    number, signs, out = m[1], 0, []
+    for i, c in enumerate(number):
+        if part(c):
+            signs += 1
+            if i + 1 == len(number) or not part(number[i + 1]):
+                out.append((signs, m.start(1) + i + 1))
+    return out[::-1]
+
+
+def _card(m: re.Match) -> tuple[int, int] | None:
+    for digits, end in _ends(m, str.isdigit):
+        if digits in CARD_DIGITS and luhn_ok(m.string[m.start(1):end]):
+            return m.start(1), end
+    return None
+
+
+def _iban(m: re.Match) -> tuple[int, int] | None:
+    """The country's length decides; a country not listed may have any. The whole run is tried last."""
+    ends, length = _ends(m, str.isalnum), IBAN_LENGTHS.get(m[1][:2])
+    tried = [e for n, e in ends if (n == length if length else n >= 15)]
+    for end in [*tried, m.end(1)]:
+        if iban_ok(m.string[m.start(1):end]):
+            return m.start(1), end
+    return None
+
+
 def _accept(kind: str, m: re.Match) -> tuple[int, int] | None:
     """The span to report for an anchored match, or None if it fails."""
     if kind == "assign":
@@ -96,9 +133,7 @@ def _accept(kind: str, m: re.Match) -> tuple[int, int] | None:
         return m.span() if m.end() - m.start() >= 20 else None
     if kind in ("forge", "registry"):
         return m.span() if crc_token_ok(m[0]) else None
-    if kind == "card":
-        return m.span(1) if luhn_ok(m[1]) else None
-    return m.span(1) if iban_ok(m[1]) else None
+    return _card(m) if kind == "card" else _iban(m)
 
 
 def scan_text(text: str, automata) -> list[tuple[int, int, int]]:
@@ -114,9 +149,13 @@ def scan_text(text: str, automata) -> list[tuple[int, int, int]]:
         done, pattern = 0, PATTERNS[kind]
         for at in sorted(starts):
             if at >= done and (m := pattern.match(text, at)):
-                done = m.end()
-                if span := _accept(kind, m):
+                span = _accept(kind, m)
+                if span:
                     spans.append((span[0], KINDS.index(kind), span[1]))
+                if kind not in ("card", "iban"):
+                    done = m.end()
+                elif span:
+                    done = span[1]
     mapped = text.encode("ascii", "replace").translate(_CLASSES).decode("ascii")
     done, pattern = 0, PATTERNS["hex"]
     for end, length in run.iter(mapped):
