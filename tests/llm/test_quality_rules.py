@@ -91,6 +91,27 @@ def test_false_rejections_stay_below_the_risk_on_new_documents(spark):
     assert kept.columns == [*fresh.columns, "levels"]
 
 
+def test_small_strata_get_cutoffs_from_the_joint_path(spark):
+    df = labelled(spark, 900, 6, symbol_share=0.005).withColumn("lang", F.when(F.col("doc_id") % 3 > 0, "en").otherwise("de"))
+    labels = df.select("doc_id", "quality")
+    levels = Q.frozen(Q.with_levels(Q.statistics(df, [F.col("doc_id")], "lang").drop("_place")))
+    got = {r.stratum: r.selected for r in Q.select_joint(levels, labels, "doc_id").collect()}
+    rows = levels.join(labels, "doc_id").where("quality = 1").collect()
+    sizes = [len(r.cutoffs) for r in Q.RULES]
+    for s in ("=en", "=de"):
+        own, want = [r.levels for r in rows if r.stratum == s], None
+        for t in range(1, max(sizes) + 1):
+            least = [n + 1 - math.ceil(t * n / max(sizes)) for n in sizes]
+            k = sum(any(x >= j for x, j in zip(doc, least)) for doc in own)
+            if k >= 0.03 * len(own) or cdf(len(own), k, 0.03) > 0.05 / 2:
+                break
+            want = least
+        assert want is not None and got[s] == want
+    kept = Q.keep_good(df, labels)
+    assert kept.where("quality = 1").count() >= 0.97 * df.where("quality = 1").count()
+    assert kept.where("quality = 0").count() < 0.5 * df.where("quality = 0").count()
+
+
 def test_nulls_repeats_and_no_labels(spark):
     good = " ".join("word%d" % i for i in range(60))
     df = spark.createDataFrame([(1, good, "en"), (1, good, "en"), (None, good, None), (2, None, "en"), (3, "", None), (4, "a b c " * 40, "en")],
