@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wattframe.llm import ngram_lm
+from wattframe.llm import ngram_lm, queries
 from wattframe.llm.elias_fano import EliasFano
 
 
@@ -65,6 +65,14 @@ def test_equals_dictionaries(spark, order, block, shard):
         assert r.score == pytest.approx(score, abs=n / ngram_lm.STEP)
 
 
+def test_the_query_scores_by_trigrams(spark, tmp_path):
+    rows = list(enumerate(texts(80, 2)))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.QUERIES["op2_ngram_lm"](spark, str(tmp_path)).collect()}
+    for (k, _), (n, *_, score) in zip(rows, brute(rows, 3)):
+        assert got[k].score == pytest.approx(score, abs=n / ngram_lm.STEP)
+
+
 def test_no_training_rows_and_empty_table(spark):
     df = spark.createDataFrame([(1, "a b"), (None, "c")], "doc_id long, text string")
     got = ngram_lm.score(df, F.lit(False)).collect()

@@ -45,7 +45,7 @@ from wattframe.llm.common import frozen
 from wattframe.llm.elias_fano import EliasFano, save
 from wattframe.session import scratch_path
 
-ORDER = 2
+ORDER = 3
 MU = (0.0, 0.0, 8.0, 4.0, 2.0, 2.0)  # by order; the last one holds for higher orders
 BLOCK_TOKENS = 1 << 20
 SHARD_TOKENS = 1 << 20
