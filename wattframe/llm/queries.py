@@ -8,9 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattframe.llm import chat_format, fixity, ngram_lm, packing, piece_codec, secret_scan, sharding, simhash, topk_search
+from wattframe.llm import (
+    chat_format, fixity, merkle_manifest, ngram_lm, packing, piece_codec, secret_scan, sharding, simhash,
+    token_files, topk_search,
+)
 from wattframe.llm import quality_rules as quality
 from wattframe.llm.common import documents, frozen, text_of
+from wattframe.session import scratch_path
 
 #: where the public vocabulary files are; a parameter of the operators that tokenize
 TOKENIZERS = "public_tokenizers"
@@ -201,3 +205,80 @@ def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = piece_codec.decode(coded, facts, model)
     return back.select("doc_id", "n_pieces", "ids_crc32", F.length("text").cast("long").alias("n_chars"),
                        (F.xxhash64("text") == F.col("_digest")).alias("round_trip"))
+
+
+@_query("op11_token_files")
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token-ID files in the shared folder, read back."""
+    docs = documents(spark, sf_dir)
+    tokens = token_files.tokenized(docs, F.col("doc_id"), importlib.import_module(TOKENIZERS).path("byte_bpe_50k.json"))
+    folder = scratch_path(spark, "token-dataset")
+    token_files.write(tokens, folder)
+    back = token_files.read(spark, folder, docs.schema["doc_id"].dataType)
+    return back.select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: levels of the tree that the SQL spells out: 8 ** 7 leaves in a group, 8 ** 3 groups
+OP13_LEVELS = (7, 3)
+
+
+def _op13_sql() -> str:
+    def part(c: str) -> str:
+        return f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(part(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    crc = ("xor(list_reduce([4294967295] || list_transform(range(1, length(k) + 1), lambda i: ascii(k[i])), lambda c, b: "
+           "xor(c >> 8, crc_table[(xor(c, b) & 255) + 1])), 4294967295)")
+    ctes = [
+        "t AS (SELECT list_transform(range(256), lambda x: list_reduce([x] || range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc_table)",
+        "d AS (SELECT *, coalesce(CAST(doc_id AS VARCHAR), '') AS k FROM documents)",
+        f"l AS (SELECT doc_id, lang, {leaf('text')} AS leaf, doc_id IS NOT NULL AND {crc} % 3 = 0 AS hit, "
+        + leaf(f"translate(text, '{UPPER}', '{LOWER}')") + " AS other FROM d, t)",
+        "g0 AS (SELECT *, CAST(0 AS BIGINT) + dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS gid FROM l)",
+        "a0 AS (SELECT *, row_number() OVER (PARTITION BY gid ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY gid) AS n, "
+        "row_number() OVER () AS rid FROM g0)",
+        "n0 AS (SELECT gid, pos, leaf AS h, n FROM a0)",
+        "f0 AS (SELECT rid, gid, pos, CASE WHEN hit THEN other ELSE leaf END AS h, '' AS beside FROM a0)",
+    ]
+
+    def climb(nodes: str, fold: str, name: str, levels: int, group: str) -> tuple[str, str]:
+        for i in range(levels):
+            new, newf = f"{name}n{i}", f"{name}f{i}"
+            # a group of one node stays as it is
+            ctes.append(f"{name}k{i} AS (SELECT *, count(*) OVER (PARTITION BY {group}) AS m FROM {nodes})")
+            ctes.append(f"{new} AS (SELECT {group}, pos // 8 AS pos, CASE WHEN m = 1 THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY pos)) END AS h "
+                        f"FROM {name}k{i} GROUP BY {group}, pos // 8, m)")
+            ctes.append(f"{name}s{i} AS (SELECT a.{group} AS grp, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS before, "
+                        f"coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS after FROM {name}k{i} a JOIN {name}k{i} b "
+                        f"ON a.{group} = b.{group} AND a.pos // 8 = b.pos // 8 WHERE a.m > 1 GROUP BY a.{group}, a.pos)")
+            ctes.append(f"{newf} AS (SELECT f.* EXCLUDE (pos, h, beside), f.pos // 8 AS pos, CASE WHEN s.grp IS NULL THEN f.h ELSE sha256(s.before || f.h || s.after) END AS h, "
+                        f"CASE WHEN s.grp IS NULL THEN f.beside ELSE f.beside || s.before || s.after END AS beside "
+                        f"FROM {fold} f LEFT JOIN {name}s{i} s ON s.grp = f.{group} AND s.pos = f.pos)")
+            nodes, fold = new, newf
+        return nodes, fold
+
+    nodes, fold = climb("n0", "f0", "a", OP13_LEVELS[0], "gid")
+    ctes.append(f"subroots AS (SELECT gid, h AS subroot FROM {nodes})")
+    ctes.append("u0 AS (SELECT 0 AS one, gid AS pos, subroot AS h FROM subroots)")
+    ctes.append(f"v0 AS (SELECT rid, gid, 0 AS one, gid AS pos, h, beside FROM {fold})")
+    top, done = climb("u0", "v0", "b", OP13_LEVELS[1], "one")
+    return "WITH " + ",\n".join(ctes) + f"""
+SELECT a0.doc_id, a0.leaf, subroot, r.h AS root, sha256(z.beside) AS proof_sha256, z.h AS folded_root, z.h = r.h AS verified
+FROM a0 JOIN subroots ON subroots.gid = a0.gid JOIN {done} z ON z.rid = a0.rid, {top} r"""
+
+
+@_query("op13_merkle_manifest", _op13_sql())
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by language; where 3 divides the CRC-32 of the identifier, the text
+    is tampered with (A-Z in lower case)."""
+    docs = documents(spark, sf_dir)
+    plain = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    tampered = [*plain[:-1], F.translate("text", UPPER, LOWER)]
+    when = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, F.lit(False))
+    out = merkle_manifest.manifest(docs, "doc_id", "lang", plain, tampered, when)
+    return out.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", F.col("proof").alias("proof_sha256"), "folded_root",
+                      (F.col("folded_root") == F.col("root")).alias("verified"))
