@@ -39,7 +39,6 @@ from wattframe.operators import ranking
 
 FANOUT = 8
 HEIGHT = 4  # levels of a block: 8 ** 4 leaves
-BLOCK = FANOUT**HEIGHT
 
 
 def digest(parts: Sequence[str]) -> str:
@@ -121,75 +120,75 @@ def _levels_of(n: str) -> Column:
     return F.expr(" + ".join(f"cast({n} > {FANOUT**k} as int)" for k in range(21)))
 
 
-def _block_tree(rows: pa.Table, tier: int) -> PersistentTree:
+def _block_tree(rows: pa.Table, tier: int, height: int) -> PersistentTree:
     """The tree of a block of this tier; ``rows`` are its nodes, in order."""
-    return PersistentTree(rows["hash"].to_pylist(), min(HEIGHT, levels_of(rows["n"][0].as_py()) - tier * HEIGHT))
+    return PersistentTree(rows["hash"].to_pylist(), min(height, levels_of(rows["n"][0].as_py()) - tier * height))
 
 
-def _in_blocks(nodes: DataFrame) -> DataFrame:
-    return nodes.withColumn("block", F.expr(f"position div {BLOCK}"))
+def _in_blocks(nodes: DataFrame, height: int) -> DataFrame:
+    return nodes.withColumn("block", F.expr(f"position div {FANOUT**height}"))
 
 
-def _with_tops(nodes: DataFrame, blocks: DataFrame):
+def _with_tops(nodes: DataFrame, blocks: DataFrame, height: int):
     """The nodes of each block beside the row of ``blocks`` (gid, block, steps, subroot,
     root) for it. The columns there are new ones: both sides may come from one table."""
     tops = blocks.select(F.col("gid").alias("top_gid"), F.col("block").alias("top_block"),
                          *[F.col(c).alias(c) for c in ("steps", "subroot", "root")])
-    return _in_blocks(nodes).groupBy("gid", "block").cogroup(tops.groupBy("top_gid", "top_block"))
+    return _in_blocks(nodes, height).groupBy("gid", "block").cogroup(tops.groupBy("top_gid", "top_block"))
 
 
-def _block_roots(nodes: DataFrame, tier: int) -> DataFrame:
+def _block_roots(nodes: DataFrame, tier: int, height: int) -> DataFrame:
     """The next tier: a row for each block of ``nodes``."""
     def build(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("position")
-        tree = _block_tree(rows, tier)
+        tree = _block_tree(rows, tier, height)
         return pa.table({"gid": rows["gid"][:1], "position": rows["block"][:1], "hash": [tree.hashes[tree.root]], "n": rows["n"][:1]})
 
-    return _in_blocks(nodes).groupBy("gid", "block").applyInArrow(build, "gid long, position long, hash string, n long")
+    return _in_blocks(nodes, height).groupBy("gid", "block").applyInArrow(build, "gid long, position long, hash string, n long")
 
 
-def _tiers(nodes: DataFrame, most: int) -> list[DataFrame]:
+def _tiers(nodes: DataFrame, most: int, height: int) -> list[DataFrame]:
     """``nodes`` (gid, position, hash, n: leaves of the group) and the tiers above, until
     each group has come down to one node."""
     tiers = [nodes]
-    while levels_of(most) > (len(tiers) - 1) * HEIGHT:
+    while levels_of(most) > (len(tiers) - 1) * height:
         tier = len(tiers) - 1
-        tiers.append(frozen(_block_roots(tiers[-1].where(_levels_of("n") > tier * HEIGHT), tier)))
+        tiers.append(frozen(_block_roots(tiers[-1].where(_levels_of("n") > tier * height), tier, height)))
     return tiers
 
 
-def _roots(tiers: list[DataFrame]) -> DataFrame:
+def _roots(tiers: list[DataFrame], height: int) -> DataFrame:
     """(gid, hash): the root of each group, in the tier in which its levels end."""
     out = None
     for tier, nodes in enumerate(tiers):
-        done = nodes.where(_levels_of("n") <= tier * HEIGHT).select("gid", "hash")
+        done = nodes.where(_levels_of("n") <= tier * height).select("gid", "hash")
         out = done if out is None else out.unionByName(done)
     return out
 
 
-def _paths(nodes: DataFrame, above: DataFrame, tier: int) -> DataFrame:
+def _paths(nodes: DataFrame, above: DataFrame, tier: int, height: int) -> DataFrame:
     """For each node the siblings on its way up; ``above`` has that of its block."""
     def run(rows: pa.Table, top: pa.Table) -> pa.Table:
         rows = rows.sort_by("position")
-        tree, upper = _block_tree(rows, tier), top["steps"][0].as_py()
+        tree, upper = _block_tree(rows, tier, height), top["steps"][0].as_py()
         steps = [[{"before": a, "after": b} for a, b in tree.steps(i)] + upper for i in range(len(rows))]
         return pa.table({"gid": rows["gid"], "position": rows["position"], "steps": pa.array(steps, ARROW_STEPS),
                          "subroot": [top["subroot"][0].as_py()] * len(rows), "root": [top["root"][0].as_py()] * len(rows)})
 
-    return _with_tops(nodes, above.withColumnRenamed("position", "block")).applyInArrow(
+    return _with_tops(nodes, above.withColumnRenamed("position", "block"), height).applyInArrow(
         run, f"gid long, position long, steps array<{STEP}>, subroot string, root string")
 
 
-def _paths_down(tiers: list[DataFrame], tops: DataFrame, lowest: int) -> DataFrame | None:
+def _paths_down(tiers: list[DataFrame], tops: DataFrame, lowest: int, height: int) -> DataFrame | None:
     """(gid, position, steps, subroot, root) of the nodes of tier ``lowest``. ``tops`` has
     (gid, steps, subroot, root): what is above the groups' roots."""
     above = None
     for tier in range(len(tiers) - 1, lowest - 1, -1):
         levels = _levels_of("n")
-        found = tiers[tier].where(levels <= tier * HEIGHT).select("gid", "position").join(tops, "gid").select(
+        found = tiers[tier].where(levels <= tier * height).select("gid", "position").join(tops, "gid").select(
             "gid", "position", "steps", "subroot", "root")
         if above is not None:
-            found = found.unionByName(_paths(tiers[tier].where(levels > tier * HEIGHT), above, tier))
+            found = found.unionByName(_paths(tiers[tier].where(levels > tier * height), above, tier, height))
         above = frozen(found)
     return above
 
@@ -215,7 +214,7 @@ def _numbered(leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def manifest(df: DataFrame, key_col: str, group_col: str, fields: Sequence[Column], changed: Sequence[Column],
-             when: Column) -> DataFrame:
+             when: Column, height: int = HEIGHT) -> DataFrame:
     """One row per row of ``df``: key, group, position in the group, leaf, subroot (the
     group's root), root, proof (hash of all siblings up to the root), changed_leaf (of
     the fields ``changed``; null unless ``when`` holds), copied (the hashes of the
@@ -228,32 +227,32 @@ def manifest(df: DataFrame, key_col: str, group_col: str, fields: Sequence[Colum
     nodes = rows.select("gid", "position", "hash", "n")
     facts = rows.agg(F.max("n"), F.max("gid")).first()
     most, n_groups = facts[0] or 1, (facts[1] or 0) + 1
-    tiers = _tiers(nodes, most)
+    tiers = _tiers(nodes, most, height)
 
     # the groups' roots are the leaves of one more tree, of a single group
-    roots = _roots(tiers)
+    roots = _roots(tiers, height)
     upper = frozen(roots.select(F.lit(0).cast("long").alias("gid"), F.col("gid").alias("position"), "hash", F.lit(n_groups).cast("long").alias("n")))
-    upper_tiers = _tiers(upper, n_groups)
+    upper_tiers = _tiers(upper, n_groups, height)
     no_steps = F.expr(f"cast(array() as array<{STEP}>)")
-    top = _roots(upper_tiers).select("gid", no_steps.alias("steps"), F.col("hash").alias("subroot"), F.col("hash").alias("root"))
-    group_paths = _paths_down(upper_tiers, frozen(top), 0).select(F.col("position").alias("gid"), "steps", "root")
+    top = _roots(upper_tiers, height).select("gid", no_steps.alias("steps"), F.col("hash").alias("subroot"), F.col("hash").alias("root"))
+    group_paths = _paths_down(upper_tiers, frozen(top), 0, height).select(F.col("position").alias("gid"), "steps", "root")
     tops = frozen(group_paths.join(upper.select(F.col("position").alias("gid"), F.col("hash").alias("subroot")), "gid"))
 
-    versions = _versions(rows, _block_paths(tiers, tops))
+    versions = _versions(rows, _block_paths(tiers, tops, height), height)
     return versions.join(groups, "gid").select("key", F.col("grp").alias("group"), *[c for c in versions.columns if c not in ("gid", "key")])
 
 
-def _block_paths(tiers: list[DataFrame], tops: DataFrame) -> DataFrame:
+def _block_paths(tiers: list[DataFrame], tops: DataFrame, height: int) -> DataFrame:
     """What is above each block of leaves: the path of its node in tier 1, or, for a
     group of a single leaf, what is above the group's root."""
     lone = tiers[0].where("n = 1").select("gid", F.lit(0).cast("long").alias("block")).join(tops, "gid").select(
         "gid", "block", "steps", "subroot", "root")
     if len(tiers) == 1:
         return lone
-    return lone.unionByName(_paths_down(tiers, tops, 1).withColumnRenamed("position", "block"))
+    return lone.unionByName(_paths_down(tiers, tops, 1, height).withColumnRenamed("position", "block"))
 
 
-def _versions(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+def _versions(rows: DataFrame, blocks: DataFrame, height: int) -> DataFrame:
     """The result rows: a version for each changed leaf, block by block."""
     text = T.StringType()
     schema = T.StructType([T.StructField("gid", T.LongType()), rows.schema["key"], T.StructField("position", T.LongType())])
@@ -263,7 +262,7 @@ def _versions(rows: DataFrame, blocks: DataFrame) -> DataFrame:
 
     def run(mine: pa.Table, top: pa.Table) -> pa.Table:
         mine = mine.sort_by("position")
-        tree, upper = _block_tree(mine, 0), top["steps"][0].as_py()
+        tree, upper = _block_tree(mine, 0, height), top["steps"][0].as_py()
         beside = [s["before"] + s["after"] for s in upper]
         proofs, copied, folded = [], [], []
         for i, (old, new) in enumerate(zip(mine["hash"].to_pylist(), mine["changed"].to_pylist())):
@@ -279,4 +278,4 @@ def _versions(rows: DataFrame, blocks: DataFrame) -> DataFrame:
                          "subroot": [top["subroot"][0].as_py()] * len(mine), "root": [top["root"][0].as_py()] * len(mine), "proof": proofs,
                          "changed_leaf": mine["changed"], "copied": pa.array(copied, pa.list_(pa.string())), "folded_root": folded})
 
-    return _with_tops(rows, blocks).applyInArrow(run, schema)
+    return _with_tops(rows, blocks, height).applyInArrow(run, schema)

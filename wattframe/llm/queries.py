@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattframe.llm import (
-    chat_format, fixity, merkle_manifest, ngram_lm, packing, piece_codec, secret_scan, sharding, simhash,
-    token_files, topk_search,
+    chat_format, fixity, lexical_search, merkle_manifest, ngram_lm, packing, piece_codec, secret_scan, sharding,
+    simhash, token_files, topk_search,
 )
 from wattframe.llm import quality_rules as quality
 from wattframe.llm.common import documents, frozen, text_of
@@ -218,6 +218,31 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+OP12_SQL = f"""
+WITH d AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERMS}')) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY ALL),
+len AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY ALL),
+total AS (SELECT count(*) AS nd, CAST(sum(n) AS BIGINT) AS l FROM len),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERMS}')) AS term FROM benchmark),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * nd + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w FROM df, total),
+m AS (SELECT doc_id, 10 + (90 * n * nd) // l AS m FROM len, total),
+s AS (SELECT item_id, tf.doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM q JOIN tf ON tf.term = q.term JOIN w ON w.term = q.term JOIN m ON m.doc_id = tf.doc_id GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10
+"""
+
+
+@_query("op12_lexical_search", OP12_SQL)
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical_search.build(documents(spark, sf_dir), F.col("doc_id"))
+    found = lexical_search.search(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), F.col("item_id"))
+    return found.select(F.col("query").alias("item_id"), "rank", F.col("key").alias("doc_id"), "score")
+
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: levels of the tree that the SQL spells out: 8 ** 7 leaves in a group, 8 ** 3 groups

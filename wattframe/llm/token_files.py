@@ -29,6 +29,7 @@ whatever their names, are not read.
 
 from __future__ import annotations
 
+import itertools
 import json
 import struct
 import uuid
@@ -49,10 +50,11 @@ from wattframe.session import scratch_path
 BLOCK = 1 << 20
 FILE_IDS = 1 << 23
 SPLIT_IDS = 1 << 22
-CACHED_CHUNKS = 400_000
+CACHED_WORDS = 1_000_000
 SLICE_CHARS = 2_000_000
 BATCH_BYTES = 8_000_000
 FILES_A_GROUP = 1024
+MOST_TASKS = 20_000
 
 MAGIC = b"WIDF0001"
 TRAILER = struct.Struct("<QQII8s")  # place of the footer, its length, its CRC-32, CRC-32 of the frequency table, magic
@@ -60,83 +62,116 @@ TRAILER = struct.Struct("<QQII8s")  # place of the footer, its length, its CRC-3
 
 # ---- texts to ids
 
+class _Numbers(dict):
+    """Numbers new keys in the order in which they are asked for."""
+
+    def __missing__(self, key):
+        number = self[key] = len(self)
+        return number
+
+
 class Encoder:
     """The library's ids of whole texts.
 
     For byte-level vocabularies a text may be cut before a space that does not lie
-    between white space: the library's own pattern cuts there too. So the chunks of a
-    text are looked up, and only chunks not seen before go through the library. Texts
-    with such spaces, and texts holding an added token, go through it whole. At most
-    ``CACHED_CHUNKS`` chunks are kept."""
+    between white space: the library's own pattern cuts there too. So a text's words
+    are looked up, and only words not seen before go through the library (many in one
+    call, a line each). Texts with other spaces, and texts holding an added token, go
+    through it whole. At most ``CACHED_WORDS`` words, and those of one slice, are kept."""
 
     def __init__(self, path: str):
-        import re
-
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
-        self.chunked = (pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
-                        and not spec.get("normalizer") and not spec.get("truncation") and not spec.get("padding"))
-        added = [re.escape(t["content"]) for t in spec.get("added_tokens", [])]
-        self.whole = re.compile("|".join([r"\s (?!\S)", *added]))
+        self.added = [t["content"] for t in spec.get("added_tokens", [])]
+        self.line = self._ids("\n")
+        self.by_words = (pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+                         and not spec.get("normalizer") and not spec.get("truncation") and not spec.get("padding")
+                         and len(self.line) == 1 and all(t.split() == [t] for t in self.added))
         self.width = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
         self.clear()
 
+    def _ids(self, text: str) -> list[int]:
+        return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
+        #: number of a word (after a space), or of a 1-tuple of it (at the start of a text)
+        self.numbers = _Numbers()
         self.flat, self.at, self.size = np.zeros(0, self.width), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _learn(self, chunks: list[str]) -> None:
-        coded = [e.ids for e in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
+        self.open, self.closed, self.apart = np.zeros(0, bool), np.zeros(0, bool), np.zeros(0, bool)
+
+    def _learn(self, words: list) -> None:
+        """Ids of new words, and whether they begin or end with white space (an empty one
+        does both: what is beside it is a space) or hold an added token."""
+        plain = [isinstance(w, str) and w.split() == [w] for w in words]
+        coded: list[np.ndarray] = [None] * len(words)
+        lines = [i for i, p in enumerate(plain) if p]
+        for a in range(0, len(lines), 4096):
+            some = lines[a : a + 4096]
+            ids = np.array(self._ids("\n".join(" " + words[i] for i in some)), self.width)
+            for i, part in zip(some, np.split(ids, np.flatnonzero(ids == self.line[0]))):
+                coded[i] = part
+            for i in some[1:]:
+                coded[i] = coded[i][1:]
+        others = [i for i, p in enumerate(plain) if not p]
+        for i, e in zip(others, self.library.encode_batch_fast(
+                [" " + words[i] if isinstance(words[i], str) else words[i][0] for i in others], add_special_tokens=False)):
+            coded[i] = np.array(e.ids, self.width)
         size = np.fromiter(map(len, coded), np.int64, len(coded))
-        at = len(self.flat) + np.cumsum(size) - size
-        first = len(self.known)
-        self.known.update(zip(chunks, range(first, first + len(chunks))))
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in coded for i in x), self.width, int(size.sum()))])
-        self.at, self.size = np.concatenate([self.at, at]), np.concatenate([self.size, size])
+        self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.flat = np.concatenate([self.flat, *coded])
+        texts = [w if isinstance(w, str) else w[0] for w in words]
+        self.open = np.concatenate([self.open, np.array([not w or w[0].isspace() for w in texts], bool)])
+        self.closed = np.concatenate([self.closed, np.array([not w or w[-1].isspace() for w in texts], bool)])
+        self.apart = np.concatenate([self.apart, np.array([any(t in w for t in self.added) for w in texts], bool)])
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         """The ids of each text and then ``end``, as little-endian integers of ``width``."""
-        out: list[bytes] = [b""] * len(texts)
-        tail = np.array([end], self.width).tobytes()
-        apart = [i for i, t in enumerate(texts) if not self.chunked or self.whole.search(t)]
-        if apart:
-            for i, e in zip(apart, self.library.encode_batch_fast([texts[i] for i in apart], add_special_tokens=False)):
-                out[i] = np.array(e.ids, self.width).tobytes() + tail
-        alone, todo, chars = set(apart), [], 0
-        for i, text in enumerate(texts):
-            if i not in alone:
-                todo.append(i)
-                chars += len(text)
-            if todo and (chars > SLICE_CHARS or i == len(texts) - 1):
-                for k, ids in zip(todo, self._encode_chunks([texts[k] for k in todo])):
-                    out[k] = ids.tobytes() + tail
-                todo, chars = [], 0
-        if todo:
-            for k, ids in zip(todo, self._encode_chunks([texts[k] for k in todo])):
-                out[k] = ids.tobytes() + tail
+        out: list[bytes] = []
+        at = 0
+        while at < len(texts):
+            stop, chars = at, 0
+            while stop < len(texts) and (stop == at or chars + len(texts[stop]) <= SLICE_CHARS):
+                chars += len(texts[stop])
+                stop += 1
+            out += self._encode_slice(texts[at:stop], end)
+            at = stop
         return out
 
-    def _encode_chunks(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > CACHED_CHUNKS:
+    def _encode_slice(self, texts: list[str], end: int) -> list[bytes]:
+        tail = np.array([end], self.width).tobytes()
+        if not self.by_words:
+            return [np.array(e.ids, self.width).tobytes() + tail for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        if len(self.numbers) > CACHED_WORDS:
             self.clear()
-        chunks, ends = [], []
+        words, ends = [], []
         for text in texts:
-            first, *rest = text.split(" ")
-            chunks.append(first)
-            chunks += [" " + x for x in rest]
-            ends.append(len(chunks))
-        new = [c for c in dict.fromkeys(chunks) if c not in self.known]
-        if new:
-            self._learn(new)
-        index = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+            first = len(words)
+            words += text.split(" ")
+            words[first] = (words[first],)
+            ends.append(len(words))
+        known = len(self.size)
+        index = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        if len(self.numbers) > known:
+            self._learn(list(itertools.islice(self.numbers, known, None)))
         size = self.size[index]
         upto = np.cumsum(size)
         ids = self.flat[np.repeat(self.at[index] - upto + size, size) + np.arange(int(upto[-1]))]
-        return np.split(ids, upto[np.array(ends) - 1])[:-1]
+        stops = np.array(ends)
+        # a space between white space; the word after a text's last is another text's first, a tuple
+        bad = self.apart[index]
+        bad[:-1] |= self.closed[index[:-1]] & self.open[index[1:]]
+        bad[stops - 1] = self.apart[index[stops - 1]]
+        whole = np.flatnonzero(np.add.reduceat(bad, np.concatenate([[0], stops[:-1]])))
+        parts = [p.tobytes() + tail for p in np.split(ids, upto[stops - 1])[:-1]]
+        if len(whole):
+            for i, e in zip(whole, self.library.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)):
+                parts[i] = np.array(e.ids, self.width).tobytes() + tail
+        return parts
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -175,11 +210,17 @@ def _count_ids(tokens: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(0, np.int64)
         for batch in batches:
-            for width, ids in zip(batch.column("width").to_pylist(), batch.column("ids").to_pylist()):
-                found = np.bincount(np.frombuffer(ids, f"<u{width}"))
+            widths, ids, at = batch.column("width").to_pylist(), batch.column("ids").to_pylist(), 0
+            while at < len(ids):
+                stop, size = at, 0  # some megabytes of one width at a time
+                while stop < len(ids) and widths[stop] == widths[at] and (stop == at or size < BATCH_BYTES):
+                    size += len(ids[stop])
+                    stop += 1
+                found = np.bincount(np.frombuffer(b"".join(ids[at:stop]), f"<u{widths[at]}"))
                 if len(found) > len(counts):
                     counts = np.concatenate([counts, np.zeros(len(found) - len(counts), np.int64)])
                 counts[: len(found)] += found
+                at = stop
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(counts[seen], pa.int64())], names=["id", "n"])
 
@@ -356,4 +397,6 @@ def read(spark: SparkSession, folder: str, key_type: T.DataType, split_ids: int
                  pa.array(cut, pa.binary())], names=schema.names)
             a = b
 
-    return splits.repartition("file", "split").mapInArrow(run, schema)
+    n_splits = splits.count()
+    # a task a split: rows of a few bytes that stand for megabytes, which must not be joined by size
+    return splits.repartition(max(1, min(n_splits, MOST_TASKS)), "file", "split").mapInArrow(run, schema)
