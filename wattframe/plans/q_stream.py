@@ -1,13 +1,11 @@
-"""Streaming keys: the driver's samples arrive week by week in a growing folder.
+"""Streaming keys: the driver's samples arrive in slices in a growing folder.
 
-The power samples (derived from ``events``) are staged once by week under the shared
-checkpoint area, and then moved to the source folder one week after another, the
-samples of a run and week in one file.  One query reads the folder in the order in
-which its files appeared, a few files to a micro-batch (``maxFilesPerTrigger``).  A file
-holds the whole week of its runs, so a later micro-batch of a week begins with the
-week anew: the watermark of the windows is longer than a week, and a row dropped behind
-it is an error.  The returned DataFrame is the current value per key read back from
-the sink; its oracle is the batch SQL of the same quantity.
+The power samples (derived from ``events``) are written once to the shared checkpoint
+area, by slices: a slice holds samples of all runs and of the whole time, picked by a
+hash, so every file overlaps every other in time. One query reads the files, some to a
+micro-batch. How far samples come out of order is taken from the data: the lateness
+allowed is the time that a slice spans. The returned DataFrame is the current value per
+key read back from the sink; its oracle is the batch SQL of the same quantity.
 """
 
 from __future__ import annotations
@@ -16,36 +14,40 @@ import os
 
 from pyspark.sql import functions as F
 
+from wattframe.functions.scalars import epoch_micros
 from wattframe.plans import standins as SI
 from wattframe.plans.catalog import query
 from wattframe.plans.common import rounded
 from wattframe.plans.q_energy import _STEPS_SQL
 from wattframe.session import scratch_path
-from wattframe.streaming import meter
+from wattframe.streaming import meter, segments
+from wattframe.streaming.keyed_sink import KeyedSink
 
 
+SLICES = 4
 FILES_PER_TRIGGER = 64
-#: a slice is a week, and what is seen of it may end a week after what comes next
-WATERMARK = "8 days"
+BUCKET_MS = 7 * segments.DAY_MS
 
 
 def _run_growing(spark, sf_dir, name, build_stream, key_cols):
+    """``build_stream`` gets the stream and the lateness in milliseconds."""
     samples = SI.power_samples(spark, sf_dir)
     base = scratch_path(spark, name)
-    staged, src, sink, ckpt = (os.path.join(base, p) for p in ("staged", "source", "sink", "checkpoint"))
-    week = F.date_format(F.date_trunc("week", F.col("ts")), "yyyy-MM-dd")
-    samples.withColumn("week", week).repartition("week", "run_id").write.partitionBy("week").parquet(staged)
-    arrived = spark.read.option("basePath", staged).parquet(staged)
-    weeks = [r[0] for r in arrived.select(F.col("week").cast("string")).distinct().orderBy("week").collect()]  # a calendar's weeks
-    for i, w in enumerate(weeks):
-        (arrived.where(F.col("week") == F.lit(w)).drop("week").repartition("run_id")
-         .write.parquet(os.path.join(src, f"slice_{i:05d}")))
-    stream_in = (spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", FILES_PER_TRIGGER)
-                 .parquet(os.path.join(src, "slice_*")))
-    done = meter.start_to_folder(build_stream(stream_in), sink, ckpt, name)
+    staged, sink, ckpt = (os.path.join(base, p) for p in ("staged", "sink", "checkpoint"))
+    arrival = F.pmod(F.crc32(F.col("seq").cast("string").cast("binary")), F.lit(SLICES))
+    samples.withColumn("slice", arrival).write.partitionBy("slice").parquet(staged)
+    arrived = spark.read.parquet(staged)
+    span_us = arrived.agg(F.max(epoch_micros("ts")) - F.min(epoch_micros("ts"))).first()[0] or 0
+    files = spark._jvm.org.apache.hadoop.fs.Path(staged)
+    n_files = files.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(files).getFileCount()
+    stream_in = (spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", min(FILES_PER_TRIGGER, -(-n_files // SLICES)))
+                 .parquet(os.path.join(staged, "slice=*")))
+    kept = KeyedSink(spark, sink, key_cols)
+    done = segments.start_with_rocksdb(spark, lambda: meter.start_to_folder(
+        build_stream(stream_in, span_us // 1000 + 1), sink, ckpt, name, kept.write))
     if done.rows_behind_watermark:
         raise RuntimeError(f"{name}: {done.rows_behind_watermark} rows came behind the watermark")
-    return meter.read_latest(spark, sink, key_cols)
+    return kept.read()
 
 
 @query("stream_energy", oracle=f"""
@@ -55,10 +57,10 @@ SELECT run_id, count(*) AS n_samples, CAST(0 AS BIGINT) AS late_samples,
        round(coalesce(sum(gpu_w * dt_fill_s), 0), 2) AS gpu_w_energy_j
 FROM x GROUP BY run_id""")
 def stream_energy(spark, sf_dir):
-    out = _run_growing(spark, sf_dir, "stream_energy",
-                       lambda s: meter.stream_energy(s, ["run_id"], ["cpu_w", "gpu_w"], "ts", "seq"), ["run_id"])
-    return rounded(out.select("run_id", "n_samples", "late_samples", "cpu_w_energy_j", "gpu_w_energy_j"),
-                   {"cpu_w_energy_j": 2, "gpu_w_energy_j": 2})
+    found = _run_growing(spark, sf_dir, "stream_energy",
+                         lambda s, late_ms: segments.stream_segments(s, ["run_id"], ["cpu_w", "gpu_w"], "ts", "seq", BUCKET_MS, late_ms),
+                         ["run_id", "bucket"])
+    return rounded(segments.run_energy(found, ["run_id"], ["cpu_w", "gpu_w"]), {"cpu_w_energy_j": 2, "gpu_w_energy_j": 2})
 
 
 @query("stream_power_windows", oracle="""
@@ -67,6 +69,6 @@ SELECT user_id AS run_id, date_trunc('day', ts) AS window_start, count(*) AS n_s
 FROM events GROUP BY user_id, date_trunc('day', ts)""")
 def stream_power_windows(spark, sf_dir):
     out = _run_growing(spark, sf_dir, "stream_power_windows",
-                       lambda s: meter.stream_power_windows(s, ["run_id"], "cpu_w", "ts", "1 day", WATERMARK),
+                       lambda s, late_ms: meter.stream_power_windows(s, ["run_id"], "cpu_w", "ts", "1 day", f"{late_ms} milliseconds"),
                        ["run_id", "window_start"])
     return rounded(out.select("run_id", "window_start", "n_samples", "mean_w", "max_w"), {"mean_w": 8})

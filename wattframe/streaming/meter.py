@@ -9,6 +9,9 @@ left out of the energy, as in the batch form.  The final value per run equals th
 batch ``energy_per_run`` if samples arrive in order across micro-batches.  State of
 a run that has been idle for ``idle_timeout_ms`` is closed and dropped.
 
+``segments.stream_segments`` is the form for samples that come in any order; its
+state grows with what is still open, here it is one row per run.
+
 ``stream_power_windows``: mean / max power per run in tumbling event-time
 windows with a watermark.
 
@@ -162,15 +165,16 @@ def stream_power_windows(samples: DataFrame, run_cols: Sequence[str], power_col:
                     "n_samples", "mean_w", "max_w")
 
 
-def start_to_folder(stream: DataFrame, sink_dir: str, checkpoint_dir: str, name: str):
+def start_to_folder(stream: DataFrame, sink_dir: str, checkpoint_dir: str, name: str, write=None):
     """Run the stream over all available input (``availableNow``), writing each
-    micro-batch to ``sink_dir/batch_id=<id>`` (idempotent on retry).  The query
+    micro-batch to ``sink_dir/batch_id=<id>`` (idempotent on retry), or with ``write``
+    (of the batch and its id; ``KeyedSink.write`` keeps the folder compact).  The query
     returned has ``rows_behind_watermark``, the number of rows that Spark dropped as
     behind the watermark (of an aggregate: of partly aggregated rows)."""
-    def write(batch: DataFrame, batch_id: int):
+    def write_batch(batch: DataFrame, batch_id: int):
         batch.write.mode("overwrite").parquet(os.path.join(sink_dir, f"batch_id={batch_id}"))
 
-    q = (stream.writeStream.queryName(name).outputMode("update").foreachBatch(write)
+    q = (stream.writeStream.queryName(name).outputMode("update").foreachBatch(write or write_batch)
          .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())
     dropped, done = {}, False
     while not done:  # a query remembers the progress of its last 100 batches
