@@ -10,7 +10,9 @@ stops at the first failure, which needs no further correction; over the
 (stratum, rule) pairs the level is ``delta / pairs`` (Bonferroni). So with
 probability 1 - delta, in every stratum all rules together reject at most
 ``alpha`` of the good documents (``risk = alpha / rules`` and a union bound). A
-stratum without enough labels gets no cutoff: its documents pass.
+stratum without enough labels gets no cutoff: its documents pass. ``select_joint``
+tests one path of settings of all rules together instead (risk ``alpha``, level
+``delta / strata``), which needs far fewer labels; the queries use it.
 
 Signals come from windows and counts inside the row, so nothing is shuffled but
 a histogram of rule levels; no document or stratum is ever held together.
@@ -32,6 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattframe.llm.common import SPACE, frozen, join_table, text_of
+from wattframe.session import scratch_path
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -203,31 +206,40 @@ def select_joint(levels: DataFrame, labels: DataFrame, id_col: str, rules: Seque
     return frozen(chosen.select("stratum", F.array(*used).alias("selected")))
 
 
+def _hits(rules: Sequence[Rule]) -> Column:
+    """Names of the rules whose selected level a row reaches."""
+    return F.array_compact(F.array(*[
+        F.when(F.get("levels", F.lit(i)) >= F.get("selected", F.lit(i)), F.lit(r.name)) for i, r in enumerate(rules)]))
+
+
 def verdicts(levels: DataFrame, selected: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """Add ``base_failed``, ``kept`` and ``rejected_by`` (rule names, comma-joined)."""
     out = join_table(levels, selected, ["stratum"])
-    hit = F.array_compact(F.array(*[
-        F.when(F.get("levels", F.lit(i)) >= F.get("selected", F.lit(i)), F.lit(r.name)) for i, r in enumerate(rules)]))
-    out = out.withColumn("base_failed", base_failed()).withColumn("_hit", hit)
+    out = out.withColumn("base_failed", base_failed()).withColumn("_hit", _hits(rules))
     return (out.withColumn("kept", ~F.col("base_failed") & (F.size("_hit") == 0))
             .withColumn("rejected_by", F.array_join("_hit", ",")).drop("_hit", "selected", "levels"))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", stratum_col: str | None = "lang",
-                  rules: Sequence[Rule] = RULES, alpha: float = 0.03, delta: float = 0.05) -> DataFrame:
+                  rules: Sequence[Rule] = RULES, alpha: float = 0.03, delta: float = 0.05, select=select_joint) -> DataFrame:
     """(id, stratum, statistics, base_failed, kept, rejected_by), one row per document.
-    The statistics are computed once and kept in the checkpoint folder."""
+    The statistics are computed once and kept in the checkpoint folder. ``select`` is
+    ``select_joint`` or ``select_levels``."""
     levels = frozen(with_levels(statistics(docs, [F.col(id_col)], stratum_col).drop("_place"), rules))
-    return verdicts(levels, select_levels(levels, labels, id_col, rules, alpha, delta), rules)
+    return verdicts(levels, select(levels, labels, id_col, rules, alpha, delta), rules)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", stratum_col: str | None = "lang",
               rules: Sequence[Rule] = RULES, alpha: float = 0.03, delta: float = 0.05) -> DataFrame:
-    """The documents that the rules keep, with all their columns. Texts are not
-    shuffled: the statistics are computed a second time beside them. Cutoffs come from
-    ``select_joint``, which small strata reach too."""
-    levels = frozen(with_levels(statistics(docs, [F.col(id_col)], stratum_col).drop("_place"), rules))
-    selected = select_joint(levels, labels, id_col, rules, alpha, delta)
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    marked = verdicts(with_levels(statistics(docs, [row], stratum_col), rules), selected, rules)
-    return marked.where("_place >= 0 and kept").select("_row.*")
+    """The documents that the rules keep, with all their columns. Each text is read
+    once: rows are written to the shared folder beside their levels, and the cutoffs
+    (``select_joint``) and the verdict read them there."""
+    spark = docs.sparkSession
+    row = F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns]).alias("row")
+    stats = statistics(docs, [row, F.col(f"`{id_col}`").alias("id")], stratum_col)
+    path = scratch_path(spark, "quality-levels")
+    with_levels(stats, rules).withColumn("base_failed", base_failed()).select("row", "id", "stratum", "levels", "base_failed").write.parquet(path)
+    levels = spark.read.parquet(path)
+    selected = select_joint(levels.select("id", "stratum", "levels"), labels.withColumnRenamed(id_col, "id"), "id", rules, alpha, delta)
+    marked = join_table(levels.where("not base_failed"), selected, ["stratum"])
+    return marked.where(F.size(_hits(rules)) == 0).select("row.*")

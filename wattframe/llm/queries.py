@@ -43,8 +43,8 @@ def _levels_sql() -> str:
     return " UNION ALL ".join(rows)
 
 
-def _grid_sql() -> str:
-    return ", ".join(f"({i}, {len(r.cutoffs)})" for i, r in enumerate(quality.RULES))
+STEPS = max(len(r.cutoffs) for r in quality.RULES)
+SIZES = "(VALUES " + ", ".join(f"({i}, {len(r.cutoffs)}, '{r.name}')" for i, r in enumerate(quality.RULES)) + ") AS sizes(rule, size, name)"
 
 
 OP1_SQL = f"""
@@ -65,22 +65,21 @@ stats AS (SELECT w.doc_id, stratum, CAST(len(words) AS BIGINT) AS n_words,
   FROM w LEFT JOIN cov ON cov.doc_id = w.doc_id),
 levels AS ({_levels_sql()}),
 good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
-held AS (SELECT * FROM levels WHERE doc_id IN (SELECT doc_id FROM good)),
-grid AS (SELECT DISTINCT stratum, held.rule, unnest(range(1, size + 1)) AS j
-         FROM held JOIN (VALUES {_grid_sql()}) AS s(rule, size) ON s.rule = held.rule),
-counted AS (SELECT grid.stratum, grid.rule, j, count(*) FILTER (level >= j) AS k, count(*) AS n
-            FROM grid JOIN held ON held.stratum = grid.stratum AND held.rule = grid.rule GROUP BY ALL),
-tested AS (SELECT *, k < n * {0.03 / len(quality.RULES)!r} AND list_sum(list_transform(range(0, k + 1), lambda i:
+steps AS (SELECT doc_id, stratum, min({STEPS} * (size - level) // size + 1) AS t FROM levels JOIN {SIZES} ON sizes.rule = levels.rule
+          WHERE doc_id IN (SELECT doc_id FROM good) GROUP BY doc_id, stratum),
+held AS (SELECT stratum, t, count(*) AS c FROM steps GROUP BY ALL),
+grid AS (SELECT DISTINCT stratum, unnest(range(1, {STEPS + 1})) AS t FROM held),
+counted AS (SELECT grid.stratum, grid.t, CAST(coalesce(sum(c) FILTER (held.t <= grid.t), 0) AS BIGINT) AS k, CAST(sum(c) AS BIGINT) AS n
+            FROM grid JOIN held ON held.stratum = grid.stratum GROUP BY ALL),
+tested AS (SELECT *, k < n * 0.03 AND list_sum(list_transform(range(0, k + 1), lambda i:
       exp(CASE WHEN i IN (0, n) THEN 0 ELSE lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) END
-          + i * ln({0.03 / len(quality.RULES)!r}) + (n - i) * ln(1 - {0.03 / len(quality.RULES)!r}))))
-    <= 0.05 / (SELECT count(*) FROM (SELECT DISTINCT stratum, rule FROM held)) AS passed FROM counted),
-chosen AS (SELECT stratum, rule, min(j) FILTER (ok) AS j FROM (
-    SELECT *, min(CAST(passed AS INTEGER)) OVER (PARTITION BY stratum, rule ORDER BY j DESC) = 1 AS ok FROM tested) GROUP BY ALL),
-hit AS (SELECT levels.doc_id, string_agg(
-      (VALUES_NAME.name), ',' ORDER BY levels.rule) AS rejected_by
-    FROM levels JOIN chosen ON chosen.stratum = levels.stratum AND chosen.rule = levels.rule AND level >= j
-    JOIN (VALUES {", ".join(f"({i}, '{r.name}')" for i, r in enumerate(quality.RULES))}) AS VALUES_NAME(rule, name)
-      ON VALUES_NAME.rule = levels.rule GROUP BY levels.doc_id)
+          + i * ln(0.03) + (n - i) * ln(1 - 0.03))))
+    <= 0.05 / (SELECT count(DISTINCT stratum) FROM held) AS passed FROM counted),
+chosen AS (SELECT stratum, max(t) FILTER (ok) AS t FROM (
+    SELECT *, min(CAST(passed AS INTEGER)) OVER (PARTITION BY stratum ORDER BY t) = 1 AS ok FROM tested) GROUP BY ALL),
+hit AS (SELECT levels.doc_id, string_agg(name, ',' ORDER BY levels.rule) AS rejected_by
+    FROM levels JOIN {SIZES} ON sizes.rule = levels.rule JOIN chosen ON chosen.stratum = levels.stratum
+    WHERE level >= size + 1 - (chosen.t * size + {STEPS - 1}) // {STEPS} GROUP BY levels.doc_id)
 SELECT stats.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
     NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND hit.doc_id IS NULL AS kept,
@@ -184,13 +183,18 @@ SELECT page_id, file, "offset", length, digest,
 
 @_query("op10_warc_fixity", OP10_SQL)
 def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages as records of WARC files, audited against a replica in which one
-    record in 256 has rotted and one in 256 is lost (by a hash of its digest)."""
+    """All pages as records of WARC files, audited against a replica of other bytes: in
+    one record in 256 a byte is another, one in 256 is lost (by a hash of its digest),
+    and what is left is laid out and hashed anew."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    ours = frozen(fixity.index(pages, "page_id", F.expr(f"page_id div {fixity.FILE_IDS}"), fixity.record_bytes(F.col("url"), F.col("html"))))
-    fate = F.substring(F.md5(F.col("digest").cast("binary")), 1, 2)
-    theirs = (ours.where(fate != "01").select("file", "offset", "length", F.when(fate == "00", F.sha2(F.col("digest").cast("binary"), 256))
-                                             .otherwise(F.col("digest")).alias("digest")))
+    file, ident = F.expr(f"page_id div {fixity.FILE_IDS}"), [F.col("page_id"), F.col("url")]
+    content = fixity.record_bytes(F.col("url"), F.col("html"))
+    parts = fixity.layout(pages, file, ident)
+    ours = frozen(fixity.index(pages, "page_id", file, content, ident, parts))
+    fate = F.substring(F.md5(F.sha2(content.cast("binary"), 256).cast("binary")), 1, 2)
+    # the first byte, W, turns into X
+    rotten = F.when(fate == "00", F.overlay(content, F.lit("X"), F.lit(1), F.lit(1))).otherwise(content)
+    theirs = frozen(fixity.index(pages.where(fate != "01"), "page_id", file, rotten, ident, parts))
     return fixity.audited(ours, theirs).select("page_id", "file", "offset", "length", "digest", "status")
 
 

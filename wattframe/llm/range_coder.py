@@ -62,7 +62,15 @@ class FrequencyTable:
 
     def __post_init__(self):
         self.cum = np.concatenate([[0], np.cumsum(self.freq)[:-1]]).astype(np.uint64) if len(self.freq) else self.freq
-        self._slots = None
+        self._slots = self._places = None
+
+    @property
+    def places(self) -> np.ndarray:
+        """Symbol -> its place in the table (one of those given at the fit)."""
+        if self._places is None:
+            self._places = np.zeros(int(self.symbols[-1]) + 1 if len(self.symbols) else 0, np.int32)
+            self._places[self.symbols] = np.arange(len(self.symbols))
+        return self._places
 
     @property
     def slots(self) -> np.ndarray:
@@ -92,10 +100,10 @@ def lanes_for(n: int, most: int) -> int:
     return lanes
 
 
-def encode_block(ids: np.ndarray, table: FrequencyTable, most_lanes: int = 512, every: int = 256) -> bytes:
+def encode_block(ids: np.ndarray, table: FrequencyTable, most_lanes: int = 2048, every: int = 256) -> bytes:
     """A block of at least one symbol; each must be in the table."""
     n, lanes = len(ids), lanes_for(len(ids), most_lanes)
-    place = np.searchsorted(table.symbols, ids)
+    place = table.places[ids]
     f, c = table.freq[place], table.cum[place]
     limit = f << np.uint64(63 - table.bits)
     bits = np.uint64(table.bits)

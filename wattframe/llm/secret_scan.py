@@ -223,18 +223,19 @@ def find_secrets(docs: DataFrame, keep: list[Column], text_col: str = "text", cl
 def remove_secrets(docs: DataFrame) -> DataFrame:
     """Documents with every secret replaced and ``n_chars``, where there is such a
     column, set to the new length. Texts without a secret, and null texts, stay."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], F.col("text").isNull().alias("_null")).alias("_row")
-    out = find_secrets(docs, [row], clean=True)
+    # the other columns are one value, so that none of their names can meet those used here
+    row = F.struct(F.lit(0).alias("0"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"]).alias("_row")
+    out = find_secrets(docs, [row, F.col("text").isNull().alias("_null")], clean=True)
     changed = F.size("spans") > 0
     cols = []
-    for c in docs.columns:
+    for i, c in enumerate(docs.columns):
         if c == "text":
-            cols.append(F.when(~F.col("_row._null"), F.col("redacted")).alias("text"))
+            cols.append(F.when(~F.col("_null"), F.col("redacted")).alias("text"))
         elif c == "n_chars":
-            cols.append(F.when(changed, F.length("redacted")).otherwise(F.col("_row.n_chars"))
+            cols.append(F.when(changed, F.length("redacted")).otherwise(F.col("_row")[f"c{i}"])
                         .cast(docs.schema["n_chars"].dataType).alias("n_chars"))
         else:
-            cols.append(F.col(f"_row.`{c}`").alias(c))
+            cols.append(F.col("_row")[f"c{i}"].alias(c))
     return out.select(*cols)
 
 

@@ -15,7 +15,8 @@ are dealt by row, so repeated rows or one hot key do not meet in one bucket.
 
 Edge cases: a null key is hashed as the empty string, which no number gives; a
 null text has size 8 and CRC 0; repeated rows go to the same shard with slots of
-their own; an empty table gives an empty result.
+their own; an empty table gives an empty result. Columns of any name are carried as
+they are; ``shard``, ``grown_shard`` and ``slot`` of the input are replaced.
 """
 
 from __future__ import annotations
@@ -89,21 +90,26 @@ def place(df: DataFrame, key: Column, shards: Sequence[Shard], out: str) -> Data
 
 def with_slots(df: DataFrame, shard_col: str = "shard", buckets: int = SLOT_BUCKETS) -> DataFrame:
     """Add ``slot``: 0, 1, 2 ... within each shard, without a gap. The rows are
-    frozen first, so a row's bucket is the same whenever it is read."""
-    rows = frozen(df.withColumn("_bucket", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(buckets)).cast("int")))
-    counts = rows.groupBy(shard_col, "_bucket").agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.partitionBy(shard_col).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(shard_col, "_bucket", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
-    order = Window.partitionBy(shard_col, "_bucket").orderBy(*[c for c in df.columns if c != shard_col])
-    numbered = rows.withColumn("_rank", F.row_number().over(order))
+    frozen first, so a row's bucket and its place are the same whenever they are read."""
+    row = F.struct(*[F.col(f"`{c}`").alias(c) for c in df.columns if c != "slot"])
+    numbered = df.select(row.alias("row"), F.col(shard_col).alias("home"), F.monotonically_increasing_id().alias("place"))
+    rows = frozen(numbered.withColumn("bucket", F.pmod(F.xxhash64("place"), F.lit(buckets)).cast("int")))
+    counts = rows.groupBy("home", "bucket").agg(F.count(F.lit(1)).alias("c"))
+    before = Window.partitionBy("home").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # names of its own: both sides of the join come from one table
+    offsets = frozen(counts.select(F.col("home").alias("of"), F.col("bucket").alias("of_bucket"),
+                                   F.coalesce(F.sum("c").over(before), F.lit(0)).alias("before")))
+    rank = F.row_number().over(Window.partitionBy("home", "bucket").orderBy("place"))
     # one row for each shard and bucket: bounded by the topology
-    return (numbered.join(F.broadcast(offsets), [shard_col, "_bucket"])
-            .withColumn("slot", (F.col("_before") + F.col("_rank") - 1).cast("long")).drop("_before", "_rank", "_bucket"))
+    out = rows.withColumn("rank", rank).join(F.broadcast(offsets), F.col("home").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("of_bucket")))
+    return out.select("row.*", (F.col("before") + F.col("rank") - 1).cast("long").alias("slot"))
 
 
 def shard_rows(df: DataFrame, key_col: str, n_shards: int, base: int | None = None) -> DataFrame:
     """Add ``shard``, ``grown_shard`` (with one more shard) and ``slot``."""
     base = n_shards if base is None else base
-    placed = place(df, F.col(key_col), topology(n_shards, base), "shard")
-    placed = place(placed, F.col(key_col), topology(n_shards + 1, base), "grown_shard")
-    return with_slots(placed)
+    kept = [c for c in df.columns if c not in ("shard", "grown_shard", "slot")]
+    placed = df.select(F.struct(*[F.col(f"`{c}`").alias(c) for c in kept]).alias("row"), F.col(f"`{key_col}`").alias("key"))
+    placed = place(placed, F.col("key"), topology(n_shards, base), "shard")
+    placed = place(placed, F.col("key"), topology(n_shards + 1, base), "grown")
+    return with_slots(placed.select("row.*", "shard", F.col("grown").alias("grown_shard")))

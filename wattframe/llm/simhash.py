@@ -17,7 +17,9 @@ only be a bounded number, are joined by broadcast, the others by shuffle.
 
 Edge cases: a null text is empty; a text without words has fingerprint zero and
 links like any other; a row without an identifier takes no part in links and has
-a null component; repeated rows are copies of each other.
+a null component; repeated rows are copies of each other; an empty table gives no
+rows. ``near_duplicates`` reads the identifier, the text and the columns asked for;
+``drop_near_duplicates`` carries columns of any name as they are.
 """
 
 from __future__ import annotations
@@ -265,17 +267,18 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, errors: int =
     """One document of each group of near-duplicates, with all columns: the one with
     the smallest ``doc_id``; of several such rows the smallest by text hash, then by
     its columns. Rows without an identifier stay."""
-    digest = F.xxhash64(text_key())
-    found = near_duplicates(docs, extra=[digest.alias("_digest")], shingle=shingle, errors=errors).where("doc_id is not null")
-    keep = frozen(found.groupBy("component").agg(F.min(F.struct("doc_id", "_digest")).alias("k")).select("k.*"))
-    times = frozen(found.groupBy("doc_id", "_digest").agg(F.count(F.lit(1)).alias("_times")).where("_times > 1"))
-    kept = docs.withColumn("_digest", digest).join(keep, ["doc_id", "_digest"], "left_semi")
+    found = near_duplicates(docs, extra=[F.xxhash64(text_key()).alias("digest")], shingle=shingle, errors=errors).where("doc_id is not null")
+    found = found.select(F.col("doc_id").alias("id"), "digest", "component")
+    keep = frozen(found.groupBy("component").agg(F.min(F.struct("id", "digest")).alias("k")).select("k.*"))
+    times = frozen(found.groupBy("id", "digest").agg(F.count(F.lit(1)).alias("times")).where("times > 1"))
+    # the row is one value, so that none of its names can meet those used here
+    row = F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns]).alias("row")
+    rows = docs.select(row, F.col("doc_id").alias("id"), F.xxhash64(text_key()).alias("digest"))
+    kept = rows.join(keep, ["id", "digest"], "left_semi")
     if not times.isEmpty():
-        again = kept.join(times, ["doc_id", "_digest"], "left_semi")
-        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-        again = again.groupBy("doc_id", "_digest").agg(F.min(row).alias("_row")).select("_row.*", "_digest")
-        kept = kept.join(times, ["doc_id", "_digest"], "left_anti").unionByName(again.select(*kept.columns))
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+        again = kept.join(times, ["id", "digest"], "left_semi").groupBy("id", "digest").agg(F.min("row").alias("row"))
+        kept = kept.join(times, ["id", "digest"], "left_anti").unionByName(again)
+    return kept.select("row.*").unionByName(docs.where("doc_id is null"))
 
 
 def text_key() -> Column:

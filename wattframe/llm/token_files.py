@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -38,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -51,7 +53,7 @@ BLOCK = 1 << 20
 FILE_IDS = 1 << 23
 SPLIT_IDS = 1 << 22
 CACHED_WORDS = 1_000_000
-SLICE_CHARS = 2_000_000
+SLICE_BYTES = 8_000_000
 BATCH_BYTES = 8_000_000
 FILES_A_GROUP = 1024
 MOST_TASKS = 20_000
@@ -75,9 +77,14 @@ class Encoder:
 
     For byte-level vocabularies a text may be cut before a space that does not lie
     between white space: the library's own pattern cuts there too. So a text's words
-    are looked up, and only words not seen before go through the library (many in one
-    call, a line each). Texts with other spaces, and texts holding an added token, go
-    through it whole. At most ``CACHED_WORDS`` words, and those of one slice, are kept."""
+    are looked up, and only words not seen before go through the library: one of
+    letters, perhaps with a mark behind it, through its model (the pattern leaves such a
+    word whole), others through all its steps. Texts with other spaces, and texts
+    holding an added token, go through it whole. At most ``CACHED_WORDS`` words, and
+    those of one slice, are kept."""
+
+    #: letters of the blocks up to U+024F, which every version of the character tables agrees on
+    SIMPLE = re.compile(r"([^\W\d_\u0250-\U0010ffff]+)([.,;:!?]?)")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -90,8 +97,13 @@ class Encoder:
         self.line = self._ids("\n")
         self.by_words = (pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
                          and not spec.get("normalizer") and not spec.get("truncation") and not spec.get("padding")
-                         and len(self.line) == 1 and all(t.split() == [t] for t in self.added))
+                         and len(self.line) == 1 and all(t.split() == [t] and not t[0].isalpha() for t in self.added))
         self.width = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
+        self.marks = {m: self._ids(m) for m in ("", *".,;:!?")}
+        # the library's names of bytes: printable ones stand for themselves, the others follow from U+0100 on
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+        others = [b for b in range(256) if b not in plain]
+        self.byte_names = {b: 256 + i for i, b in enumerate(others)}
         self.clear()
 
     def _ids(self, text: str) -> list[int]:
@@ -100,76 +112,113 @@ class Encoder:
     def clear(self) -> None:
         #: number of a word (after a space), or of a 1-tuple of it (at the start of a text)
         self.numbers = _Numbers()
+        self.cores: dict[str, list[int]] = {}
         self.flat, self.at, self.size = np.zeros(0, self.width), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.open, self.closed, self.apart = np.zeros(0, bool), np.zeros(0, bool), np.zeros(0, bool)
 
+    def _core(self, letters: str) -> list[int]:
+        """Ids of letters, with or without a space before, one token of the library's pattern."""
+        ids = self.cores.get(letters)
+        if ids is None:
+            if not letters.isascii():
+                name = letters.encode().decode("latin-1").translate(self.byte_names)
+            else:
+                name = "\u0120" + letters[1:] if letters[0] == " " else letters
+            ids = self.cores[letters] = [t.id for t in self.library.model.tokenize(name)]
+        return ids
+
+    def _simple(self, word: str) -> list[int] | None:
+        """Ids of a word of letters and a mark after a space, or of several such, a line
+        each, the first after a space; None if it is something else."""
+        ids, before = [], " "
+        for part in word.split("\n"):
+            m = self.SIMPLE.fullmatch(part)
+            if not m:
+                return None
+            if not before:
+                ids = ids + self.line
+            ids = ids + self._core(before + m[1]) + self.marks[m[2]]
+            before = ""
+        return ids
+
     def _learn(self, words: list) -> None:
         """Ids of new words, and whether they begin or end with white space (an empty one
         does both: what is beside it is a space) or hold an added token."""
-        plain = [isinstance(w, str) and w.split() == [w] for w in words]
-        coded: list[np.ndarray] = [None] * len(words)
-        lines = [i for i, p in enumerate(plain) if p]
+        coded: list = [None] * len(words)
+        lines, others, match = [], [], self.SIMPLE.fullmatch
+        for i, w in enumerate(words):
+            if isinstance(w, tuple):
+                others.append(i)
+            elif m := match(w):
+                coded[i] = self._core(" " + m[1]) + self.marks[m[2]]
+            elif w.split() == [w]:
+                lines.append(i)
+            else:
+                coded[i] = self._simple(w)
+                if coded[i] is None:
+                    others.append(i)
         for a in range(0, len(lines), 4096):
             some = lines[a : a + 4096]
-            ids = np.array(self._ids("\n".join(" " + words[i] for i in some)), self.width)
-            for i, part in zip(some, np.split(ids, np.flatnonzero(ids == self.line[0]))):
-                coded[i] = part
-            for i in some[1:]:
-                coded[i] = coded[i][1:]
-        others = [i for i, p in enumerate(plain) if not p]
+            ids = self._ids("\n".join(" " + words[i] for i in some))
+            at = [-1, *[k for k, x in enumerate(ids) if x == self.line[0]], len(ids)]
+            for i, first, stop in zip(some, at, at[1:]):
+                coded[i] = ids[first + 1 : stop]
         for i, e in zip(others, self.library.encode_batch_fast(
                 [" " + words[i] if isinstance(words[i], str) else words[i][0] for i in others], add_special_tokens=False)):
-            coded[i] = np.array(e.ids, self.width)
+            coded[i] = e.ids
         size = np.fromiter(map(len, coded), np.int64, len(coded))
         self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, *coded])
-        texts = [w if isinstance(w, str) else w[0] for w in words]
-        self.open = np.concatenate([self.open, np.array([not w or w[0].isspace() for w in texts], bool)])
-        self.closed = np.concatenate([self.closed, np.array([not w or w[-1].isspace() for w in texts], bool)])
-        self.apart = np.concatenate([self.apart, np.array([any(t in w for t in self.added) for w in texts], bool)])
-
-    def encode(self, texts: list[str], end: int) -> list[bytes]:
+        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(coded), self.width, int(size.sum()))])
+        flags = np.zeros((3, len(words)), bool)
+        for i in [*lines, *others]:
+            w = words[i] if isinstance(words[i], str) else words[i][0]
+            flags[:, i] = not w or w[0].isspace(), not w or w[-1].isspace(), any(t in w for t in self.added)
+        self.open, self.closed, self.apart = (np.concatenate([a, b]) for a, b in zip((self.open, self.closed, self.apart), flags))
+
+    def encode(self, texts: pa.Array | list[str], end: int) -> list[bytes]:
         """The ids of each text and then ``end``, as little-endian integers of ``width``."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        upto = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))]) if len(texts) else np.zeros(1)
         out: list[bytes] = []
         at = 0
         while at < len(texts):
-            stop, chars = at, 0
-            while stop < len(texts) and (stop == at or chars + len(texts[stop]) <= SLICE_CHARS):
-                chars += len(texts[stop])
-                stop += 1
-            out += self._encode_slice(texts[at:stop], end)
+            stop = max(at + 1, int(np.searchsorted(upto, upto[at] + SLICE_BYTES, "right")) - 1)
+            out += self._encode_slice(texts.slice(at, stop - at), end)
             at = stop
         return out
 
-    def _encode_slice(self, texts: list[str], end: int) -> list[bytes]:
+    def _encode_slice(self, texts: pa.Array, end: int) -> list[bytes]:
         tail = np.array([end], self.width).tobytes()
         if not self.by_words:
-            return [np.array(e.ids, self.width).tobytes() + tail for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+            return [np.array(e.ids, self.width).tobytes() + tail for e in self.library.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
         if len(self.numbers) > CACHED_WORDS:
             self.clear()
-        words, ends = [], []
-        for text in texts:
-            first = len(words)
-            words += text.split(" ")
-            words[first] = (words[first],)
-            ends.append(len(words))
+        lists = pc.split_pattern(texts, " ")
+        starts = lists.offsets.to_numpy().astype(np.int64)
+        starts, stops = starts[:-1] - starts[0], starts[1:] - starts[0]
+        words = lists.flatten().dictionary_encode()  # an empty text is one empty word
         known = len(self.size)
-        index = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        names = words.dictionary.to_pylist()
+        number = np.fromiter(map(self.numbers.__getitem__, names), np.int64, len(names))
+        places = words.indices.to_numpy()
+        index = number[places]
+        index[starts] = np.fromiter((self.numbers[(names[i],)] for i in places[starts]), np.int64, len(starts))
         if len(self.numbers) > known:
             self._learn(list(itertools.islice(self.numbers, known, None)))
         size = self.size[index]
         upto = np.cumsum(size)
         ids = self.flat[np.repeat(self.at[index] - upto + size, size) + np.arange(int(upto[-1]))]
-        stops = np.array(ends)
-        # a space between white space; the word after a text's last is another text's first, a tuple
+        # a space between white space; what follows a text's last word is another text
         bad = self.apart[index]
-        bad[:-1] |= self.closed[index[:-1]] & self.open[index[1:]]
-        bad[stops - 1] = self.apart[index[stops - 1]]
-        whole = np.flatnonzero(np.add.reduceat(bad, np.concatenate([[0], stops[:-1]])))
-        parts = [p.tobytes() + tail for p in np.split(ids, upto[stops - 1])[:-1]]
+        beside = self.closed[index[:-1]] & self.open[index[1:]]
+        beside[stops[:-1] - 1] = False
+        bad[:-1] |= beside
+        whole = np.flatnonzero(np.add.reduceat(bad, starts))
+        data, ends = ids.tobytes(), upto[stops - 1] * int(self.width[2])
+        parts = [data[a:b] + tail for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
         if len(whole):
-            for i, e in zip(whole, self.library.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)):
+            for i, e in zip(whole, self.library.encode_batch_fast([texts[int(i)].as_py() for i in whole], add_special_tokens=False)):
                 parts[i] = np.array(e.ids, self.width).tobytes() + tail
         return parts
 
@@ -194,7 +243,7 @@ def tokenized(docs: DataFrame, key: Column, tokenizer_file: str, text_col: str =
         encoder = _encoder(tokenizer_file)
         width = int(encoder.width[2])
         for batch in batches:
-            ids = encoder.encode(batch.column("text").to_pylist(), end)
+            ids = encoder.encode(batch.column("text"), end)
             crc = [zlib.crc32(np.frombuffer(x, encoder.width).astype("<u4")) for x in ids]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key"), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(crc, pa.int64()),
