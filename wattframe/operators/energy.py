@@ -13,8 +13,8 @@ Scale: a window partitioned by run alone would put a whole run into one task,
 and a single run may hold a large share of all samples.  The samples are dealt
 out by range of (run, time, tie-break) instead, so a chunk is what one range
 partition holds of a run: about as many samples as any other, whether the run is
-sparse or has all its samples in one hour.  Every window is partitioned by (run,
-chunk).  The only cross-chunk information a sample needs is
+sparse or has all its samples in one hour.  A range partition is sorted and read once,
+each step from the sample before: the samples are shuffled once.  The only cross-chunk information a sample needs is
 the last timestamp of the run's previous chunk; that comes from a chunk-edge
 table with one row per run and range partition that it touches, and a window
 over those rows.  With ``chunk_seconds`` fixed time slices are used as chunks.
@@ -22,10 +22,13 @@ over those rows.  With ``chunk_seconds`` fixed time slices are used as chunks.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wattframe.functions.scalars import epoch_micros
 from wattframe.operators.ranking import by_range
@@ -67,9 +70,45 @@ def _chunk_table(rows: DataFrame, run_cols: Sequence[str], power_cols: Sequence[
 
 def _in_chunk_steps(samples: DataFrame, run_cols: Sequence[str], ts_col: str,
                     order_cols: Sequence[str], chunk_seconds: int | None, freeze: bool) -> DataFrame:
+    """Add ``_us``, ``_chunk``, ``_dt_in`` (step within the chunk) and ``_first`` (of its
+    chunk).  Range partitions are sorted and scanned in place; only fixed time slices
+    are shuffled a second time, by (run, slice)."""
     rows = _with_chunks(samples, run_cols, ts_col, order_cols, chunk_seconds, freeze)
+    if chunk_seconds is None:
+        return sorted_steps(rows, run_cols, order_cols)
     w = Window.partitionBy(*run_cols, "_chunk").orderBy(F.col(ts_col), *[F.col(c) for c in order_cols])
-    return rows.withColumn("_dt_in", (F.col("_us") - F.lag("_us").over(w)) / F.lit(1e6))
+    return (rows.withColumn("_dt_in", (F.col("_us") - F.lag("_us").over(w)) / F.lit(1e6))
+            .withColumn("_first", F.row_number().over(w) == 1))
+
+
+def sorted_steps(rows: DataFrame, run_cols: Sequence[str], order_cols: Sequence[str]) -> DataFrame:
+    """Add ``_dt_in`` and ``_first`` to range partitions of (run, ``_us``, order): each is
+    sorted and read once, the last sample of a batch carried into the next."""
+    run_cols = list(run_cols)
+    schema = T.StructType(rows.schema.fields).add("_dt_in", "double").add("_first", "boolean")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # one row more in front: the last of the batch before
+            head = batch.slice(0, 1) if last is None else last
+            both = pa.Table.from_batches([head, batch]).combine_chunks()
+            new = pa.array([last is None] + [False] * (batch.num_rows - 1), pa.bool_())
+            for c in run_cols:
+                now, before = both[c].slice(1), both[c].slice(0, batch.num_rows)
+                differ = pc.fill_null(pc.not_equal(now, before), False)
+                new = pc.or_(new, pc.or_(differ, pc.xor(pc.is_null(now), pc.is_null(before))))
+            new = new.combine_chunks() if isinstance(new, pa.ChunkedArray) else new
+            us = both["_us"]
+            step = pc.divide(pc.cast(pc.subtract(us.slice(1), us.slice(0, batch.num_rows)), pa.float64()), 1e6)
+            step = pc.if_else(new, pa.scalar(None, pa.float64()), step)
+            step = step.combine_chunks() if isinstance(step, pa.ChunkedArray) else step
+            yield pa.RecordBatch.from_arrays([*batch.columns, step, new], names=schema.names)
+            last = batch.slice(batch.num_rows - 1)
+
+    return rows.sortWithinPartitions(*run_cols, "_us", *order_cols).mapInArrow(scan, schema)
 
 
 def sample_deltas(samples: DataFrame, run_cols: Sequence[str], ts_col: str = "ts",
@@ -82,23 +121,34 @@ def sample_deltas(samples: DataFrame, run_cols: Sequence[str], ts_col: str = "ts
     one-sample run).
     """
     run_cols, order_cols = list(run_cols), list(order_cols)
-    rows = _in_chunk_steps(samples, run_cols, ts_col, order_cols, chunk_seconds, freeze=True)  # read twice below
+    rows = _in_chunk_steps(samples, run_cols, ts_col, order_cols, chunk_seconds, freeze=True)  # read three times below
     chunks = _chunk_table(rows, run_cols, power_cols, order_cols, ts_col)
     runs = chunks.groupBy(*run_cols).agg(
         F.sum("_n").alias("_run_n"),
         ((F.max("_last_us") - F.min("_first_us")) / F.lit(1e6)).alias("_span"),
     )
-    edge = (chunks.select(*run_cols, "_chunk", "_prev_last_us")
-            .join(runs, on=run_cols, how="inner")
-            .withColumn("_mean_dt", F.when(F.col("_run_n") > 1,
-                                           F.col("_span") / (F.col("_run_n") - 1)))
-            .select(*run_cols, "_chunk", "_prev_last_us", "_mean_dt"))
-    # the edge rows are few (runs and range partitions); a chunk's samples are bounded
-    out = rows.join(edge, on=[*run_cols, "_chunk"], how="left")
-    dt = F.coalesce(F.col("_dt_in"), (F.col("_us") - F.col("_prev_last_us")) / F.lit(1e6))
-    return (out.withColumn("dt_s", dt)
-            .withColumn("dt_fill_s", F.coalesce(F.col("dt_s"), F.col("_mean_dt")))
-            .drop("_us", "_chunk", "_dt_in", "_prev_last_us", "_mean_dt"))
+    edge = _edges(chunks, runs, run_cols)
+    # only the first sample of a chunk needs what lies outside of it
+    rest = rows.where(~F.col("_first")).withColumn("dt_s", F.col("_dt_in")).withColumn("dt_fill_s", F.col("_dt_in"))
+    on = F.col("_chunk") == F.col("_ec")
+    for i, c in enumerate(run_cols):
+        on = on & F.col(c).eqNullSafe(F.col(f"_e{i}"))
+    firsts = rows.where("_first").join(edge, on, "left")
+    firsts = firsts.withColumn("dt_s", (F.col("_us") - F.col("_prev_last_us")) / F.lit(1e6))
+    firsts = firsts.withColumn("dt_fill_s", F.coalesce("dt_s", "_mean_dt"))
+    kept = [*samples.columns, "dt_s", "dt_fill_s"]
+    return rest.select(*kept).unionByName(firsts.select(*kept))
+
+
+def _edges(chunks: DataFrame, runs: DataFrame, run_cols: Sequence[str]) -> DataFrame:
+    """Per (run, chunk): the last time before it and the run's mean step."""
+    right = runs.select(*[F.col(c).alias(f"_r{i}") for i, c in enumerate(run_cols)], "_run_n", "_span")
+    on = F.lit(True)
+    for i, c in enumerate(run_cols):
+        on = on & F.col(c).eqNullSafe(F.col(f"_r{i}"))
+    mean = F.when(F.col("_run_n") > 1, F.col("_span") / (F.col("_run_n") - 1))
+    return chunks.join(right, on).select(*[F.col(c).alias(f"_e{i}") for i, c in enumerate(run_cols)], F.col("_chunk").alias("_ec"),
+                                         "_prev_last_us", mean.alias("_mean_dt"))
 
 
 def energy_per_run(samples: DataFrame, run_cols: Sequence[str], power_cols: Sequence[str],

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from wattframe.functions import scalars as S
 from wattframe.operators.features import assemble
+from wattframe.operators.tsqr import least_squares
 
 INTERCEPT = "1"
 
@@ -76,6 +77,7 @@ def gram_arrays(df: DataFrame, features: Sequence[str], target: str,
 class LinearModel:
     intercept: float
     coefficients: dict[str, float] = field(default_factory=dict)
+    rank: int | None = None  # of the design with its intercept, where the fit finds it
 
     def predict_expr(self) -> Column:
         expr = F.lit(float(self.intercept))
@@ -94,8 +96,14 @@ class LinearModel:
 def linreg_ols(df: DataFrame, features: Sequence[str], target: str, method: str = "normal") -> LinearModel:
     """Least squares with intercept.  ``normal``: one pass for means and deviations,
     one for the Gram matrix of the standardised columns, a d x d solve, and the scaling
-    undone, so columns of very different size keep their digits; ``mllib``: ``LinearRegression(solver='normal', regParam=0)``."""
+    undone, so columns of very different size keep their digits; ``qr``: tall-skinny QR,
+    for designs whose condition a Gram matrix would square, with the rank in the model;
+    ``mllib``: ``LinearRegression(solver='normal', regParam=0)``."""
     features = list(features)
+    if method == "qr":
+        one = df.select(F.lit(1.0).alias("_one"), *features, target)
+        fit = least_squares(one, ["_one", *features], target)
+        return LinearModel(float(fit.beta[0]), dict(zip(features, map(float, fit.beta[1:]))), fit.rank)
     if method == "mllib":
         lr = LinearRegression(featuresCol="_f", labelCol=target, solver="normal", regParam=0.0,
                               standardization=False, fitIntercept=True)

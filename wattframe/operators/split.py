@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattframe.functions.scalars import TWO32, hash32
+from wattframe.operators.permute import permuted, round_keys
 from wattframe.operators.ranking import hash_positions
 
 BUCKET_BITS = 16
@@ -72,10 +73,15 @@ def stratified_split(df: DataFrame, key_cols: Sequence[str], label: str, fractio
 def shuffled_batches(df: DataFrame, key_cols: Sequence[str], batch_size: int, epochs: int,
                      seed: int = 42, tiebreak_cols: Sequence[str] = ()) -> DataFrame:
     """One row per (row, epoch) with ``batch``: rows in a fresh random order per
-    epoch, cut into batches of ``batch_size`` (the last one smaller).  The order
-    is by hash of (epoch, key), then key and ``tiebreak_cols`` (rows equal in all
-    of them are interchangeable, so the result does not depend on task order)."""
-    e = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
-    e = e.withColumn("_bh", hash32("epoch", *key_cols, seed=seed))
-    p = hash_positions(e, "_bh", [*key_cols, *tiebreak_cols], partition_cols=["epoch"])
-    return p.withColumn("batch", F.floor(F.col("position") / F.lit(batch_size)).cast("long")).drop("_bh", "position")
+    epoch, cut into batches of ``batch_size`` (the last one smaller).
+
+    Rows are numbered once, by hash of the key, then key and ``tiebreak_cols`` (rows
+    equal in all of them are interchangeable, so the result does not depend on task
+    order).  Each epoch permutes these numbers by a keyed permutation, so its batch
+    numbers are arithmetic on the row: no row is shuffled once per epoch."""
+    rows = hash_positions(df.withColumn("_bh", hash32(*key_cols, seed=seed)), "_bh", [*key_cols, *tiebreak_cols])
+    n = df.count()
+    keys = F.array(*[F.array(*[F.lit(k).cast("long") for k in round_keys(seed, e)]) for e in range(epochs)])
+    e = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    place = permuted(F.col("position"), n, F.get(keys, F.col("epoch")))
+    return e.withColumn("batch", F.floor(place / F.lit(batch_size)).cast("long")).drop("_bh", "position")

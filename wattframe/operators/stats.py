@@ -20,8 +20,10 @@ from wattframe.operators.ranking import value_counts_ranked
 from wattframe.session import ensure_checkpoint_dir
 
 INSUFFICIENT = "too few rows or groups to test"
-#: levels of the smaller factor of a two-way ANOVA: a square matrix of them is solved on the driver
-MAX_LEVELS = 1_000
+#: up to so many levels of the smaller factor a two-way ANOVA solves a square matrix of them on
+#: the driver; beyond, it solves the same equations by conjugate gradients on tables
+DENSE_LEVELS = 1_000
+CG_TOLERANCE = 1e-11
 
 
 def _complete(df: DataFrame, value: str, group_cols: Sequence[str]) -> DataFrame:
@@ -104,15 +106,64 @@ def with_chi2_pvalue(df: DataFrame, x_col: str = "kruskal_h", k_col: str = "krus
     return df.withColumn(out, chi2_pvalue(F.col(x_col).cast("double"), F.col(k_col).cast("double")))
 
 
-def anova_two_way(spark: SparkSession, df: DataFrame, value: str, a: str, b: str) -> DataFrame:
+def _dense_gain(c: DataFrame, joined: DataFrame, right: list, many: str, few: str) -> float:
+    """What the smaller factor adds to the larger one's sum of squares; ``right`` has a
+    row (diagonal d, right side r) for each of its levels."""
+    pairs = (joined.select(F.col(many), F.col(few).alias("i"), F.col("n").alias("ni"), "nm")
+             .join(c.select(F.col(many), F.col(few).alias("j"), F.col("n").alias("nj")), many)
+             .groupBy("i", "j").agg(F.sum(F.col("ni") * F.col("nj") / F.col("nm")).alias("x")).collect())
+    place = {r[few]: k for k, r in enumerate(sorted(right, key=lambda r: str(r[few])))}
+    lhs, rhs = np.zeros((len(place), len(place))), np.zeros(len(place))
+    for r in right:
+        lhs[place[r[few]], place[r[few]]] += r["d"]
+        rhs[place[r[few]]] = r["r"]
+    for r in pairs:
+        lhs[place[r["i"]], place[r["j"]]] -= r["x"]
+    return float(rhs @ np.linalg.lstsq(lhs, rhs, rcond=None)[0])
+
+
+def _iterative_gain(cells: DataFrame, levels: DataFrame, tolerance: float = CG_TOLERANCE, most: int = 1_000) -> float:
+    """The same by conjugate gradients with the diagonal as preconditioner. ``cells`` has
+    (many, few, n, nm: rows of the larger factor's level), ``levels`` (few, d, r). A step
+    is two joins of the cells with a vector and two sums; vectors are checkpointed
+    tables of a row per level. Ends when r'D^-1 r, the gain that is still missing at
+    most times the condition, has fallen by ``tolerance`` squared; an error after ``most`` steps."""
+    cells = cells.checkpoint(eager=True)
+    # x: solution, r: residual, p: direction
+    v = levels.select("few", "d", F.lit(0.0).alias("x"), "r", (F.col("r") / F.col("d")).alias("p")).checkpoint(eager=True)
+    first = rho = v.agg(F.sum(F.col("r") ** 2 / F.col("d"))).first()[0] or 0.0
+    for _ in range(most):
+        if rho <= tolerance**2 * first:
+            break
+        over = (cells.join(v.select(F.col("few").alias("at"), "p"), F.col("few") == F.col("at"))
+                .groupBy("many").agg((F.sum(F.col("n") * F.col("p")) / F.first("nm")).alias("t")))
+        back = (cells.select("many", "few", "n").join(over.withColumnRenamed("many", "of"), F.col("many") == F.col("of"))
+                .groupBy("few").agg(F.sum(F.col("n") * F.col("t")).alias("s")).withColumnRenamed("few", "at"))
+        step = v.join(back, F.col("few") == F.col("at")).select("few", "d", "x", "r", "p", (F.col("d") * F.col("p") - F.col("s")).alias("q")).checkpoint(eager=True)
+        curve = step.agg(F.sum(F.col("p") * F.col("q"))).first()[0]
+        if not curve > 0:
+            break  # the direction adds nothing: only a constant is left
+        alpha = rho / curve
+        step = step.withColumn("x", F.col("x") + F.lit(alpha) * F.col("p")).withColumn("r", F.col("r") - F.lit(alpha) * F.col("q"))
+        new = step.agg(F.sum(F.col("r") ** 2 / F.col("d"))).first()[0]
+        v = step.select("few", "d", "x", "r", (F.col("r") / F.col("d") + F.lit(new / rho) * F.col("p")).alias("p")).checkpoint(eager=True)
+        rho = new
+    else:
+        raise RuntimeError(f"no convergence after {most} steps")
+    return float(v.join(levels.select(F.col("few").alias("at"), F.col("r").alias("rhs")), F.col("few") == F.col("at"))
+                 .agg(F.sum(F.col("x") * F.col("rhs"))).first()[0] or 0.0)
+
+
+def anova_two_way(spark: SparkSession, df: DataFrame, value: str, a: str, b: str, dense_levels: int = DENSE_LEVELS) -> DataFrame:
     """Two-way ANOVA with interaction, sequential (type I) sums of squares in
     the order A, B, A:B - unequal cell sizes allowed.
 
     One grouped job gives the cell table (n, mean, var per (A, B) cell), which is
     checkpointed.  The additive model is fitted on it with the effects of the
-    factor that has more levels eliminated in closed form, so that only a square
-    matrix over the levels of the smaller factor (at most ``MAX_LEVELS``, an error
-    beyond) comes to the driver; the other factor may have any number of levels."""
+    factor that has more levels eliminated in closed form. What is left, equations over
+    the levels of the smaller factor, is solved on the driver up to ``DENSE_LEVELS``
+    levels, and beyond by conjugate gradients whose vectors are tables, so both
+    factors may have any number of levels."""
     ensure_checkpoint_dir(spark)
     cells = (group_moments(df, value, [a, b])
              .select(F.col(a).alias("a"), F.col(b).alias("b"), F.col("n").cast("double").alias("n"), "mean", "var")
@@ -129,23 +180,15 @@ def anova_two_way(spark: SparkSession, df: DataFrame, value: str, a: str, b: str
 
     (n_a, ss_a), (n_b, ss_b_alone) = levels_ss("a"), levels_ss("b")
     many, few = ("a", "b") if n_a >= n_b else ("b", "a")
-    if min(n_a, n_b) > MAX_LEVELS:
-        raise ValueError(f"both factors have more than {MAX_LEVELS} levels")
     # normal equations of the smaller factor after the larger one: (D - N' M^-1 N) g = r
     per_many = c.groupBy(many).agg(F.sum("n").alias("nm"), F.sum(F.col("n") * F.col("y")).alias("sm"))
     joined = c.join(per_many, many)
-    right = joined.groupBy(few).agg(F.sum("n").alias("d"), F.sum(F.col("n") * (F.col("y") - F.col("sm") / F.col("nm"))).alias("r")).collect()
-    pairs = (joined.select(F.col(many), F.col(few).alias("i"), F.col("n").alias("ni"), "nm")
-             .join(c.select(F.col(many), F.col(few).alias("j"), F.col("n").alias("nj")), many)
-             .groupBy("i", "j").agg(F.sum(F.col("ni") * F.col("nj") / F.col("nm")).alias("x")).collect())
-    place = {r[few]: k for k, r in enumerate(sorted(right, key=lambda r: str(r[few])))}
-    lhs, rhs = np.zeros((len(place), len(place))), np.zeros(len(place))
-    for r in right:
-        lhs[place[r[few]], place[r[few]]] += r["d"]
-        rhs[place[r[few]]] = r["r"]
-    for r in pairs:
-        lhs[place[r["i"]], place[r["j"]]] -= r["x"]
-    gain = float(rhs @ np.linalg.lstsq(lhs, rhs, rcond=None)[0])  # what the smaller factor adds to the larger
+    right = joined.groupBy(few).agg(F.sum("n").alias("d"), F.sum(F.col("n") * (F.col("y") - F.col("sm") / F.col("nm"))).alias("r"))
+    if min(n_a, n_b) <= dense_levels:
+        gain = _dense_gain(c, joined, right.collect(), many, few)
+    else:
+        gain = _iterative_gain(joined.select(F.col(many).alias("many"), F.col(few).alias("few"), "n", "nm"),
+                               right.select(F.col(few).alias("few"), "d", "r"))
     ss_add = (ss_a if many == "a" else ss_b_alone) + gain
     ss_cells = c.agg(F.sum(F.col("n") * F.col("y") ** 2)).first()[0]
     df_a, df_b, df_ab = n_a - 1, n_b - 1, total["cells"] - n_a - n_b + 1

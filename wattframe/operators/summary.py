@@ -1,8 +1,8 @@
 """Grouped summaries and the data behind the study's charts.
 
 Every function returns a DataFrame; charts themselves are not drawn.  All
-aggregates are partial (map-side) aggregates; exact quantiles use the
-bucketed ranking in ``ranking`` so no group is ever held by one task.
+aggregates are partial (map-side) aggregates; exact quantiles are selected between
+bounds of a sketch (``selection``), so no group is ever held by one task.
 """
 
 from __future__ import annotations
@@ -10,11 +10,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattframe.functions import scalars as S
-from wattframe.operators.ranking import exact_quantiles, value_counts
+from wattframe.operators.selection import MOST_GROUPS, frozen_small, quantiles, renamed_keys, same_group
 
 
 def summary_two_keys(df: DataFrame, keys: Sequence[str], metrics: dict[str, str],
@@ -82,37 +82,43 @@ def test_gate(df: DataFrame, group_col: str, metrics: Sequence[str], min_groups:
 
 def group_median(df: DataFrame, keys: Sequence[str], metric: str) -> DataFrame:
     """Exact median per group (linear interpolation)."""
-    return exact_quantiles(df, metric, {"Median": 0.5}, keys)
+    return quantiles(df, metric, {"Median": 0.5}, keys)
+
+
+def _beside_groups(rows: DataFrame, table: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Rows with the row of their group, NULL groups included: by broadcast behind a
+    count of the groups, else as Spark decides."""
+    right, n = frozen_small(renamed_keys(table, keys, "_g", values))
+    return rows.join(F.broadcast(right) if n <= MOST_GROUPS else right, same_group(keys, "_g")).drop(*[f"_g{i}" for i in range(len(keys))])
 
 
 def boxplot_stats(df: DataFrame, keys: Sequence[str], metric: str, coef: float = 1.5) -> DataFrame:
     """Per group: quartiles, whiskers (most extreme values inside the 1.5 IQR
-    fences) and the number of outliers.  Outlier rows: ``boxplot_outliers``."""
-    counts = value_counts(df, metric, keys)  # read once, used for quartiles and whiskers
-    q = exact_quantiles(df, metric, {"Q1": 0.25, "Median": 0.5, "Q3": 0.75}, keys, counts=counts)
-    q = q.withColumn("_iqr", F.col("Q3") - F.col("Q1"))
-    lo_fence = F.col("Q1") - F.lit(coef) * F.col("_iqr")
-    hi_fence = F.col("Q3") + F.lit(coef) * F.col("_iqr")
-    # distinct (group, value) counts are compared with the fences, one row per group
-    vals = counts.where(F.col(metric).isNotNull()).withColumnRenamed("n_c", "_c").drop("_b")
-    j = vals.join(q, on=list(keys), how="inner")
-    inside = (F.col(metric) >= lo_fence) & (F.col(metric) <= hi_fence)
+    fences), the number of outliers and of values.  Outlier rows: ``boxplot_outliers``.
+    A group of NULLs only keeps its row, with N = 0, and so does the group of NULL keys.
+    The values are read three times and never shuffled but for those near a quartile."""
+    keys = list(keys)
+    q, _ = frozen_small(quantiles(df, metric, {"Q1": 0.25, "Median": 0.5, "Q3": 0.75}, keys))
+    fences = [(F.col("Q1") - F.lit(coef) * (F.col("Q3") - F.col("Q1"))).alias("_from"), (F.col("Q3") + F.lit(coef) * (F.col("Q3") - F.col("Q1"))).alias("_to")]
+    j = _beside_groups(df.where(F.col(metric).isNotNull()).select(*keys, metric), q, keys, fences)
+    inside = (F.col(metric) >= F.col("_from")) & (F.col(metric) <= F.col("_to"))
     w = j.groupBy(*keys).agg(
         F.min(F.when(inside, F.col(metric))).alias("Lower_Whisker"),
         F.max(F.when(inside, F.col(metric))).alias("Upper_Whisker"),
-        F.coalesce(F.sum(F.when(~inside, F.col("_c"))), F.lit(0)).cast("long").alias("N_Outliers"),
-        F.sum("_c").cast("long").alias("N"),
-    )
-    return q.drop("_iqr").join(w, on=list(keys), how="inner")
+        F.count_if(~inside).alias("N_Outliers"), F.count(F.lit(1)).alias("N"))
+    w = renamed_keys(w, keys, "_w", ["Lower_Whisker", "Upper_Whisker", "N_Outliers", "N"])
+    return q.join(w, same_group(keys, "_w"), "left").select(
+        *q.columns, "Lower_Whisker", "Upper_Whisker", F.coalesce("N_Outliers", F.lit(0)).cast("long").alias("N_Outliers"),
+        F.coalesce("N", F.lit(0)).cast("long").alias("N"))
 
 
 def boxplot_outliers(df: DataFrame, keys: Sequence[str], metric: str, coef: float = 1.5) -> DataFrame:
     """The rows outside the whisker fences (as rows, never collected into a list)."""
-    q = exact_quantiles(df, metric, {"Q1": 0.25, "Q3": 0.75}, keys)
+    keys = list(keys)
+    q = quantiles(df, metric, {"Q1": 0.25, "Q3": 0.75}, keys)
     iqr = F.col("Q3") - F.col("Q1")
-    j = df.join(q, on=list(keys), how="inner")
-    out = (F.col(metric) < F.col("Q1") - F.lit(coef) * iqr) | (F.col(metric) > F.col("Q3") + F.lit(coef) * iqr)
-    return j.where(out).drop("Q1", "Q3")
+    j = _beside_groups(df.where(F.col(metric).isNotNull()), q, keys, [(F.col("Q1") - F.lit(coef) * iqr).alias("_from"), (F.col("Q3") + F.lit(coef) * iqr).alias("_to")])
+    return j.where((F.col(metric) < F.col("_from")) | (F.col(metric) > F.col("_to"))).drop("_from", "_to")
 
 
 def correlation_matrix(df: DataFrame, metrics: Sequence[str], group_col: str | None = None,
@@ -137,45 +143,72 @@ def correlation_matrix(df: DataFrame, metrics: Sequence[str], group_col: str | N
         for i, (a, b) in enumerate(pairs)])))
 
 
-def density_curve(df: DataFrame, metric: str, group_col: str, n_grid: int = 512,
-                  n_bins: int = 4096, cut: float = 3.0) -> DataFrame:
-    """Gaussian kernel density per group on ``n_grid`` points from
-    min - cut*bw to max + cut*bw, bandwidth by Silverman's rule (nrd0).
-
-    Values are first counted into ``n_bins`` equal bins per group (bounded,
-    independent of the row count); each bin then contributes to every grid
-    point by explode, so the kernel work is bins x grid per group.
-    """
-    base = df.where(F.col(metric).isNotNull()).select(group_col, metric)
-    counts = value_counts(base, metric, [group_col])  # read once, used for quartiles, moments and bins
-    q = exact_quantiles(base, metric, {"_q1": 0.25, "_q3": 0.75}, [group_col], counts=counts)
-    st = base.groupBy(group_col).agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp(metric).alias("_sd"),
-                                     F.min(metric).alias("_min"), F.max(metric).alias("_max"))
-    st = st.join(q, on=group_col, how="inner")
-    lo = F.least(F.col("_sd"), (F.col("_q3") - F.col("_q1")) / F.lit(1.34))
+#: a box of values is so wide (in bandwidths), and reaches so far; with so many terms the
+#: expansion of exp(t s), |t s| <= (REACH + WIDTH) * WIDTH / 2, leaves less than 1e-15
+BOX_WIDTH, REACH, TERMS = 0.25, 8.5, 18
+
+
+def density_curve(df: DataFrame, metric: str, group_col: str | Sequence[str], n_grid: int = 512, cut: float = 3.0,
+                  panel: Sequence[str] | None = None) -> DataFrame:
+    """Gaussian kernel density per group on ``n_grid`` points, bandwidth by Silverman's
+    rule (nrd0).  Each group has its own grid, from min - cut * bw to max + cut * bw; with
+    ``panel`` (some of the group columns, perhaps none) all groups of a panel share one,
+    from the smallest to the largest value, as the curves of one chart do.
+
+    The sums are those over all points, to an error below 1e-14 of the kernel's peak:
+    values go into boxes of a quarter of a bandwidth, of which only the first ``TERMS`` moments
+    are kept (a partial aggregate, whatever the number of rows); a box then adds its
+    Taylor expansion to the grid points within ``REACH`` bandwidths, beyond which a
+    kernel is below 1e-15.  Boxes that hold nothing do not exist.  Groups without a
+    value have no curve."""
+    keys = [group_col] if isinstance(group_col, str) else list(group_col)
+    base = df.where(F.col(metric).isNotNull()).select(*keys, F.col(metric).cast("double").alias("_v"))
+    q = quantiles(base, "_v", {"_q1": 0.25, "_q3": 0.75}, keys)
+    st = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp("_v").alias("_sd"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    st = st.join(renamed_keys(q, keys, "_j", [F.col("_q1").alias("_a"), F.col("_q3").alias("_b")]), same_group(keys, "_j"))
+    lo = F.least(F.col("_sd"), (F.col("_b") - F.col("_a")) / F.lit(1.34))
     lo = F.when(lo > 0, lo).when(F.col("_sd") > 0, F.col("_sd")) \
         .when(F.abs(F.col("_min")) > 0, F.abs(F.col("_min"))).otherwise(F.lit(1.0))
-    st = (st.withColumn("_bw", F.lit(0.9) * lo * F.pow(F.col("_n").cast("double"), F.lit(-0.2)))
-          .withColumn("_width", (F.col("_max") - F.col("_min")) / F.lit(float(n_bins)))
-          .withColumn("_from", F.col("_min") - F.lit(cut) * F.col("_bw"))
-          .withColumn("_step", (F.col("_max") + F.lit(cut) * F.col("_bw") - F.col("_from")) / F.lit(float(n_grid - 1))))
-    bin_idx = F.when(F.col("_width") > 0,
-                     F.least(F.floor((F.col(metric) - F.col("_min")) / F.col("_width")), F.lit(n_bins - 1))
-                     ).otherwise(F.lit(0))
-    vals = counts.withColumnRenamed("n_c", "_v").drop("_b")   # distinct values first
-    bins = (vals.join(st.select(group_col, "_min", "_width"), on=group_col, how="inner")
-            .withColumn("_bin", bin_idx)
-            .groupBy(group_col, "_bin").agg(F.sum("_v").alias("_c")))
-    grid = (bins.join(st.select(group_col, "_n", "_min", "_width", "_bw", "_from", "_step"), on=group_col)
-            .withColumn("_center", F.col("_min") + (F.col("_bin") + F.lit(0.5)) * F.col("_width"))
-            .withColumn("grid_index", F.explode(F.sequence(F.lit(0), F.lit(n_grid - 1))))
-            .withColumn("x", F.col("_from") + F.col("grid_index") * F.col("_step"))
-            .withColumn("_k", F.col("_c") * F.exp(F.lit(-0.5) * F.pow((F.col("x") - F.col("_center")) / F.col("_bw"), 2))))
+    st = st.withColumn("bandwidth", F.lit(0.9) * lo * F.pow(F.col("_n").cast("double"), F.lit(-0.2)))
+    if panel is None:
+        st = st.withColumn("_from", F.col("_min") - F.lit(cut) * F.col("bandwidth")).withColumn("_to", F.col("_max") + F.lit(cut) * F.col("bandwidth"))
+    else:
+        whole = Window.partitionBy(*panel)  # a row per group
+        st = st.withColumn("_from", F.min("_min").over(whole)).withColumn("_to", F.max("_max").over(whole))
+    st = st.withColumn("_step", (F.col("_to") - F.col("_from")) / F.lit(float(n_grid - 1)))
+    st, _ = frozen_small(st.select(*keys, "_n", "_min", "bandwidth", "_from", "_step"))
+
+    size = F.col("bandwidth") * F.lit(BOX_WIDTH)
+    boxed = _beside_groups(base, st, keys, ["_min", "bandwidth"]).withColumn("_box", F.floor((F.col("_v") - F.col("_min")) / size).cast("long"))
+    s = (F.col("_v") - F.col("_min") - (F.col("_box") + F.lit(0.5)) * size) / F.col("bandwidth")
+    boxed = boxed.select(*keys, "_box", s.alias("_s")).withColumn("_e", F.exp(F.lit(-0.5) * F.col("_s") * F.col("_s")))
+    moments, power = [], F.col("_e")
+    for k in range(TERMS):
+        moments.append(F.sum(power).alias(f"_m{k}"))
+        power = power * F.col("_s") / F.lit(float(k + 1))
+    boxes = boxed.groupBy(*keys, "_box").agg(*moments)
+
+    near = _beside_groups(boxes, st, keys, ["_min", "bandwidth", "_from", "_step"])
+    centre = F.col("_min") + (F.col("_box") + F.lit(0.5)) * F.col("bandwidth") * F.lit(BOX_WIDTH)
+    near = near.withColumn("_c", centre)
+    far = F.lit(REACH) * F.col("bandwidth")
+    first = F.when(F.col("_step") > 0, F.greatest(F.ceil((F.col("_c") - far - F.col("_from")) / F.col("_step")), F.lit(0))).otherwise(F.lit(0)).cast("int")
+    last = F.when(F.col("_step") > 0, F.least(F.floor((F.col("_c") + far - F.col("_from")) / F.col("_step")), F.lit(n_grid - 1))).otherwise(F.lit(n_grid - 1)).cast("int")
+    # a box between two grid points that are far apart reaches none
+    points = (near.withColumn("_first", first).withColumn("_last", last).where(F.col("_first") <= F.col("_last"))
+              .withColumn("grid_index", F.explode(F.sequence("_first", "_last")))
+              .withColumn("_t", (F.col("_from") + F.col("grid_index") * F.col("_step") - F.col("_c")) / F.col("bandwidth")))
+    series = F.col(f"_m{TERMS - 1}")
+    for k in range(TERMS - 2, -1, -1):
+        series = series * F.col("_t") + F.col(f"_m{k}")
+    sums = points.groupBy(*keys, "grid_index").agg(F.sum(F.exp(F.lit(-0.5) * F.col("_t") * F.col("_t")) * series).alias("_sum"))
+
+    grid = st.withColumn("grid_index", F.explode(F.sequence(F.lit(0), F.lit(n_grid - 1))))
+    right = renamed_keys(sums, keys, "_s", [F.col("grid_index").alias("_at"), "_sum"])
     norm = F.lit(1.0 / math.sqrt(2.0 * math.pi))
-    return (grid.groupBy(group_col, "grid_index")
-            .agg(F.first("x").alias("x"), F.sum("_k").alias("_s"), F.first("_n").alias("_n"), F.first("_bw").alias("bandwidth"))
-            .select(group_col, "grid_index", "x", "bandwidth",
-                    (F.col("_s") * norm / (F.col("_n") * F.col("bandwidth"))).alias("density")))
+    return grid.join(right, same_group(keys, "_s") & (F.col("grid_index") == F.col("_at")), "left").select(
+        *keys, "grid_index", (F.col("_from") + F.col("grid_index") * F.col("_step")).alias("x"), "bandwidth",
+        (F.coalesce("_sum", F.lit(0.0)) * norm / (F.col("_n") * F.col("bandwidth"))).alias("density"))
 
 
 def scatter_points(df: DataFrame, x: str, y: str, keys: Sequence[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from wattframe.functions import scalars as S
-from wattframe.operators import clean, evaluate, models, split
+from wattframe.operators import clean, evaluate, models, permute, split
 from wattframe.operators.features import array_to_columns, standard_scale_fit
 from wattframe.plans import sql_tables as Q
 from wattframe.plans import standins as SI
@@ -40,14 +40,20 @@ def stratified_split(spark, sf_dir):
     return split.stratified_split(o, ["o_orderkey"], "o_orderstatus", 0.2)
 
 
-@query("shuffled_batches", oracle="""
-WITH e AS (SELECT o_orderkey, CAST(r.epoch AS INTEGER) AS epoch,
-                  ('0x' || substr(md5('42:' || r.epoch || ':' || o_orderkey), 1, 8))::BIGINT AS h
-           FROM orders CROSS JOIN range(0, 2) r(epoch))
-SELECT o_orderkey, epoch, (row_number() OVER (PARTITION BY epoch ORDER BY h, o_orderkey) - 1) // 16 AS batch FROM e""")
+_EPOCHS, _BATCH = 2, 16
+_EPOCH_KEYS = "[" + ", ".join(str([*permute.round_keys(42, e)]) for e in range(_EPOCHS)) + "][CAST(epoch AS INTEGER) + 1]"
+
+
+@query("shuffled_batches", oracle=f"""
+WITH g AS (SELECT count(*) AS n, CAST(ceil(sqrt(count(*))) AS BIGINT) AS b FROM orders),
+h AS (SELECT n, b, (n + b - 1) // b AS a FROM g),
+p AS (SELECT o_orderkey, row_number() OVER (ORDER BY ('0x' || substr(md5('42:' || o_orderkey), 1, 8))::BIGINT, o_orderkey) - 1 AS position FROM orders),
+e AS (SELECT o_orderkey, position, CAST(r.epoch AS INTEGER) AS epoch, n, a, b, least(a * b - n + 1, {permute.WALKS}) AS steps
+      FROM p, h CROSS JOIN range(0, {_EPOCHS}) r(epoch))
+SELECT o_orderkey, epoch, {permute.permuted_sql("position", "n", "a", "b", "steps", _EPOCH_KEYS)} // {_BATCH} AS batch FROM e""")
 def shuffled_batches(spark, sf_dir):
     o = SI.table(spark, sf_dir, "orders").select("o_orderkey")
-    return split.shuffled_batches(o, ["o_orderkey"], 16, 2)
+    return split.shuffled_batches(o, ["o_orderkey"], _BATCH, _EPOCHS)
 
 
 @query("standard_scale", oracle=f"""
@@ -94,7 +100,7 @@ SELECT round(regr_intercept(l_extendedprice, l_quantity), 6) AS intercept,
        round(regr_slope(l_extendedprice, l_quantity), 6) AS l_quantity FROM lineitem""")
 def linreg_ols(spark, sf_dir):
     li = SI.table(spark, sf_dir, "lineitem")
-    m = models.linreg_ols(li, ["l_quantity"], "l_extendedprice")
+    m = models.linreg_ols(li, ["l_quantity"], "l_extendedprice", method="qr")
     return spark.createDataFrame([(round(m.intercept, 6), round(m.coefficients["l_quantity"], 6))],
                                  "intercept double, l_quantity double")
 
@@ -260,9 +266,9 @@ def logreg_plain(spark, sf_dir):
     hash split by order (lines have no unique key, so it is not stratified), scaling,
     unpenalised logistic regression, accuracy."""
     r = _regression_prepared(spark, sf_dir)
-    from wattframe.operators.ranking import exact_quantiles
+    from wattframe.operators.selection import quantiles
     prices = SI.table(spark, sf_dir, "lineitem").join(SI.table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"), "left_semi")
-    med = exact_quantiles(prices, "l_extendedprice", {"m": 0.5}).first()["m"]
+    med = quantiles(prices, "l_extendedprice", {"m": 0.5}).first()["m"]
     r = r.withColumn("label", (F.col("l_extendedprice") > F.lit(med)).cast("int"))
 
     def flow(data):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wattframe.functions import scalars as S
 from wattframe.operators import clean, summary
-from wattframe.operators.ranking import exact_quantiles
+from wattframe.operators.selection import quantiles
 from wattframe.plans import sql_tables as Q
 from wattframe.plans import standins as SI
 from wattframe.plans.catalog import query
@@ -103,7 +103,7 @@ SELECT l_orderkey, l_linenumber, CAST(l_extendedprice > m AS INTEGER) AS above_m
 FROM lineitem, (SELECT median(l_extendedprice) AS m FROM lineitem)""")
 def binarize_by_median(spark, sf_dir):
     li = SI.table(spark, sf_dir, "lineitem")
-    med = exact_quantiles(li, "l_extendedprice", {"m": 0.5}).first()["m"]
+    med = quantiles(li, "l_extendedprice", {"m": 0.5}).first()["m"]
     return li.select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") > F.lit(med)).cast("int").alias("above_median"))
 
 

@@ -207,7 +207,7 @@ def _last_metrics(spark, sf_dir):
     return runs.unpack_metrics(log)
 
 
-@query("assemble_board_run_table", oracle=_ENERGY_RUN_SQL + "," + _MODEL_SQL + """
+BOARD_RUN_TABLE_SQL = (_ENERGY_RUN_SQL + "," + _MODEL_SQL + """
 SELECT 'run_' || c_custkey AS __run_id, 'DONE' AS __done, c_mktsegment AS Library, 'NN' AS Model_Type, start_ts AS Timestamp_Start,
        coalesce(CASE WHEN c_acctbal > 0 THEN CAST(round(c_acctbal * 1e9) AS BIGINT) END, CAST(round(span_s * 1e9) AS BIGINT), -999999) AS Duration_ns,
        round(coalesce(energy_j, 0.0), 2) AS CPU_Energy_J,
@@ -216,7 +216,14 @@ SELECT 'run_' || c_custkey AS __run_id, 'DONE' AS __done, c_mktsegment AS Librar
        CASE WHEN lastm.model <> 'click' THEN value ELSE -999999.0 END AS MSE,
        CASE WHEN lastm.model <> 'click' THEN 1.0 - g / 100.0 ELSE -999999.0 END AS r2_score, coalesce(lastm.model, 'FAILED') AS Model_Name
 FROM lib LEFT JOIN e ON c_custkey = e.run_id LEFT JOIN lastm ON asked = lastm.model""")
+
+
+@query("assemble_board_run_table", oracle=BOARD_RUN_TABLE_SQL)
 def assemble_board_run_table(spark, sf_dir):
+    return rounded(board_run_table(spark, sf_dir), {"CPU_Energy_J": 2})
+
+
+def board_run_table(spark, sf_dir):
     """Run = customer: its samples' energy, the balance (if positive) as measured seconds,
     the latest metrics of the model it asked for (one in four asks for none)."""
     s = SI.power_samples(spark, sf_dir)
@@ -227,10 +234,10 @@ def assemble_board_run_table(spark, sf_dir):
     r = c.select("c_custkey", F.col("c_mktsegment").alias("Library"), F.lit("NN").alias("Model_Type"), asked.alias("asked"),
                  F.when(F.col("c_acctbal") > 0, F.round(F.col("c_acctbal") * F.lit(1e9)).cast("bigint")).alias("duration_ns"))
     m = r.select(F.col("c_custkey").alias("m_run"), "asked").join(_last_metrics(spark, sf_dir), F.col("asked") == F.col("model")).drop("asked")
-    return rounded(runs.assemble_board_run_table(r, e, m, "c_custkey", "e_run", "m_run"), {"CPU_Energy_J": 2})
+    return runs.assemble_board_run_table(r, e, m, "c_custkey", "e_run", "m_run")
 
 
-@query("assemble_laptop_run_table", oracle="""
+LAPTOP_RUN_TABLE_SQL = ("""
 WITH p AS (SELECT user_id, min(ts) AS start_ts, sum(value) AS cpu, sum(""" + _K + """) AS gpu FROM events GROUP BY user_id),
 m AS (SELECT o_custkey, o_orderpriority AS model, o_totalprice / 5000.0 AS acc FROM orders
       QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1)
@@ -239,7 +246,14 @@ SELECT 'run_' || c_custkey AS __run_id, 'DONE' AS __done, c_mktsegment || '_CPU'
        CAST(round(coalesce(cpu * abs(c_acctbal), 0)) AS BIGINT) AS CPU_Energy_J, CAST(round(coalesce(gpu * abs(c_acctbal), 0)) AS BIGINT) AS GPU_Energy_J,
        abs(c_acctbal) AS Time_Taken_s, coalesce(acc, 0.0) AS Accuracy_Pct, coalesce(model, 'FAILED') AS Model_Name
 FROM customer LEFT JOIN p ON c_custkey = user_id LEFT JOIN m ON c_custkey = o_custkey""")
+
+
+@query("assemble_laptop_run_table", oracle=LAPTOP_RUN_TABLE_SQL)
 def assemble_laptop_run_table(spark, sf_dir):
+    return laptop_run_table(spark, sf_dir)
+
+
+def laptop_run_table(spark, sf_dir):
     """Run = customer: constant-step energies over the balance as seconds, latest metrics."""
     s = SI.power_samples(spark, sf_dir)
     c = SI.table(spark, sf_dir, "customer").withColumn("seconds", F.abs(F.col("c_acctbal")))

@@ -17,10 +17,11 @@ from wattframe.operators import runs
 from wattframe.plans import standins as SI
 from wattframe.plans.catalog import query
 from wattframe.plans.common import rounded
-from wattframe.plans.q_runs import (_DESIGN_SQL, _ENERGY_RUN_SQL, _LOGS_SQL, _design, _metrics_layouts,
-                                    _metrics_logs, assembled_run_table)
+from wattframe.plans.q_runs import (_DESIGN_SQL, _LOGS_SQL, BOARD_RUN_TABLE_SQL, LAPTOP_RUN_TABLE_SQL, _design, _metrics_layouts,
+                                    _metrics_logs, board_run_table, laptop_run_table)
 from wattframe.session import scratch_path
-from wattframe.sources import readers, sinks
+from wattframe.sources import power_source, readers, sinks
+from wattframe.streaming import meter
 
 _TS_FMT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
@@ -62,8 +63,9 @@ def _append_round_trip(spark, sf_dir, fmt):
     logs = _metrics_logs(spark, sf_dir)
     a_types = ["click", "view", "signup"]
     write = sinks.append_metrics_csv if fmt == "csv" else sinks.append_metrics_json
-    write(logs.where(F.col("model").isin(a_types)), path)       # first layout
-    write(logs.where(~F.col("model").isin(a_types)), path)      # second layout, appended
+    write(logs.where(F.col("model").isin(a_types)), path, append_id="first")       # first layout
+    write(logs.where(~F.col("model").isin(a_types)), path, append_id="second")     # second layout, appended
+    write(logs.where(~F.col("model").isin(a_types)), path, append_id="second")     # and again: nothing is added
     return readers.scan_metrics_log(spark, path, fmt)
 
 
@@ -87,34 +89,33 @@ def scan_json_records(spark, sf_dir):
     return readers.scan_json_records(spark, path, orders.schema)
 
 
-@query("write_run_table", oracle=_ENERGY_RUN_SQL + """
-SELECT c_custkey AS run_id, c_mktsegment AS Library, start_ts AS Timestamp_Start,
-       coalesce(CAST(round(span_s * 1e9) AS BIGINT), -999999) AS Duration_ns,
-       round(coalesce(energy_j, 0.0), 2) AS CPU_Energy_J, coalesce(accuracy_pct, -999999.0) AS Accuracy_Pct,
-       coalesce(model, 'FAILED') AS Model_Name
-FROM customer LEFT JOIN e ON c_custkey = e.run_id LEFT JOIN m ON c_custkey = m.o_custkey""")
+@query("write_run_table", oracle=BOARD_RUN_TABLE_SQL)
 def write_run_table(spark, sf_dir):
+    """All columns of the board's run table, appended in two batches of runs, the second
+    one twice under its identifier, and read back."""
     path = scratch_path(spark, "run_table")
-    sinks.write_run_table(assembled_run_table(spark, sf_dir), path, timestamp_format=_TS_FMT)
-    schema = ("run_id bigint, Library string, Timestamp_Start timestamp_ntz, Duration_ns bigint, "
-              "CPU_Energy_J double, Accuracy_Pct double, Model_Name string")
-    back = spark.read.option("header", True).option("timestampNTZFormat", _TS_FMT).schema(schema).csv(path)
-    return rounded(back, {"CPU_Energy_J": 2})
+    table = board_run_table(spark, sf_dir)
+    odd = F.crc32(F.col("__run_id").cast("binary")) % 2 == 1
+    for part, name in ((table.where(odd), "odd"), (table.where(~odd), "even"), (table.where(~odd), "even")):
+        sinks.append_run_table(part, path, name)
+    return rounded(readers.scan_run_table(spark, path, "board"), {"CPU_Energy_J": 2})
 
 
 _K = "CAST(json_extract_string(props, '$.k') AS DOUBLE)"
 
 
-@query("scan_power_logs", oracle=f"""
+_POWER_LOGS_SQL = f"""
 WITH s AS (SELECT user_id, ts, value, {_K} AS k FROM events)
-SELECT CAST(user_id AS INTEGER) AS run, 0 AS rep, CAST(NULL AS INTEGER) AS pid, 'system' AS layout,
+SELECT CAST(user_id AS {{kind}}) AS run, CAST(0 AS {{kind}}) AS rep, CAST(NULL AS {{kind}}) AS pid, 'system' AS layout,
        date_trunc('millisecond', ts) AS ts, value / 500.0 AS cpu_util, value + k AS total_w, value AS cpu_w,
        k AS gpu_w FROM s
 UNION ALL
-SELECT CAST(user_id AS INTEGER), 0, CAST(100000 + user_id AS INTEGER), 'process', date_trunc('millisecond', ts),
-       value / 500.0, CAST(NULL AS DOUBLE), value, CAST(NULL AS DOUBLE) FROM s""")
-def scan_power_logs(spark, sf_dir):
-    """Both meter layouts written per run (a folder per log name), read back as one table."""
+SELECT user_id, 0, 100000 + user_id, 'process', date_trunc('millisecond', ts),
+       value / 500.0, CAST(NULL AS DOUBLE), value, CAST(NULL AS DOUBLE) FROM s"""
+
+
+def _written_power_logs(spark, sf_dir):
+    """Both meter layouts written per run, a folder per log name."""
     root = scratch_path(spark, "power_logs")
     s = SI.power_samples(spark, sf_dir)
     run = F.col("run_id").cast("string")
@@ -128,11 +129,31 @@ def scan_power_logs(spark, sf_dir):
                        date, util, F.col("cpu_w").alias("CPU Power"))
     for part in (system, process):
         part.write.mode("append").partitionBy("log").option("header", True).csv(root)
-    out = readers.scan_power_logs(spark, root, system_glob="log=run_*_repetition_*.csv/*.csv",
+    return root
+
+
+@query("scan_power_logs", oracle=_POWER_LOGS_SQL.format(kind="INTEGER"))
+def scan_power_logs(spark, sf_dir):
+    """Both layouts read back as one table."""
+    out = readers.scan_power_logs(spark, _written_power_logs(spark, sf_dir), system_glob="log=run_*_repetition_*.csv/*.csv",
                                   process_glob="log=run_*_repetition_*.csv-*.csv/*.csv")
     return out.drop("file")
 
 
+@query("scan_power_log_source", oracle=_POWER_LOGS_SQL.format(kind="BIGINT"))
+def scan_power_log_source(spark, sf_dir):
+    """The same logs through the data source."""
+    return power_source.scan(spark, _written_power_logs(spark, sf_dir)).drop("file")
+
+
+@query("stream_power_logs", oracle=_POWER_LOGS_SQL.format(kind="BIGINT"))
+def stream_power_logs(spark, sf_dir):
+    """The same logs through the data source as a stream, written batch by batch."""
+    root, sink, ckpt = _written_power_logs(spark, sf_dir), scratch_path(spark, "power_stream"), scratch_path(spark, "power_stream_ckpt")
+    meter.start_to_folder(power_source.follow(spark, root).drop("file"), sink, ckpt, "stream_power_logs", mode="append")
+    return spark.read.parquet(sink).drop("batch_id")
+
+
 @query("scan_metrics_log", oracle="WITH " + _LOGS_SQL + _SUPERSET_SQL.format(ts="timestamp"))
 def scan_metrics_log(spark, sf_dir):
     """Each layout written as its own CSV log, each read back into the superset schema."""
@@ -145,28 +166,28 @@ def scan_metrics_log(spark, sf_dir):
     return parts[0].unionByName(parts[1])
 
 
-@query("scan_run_table", oracle=_ENERGY_RUN_SQL + """
-SELECT 'run_' || c_custkey AS __run_id, 'DONE' AS __done, c_mktsegment AS Library, 'NN' AS Model_Type,
-       start_ts AS Timestamp_Start, coalesce(CAST(round(span_s * 1e9) AS BIGINT), -999999) AS Duration_ns,
-       round(coalesce(energy_j, 0.0), 2) AS CPU_Energy_J, coalesce(accuracy_pct, -999999.0) AS Accuracy_Pct,
-       CAST(-999999 AS DOUBLE) AS Precision_Pct, CAST(-999999 AS DOUBLE) AS MSE, CAST(-999999 AS DOUBLE) AS r2_score,
-       coalesce(model, 'FAILED') AS Model_Name
-FROM customer LEFT JOIN e ON c_custkey = e.run_id LEFT JOIN m ON c_custkey = m.o_custkey""")
+@query("scan_run_table", oracle=BOARD_RUN_TABLE_SQL)
 def scan_run_table(spark, sf_dir):
-    """Board-layout run table as the runner writes it (text FAILED for a missing start), read back typed."""
+    """Board-layout run table as the runner writes it (text FAILED for a missing start),
+    with all its metrics, read back typed."""
     path = scratch_path(spark, "board_run_table")
-    rt = assembled_run_table(spark, sf_dir)
-    sentinel = F.lit(-999999.0)
-    board = rt.select(
-        F.concat(F.lit("run_"), F.col("run_id").cast("string")).alias("__run_id"), F.lit("DONE").alias("__done"),
-        "Library", F.lit("NN").alias("Model_Type"),
-        F.coalesce(F.date_format("Timestamp_Start", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("FAILED")).alias("Timestamp_Start"),
-        "Duration_ns", "CPU_Energy_J", "Accuracy_Pct", sentinel.alias("Precision_Pct"), sentinel.alias("MSE"),
-        sentinel.alias("r2_score"), "Model_Name")
-    sinks.write_run_table(board, path)
+    board = board_run_table(spark, sf_dir)
+    start = F.coalesce(F.date_format("Timestamp_Start", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("FAILED"))
+    sinks.write_run_table(board.withColumn("Timestamp_Start", start), path)
     return rounded(readers.scan_run_table(spark, path, "board"), {"CPU_Energy_J": 2})
 
 
+@query("scan_laptop_run_table", oracle=LAPTOP_RUN_TABLE_SQL)
+def scan_laptop_run_table(spark, sf_dir):
+    """All columns of the laptop's run table, appended and read back."""
+    path = scratch_path(spark, "laptop_run_table")
+    sinks.append_run_table(laptop_run_table(spark, sf_dir), path, "all", "laptop")
+    back = readers.scan_run_table(spark, path, "laptop")
+    for j in ("Total_Energy_J", "CPU_Energy_J", "GPU_Energy_J"):
+        back = back.withColumn(j, F.col(j).cast("bigint"))
+    return back
+
+
 @query("scan_run_order", oracle=_DESIGN_SQL + """,
 h AS (SELECT *, ('0x' || substr(md5('42:' || run_id), 1, 8))::BIGINT AS order_key FROM design)
 SELECT CAST(row_number() OVER (ORDER BY order_key, run_id) - 1 AS BIGINT) AS pos, run_id AS ml_library FROM h""")

@@ -52,6 +52,27 @@ def group_median(spark, sf_dir):
     return rounded(out, {"Median": 8})
 
 
+@query("group_median_all", oracle=Q.with_(Q.LAPTOP) + " UNION ALL ".join(
+    f"SELECT '{c}' AS metric, Platform, Library_Name, round(median({c}), 8) AS Median FROM lm GROUP BY ALL" for c in LAPTOP_METRICS.values()))
+def group_median_all(spark, sf_dir):
+    """Medians of every laptop metric."""
+    metrics = list(LAPTOP_METRICS.values())
+    long = (SI.laptop_metrics(spark, sf_dir).select("Platform", "Library_Name", *[F.col(m).cast("double").alias(m) for m in metrics])
+            .unpivot(["Platform", "Library_Name"], metrics, "metric", "value"))
+    return rounded(summary.group_median(long, ["metric", "Platform", "Library_Name"], "value"), {"Median": 8})
+
+
+@query("group_mean_all", oracle=Q.with_(Q.LAPTOP) + " UNION ALL ".join(
+    f"SELECT '{c}' AS metric, Platform, Library_Name, round(avg({c}), 8) AS Mean, printf('%.2f', avg({c})) AS label FROM lm GROUP BY ALL"
+    for c in LAPTOP_METRICS.values()))
+def group_mean_all(spark, sf_dir):
+    """Bars of every laptop metric."""
+    metrics = list(LAPTOP_METRICS.values())
+    long = (SI.laptop_metrics(spark, sf_dir).select("Platform", "Library_Name", *[F.col(m).cast("double").alias(m) for m in metrics])
+            .unpivot(["Platform", "Library_Name"], metrics, "metric", "value"))
+    return rounded(summary.group_mean(long, ["metric", "Platform", "Library_Name"], "value", "fixed2"), {"Mean": 8})
+
+
 @query("group_mean", oracle=Q.with_(Q.BOARD) + """
 SELECT Library_Name, round(avg(M2_Total_Energy_J), 8) AS Mean, printf('%.2f', avg(M2_Total_Energy_J)) AS label
 FROM bm GROUP BY Library_Name""")
@@ -121,28 +142,45 @@ def correlation_matrix(spark, sf_dir):
     return rounded(out, {"r": 8})
 
 
-@query("density_curve", oracle=Q.with_(Q.LAPTOP) + """,
-t AS (SELECT Library_Name AS g, M2_Total_Energy_J AS v FROM lm WHERE M2_Total_Energy_J IS NOT NULL),
-st AS (SELECT g, count(*) AS n, stddev_samp(v) AS sd, min(v) AS mn, max(v) AS mx,
-              quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM t GROUP BY g),
+def _density_sql(rows: str, shared: bool) -> str:
+    """The sum over all points; ``rows`` gives (m, g, v)."""
+    ends = "min(mn) OVER (PARTITION BY m) AS fr, max(mx) OVER (PARTITION BY m) AS til" if shared else "mn - 3.0 * bw AS fr, mx + 3.0 * bw AS til"
+    return f""",
+t AS (SELECT * FROM ({rows}) WHERE v IS NOT NULL),
+st AS (SELECT m, g, count(*) AS n, stddev_samp(v) AS sd, min(v) AS mn, max(v) AS mx,
+              quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM t GROUP BY ALL),
 b1 AS (SELECT *, least(sd, (q3 - q1) / 1.34) AS lo0 FROM st),
 b2 AS (SELECT *, 0.9 * (CASE WHEN lo0 > 0 THEN lo0 WHEN sd > 0 THEN sd WHEN abs(mn) > 0 THEN abs(mn) ELSE 1.0 END)
-                 * pow(CAST(n AS DOUBLE), -0.2) AS bw,
-              (mx - mn) / 4096.0 AS width FROM b1),
-p AS (SELECT *, mn - 3.0 * bw AS fr, (mx + 3.0 * bw - (mn - 3.0 * bw)) / 511.0 AS step FROM b2),
-bins AS (SELECT g, CASE WHEN width > 0 THEN least(floor((v - mn) / width), 4095) ELSE 0 END AS b, count(*) AS c
-         FROM t JOIN p USING (g) GROUP BY ALL),
-k AS (SELECT g, gi AS grid_index, fr + gi * step AS x, bw, n,
-             c * exp(-0.5 * pow(((fr + gi * step) - (mn + (b + 0.5) * width)) / bw, 2)) AS kk
-      FROM bins JOIN p USING (g) CROSS JOIN range(0, 512) r(gi))
-SELECT g AS Library_Name, CAST(grid_index AS INTEGER) AS grid_index, round(x, 8) AS x, round(bw, 10) AS bandwidth,
-       round(sum(kk) * (1.0 / sqrt(2.0 * pi())) / (n * bw), 10) AS density
-FROM k GROUP BY g, grid_index, x, bw, n""")
+                 * pow(CAST(n AS DOUBLE), -0.2) AS bw FROM b1),
+p AS (SELECT *, {ends} FROM b2),
+x AS (SELECT m, g, n, bw, gi, fr + gi * ((til - fr) / 511.0) AS x FROM p CROSS JOIN range(0, 512) r(gi)),
+d AS (SELECT m, g, v, count(*) AS c FROM t GROUP BY ALL),
+k AS (SELECT x.m, x.g, gi, x, bw, n, sum(c * exp(-0.5 * pow((x - v) / bw, 2))) AS s
+      FROM x JOIN d ON d.m IS NOT DISTINCT FROM x.m AND d.g IS NOT DISTINCT FROM x.g GROUP BY ALL)
+"""
+
+
+@query("density_curve", oracle=Q.with_(Q.LAPTOP) + _density_sql("SELECT 1 AS m, Library_Name AS g, M2_Total_Energy_J AS v FROM lm", False) + """
+SELECT g AS Library_Name, CAST(gi AS INTEGER) AS grid_index, round(x, 8) AS x, round(bw, 10) AS bandwidth,
+       round(s / sqrt(2.0 * pi()) / (n * bw), 10) AS density FROM k""")
 def density_curve(spark, sf_dir):
     out = summary.density_curve(SI.laptop_metrics(spark, sf_dir), "M2_Total_Energy_J", "Library_Name")
     return rounded(out, {"x": 8, "bandwidth": 10, "density": 10})
 
 
+@query("density_curves_all", oracle=Q.with_(Q.LAPTOP) + _density_sql(" UNION ALL ".join(
+    f"SELECT '{c}' AS m, Library_Name AS g, {c} AS v FROM lm" for c in LAPTOP_METRICS.values()), True) + """
+SELECT m AS metric, g AS Library_Name, CAST(gi AS INTEGER) AS grid_index, round(x, 8) AS x, round(bw, 9) AS bandwidth,
+       round(s / sqrt(2.0 * pi()) / (n * bw), 8) AS density FROM k""")
+def density_curves_all(spark, sf_dir):
+    """Curves of every laptop metric; the groups of a metric share its grid."""
+    metrics = list(LAPTOP_METRICS.values())
+    long = (SI.laptop_metrics(spark, sf_dir).select("Library_Name", *[F.col(m).cast("double").alias(m) for m in metrics])
+            .unpivot(["Library_Name"], metrics, "metric", "value"))
+    out = summary.density_curve(long, "value", ["metric", "Library_Name"], panel=["metric"])
+    return rounded(out, {"x": 8, "bandwidth": 9, "density": 8})
+
+
 @query("scatter_points", oracle=Q.with_(Q.LAPTOP) + """
 SELECT Platform, Library_Name, M2_Total_Energy_J AS x, M4_Model_Accuracy AS y FROM lm
 WHERE M2_Total_Energy_J IS NOT NULL AND M4_Model_Accuracy IS NOT NULL""")

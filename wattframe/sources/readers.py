@@ -183,7 +183,8 @@ def run_table_schema(layout: str = "laptop") -> T.StructType:
 def scan_run_table(spark: SparkSession, path: str, layout: str = "laptop") -> DataFrame:
     """Run table CSV (a blank first line is tolerated).  ``Timestamp_Start`` text
     ``FAILED`` becomes NULL; numbers are typed, -999999 kept (clean later)."""
-    raw = spark.read.option("header", True).schema(run_table_schema(layout)).csv(path)
+    schema = run_table_schema(layout)
+    raw = spark.read.option("header", True).schema(schema).csv(path).select(*schema.names)  # folder names are no columns
     ints = {"Duration_ns"}
     texts = {"__run_id", "__done", "Block_Type", "Library_Name", "Library", "Model_Type", "Model_Name"}
     cols = []

@@ -165,7 +165,7 @@ def stream_power_windows(samples: DataFrame, run_cols: Sequence[str], power_col:
                     "n_samples", "mean_w", "max_w")
 
 
-def start_to_folder(stream: DataFrame, sink_dir: str, checkpoint_dir: str, name: str, write=None):
+def start_to_folder(stream: DataFrame, sink_dir: str, checkpoint_dir: str, name: str, write=None, mode: str = "update"):
     """Run the stream over all available input (``availableNow``), writing each
     micro-batch to ``sink_dir/batch_id=<id>`` (idempotent on retry), or with ``write``
     (of the batch and its id; ``KeyedSink.write`` keeps the folder compact).  The query
@@ -174,7 +174,7 @@ def start_to_folder(stream: DataFrame, sink_dir: str, checkpoint_dir: str, name:
     def write_batch(batch: DataFrame, batch_id: int):
         batch.write.mode("overwrite").parquet(os.path.join(sink_dir, f"batch_id={batch_id}"))
 
-    q = (stream.writeStream.queryName(name).outputMode("update").foreachBatch(write or write_batch)
+    q = (stream.writeStream.queryName(name).outputMode(mode).foreachBatch(write or write_batch)
          .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())
     dropped, done = {}, False
     while not done:  # a query remembers the progress of its last 100 batches
