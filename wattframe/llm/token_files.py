@@ -52,8 +52,8 @@ from wattframe.session import scratch_path
 BLOCK = 1 << 20
 FILE_IDS = 1 << 23
 SPLIT_IDS = 1 << 22
-CACHED_WORDS = 1_000_000
-SLICE_BYTES = 8_000_000
+CACHED_WORDS = 600_000
+SLICE_BYTES = 4_000_000
 BATCH_BYTES = 8_000_000
 FILES_A_GROUP = 1024
 MOST_TASKS = 20_000
