@@ -184,8 +184,12 @@ def _run_flow(spark, prepared, fn):
     return spark.createDataFrame(rows, schema)
 
 
-def _regression_prepared(spark, sf_dir):
-    r = SI.regression_table(spark, sf_dir).drop("l_linenumber")
+#: (order, line) is not unique; rows equal in all of these are interchangeable
+LINE_KEY = ["l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_extendedprice", "p_size", "p_retailprice"]
+
+
+def _regression_prepared(spark, sf_dir, keep=()):
+    r = SI.regression_table(spark, sf_dir).drop(*[c for c in ["l_linenumber"] if c not in keep])
     r = clean.drop_null_rows(r)
     # the categories are those of the part table: no join is run to list them
     levels = clean.category_levels(SI.table(spark, sf_dir, "part"), "p_type")
@@ -263,17 +267,22 @@ def logreg_l2(spark, sf_dir):
 @query("logreg_plain")
 def logreg_plain(spark, sf_dir):
     """Network-library logistic flow on the regression table: target above median, 20 %
-    hash split by order (lines have no unique key, so it is not stratified), scaling,
-    unpenalised logistic regression, accuracy."""
-    r = _regression_prepared(spark, sf_dir)
+    split stratified by it, scaling, unpenalised logistic regression, accuracy."""
+    return _logreg_plain_flow(spark, sf_dir)
+
+
+def _logreg_plain_flow(spark, sf_dir, shares=False):
+    r = _regression_prepared(spark, sf_dir, keep=["l_linenumber"])
     from wattframe.operators.selection import quantiles
     prices = SI.table(spark, sf_dir, "lineitem").join(SI.table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"), "left_semi")
     med = quantiles(prices, "l_extendedprice", {"m": 0.5}).first()["m"]
     r = r.withColumn("label", (F.col("l_extendedprice") > F.lit(med)).cast("int"))
 
     def flow(data):
-        feats = [c for c in _reg_features(data) if c != "label"]
-        d = _scaled_split(data, ["l_orderkey"], feats, 0.2, exact=False)
+        feats = [c for c in _reg_features(data) if c not in ("label", "l_linenumber")]
+        d = _scaled_split(data, LINE_KEY, feats, 0.2, label="label")
+        if shares:
+            return d.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_test").alias("n_test"))
         m = models.logreg_plain(d.where(~F.col("is_test")), feats, "label")
         pred = models.batch_score(m, d.where(F.col("is_test")), feats, 0.5, inclusive=False)
         return evaluate.accuracy_only(pred, "label")
@@ -281,18 +290,79 @@ def logreg_plain(spark, sf_dir):
     return _run_flow(spark, r, flow)
 
 
+@query("logreg_plain_split", oracle=Q.with_(Q.REGRESSION) + """,
+m AS (SELECT median(l_extendedprice) AS m FROM reg), c AS (SELECT CAST(l_extendedprice > m AS INTEGER) AS label, count(*) AS n FROM reg, m GROUP BY ALL)
+SELECT label, n, CAST(ceil(0.2 * n) AS BIGINT) AS n_test FROM c""")
+def logreg_plain_split(spark, sf_dir):
+    """The classes of the flow's split: each gives a fifth of its rows, to within one."""
+    return _logreg_plain_flow(spark, sf_dir, shares=True)
+
+
+def _mlp_flow(data, feats):
+    d = _scaled_split(data, ["vec_id"], feats, 0.2, label="label")
+    m = models.mlp_classify(d.where(~F.col("is_test")), feats, "label", max_iter=100, seed=42)
+    pred = models.batch_score(m, d.where(F.col("is_test")), feats, 0.5, inclusive=True)
+    return evaluate.classification_metrics(pred, "label")
+
+
 @query("mlp_classify")
 def mlp_classify(spark, sf_dir):
     """Network flow: stratified 20 % split, scaling, d -> 32 -> 16 -> 2 network, threshold >= 0.5, metrics."""
     em, feats = _embeddings(spark, sf_dir)
+    return _run_flow(spark, em.drop("embedding"), lambda data: _mlp_flow(data, feats))
+
+
+@query("mlp_classify_bounds", oracle="""
+WITH c AS (SELECT label = 5 AS y, count(*) AS n FROM embeddings GROUP BY ALL),
+t AS (SELECT y, CAST(ceil(0.2 * n) AS BIGINT) AS n FROM c)
+SELECT CAST(sum(n) AS BIGINT) AS n_test, CAST(sum(n) FILTER (y) AS BIGINT) AS n_positive, true AS accuracy_holds FROM t""")
+def mlp_classify_bounds(spark, sf_dir):
+    """What must hold of the network's flow whatever its weights: the test rows of each
+    class, and an accuracy of at least the larger class's share less 0.1."""
+    m = mlp_classify(spark, sf_dir)
+    n = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
+    positive = F.col("tp") + F.col("fn")
+    return m.select(n.cast("long").alias("n_test"), positive.cast("long").alias("n_positive"),
+                    (F.col("accuracy") >= F.greatest(positive, n - positive) / n - F.lit(0.1)).alias("accuracy_holds"))
+
+
+@query("linreg_gd_steps", oracle="""
+WITH h AS (SELECT l_quantity AS q, l_extendedprice AS y,
+                  ('0x' || substr(md5('42:' || l_orderkey), 1, 8))::BIGINT < 0.2 * 4294967296.0 AS is_test FROM lineitem),
+s AS (SELECT count(*) AS n, avg(q) AS mq, stddev_pop(q) AS sq, avg(y) AS my, covar_pop(q, y) AS c FROM h WHERE NOT is_test),
+t AS (SELECT *, pow(1.0 - 2.0 * 0.0002, ceil(n / 32.0)) AS left_over FROM s)
+SELECT CAST(ceil(n / 32.0) AS BIGINT) AS steps, round(my * (1 - left_over), 4) AS intercept, round(c / sq * (1 - left_over), 4) AS slope FROM t""")
+def linreg_gd_steps(spark, sf_dir):
+    """The gradient descent part-way: after one epoch's steps on one standardised
+    feature, for which the weights have a closed form."""
+    li = split.bernoulli_split(SI.table(spark, sf_dir, "lineitem"), ["l_orderkey"], 0.2).where(~F.col("is_test"))
+    train = standard_scale_fit(li, ["l_quantity"]).transform(li)
+    m = models.linreg_gd(train, ["l_quantity"], "l_extendedprice", lr=0.0002, epochs=1, batch_size=32)
+    n = train.count()
+    return spark.createDataFrame([(-(-n // 32), round(m.intercept, 4), round(m.coefficients["l_quantity"], 4))],
+                                 "steps long, intercept double, slope double")
+
+
+@query("linreg_gd_bounds", oracle="""
+SELECT count(*) FILTER (WHERE ('0x' || substr(md5('42:' || l_orderkey), 1, 8))::BIGINT < 0.2 * 4294967296.0) AS n_test,
+       true AS error_holds FROM lineitem JOIN part ON l_partkey = p_partkey""")
+def linreg_gd_bounds(spark, sf_dir):
+    """What must hold of the whole flow: its test rows, and a test error between that of
+    least squares on the same rows, less 1 %, and 1.5 times that plus the variance left."""
+    r = _regression_prepared(spark, sf_dir)
 
     def flow(data):
-        d = _scaled_split(data, ["vec_id"], feats, 0.2, label="label")
-        m = models.mlp_classify(d.where(~F.col("is_test")), feats, "label", max_iter=100, seed=42)
-        pred = models.batch_score(m, d.where(F.col("is_test")), feats, 0.5, inclusive=True)
-        return evaluate.classification_metrics(pred, "label")
+        feats = _reg_features(data)
+        d = _scaled_split(data, ["l_orderkey"], feats, 0.2, exact=False)
+        train, test = d.where(~F.col("is_test")), d.where(F.col("is_test"))
+        gd = models.linreg_gd(train, feats, "l_extendedprice", lr=0.001, epochs=100, batch_size=32)
+        best = models.linreg_ols(train, feats, "l_extendedprice")
+        a = evaluate.regression_metrics(gd.transform(test), "l_extendedprice").select("n", F.col("MSE").alias("a"))
+        b = evaluate.regression_metrics(best.transform(test), "l_extendedprice").select(F.col("MSE").alias("b"))
+        both = a.first(), b.first()
+        return spark.createDataFrame([(both[0]["n"], 0.99 * both[1]["b"] <= both[0]["a"] <= 1.5 * both[1]["b"])], "n_test long, error_holds boolean")
 
-    return _run_flow(spark, em.drop("embedding"), flow)
+    return _run_flow(spark, r, flow)
 
 
 @query("fit_time")
