@@ -21,7 +21,7 @@ file. Counts of ids reach the driver as one row per id of the vocabulary (bounde
 by it); nothing else does.
 
 Edge cases: a null text is an empty one and gives the end id alone; null keys come
-first; rows with equal keys are in order of the CRC-32 and number of their ids;
+first; rows with equal keys are in order of the CRC-32 of their ids as staged, and their number;
 repeated rows are all kept; a text of any length is one document, over as many
 blocks as it needs; an empty table gives a dataset without files. Other columns,
 whatever their names, are not read.
@@ -53,7 +53,7 @@ BLOCK = 1 << 20
 FILE_IDS = 1 << 23
 SPLIT_IDS = 1 << 22
 CACHED_WORDS = 600_000
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 6_000_000
 BATCH_BYTES = 8_000_000
 FILES_A_GROUP = 1024
 MOST_TASKS = 20_000
@@ -99,7 +99,9 @@ class Encoder:
                          and not spec.get("normalizer") and not spec.get("truncation") and not spec.get("padding")
                          and len(self.line) == 1 and all(t.split() == [t] and not t[0].isalpha() for t in self.added))
         self.width = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
-        self.marks = {m: self._ids(m) for m in ("", *".,;:!?")}
+        self.bytes_of = [i.to_bytes(int(self.width[2]), "little") for i in range(self.library.get_vocab_size())]
+        self.line_bytes = self._bytes(self.line)
+        self.marks = {m: self._bytes(self._ids(m)) for m in ("", *".,;:!?")}
         # the library's names of bytes: printable ones stand for themselves, the others follow from U+0100 on
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         others = [b for b in range(256) if b not in plain]
@@ -109,14 +111,17 @@ class Encoder:
     def _ids(self, text: str) -> list[int]:
         return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
+    def _bytes(self, ids: list[int]) -> bytes:
+        return b"".join([self.bytes_of[i] for i in ids])
+
     def clear(self) -> None:
         #: number of a word (after a space), or of a 1-tuple of it (at the start of a text)
         self.numbers = _Numbers()
-        self.cores: dict[str, list[int]] = {}
-        self.flat, self.at, self.size = np.zeros(0, self.width), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.cores: dict[str, bytes] = {}
+        self.flat, self.at, self.size = np.zeros(0, self.width), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.open, self.closed, self.apart = np.zeros(0, bool), np.zeros(0, bool), np.zeros(0, bool)
 
-    def _core(self, letters: str) -> list[int]:
+    def _core(self, letters: str) -> bytes:
         """Ids of letters, with or without a space before, one token of the library's pattern."""
         ids = self.cores.get(letters)
         if ids is None:
@@ -124,20 +129,20 @@ class Encoder:
                 name = letters.encode().decode("latin-1").translate(self.byte_names)
             else:
                 name = "\u0120" + letters[1:] if letters[0] == " " else letters
-            ids = self.cores[letters] = [t.id for t in self.library.model.tokenize(name)]
+            ids = self.cores[letters] = self._bytes([t.id for t in self.library.model.tokenize(name)])
         return ids
 
-    def _simple(self, word: str) -> list[int] | None:
+    def _simple(self, word: str) -> bytes | None:
         """Ids of a word of letters and a mark after a space, or of several such, a line
         each, the first after a space; None if it is something else."""
-        ids, before = [], " "
+        ids, before = b"", " "
         for part in word.split("\n"):
             m = self.SIMPLE.fullmatch(part)
             if not m:
                 return None
             if not before:
-                ids = ids + self.line
-            ids = ids + self._core(before + m[1]) + self.marks[m[2]]
+                ids += self.line_bytes
+            ids += self._core(before + m[1]) + self.marks[m[2]]
             before = ""
         return ids
 
@@ -162,14 +167,14 @@ class Encoder:
             ids = self._ids("\n".join(" " + words[i] for i in some))
             at = [-1, *[k for k, x in enumerate(ids) if x == self.line[0]], len(ids)]
             for i, first, stop in zip(some, at, at[1:]):
-                coded[i] = ids[first + 1 : stop]
+                coded[i] = self._bytes(ids[first + 1 : stop])
         for i, e in zip(others, self.library.encode_batch_fast(
                 [" " + words[i] if isinstance(words[i], str) else words[i][0] for i in others], add_special_tokens=False)):
-            coded[i] = e.ids
-        size = np.fromiter(map(len, coded), np.int64, len(coded))
-        self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(size) - size])
+            coded[i] = self._bytes(e.ids)
+        size = np.fromiter(map(len, coded), np.int32, len(coded)) // int(self.width[2])
+        self.at = np.concatenate([self.at, (len(self.flat) + np.cumsum(size) - size).astype(np.int32)])
         self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(coded), self.width, int(size.sum()))])
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(coded), self.width)])
         flags = np.zeros((3, len(words)), bool)
         for i in [*lines, *others]:
             w = words[i] if isinstance(words[i], str) else words[i][0]
@@ -207,15 +212,15 @@ class Encoder:
         if len(self.numbers) > known:
             self._learn(list(itertools.islice(self.numbers, known, None)))
         size = self.size[index]
-        upto = np.cumsum(size)
-        ids = self.flat[np.repeat(self.at[index] - upto + size, size) + np.arange(int(upto[-1]))]
+        upto = np.cumsum(size, dtype=np.int32)  # of a slice of some megabytes
+        ids = self.flat[np.repeat(self.at[index] - upto + size, size) + np.arange(int(upto[-1]), dtype=np.int32)]
         # a space between white space; what follows a text's last word is another text
         bad = self.apart[index]
         beside = self.closed[index[:-1]] & self.open[index[1:]]
         beside[stops[:-1] - 1] = False
         bad[:-1] |= beside
         whole = np.flatnonzero(np.add.reduceat(bad, starts))
-        data, ends = ids.tobytes(), upto[stops - 1] * int(self.width[2])
+        data, ends = ids.tobytes(), upto[stops - 1].astype(np.int64) * int(self.width[2])
         parts = [data[a:b] + tail for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
         if len(whole):
             for i, e in zip(whole, self.library.encode_batch_fast([texts[int(i)].as_py() for i in whole], add_special_tokens=False)):
@@ -234,19 +239,18 @@ def _encoder(path: str) -> Encoder:
 
 
 def tokenized(docs: DataFrame, key: Column, tokenizer_file: str, text_col: str = "text", end: int = 2) -> DataFrame:
-    """(key, n_tokens, ids_crc32, width, ids): the end id included; ``ids`` are
-    little-endian integers of ``width`` bytes, the CRC is of them as 32-bit ones."""
+    """(key, n_tokens, width, ids): the end id included; ``ids`` are little-endian
+    integers of ``width`` bytes."""
     src = docs.select(key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    schema = T.StructType([src.schema["key"]]).add("n_tokens", "long").add("ids_crc32", "long").add("width", T.IntegerType()).add("ids", "binary")
+    schema = T.StructType([src.schema["key"]]).add("n_tokens", "long").add("width", T.IntegerType()).add("ids", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_file)
         width = int(encoder.width[2])
         for batch in batches:
             ids = encoder.encode(batch.column("text"), end)
-            crc = [zlib.crc32(np.frombuffer(x, encoder.width).astype("<u4")) for x in ids]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(crc, pa.int64()),
+                [batch.column("key"), pa.array([len(x) // width for x in ids], pa.int64()),
                  pa.array([width] * len(ids), pa.int32()), pa.array(ids, pa.binary())], names=schema.names)
 
     return src.mapInArrow(run, schema)
@@ -360,7 +364,7 @@ def write(tokens: DataFrame, folder: str, file_ids: int = FILE_IDS, block: int =
     so that texts are tokenized once, however often a later step runs."""
     spark = tokens.sparkSession
     staged = scratch_path(spark, "token-ids")
-    tokens.withColumn("row", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(staged)
+    tokens.withColumn("crc", F.crc32("ids")).withColumn("row", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(staged)
     rows = spark.read.parquet(staged)
     counts = _count_ids(rows).collect()  # a row per id of the vocabulary
     table = range_coder.FrequencyTable.fit(np.array([r["id"] for r in counts], np.uint32), np.array([r["n"] for r in counts], np.int64))
@@ -395,7 +399,7 @@ def write(tokens: DataFrame, folder: str, file_ids: int = FILE_IDS, block: int =
                 "n_ids": pa.array([sum(writer.lengths)], pa.int64()), "n_bytes": pa.array([size], pa.int64())})
 
     n_files = max(1, -(-sum(r["n"] for r in counts) // file_ids))
-    order = ["key", "ids_crc32", "n_tokens", "row"]
+    order = ["key", "crc", "n_tokens", "row"]
     placed = rows.repartitionByRange(n_files, *order).sortWithinPartitions(*order).select("key", "width", "ids")
     files = scratch_path(spark, "token-files")
     placed.mapInArrow(run, "part int, file string, n_docs long, n_ids long, n_bytes long").write.parquet(files)
