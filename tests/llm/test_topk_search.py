@@ -1,9 +1,14 @@
+import os
+
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from wattframe.llm import topk_search
 
+SF = "/root/testdata/sf0.1/embeddings.parquet"
+
 
 def slow(rows, k, is_query, factor=64):
     ok = []
@@ -44,17 +49,42 @@ def test_large_components_are_exact(spark):
     assert got[2] - got[1] == 64 and got[3] == (1 << 63) - 1
 
 
-def test_pruning_drops_candidates_before_the_lists_are_read_to_the_end():
+@pytest.mark.parametrize("share", [0.1, 0.5, 0.9, 1.0])
+def test_bounds_hold(share):
     r = np.random.default_rng(1)
-    x = np.round(r.normal(0, 8, (2000, 4)))
-    lists = topk_search.SortedLists(x)
-    up, low = lists.read(500)
-    q = np.array([[30.0, 0, 0, 0]])
-    upper = np.maximum(q, 0) @ up[0].T + np.minimum(q, 0) @ up[1].T
-    lower = np.maximum(q, 0) @ low[0].T + np.minimum(q, 0) @ low[1].T
-    exact = q @ x.T
-    assert (lower <= exact).all() and (exact <= upper).all()
-    assert (upper[0] >= np.sort(lower[0])[-20]).sum() < 700
+    for x in (np.round(r.normal(0, 8, (700, 16))), r.integers(-2, 3, (60, 5)).astype(float), np.zeros((9, 3))):
+        lists = topk_search.SortedLists(x)
+        q = np.round(r.normal(0, 8, (40, x.shape[1])))
+        lower, upper, entries = lists.bounds(q, share)
+        exact = q @ x.T
+        assert (lower <= exact).all() and (exact <= upper).all() and entries <= x.size
+
+
+@pytest.mark.skipif(not os.path.isfile(SF), reason="driver tables not present")
+def test_reading_stops_before_the_lists_end_on_the_driver_vectors():
+    table = pq.read_table(SF)
+    x = np.floor(64.0 * np.array(table.column("embedding").to_pylist(), float))
+    ids = np.array(table.column("vec_id").to_pylist())
+    queries = np.flatnonzero(ids % 20 == 0)
+    first, rest = topk_search.SortedLists(x[:500]), topk_search.SortedLists(x[500:])
+    own = np.zeros((len(queries), len(x)), bool)
+    own[np.arange(len(queries)), queries] = True
+    lowest = np.full(len(queries), -np.inf)
+    floors = np.array([np.sort(s)[-20] for _, _, s, _ in topk_search.block_best(x[queries], first, 20, own[:, :500], lowest)])
+    read = left = 0
+    for i, rows, _, entries in topk_search.block_best(x[queries], rest, 20, own[:, 500:], floors):
+        read, left = read + entries, left + len(rows)
+        best = np.argsort(-(rest.x @ x[queries[i]]) + 1e9 * own[i, 500:], kind="stable")[:20]
+        assert set(best[rest.x[best] @ x[queries[i]] >= floors[i]]) <= set(rows)
+    assert read < 0.85 * len(queries) * rest.x.size and left < 0.1 * len(queries) * rest.n
+
+
+def test_text_identifiers_and_clashing_names(spark):
+    r = np.random.default_rng(5)
+    rows = [(f"v{i:03d}", [float(a) for a in v], 1, "x") for i, v in enumerate(r.normal(0, 0.2, (90, 6)))]
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<double>, row int, `a.b` string")
+    got = topk_search.top_k(df, F.col("vec_id") < "v010", k=5, query_block=4, candidate_block=30)
+    assert sorted(tuple(z) for z in got.collect()) == slow([x[:2] for x in rows], 5, lambda i: i < "v010")
 
 
 def test_empty_table_and_no_query(spark):
