@@ -99,8 +99,44 @@ def test_level_finds_exactly_its_pairs(tmp_path):
     r = np.random.default_rng(1)
     pairs = sorted({(int(a), int(b)) for a, b in zip(r.integers(0, 50, 400), r.integers(0, 90, 400))})
     ctx, word = np.array(pairs).T
-    trie = ngram_lm.Level(str(tmp_path), ctx, word, np.arange(len(ctx)).astype("<u2"), np.zeros(0, "<i8"))
+    ngram_lm.Level.build(str(tmp_path), "x", ctx, word)
+    trie = ngram_lm.Level.load(str(tmp_path), "x")
     ask = np.array([(a, b) for a in range(52) for b in range(92)])
     place = trie.find(ask[:, 0], ask[:, 1])
     index = {p: i for i, p in enumerate(pairs)}
     assert place.tolist() == [index.get((int(a), int(b)), -1) for a, b in ask]
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_a_stored_slice_finds_exactly_its_n_grams(tmp_path, order):
+    r = np.random.default_rng(order)
+    table = np.unique(r.integers(0, 9, (700, order)), axis=0)
+    kept = r.random(len(table)) < 0.6
+    total = r.integers(1, 300, int(kept.sum()))
+    ngram_lm.Slice.build(str(tmp_path / "s"), table[kept], total, None, True)
+    trie = ngram_lm.Slice.load(str(tmp_path / "s"))
+    place = trie.find(table)
+    assert (place >= 0).tolist() == kept.tolist()
+    assert trie.counts[place[kept]].tolist() == total.tolist()
+    seen = {}
+    for g, t in zip(table[kept][:, :-1].tolist(), total.tolist()):
+        seen[tuple(g)] = seen.get(tuple(g), 0) + t
+    share = total / (np.array([seen[tuple(g)] for g in table[kept][:, :-1].tolist()]) + ngram_lm._mu(order))
+    assert np.abs(10.0 ** (-trie.codes[place[kept]].astype(float) / ngram_lm.STEP) / share - 1).max() < 1e-3
+    assert len(ngram_lm.Slice.build(str(tmp_path / "e"), table[:0], total[:0], None, False).find(table[:0])) == 0
+    assert (ngram_lm.Slice.load(str(tmp_path / "e")).find(table) == -1).all()
+
+
+def test_unseen_texts_are_scored_by_stored_slices(spark):
+    rows = list(enumerate(texts(150, 4)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    learned = F.col("doc_id") < 120
+    scores, model = ngram_lm.learn_and_score(df, learned, block_tokens=300, shard_tokens=500)
+    want = {r.doc_id: r for r in scores.collect()}
+    got = {r.doc_id: r for r in ngram_lm.score_unseen(model, df.where("doc_id >= 120").repartition(2), block_tokens=200).collect()}
+    assert set(got) == set(range(120, 150))
+    for k, r in got.items():
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (want[k].n_tokens, want[k].n_known, want[k].train_tokens, pytest.approx(want[k].base_score))
+        assert r.score == pytest.approx(want[k].score, abs=1e-9)
+    new = ngram_lm.score_unseen(model, spark.createDataFrame([(1, "never seen words"), (2, None)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_tokens, r.n_known) for r in new) == [(1, 4, 1), (2, 1, 1)]

@@ -26,12 +26,28 @@ def save(folder: str, name: str, array: np.ndarray) -> np.ndarray:
     return np.memmap(path, dtype=array.dtype, mode="r", shape=array.shape)
 
 
+def load(folder: str, name: str, dtype: str) -> np.ndarray:
+    """Map an array that ``save`` has written (nothing is written of an empty one)."""
+    path = os.path.join(folder, name)
+    return np.memmap(path, dtype=dtype, mode="r") if os.path.exists(path) else np.zeros(0, dtype)
+
+
 class EliasFano:
+    @classmethod
+    def load(cls, folder: str, name: str) -> EliasFano:
+        """A sequence written before."""
+        out = cls.__new__(cls)
+        out.n, out.l = (int(x) for x in np.fromfile(os.path.join(folder, f"{name}.size"), "<i8"))
+        out.low, out.high = load(folder, f"{name}.low", "u1"), load(folder, f"{name}.high", "<u8")
+        out.ones, out.zeros = load(folder, f"{name}.ones", "<i8"), load(folder, f"{name}.zeros", "<i8")
+        return out
+
     def __init__(self, folder: str, name: str, values: np.ndarray):
         values = np.asarray(values, dtype=np.uint64)
         self.n = n = len(values)
         last = int(values[-1]) if n else 0
         self.l = l = max(0, min(56, ((last + 1) // max(n, 1)).bit_length() - 1))
+        np.array([n, l], "<i8").tofile(os.path.join(folder, f"{name}.size"))
         self.low = save(folder, f"{name}.low", self._packed(values & _U((1 << l) - 1), l))
         bits = np.zeros(-(-(n + (last >> l) + 2) // _SPAN) * _SPAN, np.bool_)
         if n:

@@ -7,31 +7,38 @@ Probabilities are Dirichlet-smoothed, each order backed by the one below:
 with the unigram (c(w) + 0.1) / (N + 0.1 (V + 1)). The context of a text's first
 word is the end of another text.
 
-Documents are cut into blocks of about a million tokens, written once with their
-own dictionaries. For each order a block asks for its distinct n-grams only, with
-how often its training documents hold them, so a frequent word or word pair is one
-entry a block. Requests are dealt to shards by context, those of very frequent
-contexts by context and word; the number of shards follows the number of tokens.
-A shard sums the training counts and builds its slice of the trie's level: the
-contexts, the pointers to their ranges of words, and the words, each made monotone
-and kept as Elias-Fano sequences, with the quantised first term above, all in
-memory-mapped files. A word is found by successor search in the range of its
-context, relative to the value where that range begins. The answers, 16 bits for a
-distinct n-gram, go back to the blocks, which add up the texts. No table, and no
-part of the model, is held in one task or sent to all of them.
-
-Edge cases: a null text is empty and has the end token alone; a null identifier
-counts as the empty string for the fold; repeated rows count as often as they
-occur; without training documents every token is unknown; an empty table gives an
-empty result.
+Documents are cut into blocks of about a million tokens, written once with their own
+dictionaries. A block asks for its distinct n-grams of all orders at once, by the
+identifiers of their words, with how often its training documents hold them. Requests
+are dealt to shards by context (the words before, the nearest first); pairs of a very
+frequent word by that word and the next. The number of shards follows the number of
+tokens; a block sends a shard one packet.
+
+A shard builds its slice of the trie from what training documents hold. A level has,
+per node above, the words that follow it, made monotone by the ranges before and kept
+as Elias-Fano sequence, with monotone pointers to the ranges: context words first, from
+the nearest on, then the predicted word with its quantised first term above, and for
+each context its count. A word is found by successor search in the range of its node,
+relative to the value where that range begins. Slices are written once, into the
+shared folder, and memory-mapped where they are asked: by all blocks of the run, and
+later by texts that the model has not seen (``score_unseen``). The answers go back to
+the blocks, which add up the texts. No table, and no part of the model, is held in one
+task or sent to all of them.
+
+Edge cases: a null text is empty and has the end token alone; identifiers are integers,
+a null one counts as the empty string for the fold; repeated rows count as often as
+they occur; without training documents every token is unknown; an empty table gives an
+empty result. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
-import shutil
-import tempfile
+import json
+import os
+import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -42,7 +49,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattframe.llm.common import frozen
-from wattframe.llm.elias_fano import EliasFano, save
+from wattframe.llm.elias_fano import EliasFano, load, save
 from wattframe.session import scratch_path
 
 ORDER = 3
@@ -139,9 +146,13 @@ def blocks_of(docs: DataFrame, ids: Column, train: Column, text_col: str = "text
                                "tokens binary, words binary, counts binary")
 
 
-def vocabulary(blocks: DataFrame, shards: int) -> DataFrame:
-    """For each block and shard the numbers (in the block), identifiers and counts of
-    the words that occur in training; rows with block -1 hold a shard's totals."""
+WORDS = "shard int, block long, at binary, nodes binary, counts binary, words binary, n long, v long"
+
+
+def vocabulary(blocks: DataFrame, shards: int, known: DataFrame | None = None) -> DataFrame:
+    """For each block and shard the numbers (in the block), identifiers and counts of the
+    words that occur in training; rows with block -1 hold a shard's words and totals.
+    With ``known``, such rows of a model, nothing is learned and the words are its."""
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, raw, counts in zip(*(batch.column(c).to_pylist() for c in ("block", "words", "counts"))):
@@ -155,41 +166,65 @@ def vocabulary(blocks: DataFrame, shards: int) -> DataFrame:
                      pa.array([_deltas(at) for *_, at in rows], pa.binary()),
                      pa.array([_pack(counts[at]) for *_, at in rows], pa.binary())], names=["shard", "block", "words", "at", "counts"])
 
-    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        shard, index, parts = int(pdf["shard"].iloc[0]), {}, []
-        for raw in pdf["words"]:
-            words = _unzip(raw).split(b"\n")
-            parts.append(np.array([index.setdefault(w, len(index)) for w in words], np.int64))
-        total = np.zeros(len(index), np.int64)
-        for part, counts in zip(parts, pdf["counts"]):
-            total[part] += _unpack(counts)  # a word occurs once in a part
-        known = total > 0
-        names = sorted(index, key=lambda w: (-total[index[w]], w))
-        rank = np.empty(len(index), np.int64)
-        rank[[index[w] for w in names]] = np.arange(len(names))
-        rows = [(-1, b"", b"", b"", int(total.sum()), int(known.sum()))]
-        for block, part, at in zip(pdf["block"], parts, pdf["at"]):
-            keep = known[part]
-            rows.append((int(block), _deltas(_undelta(at)[keep]), _pack(rank[part][keep] * shards + shard), _pack(total[part][keep]), 0, 0))
-        return pd.DataFrame(rows, columns=["block", "at", "nodes", "counts", "n", "v"])
-
+    def reply(shard: int, pdf: pd.DataFrame, nodes: dict[bytes, tuple[int, int]]) -> list[tuple]:
+        rows = []
+        for block, raw, at in pdf[["block", "words", "at"]].itertuples(index=False):
+            found = [nodes.get(w) for w in _unzip(raw).split(b"\n")]
+            keep = np.array([f is not None for f in found], bool)
+            pairs = np.array([f for f in found if f is not None], np.int64).reshape(-1, 2)
+            rows.append((shard, int(block), _deltas(_undelta(at)[keep]), _pack(pairs[:, 0]), _pack(pairs[:, 1]), b"", 0, 0))
+        return rows
+
+    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
+        shard, total = int(pdf["shard"].iloc[0]), {}
+        for raw, counts in zip(pdf["words"], pdf["counts"]):
+            for w, c in zip(_unzip(raw).split(b"\n"), _unpack(counts).tolist()):
+                if c:
+                    total[w] = total.get(w, 0) + c
+        # frequent words have small identifiers, which pack well
+        names = sorted(total, key=lambda w: (-total[w], w))
+        nodes = {w: (i * shards + shard, total[w]) for i, w in enumerate(names)}
+        counts = np.array([total[w] for w in names], np.int64)
+        rows = [(shard, -1, b"", b"", _pack(counts), _zip(b"\n".join(names)), int(counts.sum()), len(names))]
+        return pd.DataFrame(rows + reply(shard, pdf, nodes), columns=names_of)
+
+    def look_up(pdf: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if not pdf.empty:
+            shard, nodes = int(pdf["shard"].iloc[0]), {}
+            if not table.empty and table["v"].iloc[0]:
+                words, counts = _unzip(table["k_words"].iloc[0]).split(b"\n"), _unpack(table["k_counts"].iloc[0]).tolist()
+                nodes = {w: (i * shards + shard, c) for i, (w, c) in enumerate(zip(words, counts))}
+            rows = reply(shard, pdf, nodes)
+        return pd.DataFrame(rows, columns=names_of)
+
+    names_of = [c.split(" ")[0] for c in WORDS.split(", ")]
     asked = blocks.select("block", "words", "counts").mapInArrow(ask, "shard int, block long, words binary, at binary, counts binary")
-    return asked.groupBy("shard").applyInPandas(answer, "block long, at binary, nodes binary, counts binary, n long, v long")
+    if known is None:
+        return asked.groupBy("shard").applyInPandas(learn, WORDS)
+    table = known.where("block = -1").select(F.col("shard").alias("s"), F.col("words").alias("k_words"), F.col("counts").alias("k_counts"), "v")
+    return asked.groupBy("shard").cogroup(table.groupBy("s")).applyInPandas(look_up, WORDS)
 
 
 class Level:
-    """A shard's slice of one level of the trie: contexts, pointers, words, codes."""
+    """A level of a shard's trie: per node above (its number) the words that follow it."""
+
+    def __init__(self, nodes: EliasFano, pointers: EliasFano, words: EliasFano):
+        self.contexts, self.pointers, self.words = nodes, pointers, words
 
-    def __init__(self, folder: str, ctx: np.ndarray, word: np.ndarray, codes: np.ndarray, counts: np.ndarray):
-        """Sorted distinct (context, word) pairs with their codes and counts."""
+    @classmethod
+    def build(cls, folder: str, name: str, ctx: np.ndarray, word: np.ndarray) -> Level:
+        """From sorted distinct (node, word) pairs; a pair's place is its node below."""
         first = np.flatnonzero(np.diff(ctx, prepend=-1)) if len(ctx) else np.zeros(0, np.int64)
         lasts = np.append(first[1:], len(ctx)) - 1
         spans = word[lasts] + 1  # a range takes the values from its base to base + last word
         base = np.concatenate([[0], np.cumsum(spans)])[:-1] if len(first) else np.zeros(0, np.int64)
-        self.contexts = EliasFano(folder, "contexts", ctx[first])
-        self.pointers = EliasFano(folder, "pointers", np.append(first, len(ctx)))
-        self.words = EliasFano(folder, "words", np.repeat(base, np.diff(np.append(first, len(ctx)))) + word)
-        self.codes, self.counts = save(folder, "codes", codes), save(folder, "counts", counts)
+        return cls(EliasFano(folder, f"{name}.contexts", ctx[first]), EliasFano(folder, f"{name}.pointers", np.append(first, len(ctx))),
+                   EliasFano(folder, f"{name}.words", np.repeat(base, np.diff(np.append(first, len(ctx)))) + word))
+
+    @classmethod
+    def load(cls, folder: str, name: str) -> Level:
+        return cls(*[EliasFano.load(folder, f"{name}.{part}") for part in ("contexts", "pointers", "words")])
 
     def find(self, ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Places of sorted distinct pairs, -1 where the pair is not in the trie."""
@@ -218,29 +253,97 @@ class Level:
         return place
 
 
-def _shards_of(ctx: np.ndarray, word: np.ndarray, seen: np.ndarray, shards: int, often: int) -> np.ndarray:
-    """By context; contexts seen very often by context and word."""
+class Slice:
+    """A shard's part of one order: levels from the nearest context word to the predicted
+    word; codes of the n-grams and, where a longer order needs them, their counts."""
+
+    def __init__(self, levels: list[Level], codes: np.ndarray, counts: np.ndarray):
+        self.levels, self.codes, self.counts = levels, codes, counts
+
+    @classmethod
+    def build(cls, folder: str, grams: np.ndarray, total: np.ndarray, seen: np.ndarray | None, counted: bool) -> Slice:
+        """``grams`` has a row per n-gram, in order: context words from the nearest on, then
+        the word; ``total`` their counts; ``seen`` the counts of their contexts, or None if
+        all that follows a context is here; ``counted`` keeps the counts."""
+        os.makedirs(folder)
+        order, levels = grams.shape[1], []
+        node = above = np.zeros(len(grams), np.int64)
+        for k in range(order):
+            new = np.ones(len(grams), bool)
+            new[1:] = (node[1:] != node[:-1]) | (grams[1:, k] != grams[:-1, k])
+            levels.append(Level.build(folder, f"level{k}", node[new], grams[new, k]))
+            above, node = node, np.cumsum(new) - 1
+        if seen is None:
+            seen = np.bincount(above, weights=total).astype(np.int64)[above] if len(above) else total
+        codes = np.minimum(np.rint(-np.log10(total / (seen + _mu(order))) * STEP), UNSEEN - 1).astype("<u2")
+        kind = "<u1" if not len(total) or total.max() < 1 << 8 else "<u4" if total.max() < 1 << 32 else "<u8"
+        with open(os.path.join(folder, "slice.json"), "w") as f:
+            json.dump({"order": order, "counts": kind}, f)
+        return cls(levels, save(folder, "codes", codes), save(folder, "counts", total.astype(kind) if counted else np.zeros(0, kind)))
+
+    @classmethod
+    def load(cls, folder: str) -> Slice:
+        with open(os.path.join(folder, "slice.json")) as f:
+            about = json.load(f)
+        return cls([Level.load(folder, f"level{k}") for k in range(about["order"])], load(folder, "codes", "<u2"), load(folder, "counts", about["counts"]))
+
+    def find(self, grams: np.ndarray) -> np.ndarray:
+        """Places of n-grams (sorted, distinct), -1 where one is not in the trie."""
+        node = np.zeros(len(grams), np.int64)
+        for k, level in enumerate(self.levels):
+            new = np.ones(len(grams), bool)
+            new[1:] = (node[1:] != node[:-1]) | (grams[1:, k] != grams[:-1, k])
+            if k:  # rows without a node share none, whatever the words
+                new[1:] |= (grams[1:, :k] != grams[:-1, :k]).any(axis=1)
+            ask = np.flatnonzero(new & (node >= 0))
+            found = np.full(len(grams), -1, np.int64)
+            found[ask] = level.find(node[ask], grams[ask, k])
+            node = found[np.maximum.accumulate(np.where(new, np.arange(len(grams)), 0))] if len(grams) else node
+        return node
+
+
+def _shards_of(grams: np.ndarray, seen: np.ndarray, shards: int, often: int) -> np.ndarray:
+    """By all context words; pairs of a word seen very often by both words."""
+    order = grams.shape[1]
     with np.errstate(over="ignore"):
-        mix = ctx.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        mix ^= np.where(seen > often, (word.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0))
+        mix = np.zeros(len(grams), np.uint64)
+        for k in range(order - 1):
+            mix = (mix ^ grams[:, k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            mix ^= mix >> np.uint64(29)
+        if order == 2:
+            mix ^= np.where(seen > often, (grams[:, 1].astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0))
         mix ^= mix >> np.uint64(31)
         mix *= np.uint64(0xD6E8FEB86659FD93)
     return ((mix >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
 
 
+def _pack_grams(grams: np.ndarray) -> bytes:
+    """Sorted n-grams: differences of the first words, the others as they are."""
+    return b"".join(len(x).to_bytes(4, "little") + x for x in [_deltas(grams[:, 0]), *[_pack(grams[:, k]) for k in range(1, grams.shape[1])]])
+
+
+def _unpack_grams(raw: bytes) -> np.ndarray:
+    columns, at = [], 0
+    while at < len(raw):
+        size = int.from_bytes(raw[at : at + 4], "little")
+        part = raw[at + 4 : at + 4 + size]
+        columns.append(_unpack(part) if columns else _undelta(part))
+        at += 4 + size
+    return np.stack(columns, axis=1)
+
+
 class _Block:
-    """A block's tokens resolved up to some order."""
+    """A block's tokens with the identifiers of their words."""
 
-    def __init__(self, row, answers: pd.DataFrame):
+    def __init__(self, row, words: pd.DataFrame):
         self.lens = np.asarray(row["lens"], np.int64)
         self.tokens = _unpack(row["tokens"])
         self.starts = np.cumsum(self.lens) - self.lens
         self.train = np.repeat(np.asarray(row["flags"], np.int64) & 1 > 0, self.lens)
         self.place = np.arange(len(self.tokens)) - np.repeat(self.starts, self.lens)
-        self.answers = {k: a for k, a in answers.groupby("level")}
         size = int(self.tokens.max()) + 1
         node, count = np.full(size, -1, np.int64), np.zeros(size, np.int64)
-        for at, nodes, counts in self.answers.get(1, pd.DataFrame(columns=["at", "nodes", "counts"]))[["at", "nodes", "counts"]].itertuples(index=False):
+        for at, nodes, counts in words[["at", "nodes", "counts"]].itertuples(index=False):
             at = _undelta(at)
             node[at], count[at] = _unpack(nodes), _unpack(counts)
         self.word, self.count = node[self.tokens], count[self.tokens]
@@ -248,161 +351,218 @@ class _Block:
         end = int(self.tokens[self.starts[0] + self.lens[0] - 1])
         self.end, self.end_count = node[end], count[end]
 
-    def contexts(self, level: int, node: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each token the node that its context is, and how often that was seen."""
-        ctx, often = np.empty_like(node), np.empty_like(seen)
-        ctx[1:], often[1:] = node[:-1], seen[:-1]
-        ctx[:1], often[:1] = -1, 0
-        early = self.place < level - 2
-        ctx[early], often[early] = -1, 0
-        if level == 2:
-            ctx[self.starts], often[self.starts] = self.end, self.end_count
-        return ctx, often
-
-    def pairs(self, level: int, ctx: np.ndarray, often: np.ndarray):
-        """Distinct known (context, word) pairs, sorted: context, word, times in
-        training, times of the context; and for each token its pair or -1."""
-        ok = np.flatnonzero((ctx >= 0) & (self.word >= 0))
-        order = ok[np.lexsort((self.word[ok], ctx[ok]))]
-        c, w = ctx[order], self.word[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (c[1:] != c[:-1]) | (w[1:] != w[:-1])
-        number = np.cumsum(new) - 1
-        first = np.flatnonzero(new)
-        pair = np.full(len(ctx), -1, np.int64)
-        pair[order] = number
-        times = np.bincount(number[self.train[order]], minlength=len(first))
-        return c[first], w[first], times, often[order][first], pair
-
-    def walk(self, upto: int, shards: int, often_limit: int):
-        """(context count, pair of each token, answer codes of pairs) for the orders 2
-        to ``upto``; the state to ask for the next order is left in ``self.ask``."""
-        node, seen = self.word, self.count
-        steps = []
-        for level in range(2, upto + 2):
-            ctx, often = self.contexts(level, node, seen)
-            c, w, times, c_seen, pair = self.pairs(level, ctx, often)
-            places = _by_shard(_shards_of(c, w, c_seen, shards, often_limit))
-            if level == upto + 1:
-                self.ask = (c, w, times, c_seen, places)
-                break
-            # one more entry stands for tokens without a pair (-1)
-            code, nodes, counts = np.full(len(c) + 1, UNSEEN, np.int64), np.full(len(c) + 1, -1, np.int64), np.zeros(len(c) + 1, np.int64)
-            for shard, a, b, d in self.answers.get(level, pd.DataFrame(columns=["shard", "at", "nodes", "counts"]))[["shard", "at", "nodes", "counts"]].itertuples(index=False):
-                at = places[shard]
-                code[at] = _unpack(a)
-                if b:
-                    nodes[at], counts[at] = _unpack(b) - 1, _unpack(d)
-            steps.append((often, pair, code))
-            node, seen = nodes[pair], counts[pair]
-        return steps
-
-
-ANSWERS = "block long, level int, shard int, at binary, nodes binary, counts binary"
+    def grams(self, order: int):
+        """Distinct known n-grams, sorted: context words from the nearest on, then the
+        word; times in training; how often the nearest word was seen; and for each token
+        its n-gram or -1."""
+        columns, ok = [], (self.word >= 0) & (self.place >= order - 2)
+        for back in range(1, order):
+            before = np.full(len(self.word), -1, np.int64)
+            before[back:] = self.word[:-back]
+            at = self.starts + back - 1  # where the end of another text comes before
+            at = at[at < self.starts + self.lens]
+            before[at] = self.end
+            columns.append(before)
+            ok &= before >= 0
+        often = np.zeros(len(self.word), np.int64)
+        often[1:] = self.count[:-1]
+        often[self.starts] = self.end_count
+        columns.append(self.word)
+        rows = np.flatnonzero(ok)
+        by = rows[np.lexsort([c[rows] for c in reversed(columns)])]
+        table = np.stack([c[by] for c in columns], axis=1)
+        new = np.ones(len(by), bool)
+        new[1:] = (table[1:] != table[:-1]).any(axis=1)
+        number, first = np.cumsum(new) - 1, np.flatnonzero(new)
+        which = np.full(len(self.word), -1, np.int64)
+        which[by] = number
+        times = np.bincount(number[self.train[by]], minlength=len(first))
+        return table[first], times, often[by][first], which, often
+
+
+ANSWERS = "block long, order int, shard int, codes binary, counts binary"
 
 
 def _mu(level: int) -> float:
     return MU[min(level, len(MU) - 1)]
 
 
-def next_level(blocks: DataFrame, answers: DataFrame, level: int, order: int, shards: int, often: int) -> DataFrame:
-    """Ask for the n-grams of a level, build the trie's slices, and answer."""
+def _asked(body: DataFrame, words: DataFrame, orders: range, shards: int, often: int) -> DataFrame:
+    """The packets of all blocks: a row per (block, order, shard)."""
     def ask(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for row in left.to_dict("records"):
             block = _Block(row, right)
-            block.walk(level - 1, shards, often)
-            c, w, times, seen, places = block.ask
-            for s, at in places.items():
-                ctx = c[at]
-                first = np.flatnonzero(np.diff(ctx, prepend=-1))
-                size = np.diff(np.append(first, len(at)))
-                rows.append((s, int(row["block"]), _deltas(ctx[first]), _pack(size), _pack(seen[at][first]),
-                             _pack(w[at]), _pack(times[at])))
-        return pd.DataFrame(rows, columns=["shard", "block", "ctx", "size", "seen", "word", "times"])
-
-    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        shard, ctx, word, times, often = int(pdf["shard"].iloc[0]), [], [], [], []
-        for a, b, e, c, d in pdf[["ctx", "size", "seen", "word", "times"]].itertuples(index=False):
-            sizes = _unpack(b)
-            ctx.append(np.repeat(_undelta(a), sizes))
-            often.append(np.repeat(_unpack(e), sizes))
-            word.append(_unpack(c))
-            times.append(_unpack(d))
-        cuts = np.cumsum([0, *map(len, times)])
-        ctx, word, times, often = map(np.concatenate, (ctx, word, times, often))
-        by = np.lexsort((word, ctx))
-        c, w = ctx[by], word[by]
-        new = np.ones(len(c), bool)
-        new[1:] = (c[1:] != c[:-1]) | (w[1:] != w[:-1])
-        number = np.empty(len(c), np.int64)
-        number[by] = np.cumsum(new) - 1
-        c, w, often = c[new], w[new], often[by][new]
-        total = np.bincount(number, weights=times, minlength=len(c)).astype(np.int64)
-        seen = total > 0
-        folder = tempfile.mkdtemp(prefix="trie-")
-        try:
-            share = total[seen] / (often[seen] + _mu(level))
-            codes = np.minimum(np.rint(-np.log10(share) * STEP), UNSEEN - 1).astype("<u2")
-            exact = total[seen].astype("<i8") if level < order else np.zeros(0, "<i8")
-            trie = Level(folder, c[seen], w[seen], codes, exact)
-            place = trie.find(c, w)
-            code = np.full(len(c), UNSEEN, "<u2")
-            hit = place >= 0
-            code[hit] = trie.codes[place[hit]]
-            nodes, counts = np.full(len(c), -1, np.int64), np.zeros(len(c), np.int64)
-            if level < order:
-                nodes[hit], counts[hit] = place[hit] * shards + shard, trie.counts[place[hit]]
-            rows = []
-            for i, block in enumerate(pdf["block"]):
-                at = number[cuts[i]:cuts[i + 1]]
-                more = (_pack(nodes[at] + 1), _pack(counts[at])) if level < order else (b"", b"")
-                rows.append((int(block), level, shard, _pack(code[at]), *more))
-            return pd.DataFrame(rows, columns=["block", "level", "shard", "at", "nodes", "counts"])
-        finally:
-            shutil.rmtree(folder, ignore_errors=True)
-
-    asked = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
-        ask, "shard int, block long, ctx binary, size binary, seen binary, word binary, times binary")
-    return asked.groupBy("shard").applyInPandas(answer, ANSWERS)
+            for order in orders:
+                grams, times, seen, *_ = block.grams(order)
+                for s, at in _by_shard(_shards_of(grams, seen, shards, often)).items():
+                    rows.append((s, order, int(row["block"]), _pack_grams(grams[at]), _pack(times[at]), _pack(seen[at]) if order == 2 else b""))
+        return pd.DataFrame(rows, columns=["shard", "order", "block", "grams", "times", "seen"])
 
+    return body.groupBy("block").cogroup(words.groupBy("block")).applyInPandas(
+        ask, "shard int, order int, block long, grams binary, times binary, seen binary")
 
-def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER,
-          block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """(id, n_tokens, n_known, train_tokens, base_score, score) of every document. ``train``
-    says whether a document is learned from. Scores are log10 probabilities."""
-    spark: SparkSession = docs.sparkSession
-    path = scratch_path(spark, "lm-blocks")
-    blocks_of(docs, F.col(id_col), train, text_col, block_tokens).write.option("compression", "uncompressed").parquet(path)
-    blocks = spark.read.parquet(path)
-    tokens = blocks.agg(F.sum("n_tokens")).first()[0] or 0
-    shards = max(1, -(-tokens // shard_tokens))
-    often = shard_tokens // 4
-    words = frozen(vocabulary(blocks, shards))
-    n, v = words.where("block = -1").agg(F.sum("n"), F.sum("v")).first()
-    n, v = n or 0, v or 0
-    answers = words.where("block >= 0").select("block", F.lit(1).alias("level"), F.lit(-1).alias("shard"), "at", "nodes", "counts")
-    body = blocks.select("block", "ids", "lens", "flags", "tokens")
-    for level in range(2, order + 1):
-        answers = answers.unionByName(frozen(next_level(body, answers, level, order, shards, often)))
+
+def _local(folder: str) -> str:
+    path = folder.removeprefix("file://").removeprefix("file:")
+    if "://" in path:
+        raise ValueError(f"slices are memory-mapped: {folder} is not a path that tasks can map")
+    return path
+
+
+def _answers(asked: DataFrame, folder: str, last: int, slices: DataFrame | None = None) -> DataFrame:
+    """Answers to the packets. Without ``slices`` a shard builds its slice first, under a
+    name of its own for each attempt, which a row with block -1 tells; else the slices
+    (shard, order, name) are those of a model. ``last`` is the longest order."""
+    root = _local(folder)
+
+    def reply(trie: Slice | None, shard: int, order: int, packets) -> list[tuple]:
+        rows = []
+        for block, grams in packets:
+            code, counts = np.full(len(grams), UNSEEN, np.int64), np.zeros(len(grams), np.int64)
+            if trie is not None:
+                place = trie.find(grams)
+                hit = place >= 0
+                code[hit] = trie.codes[place[hit]]
+                if len(trie.counts):
+                    counts[hit] = trie.counts[place[hit]]
+            rows.append((int(block), order, shard, _pack(code), _pack(counts) if order < last else b""))
+        return rows
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        shard, order = int(pdf["shard"].iloc[0]), int(pdf["order"].iloc[0])
+        parts, learned, times, often = [], [], [], []
+        for grams, t, o in pdf[["grams", "times", "seen"]].itertuples(index=False):
+            grams, t = _unpack_grams(grams), _unpack(t)
+            parts.append(grams)
+            learned.append(grams[t > 0])
+            times.append(t[t > 0])
+            often.append(_unpack(o)[t > 0] if order == 2 else np.zeros(0, np.int64))
+        grams, times, often = np.concatenate(learned), np.concatenate(times), np.concatenate(often)
+        by = np.lexsort([grams[:, k] for k in range(order - 1, -1, -1)])
+        grams = grams[by]
+        new = np.ones(len(grams), bool)
+        new[1:] = (grams[1:] != grams[:-1]).any(axis=1)
+        first = np.flatnonzero(new)
+        total = np.add.reduceat(times[by], first) if len(first) else np.zeros(0, np.int64)
+        name = f"order{order}-{shard:06d}-{uuid.uuid4().hex[:8]}"
+        trie = Slice.build(os.path.join(root, name), grams[first], total, often[by][first] if order == 2 else None, order < last)
+        rows = [(-1, order, shard, name.encode(), b"")] + reply(trie, shard, order, zip(pdf["block"], parts))
+        return pd.DataFrame(rows, columns=["block", "order", "shard", "codes", "counts"])
+
+    def look_up(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if not pdf.empty:
+            shard, order = int(pdf["shard"].iloc[0]), int(pdf["order"].iloc[0])
+            packets = ((b, _unpack_grams(g)) for b, g in zip(pdf["block"], pdf["grams"]))
+            # without a row nothing was learned there
+            rows = reply(None if known.empty else Slice.load(os.path.join(root, known["name"].iloc[0])), shard, order, packets)
+        return pd.DataFrame(rows, columns=["block", "order", "shard", "codes", "counts"])
+
+    if slices is None:
+        return asked.groupBy("shard", "order").applyInPandas(build, ANSWERS)
+    known = slices.select(F.col("shard").alias("s"), F.col("order").alias("o"), "name")
+    return asked.groupBy("shard", "order").cogroup(known.groupBy("s", "o")).applyInPandas(look_up, ANSWERS)
+
+
+@dataclass
+class Model:
+    """What scoring needs: the words, the slices and where they are, the counts."""
+
+    folder: str
+    words: DataFrame
+    slices: DataFrame  # (shard, order, name)
+    order: int
+    shards: int
+    often: int
+    n: int
+    v: int
+
+
+def _scores(body: DataFrame, words: DataFrame, answers: DataFrame, model: Model, id_col: str) -> DataFrame:
+    order, shards, limit, n, v = model.order, model.shards, model.often, model.n, model.v
 
     def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in left.to_dict("records"):
-            block = _Block(row, right)
+            block = _Block(row, right[right["order"] == 1])
             base = (block.count + 0.1) / (n + 0.1 * (v + 1))
-            p = base
-            for level, (often_, pair, code) in enumerate(block.walk(order, shards, often), start=2):
-                mu = _mu(level)
-                hit = code[pair] != UNSEEN
-                p = np.where(hit, 10.0 ** (-code[pair] / STEP), 0.0) + mu / (often_ + mu) * p
+            p, total = base, None
+            for level in range(2, order + 1):
+                grams, _, seen, which, often = block.grams(level)
+                if level > 2:  # a context's count is that of the n-gram that ends before
+                    often = np.zeros(len(which), np.int64)
+                    often[1:] = total[:-1]
+                    often[block.place < level - 2] = 0
+                places = _by_shard(_shards_of(grams, seen, shards, limit))
+                # one more entry stands for tokens without an n-gram (-1)
+                code, counts = np.full(len(grams) + 1, UNSEEN, np.int64), np.zeros(len(grams) + 1, np.int64)
+                for shard, a, b in right.loc[right["order"] == level, ["shard", "codes", "counts"]].itertuples(index=False):
+                    code[places[shard]] = _unpack(a)
+                    if level < order:
+                        counts[places[shard]] = _unpack(b)
+                total, mu = counts[which], _mu(level)
+                hit = code[which] != UNSEEN
+                p = np.where(hit, 10.0 ** (-code[which] / STEP), 0.0) + mu / (often + mu) * p
             out.append(pd.DataFrame({
                 "id": pd.Series(row["ids"], dtype="Int64").mask(np.asarray(row["flags"], np.int64) > 1), "n_tokens": block.lens,
                 "n_known": np.add.reduceat((block.count > 0).astype(np.int64), block.starts),
                 "base_score": np.add.reduceat(np.log10(base), block.starts), "score": np.add.reduceat(np.log10(p), block.starts)}))
         return pd.concat(out) if out else pd.DataFrame({"id": [], "n_tokens": [], "n_known": [], "base_score": [], "score": []})
 
-    found = body.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
+    none = F.lit(None).cast("binary")
+    rows = (words.select("block", F.lit(1).alias("order"), "shard", none.alias("codes"), "counts", "at", "nodes")
+            .unionByName(answers.select("block", "order", "shard", "codes", "counts", none.alias("at"), none.alias("nodes"))).where("block >= 0"))
+    found = body.groupBy("block").cogroup(rows.groupBy("block")).applyInPandas(
         finish, "id long, n_tokens long, n_known long, base_score double, score double")
-    return found.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"),
-                        "base_score", "score")
+    return found.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def _written_blocks(docs: DataFrame, id_col: str, train: Column, text_col: str, block_tokens: int) -> DataFrame:
+    path = scratch_path(docs.sparkSession, "lm-blocks")
+    blocks_of(docs, F.col(id_col), train, text_col, block_tokens).write.option("compression", "uncompressed").parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
+BODY = ["block", "ids", "lens", "flags", "tokens"]
+
+
+def learn_and_score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER,
+                    block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS) -> tuple[DataFrame, Model]:
+    """(id, n_tokens, n_known, train_tokens, base_score, score) of every document, and the
+    model. ``train`` says whether a document is learned from. Scores are log10 probabilities."""
+    spark: SparkSession = docs.sparkSession
+    blocks = _written_blocks(docs, id_col, train, text_col, block_tokens)
+    tokens = blocks.agg(F.sum("n_tokens")).first()[0] or 0
+    shards = max(1, -(-tokens // shard_tokens))
+    words = frozen(vocabulary(blocks, shards))
+    n, v = words.where("block = -1").agg(F.sum("n"), F.sum("v")).first()
+    folder = scratch_path(spark, "lm-slices")
+    body, often = blocks.select(*BODY), shard_tokens // 4
+    if order > 1:
+        asked = _asked(body, words.where("block >= 0"), range(2, order + 1), shards, often)
+        answers = frozen(_answers(asked, folder, order))
+    else:
+        answers = spark.createDataFrame([], ANSWERS)
+    slices = answers.where("block = -1").select("shard", "order", F.col("codes").cast("string").alias("name"))
+    model = Model(folder, words, slices, order, shards, often, n or 0, v or 0)
+    return _scores(body, words, answers, model, id_col), model
+
+
+def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER,
+          block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """The scores of ``learn_and_score``."""
+    return learn_and_score(docs, train, id_col, text_col, order, block_tokens, shard_tokens)[0]
+
+
+def score_unseen(model: Model, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """Scores of other documents by a model's stored slices; nothing is learned."""
+    blocks = _written_blocks(docs, id_col, F.lit(False), text_col, block_tokens)
+    words = frozen(vocabulary(blocks, model.shards, model.words))
+    body = blocks.select(*BODY)
+    if model.order > 1:
+        asked = _asked(body, words, range(2, model.order + 1), model.shards, model.often)
+        answers = frozen(_answers(asked, model.folder, model.order, model.slices))
+    else:
+        answers = docs.sparkSession.createDataFrame([], ANSWERS)
+    return _scores(body, words, answers, model, id_col)
