@@ -216,7 +216,7 @@ class Level:
     def build(cls, folder: str, name: str, ctx: np.ndarray, word: np.ndarray) -> Level:
         """From sorted distinct (node, word) pairs; a pair's place is its node below."""
         first = np.flatnonzero(np.diff(ctx, prepend=-1)) if len(ctx) else np.zeros(0, np.int64)
-        lasts = np.append(first[1:], len(ctx)) - 1
+        lasts = np.append(first[1:], len(ctx))[: len(first)] - 1
         spans = word[lasts] + 1  # a range takes the values from its base to base + last word
         base = np.concatenate([[0], np.cumsum(spans)])[:-1] if len(first) else np.zeros(0, np.int64)
         return cls(EliasFano(folder, f"{name}.contexts", ctx[first]), EliasFano(folder, f"{name}.pointers", np.append(first, len(ctx))),
