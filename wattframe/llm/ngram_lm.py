@@ -416,47 +416,51 @@ def _answers(asked: DataFrame, folder: str, last: int, slices: DataFrame | None
     (shard, order, name) are those of a model. ``last`` is the longest order."""
     root = _local(folder)
 
-    def reply(trie: Slice | None, shard: int, order: int, packets) -> list[tuple]:
-        rows = []
-        for block, grams in packets:
-            code, counts = np.full(len(grams), UNSEEN, np.int64), np.zeros(len(grams), np.int64)
-            if trie is not None:
-                place = trie.find(grams)
-                hit = place >= 0
-                code[hit] = trie.codes[place[hit]]
-                if len(trie.counts):
-                    counts[hit] = trie.counts[place[hit]]
-            rows.append((int(block), order, shard, _pack(code), _pack(counts) if order < last else b""))
-        return rows
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        shard, order = int(pdf["shard"].iloc[0]), int(pdf["order"].iloc[0])
-        parts, learned, times, often = [], [], [], []
-        for grams, t, o in pdf[["grams", "times", "seen"]].itertuples(index=False):
-            grams, t = _unpack_grams(grams), _unpack(t)
-            parts.append(grams)
-            learned.append(grams[t > 0])
-            times.append(t[t > 0])
-            often.append(_unpack(o)[t > 0] if order == 2 else np.zeros(0, np.int64))
-        grams, times, often = np.concatenate(learned), np.concatenate(times), np.concatenate(often)
-        by = np.lexsort([grams[:, k] for k in range(order - 1, -1, -1)])
+    def distinct(parts: list[np.ndarray]):
+        """The distinct n-grams of all packets, in order; each row's number among them; the
+        order of the rows, and where a new n-gram begins in it."""
+        grams = np.concatenate(parts)
+        by = np.lexsort([grams[:, k] for k in range(grams.shape[1] - 1, -1, -1)])
         grams = grams[by]
         new = np.ones(len(grams), bool)
         new[1:] = (grams[1:] != grams[:-1]).any(axis=1)
-        first = np.flatnonzero(new)
-        total = np.add.reduceat(times[by], first) if len(first) else np.zeros(0, np.int64)
+        number = np.empty(len(grams), np.int64)
+        number[by] = np.cumsum(new) - 1
+        return grams[new], number, by, np.flatnonzero(new)
+
+    def reply(trie: Slice | None, shard: int, order: int, blocks, parts: list[np.ndarray], grams: np.ndarray, number: np.ndarray) -> list[tuple]:
+        code, counts = np.full(len(grams), UNSEEN, np.int64), np.zeros(len(grams), np.int64)
+        if trie is not None:
+            place = trie.find(grams)
+            hit = place >= 0
+            code[hit] = trie.codes[place[hit]]
+            if len(trie.counts):
+                counts[hit] = trie.counts[place[hit]]
+        cuts = np.cumsum([0, *map(len, parts)])
+        return [(int(block), order, shard, _pack(code[number[a:b]]), _pack(counts[number[a:b]]) if order < last else b"")
+                for block, a, b in zip(blocks, cuts, cuts[1:])]
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        shard, order = int(pdf["shard"].iloc[0]), int(pdf["order"].iloc[0])
+        parts, times = [_unpack_grams(g) for g in pdf["grams"]], np.concatenate([_unpack(t) for t in pdf["times"]])
+        grams, number, by, first = distinct(parts)
+        total = np.add.reduceat(times[by], first)
+        learned = total > 0
+        seen = np.concatenate([_unpack(o) for o in pdf["seen"]])[by][first][learned] if order == 2 else None
         name = f"order{order}-{shard:06d}-{uuid.uuid4().hex[:8]}"
-        trie = Slice.build(os.path.join(root, name), grams[first], total, often[by][first] if order == 2 else None, order < last)
-        rows = [(-1, order, shard, name.encode(), b"")] + reply(trie, shard, order, zip(pdf["block"], parts))
+        trie = Slice.build(os.path.join(root, name), grams[learned], total[learned], seen, order < last)
+        rows = [(-1, order, shard, name.encode(), b"")] + reply(trie, shard, order, pdf["block"], parts, grams, number)
         return pd.DataFrame(rows, columns=["block", "order", "shard", "codes", "counts"])
 
     def look_up(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if not pdf.empty:
             shard, order = int(pdf["shard"].iloc[0]), int(pdf["order"].iloc[0])
-            packets = ((b, _unpack_grams(g)) for b, g in zip(pdf["block"], pdf["grams"]))
+            parts = [_unpack_grams(g) for g in pdf["grams"]]
+            grams, number, *_ = distinct(parts)
             # without a row nothing was learned there
-            rows = reply(None if known.empty else Slice.load(os.path.join(root, known["name"].iloc[0])), shard, order, packets)
+            trie = None if known.empty else Slice.load(os.path.join(root, known["name"].iloc[0]))
+            rows = reply(trie, shard, order, pdf["block"], parts, grams, number)
         return pd.DataFrame(rows, columns=["block", "order", "shard", "codes", "counts"])
 
     if slices is None:
