@@ -1,10 +1,13 @@
 """Power logs as a data source: batch, ranges of bytes, and logs that appear and grow."""
 
+import datetime as dt
 import os
 import random
 
+import pyarrow as pa
 import pytest
 
+from wattframe.plans import q_sources
 from wattframe.sources import power_source as P
 from wattframe.sources import readers
 from wattframe.streaming import meter
@@ -109,3 +112,32 @@ def test_logs_that_appear_and_grow(spark, tmp_dir):
     # each sample was read once: the batches hold what was new
     sizes = {r["batch_id"]: r["count"] for r in spark.read.parquet(sink).groupBy("batch_id").count().collect()}
     assert sorted(sizes.values()) == [4, 10, 25]
+
+
+def test_written_logs_are_a_file_each_whatever_the_partitions(spark, tmp_dir):
+    rows = [(i, dt.datetime(2024, 1, 1, 0, i // 60, i % 60), i % 7 if i % 50 else None, "x", float(i), '{"k": 2}') for i in range(300)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    events.repartition(12).write.parquet(os.path.join(tmp_dir, "events.parquet"))
+    root = q_sources._written_power_logs(spark, tmp_dir)
+    files = [os.path.join(d, f) for d, _, names in os.walk(root) for f in names if f.endswith(".csv")]
+    assert len(files) == len({os.path.dirname(f) for f in files})
+    assert sum(P.log_of(f) is not None for f in files) == 14
+    want = sorted((r[2], None if layout else float(r[4] + 2), r[4], None if layout else 2.0) for r in rows if r[2] is not None for layout in (0, 1))
+    for out in (P.scan(spark, root), q_sources.scan_power_logs(spark, tmp_dir)):
+        assert sorted(map(tuple, out.select("run", "total_w", "cpu_w", "gpu_w").collect()), key=str) == sorted(want, key=str)
+
+
+def test_a_task_that_is_run_again_replaces_its_part(tmp_dir, monkeypatch):
+    class Context:
+        def __init__(self, attempt):
+            self.partitionId, self.taskAttemptId = lambda: 3, lambda: attempt
+
+    writer = P.PowerLogWriter(tmp_dir, "w")
+    batch = pa.RecordBatch.from_pydict({"log": ["run_1_repetition_0.csv"] * 2 + ["run_2_repetition_0.csv"], "Date": ["a", None, "c"]})
+    for attempt in (1, 2):
+        monkeypatch.setattr(P.TaskContext, "get", classmethod(lambda cls, a=attempt: Context(a)))
+        assert writer.write(iter([batch, batch.slice(2)])).rows == 4
+    found = {os.path.relpath(os.path.join(d, f), tmp_dir): open(os.path.join(d, f)).read() for d, _, names in os.walk(tmp_dir) for f in names}
+    assert found == {"log=run_1_repetition_0.csv/part-w-00003.csv": "Date\na\n\n", "log=run_2_repetition_0.csv/part-w-00003.csv": "Date\nc\nc\n"}
+    writer.abort([])
+    assert not [f for _, _, names in os.walk(tmp_dir) for f in names]
