@@ -93,6 +93,31 @@ def test_segments_merge_exactly(rows, parts):
     assert segments.Segment.from_row(whole.row()) == whole
 
 
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("abc"), st.integers(0, 50), st.one_of(st.just(float("nan")), st.floats(0, 100))), min_size=1, max_size=40))
+def test_segments_of_many_runs_at_once(rows):
+    run, us = np.array([r[0] for r in rows], object), np.array([r[1] * 1_000_000 for r in rows], np.int64)
+    seq, power = np.arange(len(rows)), np.array([[r[2], 1.0] for r in rows])
+    got = {r[0]: segments.Segment.from_row(r[1:]) for r in segments.run_segments(run, us, seq, power).itertuples(index=False, name=None)}
+    assert set(got) == set(run)
+    for name, s in got.items():
+        want = segments.Segment.of(us[run == name], seq[run == name], power[run == name])
+        assert (s.first, s.last, s.n, s.start_power) == (want.first, want.last, want.n, want.start_power) and s.body == pytest.approx(want.body)
+
+
+def test_many_runs_share_a_key(spark, tmp_dir, monkeypatch):
+    queries, start = [], meter.start_to_folder
+    monkeypatch.setattr(meter, "start_to_folder", lambda *args, **kw: queries.append(start(*args, **kw)) or queries[-1])
+    rows = [(run if run else None, i, T0 + dt.timedelta(minutes=(7 * i + run) % 600), float(i), 1.0) for run in range(200) for i in range(4)]
+    found = stream(spark, tmp_dir, [rows[0::2], rows[1::2]], "share", shards=2)
+    # state is touched per shard, not per run
+    assert max(op.numRowsUpdated for q in queries for p in q.recentProgress for op in p.stateOperators) < 20
+    got = {r["run"]: r for r in segments.run_energy(found, ["run"], ["w", "g"]).collect()}
+    want = batch_energy(spark, rows)
+    assert {r: x["n_samples"] for r, x in got.items()} == {r: x[0] for r, x in want.items()}
+    assert all(got[r]["w_energy_j"] == pytest.approx(x[1]) and got[r]["g_energy_j"] == pytest.approx(x[2]) for r, x in want.items())
+
+
 def test_place_among_sealed_segments():
     def seg(a, b):
         return segments.Segment((a, 0), (b, 0), 2, (0.0,), (0.0,))

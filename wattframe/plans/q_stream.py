@@ -27,24 +27,26 @@ from wattframe.streaming.keyed_sink import KeyedSink
 SLICES = 4
 FILES_PER_TRIGGER = 64
 BUCKET_MS = 7 * segments.DAY_MS
+SHARD_ROWS = 100_000
 
 
 def _run_growing(spark, sf_dir, name, build_stream, key_cols):
-    """``build_stream`` gets the stream and the lateness in milliseconds."""
+    """``build_stream`` gets the stream, the lateness in milliseconds and the number of samples."""
     samples = SI.power_samples(spark, sf_dir)
     base = scratch_path(spark, name)
     staged, sink, ckpt = (os.path.join(base, p) for p in ("staged", "sink", "checkpoint"))
     arrival = F.pmod(F.crc32(F.col("seq").cast("string").cast("binary")), F.lit(SLICES))
     samples.withColumn("slice", arrival).write.partitionBy("slice").parquet(staged)
     arrived = spark.read.parquet(staged)
-    span_us = arrived.agg(F.max(epoch_micros("ts")) - F.min(epoch_micros("ts"))).first()[0] or 0
+    span_us, n_samples = arrived.agg(F.max(epoch_micros("ts")) - F.min(epoch_micros("ts")), F.count(F.lit(1))).first()
+    span_us = span_us or 0
     files = spark._jvm.org.apache.hadoop.fs.Path(staged)
     n_files = files.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(files).getFileCount()
     stream_in = (spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", min(FILES_PER_TRIGGER, -(-n_files // SLICES)))
                  .parquet(os.path.join(staged, "slice=*")))
     kept = KeyedSink(spark, sink, key_cols)
     done = segments.start_with_rocksdb(spark, lambda: meter.start_to_folder(
-        build_stream(stream_in, span_us // 1000 + 1), sink, ckpt, name, kept.write))
+        build_stream(stream_in, span_us // 1000 + 1, n_samples), sink, ckpt, name, kept.write))
     if done.rows_behind_watermark:
         raise RuntimeError(f"{name}: {done.rows_behind_watermark} rows came behind the watermark")
     return kept.read()
@@ -58,7 +60,8 @@ SELECT run_id, count(*) AS n_samples, CAST(0 AS BIGINT) AS late_samples,
 FROM x GROUP BY run_id""")
 def stream_energy(spark, sf_dir):
     found = _run_growing(spark, sf_dir, "stream_energy",
-                         lambda s, late_ms: segments.stream_segments(s, ["run_id"], ["cpu_w", "gpu_w"], "ts", "seq", BUCKET_MS, late_ms),
+                         lambda s, late_ms, n: segments.stream_segments(s, ["run_id"], ["cpu_w", "gpu_w"], "ts", "seq", BUCKET_MS, late_ms,
+                                                                                    max(segments.SHARDS, -(-n // SHARD_ROWS))),
                          ["run_id", "bucket"])
     return rounded(segments.run_energy(found, ["run_id"], ["cpu_w", "gpu_w"]), {"cpu_w_energy_j": 2, "gpu_w_energy_j": 2})
 
@@ -69,6 +72,6 @@ SELECT user_id AS run_id, date_trunc('day', ts) AS window_start, count(*) AS n_s
 FROM events GROUP BY user_id, date_trunc('day', ts)""")
 def stream_power_windows(spark, sf_dir):
     out = _run_growing(spark, sf_dir, "stream_power_windows",
-                       lambda s, late_ms: meter.stream_power_windows(s, ["run_id"], "cpu_w", "ts", "1 day", f"{late_ms} milliseconds"),
+                       lambda s, late_ms, n: meter.stream_power_windows(s, ["run_id"], "cpu_w", "ts", "1 day", f"{late_ms} milliseconds"),
                        ["run_id", "window_start"])
     return rounded(out.select("run_id", "window_start", "n_samples", "mean_w", "max_w"), {"mean_w": 8})
