@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wattframe.functions.pvalues import chi2_sf, f_sf
-from wattframe.operators import stats, summary
+from wattframe.operators import ranking, stats, summary
 from wattframe.operators.ranking import exact_quantiles, value_counts_ranked
 
 
@@ -193,3 +193,14 @@ def test_density_equals_the_exact_kernel_sum(spark):
     x, h = d["x"].to_numpy(), d["bandwidth"].iloc[0]
     exact = np.exp(-0.5 * ((x[:, None] - np.array(vals)[None, :]) / h) ** 2).sum(axis=1) / (len(vals) * h * math.sqrt(2 * math.pi))
     assert np.abs(d["density"].to_numpy() - exact).max() < 1e-3 * exact.max()
+
+
+def test_values_are_counted_and_ranked_by_tasks_of_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "TASK_ROWS", 100)
+    df = spark.range(2000, numPartitions=1).select((F.col("id") % 3).alias("g"), F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(F.lit(7)).cast("double").alias("v"))
+    out = value_counts_ranked(df, "v", carry_cols=["g"])
+    per_task = [r["n"] for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(per_task) > 10 and max(per_task) < 200
+    got = {(r["g"], r["v"]): (r["n_c"], r["n_ties"], r["mid_rank"]) for r in out.collect()}
+    assert len(got) == 1003 and got[0, 7.0][1:] == (1000, 4 + 500.5) and sum(x[0] for x in got.values()) == 2000
+    assert got[0, 0.0] == (1, 1, 1.0) and got[0, 1998.0] == (1, 1, 2000.0)

@@ -23,6 +23,10 @@ from pyspark.sql import functions as F
 
 from wattframe.session import ensure_checkpoint_dir
 
+#: rows that a task counts, sorts or ranks, about: nearly every value may be a new one, so its
+#: memory follows its rows, whatever the size of a file split or the number of shuffle partitions
+TASK_ROWS = 300_000
+
 
 def by_range(df: DataFrame, order_cols: Sequence[str], n_buckets: int | None = None, out: str = "_b",
              freeze: bool = True) -> DataFrame:
@@ -43,6 +47,14 @@ def _offsets(totals: DataFrame, g: Sequence[str], size: str) -> DataFrame:
             .withColumn("_n", F.sum(size).over(Window.partitionBy(*g))))
 
 
+def _counts_by_parts(df: DataFrame, keys: Sequence[str], parts: int) -> DataFrame:
+    """Distinct keys with their count ``n_c``: counted in ``parts`` shares of the rows, then in
+    as many shares of the keys. A hot key is at most a row per share and tag."""
+    tagged = df.select(*keys).withColumn("_tag", F.pmod(F.monotonically_increasing_id(), F.lit(8 * parts))).repartition(parts, "_tag")
+    shares = tagged.groupBy("_tag", *keys).agg(F.count(F.lit(1)).alias("_n1"))
+    return shares.repartition(parts, *keys).groupBy(*keys).agg(F.sum("_n1").alias("n_c"))
+
+
 def value_counts_ranked(df: DataFrame, value_col: str, group_cols: Sequence[str] = (),
                         n_buckets: int | None = None, carry_cols: Sequence[str] = ()) -> DataFrame:
     """Distinct (group, value) with ``n_ties``, ``cum_before`` (rows of the group
@@ -54,7 +66,9 @@ def value_counts_ranked(df: DataFrame, value_col: str, group_cols: Sequence[str]
     over the whole group - what a rank-sum test needs, without a join back."""
     g, carry = list(group_cols), list(carry_cols)
     base = df.where(F.col(value_col).isNotNull())
-    counts = by_range(base.groupBy(*g, *carry, value_col).agg(F.count(F.lit(1)).alias("n_c")), [*g, value_col], n_buckets)
+    parts = max(1, -(-base.count() // TASK_ROWS))
+    counts = by_range(_counts_by_parts(base, [*g, *carry, value_col], parts), [*g, value_col], n_buckets or 4 * parts)
+    counts = counts.repartition(parts, *g, "_b")  # some whole buckets to a task, as the windows want them
     w_upto = Window.partitionBy(*g, "_b").orderBy(value_col).rangeBetween(Window.unboundedPreceding,
                                                                           Window.currentRow)
     counts_ranked = (counts.withColumn("_upto", F.sum("n_c").over(w_upto))
