@@ -122,7 +122,7 @@ def test_written_logs_are_a_file_each_whatever_the_partitions(spark, tmp_dir):
     files = [os.path.join(d, f) for d, _, names in os.walk(P.open_path(root)[1]) for f in names if P.log_of(os.path.join(d, f))]
     assert len(files) == len({os.path.dirname(f) for f in files})
     assert len(files) == 14
-    want = sorted((r[2], None if layout else float(r[4] + 2), r[4], None if layout else 2.0) for r in rows if r[2] is not None for layout in (0, 1))
+    want = [(r[2], None if layout else float(r[4] + 2), r[4], None if layout else 2.0) for r in rows if r[2] is not None for layout in (0, 1)]
     for out in (P.scan(spark, root), q_sources.scan_power_logs(spark, tmp_dir)):
         assert sorted(map(tuple, out.select("run", "total_w", "cpu_w", "gpu_w").collect()), key=str) == sorted(want, key=str)
 
