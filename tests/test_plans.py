@@ -8,8 +8,9 @@ import os
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from wattframe.operators import energy, ranking
+from wattframe.operators import energy, ranking, split
 from wattframe.plans import q_energy, q_runs
 
 SF = "/root/testdata/sf0.001"
@@ -90,3 +91,23 @@ def test_hot_group_quantiles_exact(spark):
     hot = np.array([v for g, v in vals if g == "hot"])
     assert q["hot"]["med"] == pytest.approx(np.quantile(hot, 0.5))
     assert q["hot"]["q3"] == pytest.approx(np.quantile(hot, 0.75))
+
+
+def test_exact_split_leaves_rows_in_place(spark):
+    """Only the cut buckets' rows, for their window, are shuffled."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(4000).select(F.col("id"), (F.col("id") % 3).alias("s"))
+        plan = _plan(split.stratified_split(rows, ["id"], "s", 0.2))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    tree = plan[: plan.index("(1) ")]
+    assert "SortMergeJoin" not in tree and tree.count("BroadcastHashJoin") == 2
+    assert len([ln for ln in tree.splitlines() if "Exchange" in ln and "Broadcast" not in ln]) == 1
+
+
+def test_exact_split_beyond_the_broadcast(spark, monkeypatch):
+    rows = spark.range(3000).select(F.col("id"), F.when(F.col("id") % 7 > 0, F.col("id") % 7).alias("s"))
+    near = split.exact_split(rows, ["id"], 0.3, strata=["s"]).orderBy("id").collect()
+    monkeypatch.setattr(split, "MOST_GROUPS", 2)
+    assert split.exact_split(rows, ["id"], 0.3, strata=["s"]).orderBy("id").collect() == near

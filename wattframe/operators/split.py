@@ -6,9 +6,10 @@ task or a re-run sees the same split (``randomSplit`` does not guarantee that).
 
 * Bernoulli mode: test when hash / 2^32 < fraction.  No shuffle at all.
 * Exact mode: exactly ceil(fraction * n) test rows (per stratum), the ones with
-  the smallest hash.  Rows are counted per 2^16 hash bucket (a small table),
-  the cut bucket is found from the cumulative counts, and only the rows of the
-  cut bucket are ranked.  The key must be unique for exact mode.
+  the smallest hash.  Rows are counted per 2^16 hash bucket (a small table, made
+  once), the cut bucket of each stratum is found from the cumulative counts and
+  broadcast (joined, beyond ``MOST_GROUPS`` strata), and only the rows of the cut
+  bucket are ranked and shuffled.  The key must be unique for exact mode.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from wattframe.functions.scalars import TWO32, hash32
 from wattframe.operators.permute import permuted, round_keys
 from wattframe.operators.ranking import hash_positions
+from wattframe.operators.selection import MOST_GROUPS, frozen_small, renamed_keys, same_group
 
 BUCKET_BITS = 16
 
@@ -45,23 +47,20 @@ def exact_split(df: DataFrame, key_cols: Sequence[str], fraction: float, seed: i
     cum = (counts.withColumn("_before", F.coalesce(F.sum("_c").over(w_cum), F.lit(0)))
            .withColumn("_n", F.sum("_c").over(Window.partitionBy(*strata)))
            .withColumn("_k", F.ceil(F.lit(float(fraction)) * F.col("_n"))))
-    # every (stratum, bucket) learns its stratum's cut bucket and how many rows of that one are test rows;
-    # a stratum has at most 2^BUCKET_BITS buckets
-    whole = Window.partitionBy(*strata)
+    # a row per stratum: its cut bucket and how many rows of that one are test rows
     at_cut = (F.col("_before") < F.col("_k")) & (F.col("_k") <= F.col("_before") + F.col("_c"))
-    marks = cum.select(*[F.col(c).alias(f"_m{i}") for i, c in enumerate(strata)], F.col("_hb").alias("_mb"),
-                       F.max(F.when(at_cut, F.col("_hb"))).over(whole).alias("_cut"),
-                       F.max(F.when(at_cut, F.col("_k") - F.col("_before"))).over(whole).alias("_rem"))
-    on = F.col("_hb") == F.col("_mb")
-    for i, c in enumerate(strata):
-        on = on & F.col(c).eqNullSafe(F.col(f"_m{i}"))
-    marked = d.join(marks, on, "inner")
+    cuts, n_strata = frozen_small(cum.groupBy(*strata).agg(
+        F.max(F.when(at_cut, F.col("_hb"))).alias("_cut"), F.max(F.when(at_cut, F.col("_k") - F.col("_before"))).alias("_rem")))
+    marks = renamed_keys(cuts, strata, "_m", ["_cut", "_rem"])
+    if n_strata <= MOST_GROUPS:
+        marks = F.broadcast(marks)  # the rows stay where they are
+    marked = d.join(marks, same_group(strata, "_m"), "inner")
     in_cut = F.coalesce(F.col("_hb") == F.col("_cut"), F.lit(False))
     rest = marked.where(~in_cut).withColumn(out, F.coalesce(F.col("_hb") < F.col("_cut"), F.lit(False)))
     w_rank = Window.partitionBy(*strata).orderBy("split_hash", *key_cols)  # the cut bucket's rows only
     cut = (marked.where(in_cut).withColumn("_r", F.row_number().over(w_rank))
            .withColumn(out, F.col("_r") <= F.col("_rem")).drop("_r"))
-    return rest.unionByName(cut).drop("_hb", "_mb", "_cut", "_rem", *[f"_m{i}" for i in range(len(strata))])
+    return rest.unionByName(cut).drop("_hb", "_cut", "_rem", *[f"_m{i}" for i in range(len(strata))])
 
 
 def stratified_split(df: DataFrame, key_cols: Sequence[str], label: str, fraction: float,
