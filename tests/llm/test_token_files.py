@@ -80,6 +80,19 @@ def test_encoder_equals_the_library(texts):
         LIBRARY.encode(t, add_special_tokens=False).ids + [2] for t in texts]
 
 
+def test_marks_behind_letters_do_not_go_through_all_steps(monkeypatch):
+    encoder = token_files.Encoder(FILE)
+    words = ["abc$$$", "Straße%%%,", "été\n\u00c9tait!?", "x|", "a-", "it_", "(", "don't", "ab<|endoftext|>", "9$"]
+    texts = ["begin " + " ".join(words), "x " + " ".join(reversed(words))]
+    want = [np.array(e.ids + [2], encoder.width).tobytes() for e in encoder.library.encode_batch(texts, add_special_tokens=False)]
+    assert encoder.encode(texts, 2) == want
+    asked = []
+    ids = encoder._ids
+    monkeypatch.setattr(encoder, "_ids", lambda text: asked.append(text) or ids(text))
+    encoder._learn(["efg$$$", "Größe%%%,", "hij!?\nklm$$$", "opq()"])
+    assert asked == ["()"]  # marks not seen before, once
+
+
 def test_encoder_forgets_beyond_its_bound(monkeypatch):
     monkeypatch.setattr(token_files, "CACHED_WORDS", 3)
     monkeypatch.setattr(token_files, "SLICE_BYTES", 5)

@@ -52,7 +52,7 @@ from wattframe.session import scratch_path
 BLOCK = 1 << 20
 FILE_IDS = 1 << 23
 SPLIT_IDS = 1 << 22
-CACHED_WORDS = 600_000
+CACHED_WORDS = 400_000
 SLICE_BYTES = 6_000_000
 BATCH_BYTES = 8_000_000
 FILES_A_GROUP = 1024
@@ -64,27 +64,20 @@ TRAILER = struct.Struct("<QQII8s")  # place of the footer, its length, its CRC-3
 
 # ---- texts to ids
 
-class _Numbers(dict):
-    """Numbers new keys in the order in which they are asked for."""
-
-    def __missing__(self, key):
-        number = self[key] = len(self)
-        return number
-
-
 class Encoder:
     """The library's ids of whole texts.
 
     For byte-level vocabularies a text may be cut before a space that does not lie
     between white space: the library's own pattern cuts there too. So a text's words
     are looked up, and only words not seen before go through the library: one of
-    letters, perhaps with a mark behind it, through its model (the pattern leaves such a
-    word whole), others through all its steps. Texts with other spaces, and texts
+    letters, perhaps with marks behind it, through its model (the pattern leaves the
+    letters whole, and the marks), others through all its steps. Texts with other spaces, and texts
     holding an added token, go through it whole. At most ``CACHED_WORDS`` words, and
     those of one slice, are kept."""
 
-    #: letters of the blocks up to U+024F, which every version of the character tables agrees on
-    SIMPLE = re.compile(r"([^\W\d_\u0250-\U0010ffff]+)([.,;:!?]?)")
+    #: letters of the blocks up to U+024F, which every version of the character tables agrees
+    #: on, and ASCII marks other than the apostrophe, at which the pattern may cut
+    SIMPLE = re.compile(r"([^\W\d_\u0250-\U0010ffff]+)([!-&(-/:-@\[-`{-~]*)")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -93,6 +86,7 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
+        self.tokenize = self.library.model.tokenize
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
         self.line = self._ids("\n")
         self.by_words = (pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
@@ -101,7 +95,6 @@ class Encoder:
         self.width = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
         self.bytes_of = [i.to_bytes(int(self.width[2]), "little") for i in range(self.library.get_vocab_size())]
         self.line_bytes = self._bytes(self.line)
-        self.marks = {m: self._bytes(self._ids(m)) for m in ("", *".,;:!?")}
         # the library's names of bytes: printable ones stand for themselves, the others follow from U+0100 on
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         others = [b for b in range(256) if b not in plain]
@@ -116,8 +109,10 @@ class Encoder:
 
     def clear(self) -> None:
         #: number of a word (after a space), or of a 1-tuple of it (at the start of a text)
-        self.numbers = _Numbers()
+        self.numbers: dict[str | tuple[str], int] = {}
         self.cores: dict[str, bytes] = {}
+        #: ids of marks; None if an added token is among them
+        self.marks: dict[str, bytes | None] = {"": b""}
         self.flat, self.at, self.size = np.zeros(0, self.width), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.open, self.closed, self.apart = np.zeros(0, bool), np.zeros(0, bool), np.zeros(0, bool)
 
@@ -129,20 +124,27 @@ class Encoder:
                 name = letters.encode().decode("latin-1").translate(self.byte_names)
             else:
                 name = "\u0120" + letters[1:] if letters[0] == " " else letters
-            ids = self.cores[letters] = self._bytes([t.id for t in self.library.model.tokenize(name)])
+            of = self.bytes_of
+            ids = self.cores[letters] = b"".join([of[t.id] for t in self.tokenize(name)])
         return ids
 
+    def _marks(self, marks: str) -> bytes | None:
+        if marks not in self.marks:
+            self.marks[marks] = None if any(t in marks for t in self.added) else self._bytes(self._ids(marks))
+        return self.marks[marks]
+
     def _simple(self, word: str) -> bytes | None:
-        """Ids of a word of letters and a mark after a space, or of several such, a line
+        """Ids of a word of letters and marks after a space, or of several such, a line
         each, the first after a space; None if it is something else."""
         ids, before = b"", " "
         for part in word.split("\n"):
             m = self.SIMPLE.fullmatch(part)
-            if not m:
+            marks = self._marks(m[2]) if m else None
+            if marks is None:
                 return None
             if not before:
                 ids += self.line_bytes
-            ids += self._core(before + m[1]) + self.marks[m[2]]
+            ids += self._core(before + m[1]) + marks
             before = ""
         return ids
 
@@ -150,12 +152,16 @@ class Encoder:
         """Ids of new words, and whether they begin or end with white space (an empty one
         does both: what is beside it is a space) or hold an added token."""
         coded: list = [None] * len(words)
-        lines, others, match = [], [], self.SIMPLE.fullmatch
+        lines, others, match, core, marks, known = [], [], self.SIMPLE.fullmatch, self._core, self._marks, self.cores.get
         for i, w in enumerate(words):
             if isinstance(w, tuple):
                 others.append(i)
-            elif m := match(w):
-                coded[i] = self._core(" " + m[1]) + self.marks[m[2]]
+            elif w.isascii() and w.isalpha():
+                w = " " + w
+                coded[i] = known(w) or core(w)
+            elif (m := match(w)) and (behind := marks(m[2])) is not None:
+                w = " " + m[1]
+                coded[i] = (known(w) or core(w)) + behind
             elif w.split() == [w]:
                 lines.append(i)
             else:
@@ -181,6 +187,17 @@ class Encoder:
             flags[:, i] = not w or w[0].isspace(), not w or w[-1].isspace(), any(t in w for t in self.added)
         self.open, self.closed, self.apart = (np.concatenate([a, b]) for a, b in zip((self.open, self.closed, self.apart), flags))
 
+    def _number(self, words: list) -> np.ndarray:
+        """Numbers of words, new ones in the order in which they come; a word may come twice."""
+        number = np.fromiter(map(self.numbers.get, words, itertools.repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(number < 0).tolist()
+        if unknown:
+            new = list(dict.fromkeys([words[i] for i in unknown]))
+            self.numbers.update(zip(new, range(len(self.size), len(self.size) + len(new))))
+            self._learn(new)
+            number[unknown] = [self.numbers[words[i]] for i in unknown]
+        return number
+
     def encode(self, texts: pa.Array | list[str], end: int) -> list[bytes]:
         """The ids of each text and then ``end``, as little-endian integers of ``width``."""
         texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
@@ -203,20 +220,23 @@ class Encoder:
         starts = lists.offsets.to_numpy().astype(np.int64)
         starts, stops = starts[:-1] - starts[0], starts[1:] - starts[0]
         words = lists.flatten().dictionary_encode()  # an empty text is one empty word
-        known = len(self.size)
-        names = words.dictionary.to_pylist()
-        number = np.fromiter(map(self.numbers.__getitem__, names), np.int64, len(names))
-        places = words.indices.to_numpy()
-        index = number[places]
-        index[starts] = np.fromiter((self.numbers[(names[i],)] for i in places[starts]), np.int64, len(starts))
-        if len(self.numbers) > known:
-            self._learn(list(itertools.islice(self.numbers, known, None)))
-        size = self.size[index]
+        names = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        index = words.indices.to_numpy().astype(np.int32)  # of the slice's words, then of its texts' first words
+        names += [(names[i],) for i in index[starts].tolist()]
+        index[starts] = np.arange(len(names) - len(starts), len(names), dtype=np.int32)
+        number = self._number(names)
+        size = self.size[number][index]
         upto = np.cumsum(size, dtype=np.int32)  # of a slice of some megabytes
-        ids = self.flat[np.repeat(self.at[index] - upto + size, size) + np.arange(int(upto[-1]), dtype=np.int32)]
+        shift = self.at[number][index]
+        shift += size
+        shift -= upto
+        place = np.repeat(shift, size)
+        place += np.arange(len(place), dtype=np.int32)
+        ids = self.flat[place]
         # a space between white space; what follows a text's last word is another text
-        bad = self.apart[index]
-        beside = self.closed[index[:-1]] & self.open[index[1:]]
+        bad = self.apart[number][index]
+        beside = self.closed[number][index[:-1]]
+        beside &= self.open[number][index[1:]]
         beside[stops[:-1] - 1] = False
         bad[:-1] |= beside
         whole = np.flatnonzero(np.add.reduceat(bad, starts))
@@ -238,6 +258,11 @@ def _encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def _forget_encoders() -> None:
+    """Called where a worker goes on to the files, so that its words are not kept beside them."""
+    _ENCODERS.clear()
+
+
 def tokenized(docs: DataFrame, key: Column, tokenizer_file: str, text_col: str = "text", end: int = 2) -> DataFrame:
     """(key, n_tokens, width, ids): the end id included; ``ids`` are little-endian
     integers of ``width`` bytes."""
@@ -261,6 +286,7 @@ def tokenized(docs: DataFrame, key: Column, tokenizer_file: str, text_col: str =
 def _count_ids(tokens: DataFrame) -> DataFrame:
     """(id, n) over all rows, counted within a task first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget_encoders()
         counts = np.zeros(0, np.int64)
         for batch in batches:
             widths, ids, at = batch.column("width").to_pylist(), batch.column("ids").to_pylist(), 0
@@ -375,6 +401,7 @@ def write(tokens: DataFrame, folder: str, file_ids: int = FILE_IDS, block: int =
         f.write(blob)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget_encoders()
         context = TaskContext.get()
         name = f"part-{context.partitionId():06d}-{context.taskAttemptId()}-{uuid.uuid4().hex[:8]}.ids"
         fs, base = _open(folder)
@@ -427,6 +454,7 @@ def read(spark: SparkSession, folder: str, key_type: T.DataType, split_ids: int
     schema = T.StructType().add("key", key_type).add("start", "long").add("n_tokens", "long").add("ids", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget_encoders()
         fs, base = _open(folder)
         table = None
         for batch in batches:
