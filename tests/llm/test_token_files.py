@@ -103,6 +103,15 @@ def test_encoder_forgets_beyond_its_bound(monkeypatch):
             assert np.frombuffer(got, encoder.width).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids + [2]
 
 
+def test_ids_are_counted_where_they_are_made(spark):
+    texts = ["abc abc!", "Größe, Größe", None, "", "x\u0120 <|endoftext|> y  z"]
+    df = spark.createDataFrame(list(enumerate(texts * 3)), "doc_id long, text string").repartition(2)
+    counts = token_files.tokenized(df, F.col("doc_id"), FILE).select("counts")  # without the ids
+    got = {r["id"]: r["n"] for r in token_files._count_ids(counts).collect()}
+    ids = np.concatenate([[*LIBRARY.encode(t or "", add_special_tokens=False).ids, 2] for t in texts * 3])
+    assert got == dict(zip(*(x.tolist() for x in np.unique(ids, return_counts=True))))
+
+
 def dataset(spark, rows, schema, key="doc_id", **settings):
     df = spark.createDataFrame(rows, schema).repartition(3)
     folder = scratch_path(spark, "token-test")

@@ -29,6 +29,7 @@ whatever their names, are not read.
 
 from __future__ import annotations
 
+import codecs
 import itertools
 import json
 import re
@@ -52,7 +53,7 @@ from wattframe.session import scratch_path
 BLOCK = 1 << 20
 FILE_IDS = 1 << 23
 SPLIT_IDS = 1 << 22
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
 SLICE_BYTES = 6_000_000
 BATCH_BYTES = 8_000_000
 FILES_A_GROUP = 1024
@@ -98,7 +99,8 @@ class Encoder:
         # the library's names of bytes: printable ones stand for themselves, the others follow from U+0100 on
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         others = [b for b in range(256) if b not in plain]
-        self.byte_names = {b: 256 + i for i, b in enumerate(others)}
+        self.byte_names = "".join(chr(b if b in plain else 256 + others.index(b)) for b in range(256))
+        self.space = self.byte_names[32]
         self.clear()
 
     def _ids(self, text: str) -> list[int]:
@@ -110,6 +112,8 @@ class Encoder:
     def clear(self) -> None:
         #: number of a word (after a space), or of a 1-tuple of it (at the start of a text)
         self.numbers: dict[str | tuple[str], int] = {}
+        #: ids of words by number, and of letters that were seen before marks only
+        self.coded: list[bytes | None] = []
         self.cores: dict[str, bytes] = {}
         #: ids of marks; None if an added token is among them
         self.marks: dict[str, bytes | None] = {"": b""}
@@ -120,11 +124,7 @@ class Encoder:
         """Ids of letters, with or without a space before, one token of the library's pattern."""
         ids = self.cores.get(letters)
         if ids is None:
-            if not letters.isascii():
-                name = letters.encode().decode("latin-1").translate(self.byte_names)
-            else:
-                name = "\u0120" + letters[1:] if letters[0] == " " else letters
-            of = self.bytes_of
+            of, name = self.bytes_of, codecs.charmap_decode(letters.encode(), "strict", self.byte_names)[0]
             ids = self.cores[letters] = b"".join([of[t.id] for t in self.tokenize(name)])
         return ids
 
@@ -151,17 +151,21 @@ class Encoder:
     def _learn(self, words: list) -> None:
         """Ids of new words, and whether they begin or end with white space (an empty one
         does both: what is beside it is a space) or hold an added token."""
-        coded: list = [None] * len(words)
-        lines, others, match, core, marks, known = [], [], self.SIMPLE.fullmatch, self._core, self._marks, self.cores.get
+        before, coded, lines, others = len(self.coded), [None] * len(words), [], []
+        match, marks, number, core = self.SIMPLE.fullmatch, self.marks.get, self.numbers.get, self._core
+        tokenize, of, space, name_of, names = self.tokenize, self.bytes_of, self.space, codecs.charmap_decode, self.byte_names
         for i, w in enumerate(words):
             if isinstance(w, tuple):
                 others.append(i)
             elif w.isascii() and w.isalpha():
-                w = " " + w
-                coded[i] = known(w) or core(w)
-            elif (m := match(w)) and (behind := marks(m[2])) is not None:
-                w = " " + m[1]
-                coded[i] = (known(w) or core(w)) + behind
+                coded[i] = b"".join([of[t.id] for t in tokenize(space + w)])  # ``_core`` in place, the word being new
+            elif (m := match(w)) and (behind := marks(m[2]) or self._marks(m[2])) is not None:
+                if not behind:
+                    coded[i] = b"".join([of[t.id] for t in tokenize(space + name_of(w.encode(), "strict", names)[0])])
+                    continue
+                at = number(m[1], -1)  # the same letters as a word, before or among these
+                ids = (self.coded[at] if at < before else coded[at - before]) if at >= 0 else None
+                coded[i] = (core(" " + m[1]) if ids is None else ids) + behind
             elif w.split() == [w]:
                 lines.append(i)
             else:
@@ -177,6 +181,7 @@ class Encoder:
         for i, e in zip(others, self.library.encode_batch_fast(
                 [" " + words[i] if isinstance(words[i], str) else words[i][0] for i in others], add_special_tokens=False)):
             coded[i] = self._bytes(e.ids)
+        self.coded += coded
         size = np.fromiter(map(len, coded), np.int32, len(coded)) // int(self.width[2])
         self.at = np.concatenate([self.at, (len(self.flat) + np.cumsum(size) - size).astype(np.int32)])
         self.size = np.concatenate([self.size, size])
@@ -264,10 +269,11 @@ def _forget_encoders() -> None:
 
 
 def tokenized(docs: DataFrame, key: Column, tokenizer_file: str, text_col: str = "text", end: int = 2) -> DataFrame:
-    """(key, n_tokens, width, ids): the end id included; ``ids`` are little-endian
-    integers of ``width`` bytes."""
+    """(key, n_tokens, width, ids, counts): the end id included; ``ids`` are little-endian
+    integers of ``width`` bytes. ``counts`` has, on one row of some, how often each id
+    occurs in them, so that the ids need not be read again to count them."""
     src = docs.select(key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    schema = T.StructType([src.schema["key"]]).add("n_tokens", "long").add("width", T.IntegerType()).add("ids", "binary")
+    schema = T.StructType([src.schema["key"]]).add("n_tokens", "long").add("width", T.IntegerType()).add("ids", "binary").add("counts", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_file)
@@ -276,34 +282,47 @@ def tokenized(docs: DataFrame, key: Column, tokenizer_file: str, text_col: str =
             ids = encoder.encode(batch.column("text"), end)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key"), pa.array([len(x) // width for x in ids], pa.int64()),
-                 pa.array([width] * len(ids), pa.int32()), pa.array(ids, pa.binary())], names=schema.names)
+                 pa.array([width] * len(ids), pa.int32()), pa.array(ids, pa.binary()),
+                 pa.array([_counts_of(ids, encoder.width)] + [None] * (len(ids) - 1) if ids else [], pa.binary())], names=schema.names)
 
     return src.mapInArrow(run, schema)
 
 
 # ---- ids to files
 
+def _counts_of(ids: list[bytes], width: str) -> bytes:
+    """The distinct ids, as 32-bit integers, then their counts, as 64-bit integers."""
+    counts, at = np.zeros(0, np.int64), 0
+    while at < len(ids):
+        stop, size = at, 0  # some megabytes at a time
+        while stop < len(ids) and (stop == at or size < BATCH_BYTES):
+            size += len(ids[stop])
+            stop += 1
+        found = np.bincount(np.frombuffer(b"".join(ids[at:stop]), width))
+        if len(found) > len(counts):
+            counts = np.concatenate([counts, np.zeros(len(found) - len(counts), np.int64)])
+        counts[: len(found)] += found
+        at = stop
+    seen = np.flatnonzero(counts)
+    return seen.astype("<u4").tobytes() + counts[seen].astype("<i8").tobytes()
+
+
 def _count_ids(tokens: DataFrame) -> DataFrame:
-    """(id, n) over all rows, counted within a task first."""
+    """(id, n) over all rows, from the counts that ``tokenized`` has left, added up within a task first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _forget_encoders()
         counts = np.zeros(0, np.int64)
         for batch in batches:
-            widths, ids, at = batch.column("width").to_pylist(), batch.column("ids").to_pylist(), 0
-            while at < len(ids):
-                stop, size = at, 0  # some megabytes of one width at a time
-                while stop < len(ids) and widths[stop] == widths[at] and (stop == at or size < BATCH_BYTES):
-                    size += len(ids[stop])
-                    stop += 1
-                found = np.bincount(np.frombuffer(b"".join(ids[at:stop]), f"<u{widths[at]}"))
-                if len(found) > len(counts):
-                    counts = np.concatenate([counts, np.zeros(len(found) - len(counts), np.int64)])
-                counts[: len(found)] += found
-                at = stop
+            for raw in batch.column("counts").to_pylist():
+                n = len(raw) // 12
+                seen, found = np.frombuffer(raw, "<u4", n).astype(np.int64), np.frombuffer(raw, "<i8", n, 4 * n)
+                if n and seen[-1] >= len(counts):
+                    counts = np.concatenate([counts, np.zeros(seen[-1] + 1 - len(counts), np.int64)])
+                counts[seen] += found
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(counts[seen], pa.int64())], names=["id", "n"])
 
-    counted = tokens.select("width", "ids").mapInArrow(run, "id long, n long")
+    counted = tokens.where("counts IS NOT NULL").select("counts").mapInArrow(run, "id long, n long")
     return counted.groupBy("id").agg(F.sum("n").alias("n"))
 
 
