@@ -49,7 +49,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattframe.llm.common import frozen
-from wattframe.llm.elias_fano import EliasFano, load, save
+from wattframe.llm.elias_fano import EliasFano
 from wattframe.session import scratch_path
 
 ORDER = 3
@@ -93,6 +93,27 @@ def _undelta(raw: bytes) -> np.ndarray:
     return np.cumsum(_unpack(raw))
 
 
+def _sorted(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows of integers >= 0, first column first, and where in it a new row
+    begins. Columns go side by side into 64 bits; if they do not fit, those before are
+    replaced by their ranks."""
+    def ordered(key: np.ndarray):
+        by = np.argsort(key)
+        key = key[by]
+        return by, np.concatenate([np.ones(min(len(key), 1), bool), key[1:] != key[:-1]])
+
+    key, bits = columns[0].astype(np.uint64), int(columns[0].max(initial=0)).bit_length()
+    for column in columns[1:]:
+        width = int(column.max(initial=0)).bit_length()
+        if bits + width > 64:
+            by, new = ordered(key)
+            key[by] = (np.cumsum(new) - 1).astype(np.uint64)
+            bits = len(key).bit_length()
+        key = (key << np.uint64(width)) | column.astype(np.uint64)
+        bits += width
+    return ordered(key)
+
+
 def _by_shard(to: np.ndarray) -> dict[int, np.ndarray]:
     """The places of each shard that occurs, in ascending order."""
     order = np.argsort(to, kind="stable")
@@ -100,9 +121,11 @@ def _by_shard(to: np.ndarray) -> dict[int, np.ndarray]:
     return {int(s): part for s, part in zip(present, np.split(order, starts[1:]))} if len(to) else {}
 
 
-def blocks_of(docs: DataFrame, ids: Column, train: Column, text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """One row per block: identifiers, flags (1: training, 2: no identifier) and lengths
-    of its documents, their tokens as numbers in the block's dictionary, its words and training counts."""
+def blocks_of(docs: DataFrame, ids: Column, train: Column, folder: str, text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """One row per block: its words, their training counts, and the name of its file in the
+    folder: identifiers, flags (1: training, 2: no identifier) and lengths of its documents,
+    their tokens as numbers in the block's dictionary. Later steps read the file in place."""
+    root = _local(folder)
     src = docs.select(ids.cast("long").alias("id"), train.alias("train"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,8 +141,12 @@ def blocks_of(docs: DataFrame, ids: Column, train: Column, text_col: str = "text
             lens = np.array([len(t) for t in tokens], np.int64)
             flat = np.concatenate(tokens)
             counts = np.bincount(flat[np.repeat(np.array(flags, np.int64) & 1 > 0, lens)], minlength=len(words))
-            row = {"block": [number], "n_tokens": [int(n)], "ids": [keys], "flags": [flags], "lens": [lens.tolist()],
-                   "tokens": [_pack(flat)], "words": [_zip(b"\n".join(words))], "counts": [_pack(counts)]}
+            name = f"{number:016x}-{uuid.uuid4().hex[:8]}"
+            body = pa.record_batch({"ids": pa.array([keys], pa.list_(pa.int64())), "flags": [flags], "lens": [lens.tolist()], "tokens": [_pack(flat)]})
+            os.makedirs(root, exist_ok=True)
+            with pa.ipc.new_file(os.path.join(root, name), body.schema) as f:
+                f.write_batch(body)
+            row = {"block": [number], "n_tokens": [int(n)], "name": [name], "words": [_zip(b"\n".join(words))], "counts": [_pack(counts)]}
             number += 1
             clear()
             return pa.RecordBatch.from_arrays([pa.array(row[f.name], f.type) for f in out], schema=out)
@@ -140,10 +167,8 @@ def blocks_of(docs: DataFrame, ids: Column, train: Column, text_col: str = "text
         if state[1]:
             yield block()
 
-    out = pa.schema([("block", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int64())), ("flags", pa.list_(pa.int64())),
-                     ("lens", pa.list_(pa.int64())), ("tokens", pa.binary()), ("words", pa.binary()), ("counts", pa.binary())])
-    return src.mapInArrow(run, "block long, n_tokens long, ids array<long>, flags array<long>, lens array<long>, "
-                               "tokens binary, words binary, counts binary")
+    out = pa.schema([("block", pa.int64()), ("n_tokens", pa.int64()), ("name", pa.string()), ("words", pa.binary()), ("counts", pa.binary())])
+    return src.mapInArrow(run, "block long, n_tokens long, name string, words binary, counts binary")
 
 
 WORDS = "shard int, block long, at binary, nodes binary, counts binary, words binary, n long, v long"
@@ -255,7 +280,8 @@ class Level:
 
 class Slice:
     """A shard's part of one order: levels from the nearest context word to the predicted
-    word; codes of the n-grams and, where a longer order needs them, their counts."""
+    word; codes of the n-grams and, where a longer order needs them, their counts (both
+    compressed in their files: most are small and alike)."""
 
     def __init__(self, levels: list[Level], codes: np.ndarray, counts: np.ndarray):
         self.levels, self.codes, self.counts = levels, codes, counts
@@ -279,13 +305,18 @@ class Slice:
         kind = "<u1" if not len(total) or total.max() < 1 << 8 else "<u4" if total.max() < 1 << 32 else "<u8"
         with open(os.path.join(folder, "slice.json"), "w") as f:
             json.dump({"order": order, "counts": kind}, f)
-        return cls(levels, save(folder, "codes", codes), save(folder, "counts", total.astype(kind) if counted else np.zeros(0, kind)))
+        counts = total.astype(kind) if counted else np.zeros(0, kind)
+        for name, values in (("codes", codes), ("counts", counts)):
+            with open(os.path.join(folder, name), "wb") as f:
+                f.write(_pack(values))
+        return cls(levels, codes, counts)
 
     @classmethod
     def load(cls, folder: str) -> Slice:
         with open(os.path.join(folder, "slice.json")) as f:
             about = json.load(f)
-        return cls([Level.load(folder, f"level{k}") for k in range(about["order"])], load(folder, "codes", "<u2"), load(folder, "counts", about["counts"]))
+        codes, counts = (_unpack(np.fromfile(os.path.join(folder, name), "u1").tobytes()) for name in ("codes", "counts"))
+        return cls([Level.load(folder, f"level{k}") for k in range(about["order"])], codes.astype("<u2"), counts.astype(about["counts"]))
 
     def find(self, grams: np.ndarray) -> np.ndarray:
         """Places of n-grams (sorted, distinct), -1 where one is not in the trie."""
@@ -318,16 +349,32 @@ def _shards_of(grams: np.ndarray, seen: np.ndarray, shards: int, often: int) ->
 
 
 def _pack_grams(grams: np.ndarray) -> bytes:
-    """Sorted n-grams: differences of the first words, the others as they are."""
-    return b"".join(len(x).to_bytes(4, "little") + x for x in [_deltas(grams[:, 0]), *[_pack(grams[:, k]) for k in range(1, grams.shape[1])]])
+    """Sorted n-grams: of each word the difference to the one above, where those before it are equal."""
+    parts, same = [], np.ones(len(grams), bool)
+    same[:1] = False
+    for k in range(grams.shape[1]):
+        column = grams[:, k]
+        before = np.zeros(len(grams), np.int64)
+        before[1:] = np.where(same[1:], column[:-1], 0)
+        parts.append(_pack(column - before))
+        same[1:] &= column[1:] == column[:-1]
+    return b"".join(len(x).to_bytes(4, "little") + x for x in parts)
 
 
 def _unpack_grams(raw: bytes) -> np.ndarray:
-    columns, at = [], 0
+    columns, at, first = [], 0, None  # first: where a run of equal words before begins
     while at < len(raw):
         size = int.from_bytes(raw[at : at + 4], "little")
-        part = raw[at + 4 : at + 4 + size]
-        columns.append(_unpack(part) if columns else _undelta(part))
+        column = np.cumsum(_unpack(raw[at + 4 : at + 4 + size]))
+        if columns and len(column):
+            starts = np.flatnonzero(first)
+            before = np.concatenate([[0], column[starts[1:] - 1]])
+            column -= np.repeat(before, np.diff(np.append(starts, len(column))))
+        elif not columns:
+            first = np.zeros(len(column), bool)
+            first[:1] = True
+        columns.append(column)
+        first[1:] |= column[1:] != column[:-1]
         at += 4 + size
     return np.stack(columns, axis=1)
 
@@ -335,11 +382,17 @@ def _unpack_grams(raw: bytes) -> np.ndarray:
 class _Block:
     """A block's tokens with the identifiers of their words."""
 
+    @classmethod
+    def load(cls, folder: str, name: str, words: pd.DataFrame) -> _Block:
+        with pa.ipc.open_file(os.path.join(folder, name)) as f:
+            return cls(f.read_all().to_pylist()[0], words)
+
     def __init__(self, row, words: pd.DataFrame):
+        self.ids, self.flags = row["ids"], np.asarray(row["flags"], np.int64)
         self.lens = np.asarray(row["lens"], np.int64)
         self.tokens = _unpack(row["tokens"])
         self.starts = np.cumsum(self.lens) - self.lens
-        self.train = np.repeat(np.asarray(row["flags"], np.int64) & 1 > 0, self.lens)
+        self.train = np.repeat(self.flags & 1 > 0, self.lens)
         self.place = np.arange(len(self.tokens)) - np.repeat(self.starts, self.lens)
         size = int(self.tokens.max()) + 1
         node, count = np.full(size, -1, np.int64), np.zeros(size, np.int64)
@@ -369,15 +422,14 @@ class _Block:
         often[self.starts] = self.end_count
         columns.append(self.word)
         rows = np.flatnonzero(ok)
-        by = rows[np.lexsort([c[rows] for c in reversed(columns)])]
-        table = np.stack([c[by] for c in columns], axis=1)
-        new = np.ones(len(by), bool)
-        new[1:] = (table[1:] != table[:-1]).any(axis=1)
-        number, first = np.cumsum(new) - 1, np.flatnonzero(new)
+        by, new = _sorted([c[rows] for c in columns])
+        by = rows[by]
+        number, first = np.cumsum(new) - 1, by[new]
+        table = np.stack([c[first] for c in columns], axis=1)
         which = np.full(len(self.word), -1, np.int64)
         which[by] = number
         times = np.bincount(number[self.train[by]], minlength=len(first))
-        return table[first], times, often[by][first], which, often
+        return table, times, often[first], which, often
 
 
 ANSWERS = "block long, order int, shard int, codes binary, counts binary"
@@ -387,12 +439,14 @@ def _mu(level: int) -> float:
     return MU[min(level, len(MU) - 1)]
 
 
-def _asked(body: DataFrame, words: DataFrame, orders: range, shards: int, often: int) -> DataFrame:
+def _asked(body: DataFrame, words: DataFrame, folder: str, orders: range, shards: int, often: int) -> DataFrame:
     """The packets of all blocks: a row per (block, order, shard)."""
+    root = _local(folder)
+
     def ask(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for row in left.to_dict("records"):
-            block = _Block(row, right)
+            block = _Block.load(root, row["name"], right)
             for order in orders:
                 grams, times, seen, *_ = block.grams(order)
                 for s, at in _by_shard(_shards_of(grams, seen, shards, often)).items():
@@ -410,23 +464,24 @@ def _local(folder: str) -> str:
     return path
 
 
-def _answers(asked: DataFrame, folder: str, last: int, slices: DataFrame | None = None) -> DataFrame:
-    """Answers to the packets. Without ``slices`` a shard builds its slice first, under a
-    name of its own for each attempt, which a row with block -1 tells; else the slices
-    (shard, order, name) are those of a model. ``last`` is the longest order."""
+def _slice_name(order: int, shard: int) -> str:
+    return f"order{order}-{shard:06d}"
+
+
+def _answers(asked: DataFrame, folder: str, last: int, learn: bool) -> DataFrame:
+    """Answers to the packets. To ``learn``, a shard builds its slice first, under a name of
+    its own for each attempt, and gives it the shard's name if no other attempt has; else
+    the slices are those of a model. ``last`` is the longest order."""
     root = _local(folder)
 
     def distinct(parts: list[np.ndarray]):
         """The distinct n-grams of all packets, in order; each row's number among them; the
         order of the rows, and where a new n-gram begins in it."""
         grams = np.concatenate(parts)
-        by = np.lexsort([grams[:, k] for k in range(grams.shape[1] - 1, -1, -1)])
-        grams = grams[by]
-        new = np.ones(len(grams), bool)
-        new[1:] = (grams[1:] != grams[:-1]).any(axis=1)
+        by, new = _sorted([grams[:, k] for k in range(grams.shape[1])])
         number = np.empty(len(grams), np.int64)
         number[by] = np.cumsum(new) - 1
-        return grams[new], number, by, np.flatnonzero(new)
+        return grams[by[new]], number, by, np.flatnonzero(new)
 
     def reply(trie: Slice | None, shard: int, order: int, blocks, parts: list[np.ndarray], grams: np.ndarray, number: np.ndarray) -> list[tuple]:
         code, counts = np.full(len(grams), UNSEEN, np.int64), np.zeros(len(grams), np.int64)
@@ -447,26 +502,28 @@ def _answers(asked: DataFrame, folder: str, last: int, slices: DataFrame | None
         total = np.add.reduceat(times[by], first)
         learned = total > 0
         seen = np.concatenate([_unpack(o) for o in pdf["seen"]])[by][first][learned] if order == 2 else None
-        name = f"order{order}-{shard:06d}-{uuid.uuid4().hex[:8]}"
-        trie = Slice.build(os.path.join(root, name), grams[learned], total[learned], seen, order < last)
-        rows = [(-1, order, shard, name.encode(), b"")] + reply(trie, shard, order, pdf["block"], parts, grams, number)
+        path = os.path.join(root, _slice_name(order, shard))
+        attempt = f"{path}-{uuid.uuid4().hex[:8]}"
+        trie = Slice.build(attempt, grams[learned], total[learned], seen, order < last)
+        if not os.path.exists(path):
+            try:
+                os.rename(attempt, path)
+            except OSError:  # another attempt was faster: a folder with files is not replaced
+                if not os.path.exists(path):
+                    raise
+        rows = reply(trie, shard, order, pdf["block"], parts, grams, number)
         return pd.DataFrame(rows, columns=["block", "order", "shard", "codes", "counts"])
 
-    def look_up(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if not pdf.empty:
-            shard, order = int(pdf["shard"].iloc[0]), int(pdf["order"].iloc[0])
-            parts = [_unpack_grams(g) for g in pdf["grams"]]
-            grams, number, *_ = distinct(parts)
-            # without a row nothing was learned there
-            trie = None if known.empty else Slice.load(os.path.join(root, known["name"].iloc[0]))
-            rows = reply(trie, shard, order, pdf["block"], parts, grams, number)
-        return pd.DataFrame(rows, columns=["block", "order", "shard", "codes", "counts"])
+    def look_up(pdf: pd.DataFrame) -> pd.DataFrame:
+        shard, order = int(pdf["shard"].iloc[0]), int(pdf["order"].iloc[0])
+        parts = [_unpack_grams(g) for g in pdf["grams"]]
+        grams, number, *_ = distinct(parts)
+        path = os.path.join(root, _slice_name(order, shard))
+        # without a slice nothing was learned there
+        trie = Slice.load(path) if os.path.exists(path) else None
+        return pd.DataFrame(reply(trie, shard, order, pdf["block"], parts, grams, number), columns=["block", "order", "shard", "codes", "counts"])
 
-    if slices is None:
-        return asked.groupBy("shard", "order").applyInPandas(build, ANSWERS)
-    known = slices.select(F.col("shard").alias("s"), F.col("order").alias("o"), "name")
-    return asked.groupBy("shard", "order").cogroup(known.groupBy("s", "o")).applyInPandas(look_up, ANSWERS)
+    return asked.groupBy("shard", "order").applyInPandas(build if learn else look_up, ANSWERS)
 
 
 @dataclass
@@ -475,7 +532,6 @@ class Model:
 
     folder: str
     words: DataFrame
-    slices: DataFrame  # (shard, order, name)
     order: int
     shards: int
     often: int
@@ -483,13 +539,15 @@ class Model:
     v: int
 
 
-def _scores(body: DataFrame, words: DataFrame, answers: DataFrame, model: Model, id_col: str) -> DataFrame:
+def _scores(body: DataFrame, words: DataFrame, answers: DataFrame, folder: str, model: Model, id_col: str) -> DataFrame:
+    """The scores, written once: answers are made for them alone, and go straight to the blocks."""
+    root = _local(folder)
     order, shards, limit, n, v = model.order, model.shards, model.often, model.n, model.v
 
     def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in left.to_dict("records"):
-            block = _Block(row, right[right["order"] == 1])
+            block = _Block.load(root, row["name"], right[right["order"] == 1])
             base = (block.count + 0.1) / (n + 0.1 * (v + 1))
             p, total = base, None
             for level in range(2, order + 1):
@@ -509,7 +567,7 @@ def _scores(body: DataFrame, words: DataFrame, answers: DataFrame, model: Model,
                 hit = code[which] != UNSEEN
                 p = np.where(hit, 10.0 ** (-code[which] / STEP), 0.0) + mu / (often + mu) * p
             out.append(pd.DataFrame({
-                "id": pd.Series(row["ids"], dtype="Int64").mask(np.asarray(row["flags"], np.int64) > 1), "n_tokens": block.lens,
+                "id": pd.Series(block.ids, dtype="Int64").mask(block.flags > 1), "n_tokens": block.lens,
                 "n_known": np.add.reduceat((block.count > 0).astype(np.int64), block.starts),
                 "base_score": np.add.reduceat(np.log10(base), block.starts), "score": np.add.reduceat(np.log10(p), block.starts)}))
         return pd.concat(out) if out else pd.DataFrame({"id": [], "n_tokens": [], "n_known": [], "base_score": [], "score": []})
@@ -517,18 +575,16 @@ def _scores(body: DataFrame, words: DataFrame, answers: DataFrame, model: Model,
     none = F.lit(None).cast("binary")
     rows = (words.select("block", F.lit(1).alias("order"), "shard", none.alias("codes"), "counts", "at", "nodes")
             .unionByName(answers.select("block", "order", "shard", "codes", "counts", none.alias("at"), none.alias("nodes"))).where("block >= 0"))
-    found = body.groupBy("block").cogroup(rows.groupBy("block")).applyInPandas(
-        finish, "id long, n_tokens long, n_known long, base_score double, score double")
+    found = frozen(body.groupBy("block").cogroup(rows.groupBy("block")).applyInPandas(
+        finish, "id long, n_tokens long, n_known long, base_score double, score double"))
     return found.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def _written_blocks(docs: DataFrame, id_col: str, train: Column, text_col: str, block_tokens: int) -> DataFrame:
-    path = scratch_path(docs.sparkSession, "lm-blocks")
-    blocks_of(docs, F.col(id_col), train, text_col, block_tokens).write.option("compression", "uncompressed").parquet(path)
-    return docs.sparkSession.read.parquet(path)
-
-
-BODY = ["block", "ids", "lens", "flags", "tokens"]
+def _written_blocks(docs: DataFrame, id_col: str, train: Column, text_col: str, block_tokens: int) -> tuple[DataFrame, str]:
+    """The rows of the blocks, and the folder of their files."""
+    path, folder = (scratch_path(docs.sparkSession, name) for name in ("lm-blocks", "lm-tokens"))
+    blocks_of(docs, F.col(id_col), train, folder, text_col, block_tokens).write.option("compression", "uncompressed").parquet(path)
+    return docs.sparkSession.read.parquet(path), folder
 
 
 def learn_and_score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER,
@@ -536,21 +592,20 @@ def learn_and_score(docs: DataFrame, train: Column, id_col: str = "doc_id", text
     """(id, n_tokens, n_known, train_tokens, base_score, score) of every document, and the
     model. ``train`` says whether a document is learned from. Scores are log10 probabilities."""
     spark: SparkSession = docs.sparkSession
-    blocks = _written_blocks(docs, id_col, train, text_col, block_tokens)
+    blocks, bodies = _written_blocks(docs, id_col, train, text_col, block_tokens)
     tokens = blocks.agg(F.sum("n_tokens")).first()[0] or 0
     shards = max(1, -(-tokens // shard_tokens))
     words = frozen(vocabulary(blocks, shards))
     n, v = words.where("block = -1").agg(F.sum("n"), F.sum("v")).first()
     folder = scratch_path(spark, "lm-slices")
-    body, often = blocks.select(*BODY), shard_tokens // 4
+    body, often = blocks.select("block", "name"), shard_tokens // 4
     if order > 1:
-        asked = _asked(body, words.where("block >= 0"), range(2, order + 1), shards, often)
-        answers = frozen(_answers(asked, folder, order))
+        asked = _asked(body, words.where("block >= 0"), bodies, range(2, order + 1), shards, often)
+        answers = _answers(asked, folder, order, True)
     else:
         answers = spark.createDataFrame([], ANSWERS)
-    slices = answers.where("block = -1").select("shard", "order", F.col("codes").cast("string").alias("name"))
-    model = Model(folder, words, slices, order, shards, often, n or 0, v or 0)
-    return _scores(body, words, answers, model, id_col), model
+    model = Model(folder, words, order, shards, often, n or 0, v or 0)
+    return _scores(body, words, answers, bodies, model, id_col), model
 
 
 def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER,
@@ -561,12 +616,12 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
 
 def score_unseen(model: Model, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Scores of other documents by a model's stored slices; nothing is learned."""
-    blocks = _written_blocks(docs, id_col, F.lit(False), text_col, block_tokens)
+    blocks, bodies = _written_blocks(docs, id_col, F.lit(False), text_col, block_tokens)
     words = frozen(vocabulary(blocks, model.shards, model.words))
-    body = blocks.select(*BODY)
+    body = blocks.select("block", "name")
     if model.order > 1:
-        asked = _asked(body, words, range(2, model.order + 1), model.shards, model.often)
-        answers = frozen(_answers(asked, model.folder, model.order, model.slices))
+        asked = _asked(body, words, bodies, range(2, model.order + 1), model.shards, model.often)
+        answers = _answers(asked, model.folder, model.order, False)
     else:
         answers = docs.sparkSession.createDataFrame([], ANSWERS)
-    return _scores(body, words, answers, model, id_col)
+    return _scores(body, words, answers, bodies, model, id_col)
