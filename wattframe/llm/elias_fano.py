@@ -13,6 +13,7 @@ import os
 import numpy as np
 
 _SPAN = 512
+_DENSE = 16  # of as many values or fewer one is asked for: the whole map is read
 _U = np.uint64
 
 
@@ -79,7 +80,10 @@ class EliasFano:
         return (anywhere[at >> 3] >> (at & 7).astype(np.uint64)) & _U((1 << self.l) - 1)
 
     def _select(self, k: np.ndarray, ones: bool) -> np.ndarray:
-        """Place of the k-th (from 0) set or unset bit."""
+        """Place of the k-th (from 0) set or unset bit. Many are read off the whole map."""
+        if len(k) * _DENSE >= self.n:
+            bits = np.unpackbits(self.high.view(np.uint8), bitorder="little").view(np.bool_)
+            return np.flatnonzero(bits if ones else ~bits)[k]
         sample = self.ones if ones else self.zeros
         span = np.searchsorted(sample, k, side="right") - 1
         rest = k - sample[span]

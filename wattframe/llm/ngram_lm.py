@@ -55,7 +55,7 @@ from wattframe.session import scratch_path
 ORDER = 3
 MU = (0.0, 0.0, 8.0, 4.0, 2.0, 2.0)  # by order; the last one holds for higher orders
 BLOCK_TOKENS = 1 << 20
-SHARD_TOKENS = 1 << 20
+SHARD_TOKENS = 1 << 21
 STEP = 2048  # codes are -log10 in steps of 1 / 2048
 UNSEEN = 65535
 END = b""  # words are never empty
@@ -287,10 +287,10 @@ class Slice:
         self.levels, self.codes, self.counts = levels, codes, counts
 
     @classmethod
-    def build(cls, folder: str, grams: np.ndarray, total: np.ndarray, seen: np.ndarray | None, counted: bool) -> Slice:
+    def build(cls, folder: str, grams: np.ndarray, total: np.ndarray, seen: np.ndarray | None, counted: bool, coded: bool = True) -> Slice:
         """``grams`` has a row per n-gram, in order: context words from the nearest on, then
         the word; ``total`` their counts; ``seen`` the counts of their contexts, or None if
-        all that follows a context is here; ``counted`` keeps the counts."""
+        all that follows a context is here; ``counted`` keeps the counts, ``coded`` the codes."""
         os.makedirs(folder)
         order, levels = grams.shape[1], []
         node = above = np.zeros(len(grams), np.int64)
@@ -299,9 +299,11 @@ class Slice:
             new[1:] = (node[1:] != node[:-1]) | (grams[1:, k] != grams[:-1, k])
             levels.append(Level.build(folder, f"level{k}", node[new], grams[new, k]))
             above, node = node, np.cumsum(new) - 1
-        if seen is None:
-            seen = np.bincount(above, weights=total).astype(np.int64)[above] if len(above) else total
-        codes = np.minimum(np.rint(-np.log10(total / (seen + _mu(order))) * STEP), UNSEEN - 1).astype("<u2")
+        codes = np.zeros(0, "<u2")
+        if coded:
+            if seen is None:
+                seen = np.bincount(above, weights=total).astype(np.int64)[above] if len(above) else total
+            codes = _codes(total, seen, order).astype("<u2")
         kind = "<u1" if not len(total) or total.max() < 1 << 8 else "<u4" if total.max() < 1 << 32 else "<u8"
         with open(os.path.join(folder, "slice.json"), "w") as f:
             json.dump({"order": order, "counts": kind}, f)
@@ -333,16 +335,17 @@ class Slice:
         return node
 
 
-def _shards_of(grams: np.ndarray, seen: np.ndarray, shards: int, often: int) -> np.ndarray:
-    """By all context words; pairs of a word seen very often by both words."""
-    order = grams.shape[1]
+def _codes(total: np.ndarray, seen: np.ndarray, order: int) -> np.ndarray:
+    """Quantised first terms of n-grams that were seen ``total`` times (more than 0), their contexts ``seen`` times."""
+    return np.minimum(np.rint(-np.log10(total / (seen + _mu(order))) * STEP), UNSEEN - 1)
+
+
+def _shards_of(grams: np.ndarray, shards: int) -> np.ndarray:
+    """By the nearest context word and the predicted word: an n-gram is where its shorter ones are."""
     with np.errstate(over="ignore"):
-        mix = np.zeros(len(grams), np.uint64)
-        for k in range(order - 1):
-            mix = (mix ^ grams[:, k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            mix ^= mix >> np.uint64(29)
-        if order == 2:
-            mix ^= np.where(seen > often, (grams[:, 1].astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0))
+        mix = (grams[:, 0].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        mix ^= mix >> np.uint64(29)
+        mix = (mix ^ grams[:, -1].astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
         mix ^= mix >> np.uint64(31)
         mix *= np.uint64(0xD6E8FEB86659FD93)
     return ((mix >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
@@ -404,11 +407,13 @@ class _Block:
         end = int(self.tokens[self.starts[0] + self.lens[0] - 1])
         self.end, self.end_count = node[end], count[end]
 
-    def grams(self, order: int):
-        """Distinct known n-grams, sorted: context words from the nearest on, then the
+    def grams(self, order: int, among: np.ndarray | None = None):
+        """Of all tokens or those ``among``: distinct known n-grams, sorted: context words from the nearest on, then the
         word; times in training; how often the nearest word was seen; and for each token
         its n-gram or -1."""
         columns, ok = [], (self.word >= 0) & (self.place >= order - 2)
+        if among is not None:
+            ok &= among
         for back in range(1, order):
             before = np.full(len(self.word), -1, np.int64)
             before[back:] = self.word[:-back]
@@ -432,29 +437,32 @@ class _Block:
         return table, times, often[first], which, often
 
 
-ANSWERS = "block long, order int, shard int, codes binary, counts binary"
+ANSWERS = "block long, order int, shard int, counts binary"
 
 
 def _mu(level: int) -> float:
     return MU[min(level, len(MU) - 1)]
 
 
-def _asked(body: DataFrame, words: DataFrame, folder: str, orders: range, shards: int, often: int) -> DataFrame:
-    """The packets of all blocks: a row per (block, order, shard)."""
+def _asked(body: DataFrame, words: DataFrame, folder: str, order: int, shards: int) -> DataFrame:
+    """The packets of all blocks: a row per (block, order, shard). A token is in the longest
+    n-gram that it ends; the shorter ones follow from that."""
     root = _local(folder)
 
     def ask(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for row in left.to_dict("records"):
             block = _Block.load(root, row["name"], right)
-            for order in orders:
-                grams, times, seen, *_ = block.grams(order)
-                for s, at in _by_shard(_shards_of(grams, seen, shards, often)).items():
-                    rows.append((s, order, int(row["block"]), _pack_grams(grams[at]), _pack(times[at]), _pack(seen[at]) if order == 2 else b""))
-        return pd.DataFrame(rows, columns=["shard", "order", "block", "grams", "times", "seen"])
+            rest = np.ones(len(block.word), bool)
+            for k in range(order, 1, -1):
+                grams, times, _, which, _ = block.grams(k, rest)
+                rest &= which < 0
+                for s, at in _by_shard(_shards_of(grams, shards)).items():
+                    rows.append((s, k, int(row["block"]), _pack_grams(grams[at]), _pack(times[at])))
+        return pd.DataFrame(rows, columns=["shard", "order", "block", "grams", "times"])
 
     return body.groupBy("block").cogroup(words.groupBy("block")).applyInPandas(
-        ask, "shard int, order int, block long, grams binary, times binary, seen binary")
+        ask, "shard int, order int, block long, grams binary, times binary")
 
 
 def _local(folder: str) -> str:
@@ -468,62 +476,64 @@ def _slice_name(order: int, shard: int) -> str:
     return f"order{order}-{shard:06d}"
 
 
+def _distinct(grams: np.ndarray, times: np.ndarray):
+    """The distinct n-grams, in order; their times in all; each row's number among them."""
+    by, new = _sorted([grams[:, k] for k in range(grams.shape[1])])
+    number = np.empty(len(grams), np.int64)
+    number[by] = np.cumsum(new) - 1
+    return grams[by[new]], np.bincount(number, weights=times, minlength=int(new.sum())).astype(np.int64), number
+
+
 def _answers(asked: DataFrame, folder: str, last: int, learn: bool) -> DataFrame:
-    """Answers to the packets. To ``learn``, a shard builds its slice first, under a name of
-    its own for each attempt, and gives it the shard's name if no other attempt has; else
-    the slices are those of a model. ``last`` is the longest order."""
+    """Answers to the packets: the counts of a block's distinct n-grams, in order. To
+    ``learn``, a shard builds its slices first, under a name of its own for each attempt,
+    and gives them the shard's name if no other attempt has; else the slices are those of a
+    model. ``last`` is the longest order."""
     root = _local(folder)
 
-    def distinct(parts: list[np.ndarray]):
-        """The distinct n-grams of all packets, in order; each row's number among them; the
-        order of the rows, and where a new n-gram begins in it."""
-        grams = np.concatenate(parts)
-        by, new = _sorted([grams[:, k] for k in range(grams.shape[1])])
-        number = np.empty(len(grams), np.int64)
-        number[by] = np.cumsum(new) - 1
-        return grams[by[new]], number, by, np.flatnonzero(new)
-
-    def reply(trie: Slice | None, shard: int, order: int, blocks, parts: list[np.ndarray], grams: np.ndarray, number: np.ndarray) -> list[tuple]:
-        code, counts = np.full(len(grams), UNSEEN, np.int64), np.zeros(len(grams), np.int64)
-        if trie is not None:
-            place = trie.find(grams)
-            hit = place >= 0
-            code[hit] = trie.codes[place[hit]]
-            if len(trie.counts):
-                counts[hit] = trie.counts[place[hit]]
-        cuts = np.cumsum([0, *map(len, parts)])
-        return [(int(block), order, shard, _pack(code[number[a:b]]), _pack(counts[number[a:b]]) if order < last else b"")
-                for block, a, b in zip(blocks, cuts, cuts[1:])]
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        shard, order = int(pdf["shard"].iloc[0]), int(pdf["order"].iloc[0])
-        parts, times = [_unpack_grams(g) for g in pdf["grams"]], np.concatenate([_unpack(t) for t in pdf["times"]])
-        grams, number, by, first = distinct(parts)
-        total = np.add.reduceat(times[by], first)
-        learned = total > 0
-        seen = np.concatenate([_unpack(o) for o in pdf["seen"]])[by][first][learned] if order == 2 else None
-        path = os.path.join(root, _slice_name(order, shard))
+    def slice_of(order: int, shard: int, grams: np.ndarray, total: np.ndarray) -> Slice | None:
+        path = os.path.join(root, f"order{order}-{shard:06d}")
+        if not learn:  # without a slice nothing was learned there
+            return Slice.load(path) if os.path.exists(path) else None
         attempt = f"{path}-{uuid.uuid4().hex[:8]}"
-        trie = Slice.build(attempt, grams[learned], total[learned], seen, order < last)
+        learned = total > 0
+        trie = Slice.build(attempt, grams[learned], total[learned], None, True, False)
         if not os.path.exists(path):
             try:
                 os.rename(attempt, path)
             except OSError:  # another attempt was faster: a folder with files is not replaced
                 if not os.path.exists(path):
                     raise
-        rows = reply(trie, shard, order, pdf["block"], parts, grams, number)
-        return pd.DataFrame(rows, columns=["block", "order", "shard", "codes", "counts"])
-
-    def look_up(pdf: pd.DataFrame) -> pd.DataFrame:
-        shard, order = int(pdf["shard"].iloc[0]), int(pdf["order"].iloc[0])
-        parts = [_unpack_grams(g) for g in pdf["grams"]]
-        grams, number, *_ = distinct(parts)
-        path = os.path.join(root, _slice_name(order, shard))
-        # without a slice nothing was learned there
-        trie = Slice.load(path) if os.path.exists(path) else None
-        return pd.DataFrame(reply(trie, shard, order, pdf["block"], parts, grams, number), columns=["block", "order", "shard", "codes", "counts"])
-
-    return asked.groupBy("shard", "order").applyInPandas(build if learn else look_up, ANSWERS)
+        return trie
+
+    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
+        shard, rows = int(pdf["shard"].iloc[0]), []
+        blocks = sorted(set(pdf["block"]))
+        # by block, of the order above: its distinct n-grams and their times
+        above: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for order in range(last, 1, -1):
+            parts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            for block, raw, times in pdf.loc[pdf["order"] == order, ["block", "grams", "times"]].itertuples(index=False):
+                parts[block] = (_unpack_grams(raw), _unpack(times))
+            for block, (grams, times) in above.items():
+                grams = np.delete(grams, order - 1, axis=1)  # without the farthest context word
+                if block in parts:
+                    grams, times = np.concatenate([parts[block][0], grams]), np.concatenate([parts[block][1], times])
+                parts[block] = _distinct(grams, times)[:2]
+            above = parts
+            if not parts:
+                continue
+            here = [b for b in blocks if b in parts]
+            grams, total, number = _distinct(np.concatenate([parts[b][0] for b in here]), np.concatenate([parts[b][1] for b in here]))
+            trie, counts = slice_of(order, shard, grams, total), np.zeros(len(grams), np.int64)
+            if trie is not None:
+                place = trie.find(grams)
+                counts[place >= 0] = trie.counts[place[place >= 0]]
+            cuts = np.cumsum([0, *(len(parts[b][0]) for b in here)])
+            rows += [(int(b), order, shard, _pack(counts[number[i:j]])) for b, i, j in zip(here, cuts, cuts[1:])]
+        return pd.DataFrame(rows, columns=["block", "order", "shard", "counts"])
+
+    return asked.groupBy("shard").applyInPandas(answer, ANSWERS)
 
 
 @dataclass
@@ -534,7 +544,6 @@ class Model:
     words: DataFrame
     order: int
     shards: int
-    often: int
     n: int
     v: int
 
@@ -542,7 +551,7 @@ class Model:
 def _scores(body: DataFrame, words: DataFrame, answers: DataFrame, folder: str, model: Model, id_col: str) -> DataFrame:
     """The scores, written once: answers are made for them alone, and go straight to the blocks."""
     root = _local(folder)
-    order, shards, limit, n, v = model.order, model.shards, model.often, model.n, model.v
+    order, shards, n, v = model.order, model.shards, model.n, model.v
 
     def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -551,21 +560,19 @@ def _scores(body: DataFrame, words: DataFrame, answers: DataFrame, folder: str,
             base = (block.count + 0.1) / (n + 0.1 * (v + 1))
             p, total = base, None
             for level in range(2, order + 1):
-                grams, _, seen, which, often = block.grams(level)
+                grams, _, _, which, often = block.grams(level)
                 if level > 2:  # a context's count is that of the n-gram that ends before
                     often = np.zeros(len(which), np.int64)
                     often[1:] = total[:-1]
                     often[block.place < level - 2] = 0
-                places = _by_shard(_shards_of(grams, seen, shards, limit))
-                # one more entry stands for tokens without an n-gram (-1)
-                code, counts = np.full(len(grams) + 1, UNSEEN, np.int64), np.zeros(len(grams) + 1, np.int64)
-                for shard, a, b in right.loc[right["order"] == level, ["shard", "codes", "counts"]].itertuples(index=False):
-                    code[places[shard]] = _unpack(a)
-                    if level < order:
-                        counts[places[shard]] = _unpack(b)
+                places = _by_shard(_shards_of(grams, shards))
+                counts = np.zeros(len(grams) + 1, np.int64)  # one more entry stands for tokens without an n-gram (-1)
+                for shard, raw in right.loc[right["order"] == level, ["shard", "counts"]].itertuples(index=False):
+                    counts[places[shard]] = _unpack(raw)
                 total, mu = counts[which], _mu(level)
-                hit = code[which] != UNSEEN
-                p = np.where(hit, 10.0 ** (-code[which] / STEP), 0.0) + mu / (often + mu) * p
+                hit = total > 0
+                p = mu / (often + mu) * p
+                p[hit] += 10.0 ** (-_codes(total[hit], often[hit], level) / STEP)
             out.append(pd.DataFrame({
                 "id": pd.Series(block.ids, dtype="Int64").mask(block.flags > 1), "n_tokens": block.lens,
                 "n_known": np.add.reduceat((block.count > 0).astype(np.int64), block.starts),
@@ -573,8 +580,8 @@ def _scores(body: DataFrame, words: DataFrame, answers: DataFrame, folder: str,
         return pd.concat(out) if out else pd.DataFrame({"id": [], "n_tokens": [], "n_known": [], "base_score": [], "score": []})
 
     none = F.lit(None).cast("binary")
-    rows = (words.select("block", F.lit(1).alias("order"), "shard", none.alias("codes"), "counts", "at", "nodes")
-            .unionByName(answers.select("block", "order", "shard", "codes", "counts", none.alias("at"), none.alias("nodes"))).where("block >= 0"))
+    rows = (words.select("block", F.lit(1).alias("order"), "shard", "counts", "at", "nodes")
+            .unionByName(answers.select("block", "order", "shard", "counts", none.alias("at"), none.alias("nodes"))).where("block >= 0"))
     found = frozen(body.groupBy("block").cogroup(rows.groupBy("block")).applyInPandas(
         finish, "id long, n_tokens long, n_known long, base_score double, score double"))
     return found.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score")
@@ -598,13 +605,13 @@ def learn_and_score(docs: DataFrame, train: Column, id_col: str = "doc_id", text
     words = frozen(vocabulary(blocks, shards))
     n, v = words.where("block = -1").agg(F.sum("n"), F.sum("v")).first()
     folder = scratch_path(spark, "lm-slices")
-    body, often = blocks.select("block", "name"), shard_tokens // 4
+    body = blocks.select("block", "name")
     if order > 1:
-        asked = _asked(body, words.where("block >= 0"), bodies, range(2, order + 1), shards, often)
+        asked = _asked(body, words.where("block >= 0"), bodies, order, shards)
         answers = _answers(asked, folder, order, True)
     else:
         answers = spark.createDataFrame([], ANSWERS)
-    model = Model(folder, words, order, shards, often, n or 0, v or 0)
+    model = Model(folder, words, order, shards, n or 0, v or 0)
     return _scores(body, words, answers, bodies, model, id_col), model
 
 
@@ -620,7 +627,7 @@ def score_unseen(model: Model, docs: DataFrame, id_col: str = "doc_id", text_col
     words = frozen(vocabulary(blocks, model.shards, model.words))
     body = blocks.select("block", "name")
     if model.order > 1:
-        asked = _asked(body, words, bodies, range(2, model.order + 1), model.shards, model.often)
+        asked = _asked(body, words, bodies, model.order, model.shards)
         answers = _answers(asked, model.folder, model.order, False)
     else:
         answers = docs.sparkSession.createDataFrame([], ANSWERS)
