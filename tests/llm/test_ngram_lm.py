@@ -140,3 +140,43 @@ def test_unseen_texts_are_scored_by_stored_slices(spark):
         assert r.score == pytest.approx(want[k].score, abs=1e-9)
     new = ngram_lm.score_unseen(model, spark.createDataFrame([(1, "never seen words"), (2, None)], "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.n_tokens, r.n_known) for r in new) == [(1, 4, 1), (2, 1, 1)]
+
+
+@pytest.mark.parametrize("most", [5, 1 << 21, 1 << 40])
+def test_rows_sorted_in_64_bits_and_packed(most):
+    r = np.random.default_rng(most)
+    table = np.concatenate([r.integers(0, most, (500, 3)), r.integers(0, 4, (500, 3))])
+    by, new = ngram_lm._sorted(list(table.T))
+    assert (table[by] == table[np.lexsort(table.T[::-1])]).all()
+    assert (table[by][new] == np.unique(table, axis=0)).all()
+    for rows in (table[by][new], table[:0]):
+        assert (ngram_lm._unpack_grams(ngram_lm._pack_grams(rows)) == rows).all()
+
+
+def test_a_token_is_asked_for_once(spark, tmp_path):
+    rows = list(enumerate(texts(60, 5)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    blocks = ngram_lm.blocks_of(docs, F.col("doc_id"), F.lit(True), str(tmp_path), block_tokens=300).localCheckpoint()
+    asked = ngram_lm._asked(blocks.select("block", "name"), ngram_lm.vocabulary(blocks, 3).where("block >= 0"), str(tmp_path), 3, 3).collect()
+    tokens = [len((t or "").split()) + 1 for _, t in rows]
+    times = {k: sum(int(ngram_lm._unpack(r["times"]).sum()) for r in asked if r["order"] == k) for k in (2, 3)}
+    assert times == {2: len(rows), 3: sum(tokens) - len(rows)}  # the first words have no longer n-gram
+
+
+def test_one_trie_holds_the_shorter_n_grams(tmp_path):
+    long = np.array([[1, 2, 0], [1, 2, 5], [4, 0, 3]])
+    short = np.array([[1, 2], [1, 3], [4, 0]])
+    counts = np.array([2, 300, 1]), np.array([302, 7, 1])
+    ngram_lm.Slice.build(str(tmp_path / "s"), long, counts[0], None, True, False, {2: (short, counts[1])})
+    trie = ngram_lm.Slice.load(str(tmp_path / "s"))
+    assert trie.seen(np.array([[0, 2], [1, 2], [1, 3], [4, 0], [4, 1]])).tolist() == [0, 302, 7, 1, 0]
+    assert trie.seen(np.array([[1, 2, 0], [1, 2, 1], [1, 3, 0], [4, 0, 3]])).tolist() == [2, 0, 0, 1]
+
+
+def test_a_model_of_fourgrams_meets_longer_n_grams_than_it_learned(spark):
+    rows = [(0, "a"), (1, "b a"), (2, "a b a b a"), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    scores, model = ngram_lm.learn_and_score(df, F.col("doc_id") < 2, order=4, shard_tokens=2)
+    want = {r.doc_id: r.score for r in scores.collect()}
+    got = {r.doc_id: r.score for r in ngram_lm.score_unseen(model, df.where("doc_id > 1")).collect()}
+    assert got == pytest.approx({k: want[k] for k in (2, 3)})

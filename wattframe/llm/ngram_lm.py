@@ -7,23 +7,23 @@ Probabilities are Dirichlet-smoothed, each order backed by the one below:
 with the unigram (c(w) + 0.1) / (N + 0.1 (V + 1)). The context of a text's first
 word is the end of another text.
 
-Documents are cut into blocks of about a million tokens, written once with their own
-dictionaries. A block asks for its distinct n-grams of all orders at once, by the
-identifiers of their words, with how often its training documents hold them. Requests
-are dealt to shards by context (the words before, the nearest first); pairs of a very
-frequent word by that word and the next. The number of shards follows the number of
-tokens; a block sends a shard one packet.
-
-A shard builds its slice of the trie from what training documents hold. A level has,
-per node above, the words that follow it, made monotone by the ranges before and kept
-as Elias-Fano sequence, with monotone pointers to the ranges: context words first, from
-the nearest on, then the predicted word with its quantised first term above, and for
-each context its count. A word is found by successor search in the range of its node,
-relative to the value where that range begins. Slices are written once, into the
-shared folder, and memory-mapped where they are asked: by all blocks of the run, and
-later by texts that the model has not seen (``score_unseen``). The answers go back to
-the blocks, which add up the texts. No table, and no part of the model, is held in one
-task or sent to all of them.
+Documents are cut into blocks of about a million tokens; the words of a block are written
+once as rows, its tokens as a file in the shared folder, which later steps read in place. A
+block asks for its distinct n-grams by the identifiers of their words, with how often its
+training documents hold them; a token is in the longest n-gram that it ends, and the shard
+derives the shorter ones. Requests are dealt to shards by the nearest context word and the
+predicted word, so that an n-gram is where its shorter ones are. The number of shards
+follows the number of tokens; a block sends a shard one packet an order.
+
+A shard builds its slice of the trie from what training documents hold: nearest context
+word, predicted word, then the context words further away. A level has, per node above, the
+words that follow it, made monotone by the ranges before and kept as Elias-Fano sequence,
+with monotone pointers to the ranges; for each n-gram its count. A word is found by
+successor search in the range of its node, relative to the value where that range begins.
+Slices are written once, into the shared folder, and memory-mapped where they are asked: by
+all blocks of the run, and later by texts that the model has not seen (``score_unseen``).
+The counts go back to the blocks, which quantise the first terms and add up the texts. No
+table, and no part of the model, is held in one task or sent to all of them.
 
 Edge cases: a null text is empty and has the end token alone; identifiers are integers,
 a null one counts as the empty string for the fold; repeated rows count as often as
@@ -175,8 +175,8 @@ WORDS = "shard int, block long, at binary, nodes binary, counts binary, words bi
 
 
 def vocabulary(blocks: DataFrame, shards: int, known: DataFrame | None = None) -> DataFrame:
-    """For each block and shard the numbers (in the block), identifiers and counts of the
-    words that occur in training; rows with block -1 hold a shard's words and totals.
+    """For each block and shard the numbers (in the block), places (in the shard) and counts of
+    the words that occur in training; a word's identifier is place * shards + shard; rows with block -1 hold a shard's words and totals.
     With ``known``, such rows of a model, nothing is learned and the words are its."""
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,7 +208,7 @@ def vocabulary(blocks: DataFrame, shards: int, known: DataFrame | None = None) -
                     total[w] = total.get(w, 0) + c
         # frequent words have small identifiers, which pack well
         names = sorted(total, key=lambda w: (-total[w], w))
-        nodes = {w: (i * shards + shard, total[w]) for i, w in enumerate(names)}
+        nodes = {w: (i, total[w]) for i, w in enumerate(names)}
         counts = np.array([total[w] for w in names], np.int64)
         rows = [(shard, -1, b"", b"", _pack(counts), _zip(b"\n".join(names)), int(counts.sum()), len(names))]
         return pd.DataFrame(rows + reply(shard, pdf, nodes), columns=names_of)
@@ -219,7 +219,7 @@ def vocabulary(blocks: DataFrame, shards: int, known: DataFrame | None = None) -
             shard, nodes = int(pdf["shard"].iloc[0]), {}
             if not table.empty and table["v"].iloc[0]:
                 words, counts = _unzip(table["k_words"].iloc[0]).split(b"\n"), _unpack(table["k_counts"].iloc[0]).tolist()
-                nodes = {w: (i * shards + shard, c) for i, (w, c) in enumerate(zip(words, counts))}
+                nodes = {w: (i, c) for i, (w, c) in enumerate(zip(words, counts))}
             rows = reply(shard, pdf, nodes)
         return pd.DataFrame(rows, columns=names_of)
 
@@ -279,51 +279,73 @@ class Level:
 
 
 class Slice:
-    """A shard's part of one order: levels from the nearest context word to the predicted
-    word; codes of the n-grams and, where a longer order needs them, their counts (both
-    compressed in their files: most are small and alike)."""
+    """A shard's trie, a level per word of its n-grams; their codes or their counts, and the
+    counts of the shorter ones that it holds as nodes above (all compressed in their files:
+    most are small and alike)."""
 
-    def __init__(self, levels: list[Level], codes: np.ndarray, counts: np.ndarray):
-        self.levels, self.codes, self.counts = levels, codes, counts
+    def __init__(self, levels: list[Level], codes: np.ndarray, counts: np.ndarray, shorter: dict[int, np.ndarray] | None = None):
+        self.levels, self.codes, self.counts, self.shorter = levels, codes, counts, shorter or {}
 
     @classmethod
-    def build(cls, folder: str, grams: np.ndarray, total: np.ndarray, seen: np.ndarray | None, counted: bool, coded: bool = True) -> Slice:
-        """``grams`` has a row per n-gram, in order: context words from the nearest on, then
-        the word; ``total`` their counts; ``seen`` the counts of their contexts, or None if
-        all that follows a context is here; ``counted`` keeps the counts, ``coded`` the codes."""
+    def build(cls, folder: str, grams: np.ndarray, total: np.ndarray, seen: np.ndarray | None, counted: bool, coded: bool = True,
+              shorter: dict[int, tuple[np.ndarray, np.ndarray]] | None = None) -> Slice:
+        """``grams`` has a row per n-gram, in order; ``total`` their counts; ``seen`` the counts
+        of all words but the last, or None if all that follows them is here; ``counted`` keeps
+        the counts, ``coded`` the codes. ``shorter`` has, by length, all that n-grams begin with
+        and perhaps more, in order, and their counts."""
         os.makedirs(folder)
-        order, levels = grams.shape[1], []
-        node = above = np.zeros(len(grams), np.int64)
-        for k in range(order):
-            new = np.ones(len(grams), bool)
-            new[1:] = (node[1:] != node[:-1]) | (grams[1:, k] != grams[:-1, k])
-            levels.append(Level.build(folder, f"level{k}", node[new], grams[new, k]))
-            above, node = node, np.cumsum(new) - 1
+        order, shorter, levels = grams.shape[1], shorter or {}, []
+        tables = [grams]
+        for k in range(order - 1, 0, -1):
+            begin = tables[0][:, :k]
+            new = np.ones(len(begin), bool)
+            new[1:] = (begin[1:] != begin[:-1]).any(axis=1)
+            tables.insert(0, shorter[k][0] if k in shorter else begin[new])
+        above = np.zeros(len(tables[0]), np.int64)
+        for k, table in enumerate(tables):
+            if k:
+                above = cls(levels, None, None).find(table[:, :k], True)
+            levels.append(Level.build(folder, f"level{k}", above, table[:, k]))
         codes = np.zeros(0, "<u2")
         if coded:
             if seen is None:
                 seen = np.bincount(above, weights=total).astype(np.int64)[above] if len(above) else total
             codes = _codes(total, seen, order).astype("<u2")
-        kind = "<u1" if not len(total) or total.max() < 1 << 8 else "<u4" if total.max() < 1 << 32 else "<u8"
         with open(os.path.join(folder, "slice.json"), "w") as f:
-            json.dump({"order": order, "counts": kind}, f)
-        counts = total.astype(kind) if counted else np.zeros(0, kind)
-        for name, values in (("codes", codes), ("counts", counts)):
+            json.dump({"order": order, "shorter": sorted(shorter)}, f)
+        out = cls(levels, codes, total if counted else total[:0], {k: counts for k, (_, counts) in shorter.items()})
+        for name, values in (("codes", out.codes), ("counts", out.counts), *((f"counts{k}", x) for k, x in out.shorter.items())):
             with open(os.path.join(folder, name), "wb") as f:
                 f.write(_pack(values))
-        return cls(levels, codes, counts)
+        return out
 
     @classmethod
     def load(cls, folder: str) -> Slice:
+        def unpacked(name: str) -> np.ndarray:
+            with open(os.path.join(folder, name), "rb") as f:
+                return _unpack(f.read())
+
         with open(os.path.join(folder, "slice.json")) as f:
             about = json.load(f)
-        codes, counts = (_unpack(np.fromfile(os.path.join(folder, name), "u1").tobytes()) for name in ("codes", "counts"))
-        return cls([Level.load(folder, f"level{k}") for k in range(about["order"])], codes.astype("<u2"), counts.astype(about["counts"]))
-
-    def find(self, grams: np.ndarray) -> np.ndarray:
-        """Places of n-grams (sorted, distinct), -1 where one is not in the trie."""
+        return cls([Level.load(folder, f"level{k}") for k in range(about["order"])], unpacked("codes"), unpacked("counts"),
+                   {k: unpacked(f"counts{k}") for k in about["shorter"]})
+
+    def seen(self, grams: np.ndarray) -> np.ndarray:
+        """Counts of n-grams of one length (sorted, distinct), 0 where one is not in the trie."""
+        out, place = np.zeros(len(grams), np.int64), self.find(grams)
+        counts = self.counts if grams.shape[1] == len(self.levels) else self.shorter[grams.shape[1]]
+        out[place >= 0] = counts[place[place >= 0]]
+        return out
+
+    def find(self, grams: np.ndarray, repeated: bool = False) -> np.ndarray:
+        """Places of n-grams (sorted, distinct unless ``repeated``) among all of their length,
+        -1 where one is not in the trie."""
+        if repeated:
+            new = np.ones(len(grams), bool)
+            new[1:] = (grams[1:] != grams[:-1]).any(axis=1)
+            return self.find(grams[new])[np.cumsum(new) - 1]
         node = np.zeros(len(grams), np.int64)
-        for k, level in enumerate(self.levels):
+        for k, level in enumerate(self.levels[: grams.shape[1]]):
             new = np.ones(len(grams), bool)
             new[1:] = (node[1:] != node[:-1]) | (grams[1:, k] != grams[:-1, k])
             if k:  # rows without a node share none, whatever the words
@@ -345,7 +367,7 @@ def _shards_of(grams: np.ndarray, shards: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         mix = (grams[:, 0].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         mix ^= mix >> np.uint64(29)
-        mix = (mix ^ grams[:, -1].astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        mix = (mix ^ grams[:, 1].astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
         mix ^= mix >> np.uint64(31)
         mix *= np.uint64(0xD6E8FEB86659FD93)
     return ((mix >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
@@ -386,11 +408,11 @@ class _Block:
     """A block's tokens with the identifiers of their words."""
 
     @classmethod
-    def load(cls, folder: str, name: str, words: pd.DataFrame) -> _Block:
+    def load(cls, folder: str, name: str, words: pd.DataFrame, shards: int) -> _Block:
         with pa.ipc.open_file(os.path.join(folder, name)) as f:
-            return cls(f.read_all().to_pylist()[0], words)
+            return cls(f.read_all().to_pylist()[0], words, shards)
 
-    def __init__(self, row, words: pd.DataFrame):
+    def __init__(self, row, words: pd.DataFrame, shards: int):
         self.ids, self.flags = row["ids"], np.asarray(row["flags"], np.int64)
         self.lens = np.asarray(row["lens"], np.int64)
         self.tokens = _unpack(row["tokens"])
@@ -399,17 +421,17 @@ class _Block:
         self.place = np.arange(len(self.tokens)) - np.repeat(self.starts, self.lens)
         size = int(self.tokens.max()) + 1
         node, count = np.full(size, -1, np.int64), np.zeros(size, np.int64)
-        for at, nodes, counts in words[["at", "nodes", "counts"]].itertuples(index=False):
+        for shard, at, nodes, counts in words[["shard", "at", "nodes", "counts"]].itertuples(index=False):
             at = _undelta(at)
-            node[at], count[at] = _unpack(nodes), _unpack(counts)
+            node[at], count[at] = _unpack(nodes) * shards + shard, _unpack(counts)
         self.word, self.count = node[self.tokens], count[self.tokens]
         # the first word follows an end: the last token of every text is one
         end = int(self.tokens[self.starts[0] + self.lens[0] - 1])
         self.end, self.end_count = node[end], count[end]
 
     def grams(self, order: int, among: np.ndarray | None = None):
-        """Of all tokens or those ``among``: distinct known n-grams, sorted: context words from the nearest on, then the
-        word; times in training; how often the nearest word was seen; and for each token
+        """Of all tokens or those ``among``: distinct known n-grams, sorted: the nearest context word, the predicted
+        word, then the context words further away; times in training; how often the nearest word was seen; and for each token
         its n-gram or -1."""
         columns, ok = [], (self.word >= 0) & (self.place >= order - 2)
         if among is not None:
@@ -425,7 +447,7 @@ class _Block:
         often = np.zeros(len(self.word), np.int64)
         often[1:] = self.count[:-1]
         often[self.starts] = self.end_count
-        columns.append(self.word)
+        columns.insert(1, self.word)
         rows = np.flatnonzero(ok)
         by, new = _sorted([c[rows] for c in columns])
         by = rows[by]
@@ -452,7 +474,7 @@ def _asked(body: DataFrame, words: DataFrame, folder: str, order: int, shards: i
     def ask(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for row in left.to_dict("records"):
-            block = _Block.load(root, row["name"], right)
+            block = _Block.load(root, row["name"], right, shards)
             rest = np.ones(len(block.word), bool)
             for k in range(order, 1, -1):
                 grams, times, _, which, _ = block.grams(k, rest)
@@ -491,13 +513,14 @@ def _answers(asked: DataFrame, folder: str, last: int, learn: bool) -> DataFrame
     model. ``last`` is the longest order."""
     root = _local(folder)
 
-    def slice_of(order: int, shard: int, grams: np.ndarray, total: np.ndarray) -> Slice | None:
-        path = os.path.join(root, f"order{order}-{shard:06d}")
+    def slice_of(shard: int, orders: dict) -> Slice | None:
+        path = os.path.join(root, f"shard-{shard:06d}")
         if not learn:  # without a slice nothing was learned there
             return Slice.load(path) if os.path.exists(path) else None
         attempt = f"{path}-{uuid.uuid4().hex[:8]}"
-        learned = total > 0
-        trie = Slice.build(attempt, grams[learned], total[learned], None, True, False)
+        tables = {k: (np.zeros((0, k), np.int64), np.zeros(0, np.int64)) for k in range(2, last + 1)}
+        tables |= {k: (grams[total > 0], total[total > 0]) for k, (_, _, grams, total, _) in orders.items()}
+        trie = Slice.build(attempt, *tables.pop(last), None, True, False, tables)
         if not os.path.exists(path):
             try:
                 os.rename(attempt, path)
@@ -507,8 +530,7 @@ def _answers(asked: DataFrame, folder: str, last: int, learn: bool) -> DataFrame
         return trie
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        shard, rows = int(pdf["shard"].iloc[0]), []
-        blocks = sorted(set(pdf["block"]))
+        shard, orders = int(pdf["shard"].iloc[0]), {}
         # by block, of the order above: its distinct n-grams and their times
         above: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for order in range(last, 1, -1):
@@ -516,20 +538,18 @@ def _answers(asked: DataFrame, folder: str, last: int, learn: bool) -> DataFrame
             for block, raw, times in pdf.loc[pdf["order"] == order, ["block", "grams", "times"]].itertuples(index=False):
                 parts[block] = (_unpack_grams(raw), _unpack(times))
             for block, (grams, times) in above.items():
-                grams = np.delete(grams, order - 1, axis=1)  # without the farthest context word
+                grams = grams[:, :order]  # without the farthest context word
                 if block in parts:
                     grams, times = np.concatenate([parts[block][0], grams]), np.concatenate([parts[block][1], times])
                 parts[block] = _distinct(grams, times)[:2]
             above = parts
-            if not parts:
-                continue
-            here = [b for b in blocks if b in parts]
-            grams, total, number = _distinct(np.concatenate([parts[b][0] for b in here]), np.concatenate([parts[b][1] for b in here]))
-            trie, counts = slice_of(order, shard, grams, total), np.zeros(len(grams), np.int64)
-            if trie is not None:
-                place = trie.find(grams)
-                counts[place >= 0] = trie.counts[place[place >= 0]]
-            cuts = np.cumsum([0, *(len(parts[b][0]) for b in here)])
+            if parts:
+                here = sorted(parts)
+                cuts = np.cumsum([0, *(len(parts[b][0]) for b in here)])
+                orders[order] = (here, cuts, *_distinct(np.concatenate([parts[b][0] for b in here]), np.concatenate([parts[b][1] for b in here])))
+        trie, rows = slice_of(shard, orders), []
+        for order, (here, cuts, grams, _, number) in orders.items():
+            counts = np.zeros(len(grams), np.int64) if trie is None else trie.seen(grams)
             rows += [(int(b), order, shard, _pack(counts[number[i:j]])) for b, i, j in zip(here, cuts, cuts[1:])]
         return pd.DataFrame(rows, columns=["block", "order", "shard", "counts"])
 
@@ -556,7 +576,7 @@ def _scores(body: DataFrame, words: DataFrame, answers: DataFrame, folder: str,
     def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in left.to_dict("records"):
-            block = _Block.load(root, row["name"], right[right["order"] == 1])
+            block = _Block.load(root, row["name"], right[right["order"] == 1], shards)
             base = (block.count + 0.1) / (n + 0.1 * (v + 1))
             p, total = base, None
             for level in range(2, order + 1):
