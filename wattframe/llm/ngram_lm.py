@@ -55,7 +55,7 @@ from wattframe.session import scratch_path
 ORDER = 3
 MU = (0.0, 0.0, 8.0, 4.0, 2.0, 2.0)  # by order; the last one holds for higher orders
 BLOCK_TOKENS = 1 << 20
-SHARD_TOKENS = 1 << 21
+SHARD_TOKENS = 1 << 20
 STEP = 2048  # codes are -log10 in steps of 1 / 2048
 UNSEEN = 65535
 END = b""  # words are never empty
@@ -537,7 +537,8 @@ def _answers(asked: DataFrame, folder: str, last: int, learn: bool) -> DataFrame
             parts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
             for block, raw, times in pdf.loc[pdf["order"] == order, ["block", "grams", "times"]].itertuples(index=False):
                 parts[block] = (_unpack_grams(raw), _unpack(times))
-            for block, (grams, times) in above.items():
+            while above:  # let go of as they are used
+                block, (grams, times) = above.popitem()
                 grams = grams[:, :order]  # without the farthest context word
                 if block in parts:
                     grams, times = np.concatenate([parts[block][0], grams]), np.concatenate([parts[block][1], times])
@@ -547,6 +548,7 @@ def _answers(asked: DataFrame, folder: str, last: int, learn: bool) -> DataFrame
                 here = sorted(parts)
                 cuts = np.cumsum([0, *(len(parts[b][0]) for b in here)])
                 orders[order] = (here, cuts, *_distinct(np.concatenate([parts[b][0] for b in here]), np.concatenate([parts[b][1] for b in here])))
+        del parts, above
         trie, rows = slice_of(shard, orders), []
         for order, (here, cuts, grams, _, number) in orders.items():
             counts = np.zeros(len(grams), np.int64) if trie is None else trie.seen(grams)
